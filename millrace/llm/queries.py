@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, packing, sharding, simhash, url_rules
+from . import bpe, packing, repeats, sharding, simhash, url_rules
 from .common import table
 
 
@@ -30,12 +30,17 @@ def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), length=400, digest=True)
+
+
 QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_url_rules": op3_url_rules,
     "op4_harmonic_packing": op4_harmonic_packing,
     "op5_bpe": op5_bpe,
     "op8_kd_shards": op8_kd_shards,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
