@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, packing, repeats, sharding, simhash, url_rules
+from . import bpe, fingerprints, lm, packing, quality, repeats, sharding, simhash, url_rules
 from .common import table
 
 
@@ -25,6 +25,14 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digest=True)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.shard(table(spark, sf_dir, "documents"), shards=16)
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -34,13 +42,20 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), length=400, digest=True)
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), order=2, alpha=0.4)
+
+
 QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_url_rules": op3_url_rules,
     "op4_harmonic_packing": op4_harmonic_packing,
     "op5_bpe": op5_bpe,
+    "op6_quality": op6_quality,
+    "op7_fingerprints": op7_fingerprints,
     "op8_kd_shards": op8_kd_shards,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_lm_scores": op10_lm_scores,
 }
 
 ORACLE_SQL: dict[str, str] = {}
