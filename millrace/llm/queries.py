@@ -5,10 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprints, lm, packing, quality, repeats, sharding, simhash, url_rules
+from . import ann, bpe, fingerprints, lm, packing, quality, repeats, sharding, simhash, url_rules
 from .common import table
 
 
+def op1_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
 
@@ -47,6 +52,7 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_adaptive_scan": op1_adaptive_scan,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_url_rules": op3_url_rules,
     "op4_harmonic_packing": op4_harmonic_packing,
