@@ -174,6 +174,21 @@ def scores(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str
     return chosen.mapInArrow(run, kinds).select("doc_id", "score", *(F.col(n).alias(c) for c, n in zip(keep, names) if c != "doc_id"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with all their columns.
+
+    Null and empty texts are scored like any other; an empty table stays empty.
+    """
+    model, at = train(docs, labels, id_col, text_col), docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            made = np.array([statistics(t) for t in batch.column(at).to_pylist()], float)
+            yield batch.filter(pa.array(model.score(made) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted): predicted is 1 at ``threshold`` and above.
 

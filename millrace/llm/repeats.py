@@ -283,3 +283,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     made = joined.select("doc_id", F.encode("text", "UTF-8").alias("data"), "spans", *held).mapInArrow(run, schema)
     return made.select("doc_id", "n_bytes", "n_removed", "n_spans", kept_type.split()[0], *(F.col(f"keep_{c}").alias(c) for c in keep if c != id_col))
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
+    """``docs`` with the repeated strings cut out of its texts and n_chars, if there, set anew.
+
+    A character of which a repeat covers some bytes goes as a whole. Every row stays, its text
+    empty where nothing is left; a null text becomes empty.
+    """
+    others = tuple(c for c in docs.columns if c not in (id_col, text_col))
+    made = remove_repeats(docs, id_col, text_col, length, keep=others)
+    whole = F.expr("try_validate_utf8(cast(kept as string))")
+    text = F.coalesce(whole, F.regexp_replace(F.expr("make_valid_utf8(cast(kept as string))"), "\ufffd", ""))
+    columns = {id_col: F.col("doc_id"), text_col: text} | {c: F.col(c) for c in others}
+    if "n_chars" in others:
+        columns["n_chars"] = F.char_length(text).cast(docs.schema["n_chars"].dataType)
+    return made.select(*(columns[c].alias(c) for c in docs.columns))

@@ -227,3 +227,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
     named = roots.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 7) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their group of near-duplicates.
+
+    Texts of equal id and equal text are one document and leave one row. Rows without an id
+    cannot be told apart and stay. All columns are kept; an empty table stays empty.
+    """
+    found = near_duplicates(docs, id_col, text_col, words, radius)
+    first = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    first = materialise(first.select(F.col("doc_id").alias("_first"), (F.col("rows") > 1).alias("_again")), "simhash-first")
+    kept = docs.join(first, docs[id_col].cast("long") == F.col("_first"), "left").where(F.col("_first").isNotNull() | docs[id_col].isNull())
+    if first.where("_again").isEmpty():
+        return kept.select(*docs.columns)
+    once = kept.where("coalesce(_again, false)").dropDuplicates([id_col])
+    return kept.where("not coalesce(_again, false)").select(*docs.columns).unionByName(once.select(*docs.columns))
