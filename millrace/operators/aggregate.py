@@ -72,7 +72,7 @@ def missing_report(df: DataFrame, c: str, keep: Column) -> DataFrame:
     row = df.agg(F.count(F.lit(1)).alias("a"), F.count_if(lost).alias("b"), F.count_if(kept).alias("c"), F.count_if(kept & lost).alias("d"))
     items = F.array(
         F.struct(F.lit("before").alias("step"), F.col("a").alias("n_rows"), F.col("b").alias("n_missing"), F.round(ratio(F.col("b") * 100, "a"), 2).alias("pct_missing")),
-        F.struct(F.lit("after"), F.col("c"), F.col("d"), F.round(ratio(F.col("d") * 100, "c"), 2)),
+        F.struct(F.lit("after").alias("step"), F.col("c").alias("n_rows"), F.col("d").alias("n_missing"), F.round(ratio(F.col("d") * 100, "c"), 2).alias("pct_missing")),
     )
     return row.select(F.inline(items))
 

@@ -10,6 +10,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from .checkpoints import ensure
 from .columns import as_column
 
 
@@ -53,8 +54,9 @@ def dbscan(points: DataFrame, key: str, columns: Sequence[str], eps: float, min_
 
     A core point has ``min_pts`` points within ``eps``, itself counted; cores within ``eps``
     share a cluster; another point joins the cluster of its core neighbour with the smallest
-    label. Clusters are numbered by their smallest core key. Needs a checkpoint directory.
+    label. Clusters are numbered by their smallest core key.
     """
+    ensure(points.sparkSession)
     pairs = neighbours(points, key, columns, eps).checkpoint()
     cores = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pts).select("a").checkpoint()
     inner = pairs.join(cores, "a").join(cores.select(F.col("a").alias("b")), "b").select("a", "b")

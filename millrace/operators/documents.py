@@ -43,13 +43,18 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str, vector: str) -> DataFrame:
+def top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str, vector: str, query_blocks: int = 4, vector_blocks: int = 64) -> DataFrame:
     """(query_id, rank, id, score): the k nearest by cosine, the query itself left out.
 
-    A stated set of queries against all rows; equal scores by id, zero vectors take no part.
+    A stated set of queries against all rows, in blocks: each side is dealt to blocks and sent
+    once for each block of the other, so neither has to fit in one task. Equal scores go by
+    id, zero vectors take no part.
     """
-    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector).alias("_q"))
-    pairs = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("_v")).join(asked, F.col("id") != F.col("query_id"))
+    block = lambda n: F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector).alias("_q"), block(query_blocks).alias("_a"), every(vector_blocks).alias("_b"))
+    held = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("_v"), every(query_blocks).alias("_a"), block(vector_blocks).alias("_b"))
+    pairs = held.join(asked, ["_a", "_b"]).where("id != query_id")
     scored = pairs.select("query_id", "id", cosine(F.col("_q"), F.col("_v")).alias("score")).where("score is not null")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return scored.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

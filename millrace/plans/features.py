@@ -152,12 +152,12 @@ select c_custkey, geohash_9, geohash_9[:2] as geohash_2, geohash_9[:3] as geohas
 
 def geo_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = points(spark, sf_dir).withColumn("g", geo.geohash("lat", "lon", 4)).select("c_acctbal", *(c.alias(n) for n, c in geo.geohash_levels("g", range(2, 5)).items()))
-    found = grouping_levels(made, [["geohash_2"], ["geohash_3"], ["geohash_4"]], [F.count(F.lit(1)).alias("n"), rounded(F.avg("c_acctbal"), 2).alias("mean_balance")])
+    found = grouping_levels(made, [["geohash_2"], ["geohash_3"], ["geohash_4"]], [F.count(F.lit(1)).alias("n"), rounded(F.avg("c_acctbal"), 6).alias("mean_balance")])
     return found.select("level", F.coalesce("geohash_2", "geohash_3", "geohash_4").alias("cell"), "n", "mean_balance")
 
 
 GEO_LEVELS_SQL = f"""{POINTS}
-select level, cell, count(*) as n, round(avg(c_acctbal), 2) as mean_balance from (
+select level, cell, count(*) as n, round(avg(c_acctbal), 6) as mean_balance from (
   select unnest(['geohash_2', 'geohash_3', 'geohash_4']) as level, unnest([geohash_9[:2], geohash_9[:3], geohash_9[:4]]) as cell, c_acctbal from hashes) group by 1, 2"""
 
 
