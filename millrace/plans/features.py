@@ -87,12 +87,12 @@ STATE_SAMPLE_SQL = f"{PLACES} select c_custkey, upper(location) as city, trim(ab
 def impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", F.when(F.col("user_id") % 11 != 0, F.col("user_id")).alias("user_id"), "event_type", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"))
     filled = W.impute_group_mean(events, ["value"], ["user_id", "event_type"])
-    return filled.select("event_id", rounded("value").alias("value"))
+    return filled.select("event_id", rounded("value", 9).alias("value"))
 
 
 IMPUTE_SQL = """
 with e as (select event_id, case when user_id % 11 <> 0 then user_id end as u, event_type, case when event_id % 7 <> 0 then value end as v from events)
-select event_id, round(case when v is not null then v when u is not null then avg(v) over (partition by u, event_type) end, 4) as value from e"""
+select event_id, round(case when v is not null then v when u is not null then avg(v) over (partition by u, event_type) end, 9) as value from e"""
 
 
 def rejects(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -316,11 +316,11 @@ UNION_SQL = "select o_orderstatus, 'All' as o_orderpriority, count(*) as n, 0::b
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality labels against a score of the documents' length."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    score = F.round(F.col("n_chars") % 1000 / 1000.0, 2)
+    score = F.floor(F.col("n_chars") % 1000 / 10) / 100.0
     return table(spark, sf_dir, "labels").join(docs, "doc_id").select("doc_id", "quality", "toxic", score.alias("score"), (score >= 0.4).cast("int").alias("predicted"))
 
 
-JUDGED = "with j as (select doc_id, quality, toxic, round(n_chars % 1000 / 1000.0::double, 2) as score, (round(n_chars % 1000 / 1000.0::double, 2) >= 0.4)::int as predicted from labels join documents using (doc_id))"
+JUDGED = "with j as (select doc_id, quality, toxic, (n_chars % 1000 // 10) / 100.0::double as score, ((n_chars % 1000 // 10) / 100.0::double >= 0.4)::int as predicted from labels join documents using (doc_id))"
 
 
 def binary_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
