@@ -19,6 +19,19 @@ from .fingerprints import WORD_HASHES, _mix
 ODD = np.random.default_rng(21).integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+#: Text that a block of documents has, as long as that leaves four blocks a partition at most.
+BLOCK_BYTES = 4 << 20
+
+
+def _narrow(counts: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the greatest needs."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))).newbyteorder("<")).tobytes()
+
+
+def _wide(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+
+
 def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts in a row, and the number of each word's text."""
     split = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
@@ -74,11 +87,11 @@ def score(docs: DataFrame, order: int = 2, alpha: float = 0.4, id_col: str = "do
     are maximal runs without ASCII white space, A-Z lower-cased. Null texts count as empty;
     copies of a text are other rows and count. Null ids and repeated rows stay.
     """
-    spark = docs.sparkSession
-    parts = partitions(spark)
-    blocks, bits = 4 * parts, max(1, (2 * parts - 1).bit_length())
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    size, most = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, partitions(docs.sparkSession)
+    blocks = max(1, min(4 * most, size // BLOCK_BYTES))
+    bits = max(1, min(2 * most, size // (2 * BLOCK_BYTES)) - 1).bit_length()
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
     def count(key, own):
@@ -89,30 +102,27 @@ def score(docs: DataFrame, order: int = 2, alpha: float = 0.4, id_col: str = "do
             cuts = np.searchsorted(grams, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
             for part, (g, c) in enumerate(zip(np.split(grams, cuts), np.split(times, cuts))):
                 if len(g) or n == 1:
-                    out.append((key[0].as_py(), n, part, g.tobytes(), c.astype("<u4").tobytes()))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "n", "part", "grams", "times"])
+                    out.append((key[0].as_py(), n, part, len(g), g.tobytes(), _narrow(c)))
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["block", "n", "part", "size", "grams", "times"])
 
-    sent = rows.groupBy("block").applyInArrow(count, "block int, n int, part int, grams binary, times binary")
+    sent = rows.groupBy("block").applyInArrow(count, "block int, n int, part int, size int, grams binary, times binary")
 
     def add(key, own):
-        grams = [np.frombuffer(g.as_py(), np.uint64) for g in own.column("grams")]
-        times = np.concatenate([np.frombuffer(t.as_py(), "<u4") for t in own.column("times")])
-        distinct, at = np.unique(np.concatenate(grams), return_inverse=True)
-        total = np.bincount(at, times, len(distinct))[at].astype("<u4" if times.sum(dtype=np.int64) < 1 << 32 else "<u8")
-        answers = np.split(total, np.cumsum([len(g) for g in grams])[:-1])
-        held = int(times.sum(dtype=np.int64))
-        return pa.table({
-            "block": own.column("block"), "n": own.column("n"), "part": own.column("part"),
-            "totals": pa.array([a.astype("<u8").tobytes() for a in answers], pa.binary()), "held": pa.array([held] * len(grams), pa.int64()),
-        })
-
-    counted = sent.groupBy("n", "part").applyInArrow(add, "block int, n int, part int, totals binary, held long")
+        sizes = own.column("size").to_pylist()
+        times = np.concatenate([_wide(t.as_py(), n) for t, n in zip(own.column("times"), sizes)])
+        distinct, at = np.unique(np.frombuffer(b"".join(own.column("grams").to_pylist()), np.uint64), return_inverse=True)
+        total = np.bincount(at, times, len(distinct)).astype(np.int64)[at]
+        answers = [_narrow(x) for x in np.split(total, np.cumsum(sizes)[:-1])]
+        return pa.table({"block": own.column("block"), "n": own.column("n"), "part": own.column("part"), "size": own.column("size"), "totals": pa.array(answers, pa.binary()), "held": pa.array([int(times.sum())] * len(sizes), pa.int64())})
+
+    counted = sent.groupBy("n", "part").applyInArrow(add, "block int, n int, part int, size int, totals binary, held long")
 
     def join(key, own, answers):
         answers = answers.sort_by([("n", "ascending"), ("part", "ascending")])
         order_of, held = answers.column("n").to_numpy(), answers.column("held").to_numpy()
-        packed = answers.column("totals").to_pylist()
-        totals = [np.frombuffer(b"".join(p for p, k in zip(packed, order_of) if k == n), "<u8").astype(np.int64) for n in range(1, order + 1)]
+        made = [_wide(t, n) for t, n in zip(answers.column("totals").to_pylist(), answers.column("size").to_pylist())]
+        totals = [np.concatenate([np.zeros(0, np.int64), *(m for m, k in zip(made, order_of) if k == n)]) for n in range(1, order + 1)]
         words, doc = _tokens(own.column("text").to_pylist())
         log_score, used = stupid_backoff(order, alpha, words, doc, totals, int(held[order_of == 1].sum()))
         rows = own.num_rows

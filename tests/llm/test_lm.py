@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from millrace.llm import lm
@@ -38,8 +39,9 @@ def plain(texts, order, alpha):
         yield len(w), log_score, lower
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_same_as_plain_counts(spark, order):
+@pytest.mark.parametrize(("order", "block"), [(1, 300), (2, 50), (3, 120), (2, 1 << 22)])
+def test_same_as_plain_counts(spark, monkeypatch, order, block):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", block)
     rng = random.Random(order)
     texts = [None, "", "One", "one one one"] + [" ".join(rng.choices("a b c d e f g hh I".split(), k=rng.choice([1, 5, 60]))) for _ in range(40)]
     texts += texts[-2:]
@@ -51,5 +53,11 @@ def test_same_as_plain_counts(spark, order):
         assert (found[i].mean_log_score is None) == (size == 0)
 
 
+@pytest.mark.parametrize("top", [0, 1, 255, 256, 65_535, 65_536, 1 << 33])
+def test_narrow_counts(top):
+    counts = np.array([1, top, 0])
+    assert (lm._wide(lm._narrow(counts), 3) == counts).all()
+
+
 def test_empty_table(spark):
     assert lm.score(spark.createDataFrame([], SCHEMA)).collect() == []
