@@ -238,7 +238,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = near_duplicates(docs, id_col, text_col, words, radius)
     first = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
     first = materialise(first.select(F.col("doc_id").alias("_first"), (F.col("rows") > 1).alias("_again")), "simhash-first")
-    kept = docs.join(first, docs[id_col].cast("long") == F.col("_first"), "left").where(F.col("_first").isNotNull() | docs[id_col].isNull())
+    # A merge join at every size, so that what a run shuffles grows as its input does.
+    kept = docs.join(first.hint("merge"), docs[id_col].cast("long") == F.col("_first"), "left").where(F.col("_first").isNotNull() | docs[id_col].isNull())
     if first.where("_again").isEmpty():
         return kept.select(*docs.columns)
     once = kept.where("coalesce(_again, false)").dropDuplicates([id_col])
