@@ -30,6 +30,8 @@ PIECE = 1 << 20
 SHARDS = 4
 #: Suffixes that are merged at once where groups are small: their letters fit 16 bits.
 SUFFIXES = 60_000
+#: Strings of a group that one task merges; larger groups are dealt anew by longer grams.
+GROUP_STRINGS = 4_000
 
 
 @lru_cache(maxsize=1)
@@ -152,8 +154,9 @@ def _parts(data: np.ndarray, sizes: np.ndarray, letter_bytes: int):
 
 
 def _windows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(doc_id, text_key, start, windows, anchor, string) of each stretch of each text."""
-    schema = "doc_id long, text_key long, start long, windows int, anchor long, string long"
+    """(doc_id, text_key, windows, anchor, string, starts) of the stretches of each text: a row
+    for all places where the text has the same string, as periodic texts have many."""
+    schema = "doc_id long, text_key long, windows int, anchor long, string long, starts array<long>"
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
@@ -177,34 +180,60 @@ def _windows(docs: DataFrame, length: int, gram: int) -> DataFrame:
         owner = np.repeat(np.arange(len(own), dtype=np.int32), sizes)
         start, count, anchor, string = stretches(np.frombuffer(b"".join(x[2] for x in own), np.uint8), owner, length, gram)
         at = owner[start]
-        row = pa.array(np.array([x[0] for x in own])[at])
-        first = np.array([x[1] for x in own]) - (np.cumsum(sizes) - sizes)
-        return pa.RecordBatch.from_arrays([ids.take(row), keys.take(row), pa.array(start + first[at]), pa.array(count.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(string.view(np.int64))], names=names)
+        order = np.lexsort((start, string, anchor, at))
+        at, start, count, anchor, string = (x[order] for x in (at, start, count, anchor, string))
+        new = np.r_[True, (at[1:] != at[:-1]) | (anchor[1:] != anchor[:-1]) | (string[1:] != string[:-1])] if len(at) else np.zeros(0, bool)
+        offset = np.array([x[1] for x in own]) - (np.cumsum(sizes) - sizes)
+        starts = pa.ListArray.from_arrays(np.r_[np.flatnonzero(new), len(at)].astype(np.int32), pa.array(start + offset[at]))
+        row = pa.array(np.array([x[0] for x in own])[at[new]])
+        return pa.RecordBatch.from_arrays([ids.take(row), keys.take(row), pa.array(count[new].astype(np.int32)), pa.array(anchor[new].view(np.int64)), pa.array(string[new].view(np.int64)), starts], names=names)
 
     return docs.select("doc_id", "text_key", F.encode("text", "UTF-8").alias("data")).mapInArrow(run, schema)
 
 
+PARTS = "anchor long, string long, base long, number long, data binary, part long"
+
+
+def _finer(length: int, gram: int):
+    """Cut strings into stretches whose windows share a longer gram, named by it in ``part``."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for anchor, string, base, number, data in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                start, count, at, _ = stretches(np.frombuffer(data, np.uint8), np.zeros(len(data), np.int32), length, gram)
+                for s, n, a in zip(start.tolist(), count.tolist(), at.view(np.int64).tolist()):
+                    out.append((anchor, string, base + s, number, data[s : s + n + length - 1], a))
+            if out:
+                kinds = [pa.int64()] * 4 + [pa.binary(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[c.split()[0] for c in PARTS.split(", ")])
+
+    return run
+
+
 def _merge(length: int, letter_bytes: int):
-    """Of a bucket of (anchor, string, number, data): the repeated windows of each string as runs."""
+    """Of a bucket of PARTS rows: the repeated windows of each string as runs."""
 
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("anchor", "ascending"), ("string", "ascending")])
-        anchor, string = (rows.column(c).to_numpy() for c in ("anchor", "string"))
-        first = np.r_[True, (anchor[1:] != anchor[:-1]) | (string[1:] != string[:-1])] if len(anchor) else np.zeros(0, bool)
-        anchor, string = anchor[first], string[first]
+        keys = ("part", "anchor", "string", "base")
+        rows = rows.sort_by([(k, "ascending") for k in keys])
+        part, anchor, string, base = (rows.column(c).to_numpy() for c in keys)
+        # a text that occurs twice with one id brings its strings twice
+        first = np.r_[True, (part[1:] != part[:-1]) | (anchor[1:] != anchor[:-1]) | (string[1:] != string[:-1]) | (base[1:] != base[:-1])] if len(part) else np.zeros(0, bool)
+        part, anchor, string, base = part[first], anchor[first], string[first], base[first]
         number, data = rows.column("number").to_numpy()[first], rows.column("data").filter(pa.array(first)).to_pylist()
-        group = np.r_[np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]), len(anchor)] if len(anchor) else np.zeros(1, np.int64)
+        group = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)] if len(part) else np.zeros(1, np.int64)
         out: list[tuple[np.ndarray, ...]] = []
         low, size = 0, 0
         for i, j in zip(group[:-1], group[1:]):
             size += sum(len(d) + 1 for d in data[i:j])
-            if size >= SUFFIXES or j == len(anchor):
+            if size >= SUFFIXES or j == len(part):
                 at, offset = repeated_windows(data[low:j], number[low:j], length, letter_bytes)
                 order = np.lexsort((offset, at))
                 at, offset = at[order] + low, offset[order]
                 new = np.r_[True, (at[1:] != at[:-1]) | (offset[1:] != offset[:-1] + 1)] if len(at) else np.zeros(0, bool)
                 last = np.r_[new[1:], True] if len(at) else new
-                out.append((anchor[at[new]], string[at[new]], offset[new], offset[last] + 1))
+                out.append((anchor[at[new]], string[at[new]], offset[new] + base[at[new]], offset[last] + 1 + base[at[last]]))
                 low, size = j, 0
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
         return pa.table(dict(zip(("anchor", "string", "low", "high"), columns)))
@@ -212,28 +241,56 @@ def _merge(length: int, letter_bytes: int):
     return run
 
 
+def _shared(parts: DataFrame, length: int, gram: int, letter_bytes: int) -> DataFrame:
+    """(anchor, string, low, high) runs of windows that occur twice among the parts of a group."""
+    spark, done = parts.sparkSession, []
+    while True:
+        sizes = materialise(parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("number").alias("total")), "groups")
+        if gram >= length or sizes.where(F.col("n") > GROUP_STRINGS).isEmpty():
+            break
+        gram = (gram + length + 1) // 2
+        huge = parts.join(sizes.where(F.col("n") > GROUP_STRINGS).select("part"), "part").select("anchor", "string", "base", "number", "data")
+        done.append(parts.join(sizes.where(F.col("n") <= GROUP_STRINGS).select("part"), "part"))
+        parts = materialise(huge.dropDuplicates(["anchor", "string", "base"]).mapInArrow(_finer(length, gram), PARTS), "finer")
+    if gram >= length:  # every part is one window, and the parts of a group are equal
+        same = parts.join(sizes.where("total > 1").select("part"), "part")
+        found = same.select("anchor", "string", F.col("base").alias("low"), (F.col("base") + 1).alias("high"))
+    else:
+        done.append(parts)
+        found = None
+    if done:
+        rest = done[0]
+        for more in done[1:]:
+            rest = rest.unionByName(more)
+        buckets = 4 * partitions(spark)
+        dealt = rest.withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(buckets)))
+        merged = dealt.groupBy("bucket").applyInArrow(_merge(length, letter_bytes), "anchor long, string long, low long, high long")
+        found = merged if found is None else found.unionByName(merged)
+    return found
+
+
 def spans(docs: DataFrame, length: int, gram: int, letter_bytes: int) -> DataFrame:
     """(doc_id, text_key, spans): starts of repeated windows of each text, as [low, high) pairs."""
     every = materialise(_windows(docs, length, gram), "windows")
-    shared = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # Written, so that both sides of the join are plain shuffles and a hot anchor can be split.
+    shared = materialise(every.groupBy("anchor").agg(F.sum(F.size("starts")).alias("n")).where("n > 1").select("anchor"), "anchors")
     some = materialise(every.join(shared, "anchor"), "shared-windows")
-    strings = some.groupBy("anchor", "string").agg(F.count(F.lit(1)).alias("number"), F.min(F.struct("doc_id", "text_key", "start", "windows")).alias("at"))
+    strings = some.groupBy("anchor", "string").agg(F.sum(F.size("starts")).alias("number"), F.min(F.struct("doc_id", "text_key", F.element_at("starts", 1).alias("start"), "windows")).alias("at"))
     strings = materialise(strings, "strings")
     # Where an anchor has one string only, all its windows occur as often as it does.
-    kinds = strings.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
+    kinds = materialise(strings.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")), "kinds")
     alone = strings.join(kinds.where("kinds = 1"), "anchor").select("anchor", "string", F.lit(0).cast("long").alias("low"), F.col("at.windows").cast("long").alias("high"))
     several = strings.join(kinds.where("kinds > 1").select("anchor"), "anchor")
     wanted = several.groupBy("at.doc_id", "at.text_key").agg(F.collect_list(F.struct("anchor", "string", "number", "at.start", "at.windows")).alias("wanted"))
     wanted = wanted.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "wanted")
-    text = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
+    text = docs.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
     cut = F.expr(f"substring(data, cast(w.start + 1 as int), w.windows + {length - 1})")
-    data = text.select(F.encode("text", "UTF-8").alias("data"), F.explode("wanted").alias("w")).select("w.anchor", "w.string", "w.number", cut.alias("data"))
-    buckets = 4 * partitions(docs.sparkSession)
-    data = data.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
-    merged = data.groupBy("bucket").applyInArrow(_merge(length, letter_bytes), "anchor long, string long, low long, high long")
-    found = alone.unionByName(merged)
-    hits = some.join(found, ["anchor", "string"]).select("doc_id", "text_key", F.struct((F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high")).alias("span"))
-    return hits.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("span")).alias("spans"))
+    parts = text.select(F.encode("text", "UTF-8").alias("data"), F.explode("wanted").alias("w"))
+    parts = parts.select("w.anchor", "w.string", F.lit(0).cast("long").alias("base"), "w.number", cut.alias("data"), F.col("w.anchor").alias("part"))
+    found = alone.unionByName(_shared(materialise(parts, "parts"), length, gram, letter_bytes))
+    runs = F.expr("transform(starts, s -> struct(s + low as low, s + high as high))")
+    hits = some.join(found, ["anchor", "string"]).select("doc_id", "text_key", runs.alias("runs"))
+    return hits.groupBy("doc_id", "text_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs")))).alias("spans"))
 
 
 def _kept(data: bytes, spans: list[dict] | None, length: int) -> tuple[bytes, int]:
@@ -265,7 +322,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
     found = spans(rows.select("doc_id", "text_key", "text"), length, gram, letter_bytes)
     found = found.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "spans")
-    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left")
+    # A merge join at every size, so that what a run shuffles grows as its input does.
+    joined = rows.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left")
     kept_type = "kept_sha256 string" if digest else "kept binary"
     held = [f"keep_{c}" for c in keep]
     kinds = {f"keep_{c}": docs.schema[c].dataType.simpleString() for c in keep}

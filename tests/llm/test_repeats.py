@@ -47,6 +47,15 @@ def test_same_as_brute_force(spark, length, gram, letter):
     assert {r.doc_id: tuple(r)[1:] for r in found} == dict(enumerate(plain(rows, length)))
 
 
+@pytest.mark.parametrize("cap", [0, 2, 5])
+def test_groups_dealt_anew(spark, monkeypatch, cap):
+    monkeypatch.setattr(repeats, "GROUP_STRINGS", cap)
+    rows = texts(77, 20)
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(rows)], SCHEMA).repartition(3)
+    found = repeats.remove_repeats(docs, length=40, gram=11, letter_bytes=10, digest=True).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in found} == dict(enumerate(plain(rows, 40)))
+
+
 def test_long_texts_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(repeats, "PIECE", 1000)
     rows = texts(9, 130)
