@@ -13,6 +13,6 @@ def ensure(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local["):
+        if not named and context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir is not set on this cluster")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
