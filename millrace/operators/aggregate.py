@@ -238,3 +238,23 @@ def noise_contrast(df: DataFrame, cluster: str, columns: Sequence[str], noise: o
 def names_by(df: DataFrame, key: str, c: str) -> DataFrame:
     """The distinct values of each group in order, joined by commas."""
     return df.dropna(subset=[key]).groupBy(key).agg(F.array_join(F.sort_array(F.collect_set(c)), ",").alias("names"))
+
+
+def leaderboard(results: Mapping[str, DataFrame], score: str, k: str, fixed: int, ties: Sequence[str]) -> DataFrame:
+    """Each method's best row overall and with ``fixed`` clusters, stacked.
+
+    gain is a hundred times its score less the best other method's in the same scope; the
+    verdict says whether it outperforms. Only positive scores take part.
+    """
+    from functools import reduce
+
+    rows = []
+    for method, df in results.items():
+        for scope, part in (("overall", df), (f"k={fixed}", df.where(F.col(k) == fixed))):
+            best = part.where(F.col(score) > 0).orderBy(F.desc(score), *ties).limit(1)
+            rows.append(best.select(F.lit(method).alias("method"), F.lit(scope).alias("scope"), *ties, k, score))
+    stacked = reduce(DataFrame.unionByName, rows)
+    others = stacked.select(F.col("method").alias("_m"), F.col("scope").alias("_s"), F.col(score).alias("_other"))
+    most = stacked.join(others, (F.col("scope") == F.col("_s")) & (F.col("method") != F.col("_m")), "left").groupBy(*stacked.columns).agg(F.max("_other").alias("_most"))
+    made = most.withColumn("gain", (F.col(score) - F.col("_most")) * 100).drop("_most")
+    return made.withColumn("verdict", F.when(F.col("gain").isNull(), "alone").when(F.col("gain") > 0, "outperforms").otherwise("does not outperform"))

@@ -33,6 +33,11 @@ def flag(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False)).cast("int")
 
 
+def flags(df: DataFrame, spec: Mapping[str, tuple[str, object]]) -> DataFrame:
+    """Boolean columns, each a comparison of a column with a value; null compares false."""
+    return df.withColumns({name: F.coalesce(F.col(c) == F.lit(v), F.lit(False)) for name, (c, v) in spec.items()})
+
+
 def flag_score(*conditions: Column) -> Column:
     return reduce(add, (flag(c) for c in conditions))
 

@@ -65,3 +65,13 @@ def argmax_rows(df: DataFrame, c: str) -> DataFrame:
 def union_fill(frames: Sequence[DataFrame], fill: Mapping[str, object]) -> DataFrame:
     """Rows of all frames; columns that a frame lacks are null, then filled."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames).na.fill(dict(fill))
+
+
+def zip_on_id(frames: Sequence[DataFrame], key: str) -> DataFrame:
+    """Columns of all frames side by side, by an explicit row id in place of position."""
+    return reduce(lambda a, b: a.join(b, key), frames)
+
+
+def attach(df: DataFrame, attributes: DataFrame, key: str) -> DataFrame:
+    """Attributes by id, null where there are none."""
+    return df.join(attributes, key, "left")

@@ -67,3 +67,15 @@ def cum_rank_pct(df: DataFrame, c: str, ties: Sequence[str], out: str) -> DataFr
     placed = df.withColumn("position", F.row_number().over(order) - 1)
     running = F.sum("position").over(order.rowsBetween(Window.unboundedPreceding, 0))
     return placed.withColumn(out, F.try_divide(running * 100.0, F.sum("position").over(everything)))
+
+
+def minmax(df: DataFrame, columns: Sequence[str], suffix: str = "_scaled") -> DataFrame:
+    """Columns scaled to 0..1 over the whole table by one aggregate; a constant column is null."""
+    ends = df.agg(*(F.min(c).alias(f"_low_{c}") for c in columns), *(F.max(c).alias(f"_high_{c}") for c in columns))
+    scaled = {f"{c}{suffix}": F.try_divide(F.col(c) - F.col(f"_low_{c}"), F.col(f"_high_{c}") - F.col(f"_low_{c}")) for c in columns}
+    return df.crossJoin(F.broadcast(ends)).withColumns(scaled).drop(*(f"_{e}_{c}" for e in ("low", "high") for c in columns))
+
+
+def combined_score(df: DataFrame, plus: str, minus: str, out: str) -> DataFrame:
+    """What is wanted less what is not, each scaled over the table."""
+    return minmax(df, [plus, minus]).withColumn(out, F.col(f"{plus}_scaled") - F.col(f"{minus}_scaled"))

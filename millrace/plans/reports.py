@@ -370,7 +370,41 @@ QUALITY_SQL = """
 select *, round(f_quantity / quantity, 4) as share from (select l_returnflag, round(avg(l_quantity * 0.3 + l_discount * 20 + l_tax * 15), 4) as score, round(sum(l_quantity) filter (l_linestatus = 'F'), 2) as f_quantity,
   round(sum(l_quantity), 2) as quantity, round(avg((l_discount > 0.05)::int), 4) as discounted from lineitem group by 1)"""
 
+def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands and types as two methods' experiments, their mean price as a score."""
+    parts = table(spark, sf_dir, "part").withColumn("k", long(F.col("p_size") % 4 + 2))
+    tried = lambda c: parts.groupBy(F.col(c).alias("experiment"), "k").agg(rounded(F.avg("p_retailprice") / 2000 - 0.3, 6).alias("score"))
+    made = A.leaderboard({"brands": tried("p_brand"), "types": tried("p_type")}, "score", "k", 3, ["experiment"])
+    return made.withColumn("gain", rounded("gain"))
+
+
+LEADERBOARD_SQL = """
+with t as (select 'brands' as method, p_brand as experiment, p_size % 4 + 2 as k, round(avg(p_retailprice) / 2000 - 0.3, 6) as score from part group by 2, 3
+  union all select 'types', p_type, p_size % 4 + 2, round(avg(p_retailprice) / 2000 - 0.3, 6) from part group by 2, 3),
+s as (select *, 'overall' as scope from t where score > 0 union all select *, 'k=3' from t where score > 0 and k = 3),
+b as (select *, row_number() over (partition by method, scope order by score desc, experiment) as place from s),
+w as (select method, scope, experiment, cast(k as bigint) as k, score from b where place = 1),
+g as (select a.*, (a.score - (select max(o.score) from w o where o.scope = a.scope and o.method <> a.method)) * 100 as gain from w a)
+select * replace (round(gain, 4) as gain), case when gain is null then 'alone' when gain > 0 then 'outperforms' else 'does not outperform' end as verdict from g"""
+
+
+def combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands by mean price less their share of small parts, both scaled; prices beside by id."""
+    parts = table(spark, sf_dir, "part")
+    rows = parts.groupBy("p_brand").agg(F.avg("p_retailprice").alias("price"), A.mean_if(F.col("p_size") < 10).alias("small"))
+    made = W.combined_score(rows, "price", "small", "score")
+    most = parts.groupBy("p_brand").agg(F.max("p_retailprice").alias("most"))
+    zipped = J.attach(J.zip_on_id([made, most], "p_brand"), C.flags(parts, {"is_huge": ("p_size", 50)}).groupBy("p_brand").agg(F.max("is_huge").alias("has_huge")), "p_brand")
+    return zipped.select("p_brand", rounded("score", 6).alias("score"), "most", "has_huge")
+
+
+COMBINED_SQL = """
+with b as (select p_brand, avg(p_retailprice) as price, avg((p_size < 10)::int) as small, max(p_retailprice) as most, bool_or(p_size = 50) as has_huge from part group by 1)
+select p_brand, round((price - min(price) over ()) / (max(price) over () - min(price) over ()) - (small - min(small) over ()) / (max(small) over () - min(small) over ()), 6) as score, most, has_huge from b"""
+
 QUERIES = {
+    "leaderboard": (leaderboard, LEADERBOARD_SQL),
+    "combined_score": (combined, COMBINED_SQL),
     "null_profile": (null_profile, NULL_SQL),
     "sentinel_profile": (sentinel_profile, SENTINEL_SQL),
     "distinct_profile": (distinct_profile, DISTINCT_SQL),
