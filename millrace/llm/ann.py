@@ -81,7 +81,7 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return dot / (np.sqrt(x) * np.sqrt(y))
 
 
-def scan(queries: np.ndarray, vectors: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def scan(queries: np.ndarray, vectors: np.ndarray, bound: np.ndarray, k: int, width: float = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """(query, vector) pairs of rotated unit rows that the adaptive scan leaves.
 
     ``bound``: squared distance that ``k`` of a query's neighbours are known to keep.
@@ -95,7 +95,7 @@ def scan(queries: np.ndarray, vectors: np.ndarray, bound: np.ndarray, k: int) ->
         full = ((queries[:, None] - vectors[likely]) ** 2).sum(2)
         bound = np.minimum(bound, full.max(1))
     slack = 1e-5
-    limit = lambda d: bound * (d / dims) * (1 + (WIDTH / np.sqrt(d) if d < dims else 0)) ** 2 + slack
+    limit = lambda d: bound * (d / dims) * (1 + (width / np.sqrt(d) if d < dims else 0)) ** 2 + slack
     q, v = np.nonzero(partial <= limit(cuts[0])[:, None])
     left = partial[q, v]
     for low, high in zip(cuts[:-1], cuts[1:]):
@@ -150,7 +150,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
                 own = unit(table(batch.column(1), batch.num_rows))
                 best = np.argpartition(-(own @ index.value.centroids.T), min(probes, lists) - 1, axis=1)[:, :probes]
                 near = own @ index.value.sample.T
-                bound = 2 - 2 * np.partition(near, -k - 1, axis=1)[:, -k - 1] if near.shape[1] > k else np.full(len(own), 4.0)
+                bound = 2 - 2 * np.partition(near, -k - 1, axis=1)[:, -k - 1] if near.shape[1] > k else np.full(len(own), np.inf)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(best.astype(np.int32)), pa.list_(pa.int32())), pa.array(bound.astype(np.float64))], names=["head", "v", "lists", "bound"])
 
     head = "head struct<head:long,tag:long>"
@@ -158,38 +158,51 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     # One row for each kind of query vector. max_by picks one row's vector; all are equal.
     distinct = asked.groupBy("head").agg(F.first("v").alias("v"))
     routed = materialise(distinct.mapInArrow(route, f"{head}, v {kind}, lists array<int>, bound double"), "probes")
-    sent = routed.withColumn("list", F.explode("lists")).drop("lists")
-    # At most MOST_LISTS rows.
-    sizes = dealt.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / ENTRIES).cast("int").alias("blocks"))
-    loads = sent.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("loads"))
-    plan = F.broadcast(sizes.join(loads, "list"))
     tag = F.xxhash64("head.tag")
-    left = dealt.join(plan, "list").withColumn("block", F.pmod(tag, F.col("blocks")).cast("int")).withColumn("load", F.explode(F.sequence(F.lit(0), F.col("loads") - 1)))
-    right = sent.join(plan, "list").withColumn("load", F.pmod(tag, F.col("loads")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-
-    def compare(key, own, asking):
-        out = []
-        if own.num_rows and asking.num_rows:
-            vectors, wanted = table(own.column("v"), own.num_rows), table(asking.column("v"), asking.num_rows)
-            turned, bound = unit(vectors) @ index.value.rotation, asking.column("bound").to_numpy()
-            first = own.column("head").combine_chunks().field("head").to_numpy(zero_copy_only=False)
-            for at in range(0, len(wanted), 128):
-                part = wanted[at : at + 128]
-                q, v = scan(unit(part) @ index.value.rotation, turned, bound[at : at + 128].astype(np.float32), k + 1)
-                score = cosines(part[q], vectors[v])
-                order = np.lexsort((first[v], -score, q))
-                q, v, score = q[order], v[order], score[order]
-                place = np.arange(len(q)) - np.searchsorted(q, q)
-                some = place <= k
-                out.append((q[some] + at, v[some], score[some]))
-        q, v, score = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
-        return pa.table({"head": asking.column("head").take(pa.array(q)), "ids": own.column("ids").take(pa.array(v)), "score": pa.array(score)})
-
-    pairs = left.select("list", "block", "load", "head", "ids", "v").groupBy("list", "block", "load")
-    found = pairs.cogroup(right.select("list", "block", "load", "head", "v", "bound").groupBy("list", "block", "load")).applyInArrow(compare, f"{head}, ids array<long>, score double")
-    best = Window.partitionBy("head").orderBy(F.desc("score"), "id")
-    best = found.select("head", "score", F.explode("ids").alias("id")).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
-    answers = best.groupBy("head").agg(F.array_sort(F.collect_list(F.struct("place", "id", "score"))).alias("found"))
+    # At most MOST_LISTS rows.
+    sizes = materialise(dealt.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / ENTRIES).cast("int").alias("blocks")), "list-sizes")
+
+    def compare(width):
+        def run(key, own, asking):
+            out = []
+            if own.num_rows and asking.num_rows:
+                vectors, wanted = table(own.column("v"), own.num_rows), table(asking.column("v"), asking.num_rows)
+                turned, bound = unit(vectors) @ index.value.rotation, asking.column("bound").to_numpy()
+                first = own.column("head").combine_chunks().field("head").to_numpy(zero_copy_only=False)
+                for at in range(0, len(wanted), 128):
+                    part = wanted[at : at + 128]
+                    q, v = scan(unit(part) @ index.value.rotation, turned, bound[at : at + 128].astype(np.float32), k + 1, width)
+                    score = cosines(part[q], vectors[v])
+                    order = np.lexsort((first[v], -score, q))
+                    q, v, score = q[order], v[order], score[order]
+                    place = np.arange(len(q)) - np.searchsorted(q, q)
+                    some = place <= k
+                    out.append((q[some] + at, v[some], score[some]))
+            q, v, score = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+            return pa.table({"head": asking.column("head").take(pa.array(q)), "ids": own.column("ids").take(pa.array(v)), "score": pa.array(score)})
+
+        return run
+
+    def nearest_of(sent, width):
+        """(head, found): each query vector's k + 1 nearest entries' ids in the lists it is sent to."""
+        loads = sent.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("loads"))
+        plan = F.broadcast(sizes.join(loads, "list"))
+        left = dealt.join(plan, "list").withColumn("block", F.pmod(tag, F.col("blocks")).cast("int")).withColumn("load", F.explode(F.sequence(F.lit(0), F.col("loads") - 1)))
+        right = sent.join(plan, "list").withColumn("load", F.pmod(tag, F.col("loads")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        keys = ("list", "block", "load")
+        pairs = left.select(*keys, "head", "ids", "v").groupBy(*keys).cogroup(right.select(*keys, "head", "v", "bound").groupBy(*keys))
+        found = pairs.applyInArrow(compare(width), f"{head}, ids array<long>, score double")
+        best = Window.partitionBy("head").orderBy(F.desc("score"), "id")
+        best = found.select("head", "score", F.explode("ids").alias("id")).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
+        return best.groupBy("head").agg(F.array_sort(F.collect_list(F.struct("place", "id", "score"))).alias("found"))
+
+    answers = materialise(nearest_of(routed.withColumn("list", F.explode("lists")).drop("lists"), WIDTH), "nearest")
+    # Queries that were left with too few go to all lists without a test; they are rare.
+    full = answers.where(F.size("found") > k)
+    short = materialise(routed.join(full, "head", "left_anti"), "short")
+    if not short.isEmpty():
+        everywhere = short.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(lists - 1)))).withColumn("bound", F.lit(float("inf"))).drop("lists")
+        answers = full.unionByName(nearest_of(everywhere, float("inf")))
     own = F.slice(F.filter("found", lambda x: x["id"] != F.col("query_id")), 1, k)
     joined = asked.select(F.col("id").alias("query_id"), "head").distinct().join(answers, "head").select("query_id", own.alias("found"))
     ranked = joined.select("query_id", F.posexplode("found").alias("at", "x"))
