@@ -24,12 +24,12 @@ def _with(rows: DataFrame, table: list[tuple], schema: str) -> DataFrame:
     return rows.join(F.broadcast(rows.sparkSession.createDataFrame(table, schema)), "node")
 
 
-def _cuts(rows: DataFrame, chosen: dict[int, int], goals: dict[int, float], tolerance: float) -> dict[int, int]:
+def _cuts(rows: DataFrame, chosen: dict[int, int], goals: dict[int, float], tolerance: float, whole: float) -> dict[int, int]:
     """For each node the key at which ``goals`` bytes lie below, by histograms that narrow down.
 
     A pass brings at most 2**PASS_BITS sums a node to the driver. Documents of equal text have
     equal keys but for the last ROW_BITS, into which a cut goes only where one text alone
-    outweighs ``tolerance``.
+    outweighs ``whole`` bytes.
     """
     low, bits, below, cuts = dict.fromkeys(goals, 0), dict.fromkeys(goals, KEY_BITS), dict.fromkeys(goals, 0), {}
     while goals.keys() - cuts.keys():
@@ -46,19 +46,19 @@ def _cuts(rows: DataFrame, chosen: dict[int, int], goals: dict[int, float], tole
                     break
                 at += weight
             start = low[n] + (number << step[n])
-            if weight <= tolerance or step[n] == 0:
+            if weight <= (whole if step[n] == ROW_BITS else tolerance) or step[n] == 0:
                 cuts[n] = start if goals[n] - at < at + weight - goals[n] else start + (1 << step[n])
             low[n], bits[n], below[n] = start, step[n], at
     return cuts
 
 
-def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.002) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.002, whole: float = 0.03) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) of every row.
 
     size is the text's UTF-8 bytes plus 1; a null text counts as empty. A node with more than
     one shard is split along its widest metadata dimension where its bytes divide as its
-    shards do. Equal texts go to the same shard, unless one text's rows outweigh
-    ``tolerance`` of a shard: then the cut may pass between them. slot counts each shard's
+    shards do, to ``tolerance`` of a shard. Equal texts go to the same shard, unless one text's
+    rows outweigh ``whole`` of a shard: then a cut may pass between them. slot counts each shard's
     rows from 0. Repeated rows and null ids are kept; an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -82,14 +82,14 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
         keys.append(F.shiftleft(scaled, TEXT_BITS + ROW_BITS).bitwiseOR(F.shiftleft(F.col("text_key"), ROW_BITS)).bitwiseOR(F.col("row_key")))
     rows = materialise(rows.select("doc_id", "size", "text_crc32", F.array(*keys).alias("keys")), "shard-keys")
     rows, leaves = rows.withColumn("node", F.lit(1)), {1: (0, shards)}
-    allowed = tolerance * (ends["bytes"] or 0) / shards
+    target = (ends["bytes"] or 0) / shards
     while any(n > 1 for _, n in leaves.values()):
         spread = [F.max(F.col("keys")[i]) - F.min(F.col("keys")[i]) for i in range(len(dims))]
         sums = {r["node"]: r for r in rows.groupBy("node").agg(F.sum("size").alias("bytes"), F.array(*spread).alias("spread")).collect()}
         inner = {k: n for k, (_, n) in leaves.items() if n > 1}
         chosen = {k: max(range(len(dims)), key=sums[k]["spread"].__getitem__) for k in inner if k in sums}
         goals = {k: sums[k]["bytes"] * (inner[k] // 2) / inner[k] for k in chosen}
-        cuts = _cuts(rows, chosen, goals, allowed)
+        cuts = _cuts(rows, chosen, goals, tolerance * target, whole * target)
         table = [(k, chosen.get(k, 0), cuts.get(k, 0)) if n > 1 else (k, 0, None) for k, (_, n) in leaves.items()]
         node = F.expr("if(cut is null, node, if(keys[dim] < cut, 2 * node, 2 * node + 1))").cast("int")
         rows = _with(rows, table, "node int, dim int, cut long").withColumn("node", node).drop("dim", "cut")
