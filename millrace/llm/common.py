@@ -22,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     current = context._jsc.sc().getCheckpointDir()
     if current.isEmpty():
-        if not context.master.startswith("local["):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir is not set on this cluster")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
         current = context._jsc.sc().getCheckpointDir()
