@@ -42,11 +42,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def sql_ready(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Only ``columns`` (name to type), cast; a clash with other columns cannot arise after it."""
-    return df.select(*(F.col(f"`{name}`").cast(kind).alias(name) for name, kind in columns.items()))
-
-
 def gapless(df: DataFrame, group: list[str], order: list[str], out: str, buckets: int) -> DataFrame:
     """``out``: 0, 1, 2, ... within each ``group``, however large a group is.
 
@@ -69,5 +64,13 @@ def gapless(df: DataFrame, group: list[str], order: list[str], out: str, buckets
     )
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it as long as ``df`` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

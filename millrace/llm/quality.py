@@ -156,22 +156,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(values, found.column("quality").to_numpy().astype(float))
 
 
-def scores(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, score, kept columns) of every row; label 1 is likelier the higher the score.
+def scores(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, score) of every row; label 1 is likelier the higher the score.
 
     The whole text decides and nothing else; null and empty texts are scored alike. Repeated
     rows and null ids stay, an empty table gives no rows.
     """
-    names = [f"keep_{c}" for c in keep]
-    kinds = ", ".join(["doc_id long", "score double", *(f"`{n}` {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep))])
 
     def run(batches):
         for batch in batches:
             made = np.array([statistics(t) for t in batch.column(1).to_pylist()], float)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(made)), *batch.columns[2:]], names=["doc_id", "score", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(made))], names=["doc_id", "score"])
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(n) for c, n in zip(keep, names)))
-    return chosen.mapInArrow(run, kinds).select("doc_id", "score", *(F.col(n).alias(c) for c, n in zip(keep, names) if c != "doc_id"))
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return chosen.mapInArrow(run, "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:

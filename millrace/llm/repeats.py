@@ -263,7 +263,9 @@ def _shared(parts: DataFrame, length: int, gram: int, letter_bytes: int) -> Data
         for more in done[1:]:
             rest = rest.unionByName(more)
         buckets = 4 * partitions(spark)
-        dealt = rest.withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(buckets)))
+        # A stated number of partitions: merging costs far more than its bytes suggest, and
+        # adaptive execution would put small partitions together by their bytes.
+        dealt = rest.withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(buckets))).repartition(partitions(spark), "bucket")
         merged = dealt.groupBy("bucket").applyInArrow(_merge(length, letter_bytes), "anchor long, string long, low long, high long")
         found = merged if found is None else found.unionByName(merged)
     return found
@@ -312,7 +314,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Texts are UTF-8 bytes, a null one empty; matches lie inside a text, overlaps and repeats
     within one text count, and all is judged on the input. Returns doc_id, n_bytes, n_removed,
     n_spans (maximal removed runs) and kept (binary), or with ``digest`` kept_sha256; after
-    them the columns in ``keep``. Texts shorter than ``length`` stay whole. Rows that repeat,
+    them the columns in ``keep`` as keep_<name>. Texts shorter than ``length`` stay whole. Rows that repeat,
     ids included, are texts of their own and repeat each other. An empty table gives none.
     ``length`` is a multiple of ``letter_bytes``.
     """
@@ -339,8 +341,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             kept = pa.array([hashlib.sha256(x).hexdigest() for x, _ in left], pa.string()) if digest else pa.array([x for x, _ in left], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(size - after), pa.array([n for _, n in left], pa.int64()), kept, *batch.columns[3:]], names=names)
 
-    made = joined.select("doc_id", F.encode("text", "UTF-8").alias("data"), "spans", *held).mapInArrow(run, schema)
-    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", kept_type.split()[0], *(F.col(f"keep_{c}").alias(c) for c in keep if c != id_col))
+    return joined.select("doc_id", F.encode("text", "UTF-8").alias("data"), "spans", *held).mapInArrow(run, schema)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
@@ -353,7 +354,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     made = remove_repeats(docs, id_col, text_col, length, keep=others)
     whole = F.expr("try_validate_utf8(cast(kept as string))")
     text = F.coalesce(whole, F.regexp_replace(F.expr("make_valid_utf8(cast(kept as string))"), "\ufffd", ""))
-    columns = {id_col: F.col("doc_id"), text_col: text} | {c: F.col(c) for c in others}
+    columns = {id_col: F.col("doc_id"), text_col: text} | {c: F.col(f"keep_{c}") for c in others}
     if "n_chars" in others:
         columns["n_chars"] = F.char_length(text).cast(docs.schema["n_chars"].dataType)
     return made.select(*(columns[c].alias(c) for c in docs.columns))

@@ -78,6 +78,17 @@ def test_packing_stage(steps):
     assert sorted(sequences) == list(range(len(sequences)))
 
 
+def test_columns_of_clashing_names(spark, data):
+    names = ["kept", "n_bytes", "n_removed", "n_spans", "first", "again", "fp", "root", "node", "d", "k", "spans", "text_key", "score", "quality", "length", "sequence_id"]
+    docs = spark.read.parquet(f"{data}/documents.parquet").limit(60).selectExpr("*", *(f"'{n}' as {n}" for n in names))
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, data)
+        assert docs.columns[-len(names) :] == names
+    row = docs.first()
+    assert all(row[n] == n for n in names)
+    assert corpus_pipeline.STAGES[3][1](spark, docs, data).count() > 0
+
+
 def test_odd_documents(spark):
     long = "".join(map(chr, np.random.default_rng(1).integers(200, 300, 600)))
     rows = [(None, "a", None, None, None, "k"), (1, None, "en", "s", 3, "k"), (2, "", "en", "s", 0, "k"), (3, long, "", "", 600, "k"), (3, long, "", "", 600, "k"), (4, "x" + long[100:], "", "", 501, "k")]

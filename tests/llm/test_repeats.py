@@ -80,4 +80,4 @@ def test_repeated_rows_null_ids_and_empty(spark):
     long = "".join(random.Random(1).choices("abcdefgh", k=500))
     docs = spark.createDataFrame([(None, long, "", ""), (3, long[50:] + "z", "", ""), (3, long[50:] + "z", "", "")], SCHEMA)
     found = repeats.remove_repeats(docs, keep=("data",)).collect()
-    assert sorted((r.doc_id or 0, r.n_removed, bytes(r.kept), r.data) for r in found) == [(0, 450, long[:50].encode(), ""), (3, 451, b"", ""), (3, 451, b"", "")]
+    assert sorted((r.doc_id or 0, r.n_removed, bytes(r.kept), r.keep_data) for r in found) == [(0, 450, long[:50].encode(), ""), (3, 451, b"", ""), (3, 451, b"", "")]
