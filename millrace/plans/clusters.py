@@ -199,7 +199,7 @@ def classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines(spark, sf_dir)
     model = M.regressor("forest", LINES, "price", ["l_returnflag"], numTrees=5, maxDepth=4).fit(rows.where("not is_test"))
-    return M.importances(model, model.transform(rows.limit(1)))
+    return M.importances(model, model.transform(rows))
 
 
 QUERIES = {

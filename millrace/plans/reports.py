@@ -228,11 +228,12 @@ CROSSTAB_SQL = "select *, cast(sum(n) over (partition by o_orderpriority) as big
 
 
 def reindexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = table(spark, sf_dir, "orders").where("o_orderpriority < '4'").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
-    return R.reindex(counts, "o_orderpriority", PRIORITIES[::-1]).withColumn("position", long("position"))
+    """Counts in a fixed order that also has a priority which does not occur."""
+    counts = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    return R.reindex(counts, "o_orderpriority", ["6-NONE", *PRIORITIES[::-1]]).withColumn("position", long("position"))
 
 
-REINDEX_SQL = "select p.o_orderpriority, position, coalesce(n, 0) as n from (values " + ", ".join(f"('{p}', {i}::bigint)" for i, p in enumerate(PRIORITIES[::-1])) + ") p(o_orderpriority, position) left join (select o_orderpriority, count(*) as n from orders where o_orderpriority < '4' group by 1) c on p.o_orderpriority = c.o_orderpriority"
+REINDEX_SQL = "select p.o_orderpriority, position, coalesce(n, 0) as n from (values " + ", ".join(f"('{p}', {i}::bigint)" for i, p in enumerate(["6-NONE", *PRIORITIES[::-1]])) + ") p(o_orderpriority, position) left join (select o_orderpriority, count(*) as n from orders group by 1) c on p.o_orderpriority = c.o_orderpriority"
 
 
 def corr_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:

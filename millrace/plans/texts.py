@@ -36,17 +36,20 @@ select distinct url, link from r where regexp_extract(link, '^[A-Za-z][A-Za-z0-9
 
 
 def reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations reachable over shared suppliers' orders: orders link customers' and suppliers' nations."""
+    """Nations reachable over trade: a customer's and a supplier's nation are linked where they
+    share more lines than nations do on average."""
     orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     made = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-    links = made.select(F.col("c_nationkey").cast("string").alias("url"), F.col("s_nationkey").cast("string").alias("link")).where("url != link").distinct()
+    pairs = made.groupBy(F.col("c_nationkey").cast("string").alias("url"), F.col("s_nationkey").cast("string").alias("link")).agg(F.count(F.lit(1)).alias("n"))
+    mean = pairs.agg(F.avg("n").alias("mean"))
+    links = pairs.crossJoin(F.broadcast(mean)).where("url != link and n > mean").select("url", "link")
     return D.reach(links, "0", 3).select("url", long("depth").alias("depth"))
 
 
 REACH_SQL = """
-with recursive links as (select distinct cast(c_nationkey as varchar) as url, cast(s_nationkey as varchar) as link from orders join customer on o_custkey = c_custkey join lineitem on o_orderkey = l_orderkey
-  join supplier on l_suppkey = s_suppkey where l_quantity >= 49 and c_nationkey <> s_nationkey),
+with recursive pairs as (select cast(c_nationkey as varchar) as url, cast(s_nationkey as varchar) as link, count(*) as n from orders join customer on o_custkey = c_custkey join lineitem on o_orderkey = l_orderkey
+  join supplier on l_suppkey = s_suppkey group by 1, 2), links as (select url, link from pairs where url <> link and n > (select avg(n) from pairs)),
 r as (select '0' as url, 0 as depth union select link, depth + 1 from r join links using (url) where depth < 3)
 select url, cast(min(depth) as bigint) as depth from r group by 1"""
 
@@ -85,20 +88,22 @@ select query_id, rank, vec_id, round(score, 5) as score from (select *, row_numb
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions of conversations with the contents of the same documents' first chunks."""
-    docs = D.chunks(table(spark, sf_dir, "documents"), "doc_id", "text", 200, 20).where("chunk_no < 3").withColumn("rank", F.col("chunk_no") + 1)
-    context = D.context(docs, "doc_id", "rank", "chunk")
-    asked = table(spark, sf_dir, "conversations").where("turn = 0 and role = 'user'")
-    made = asked.join(context, F.col("conv_id") == F.col("doc_id")).withColumn("prompt", T.prompt(TEMPLATE, "context", "text"))
-    return made.select("conv_id", F.md5("prompt").alias("prompt_md5"), long(F.length("prompt")).alias("n_chars"))
+    """Prompts with the texts of each query vector's nearest documents, in rank order."""
+    vectors = table(spark, sf_dir, "embeddings")
+    hits = D.top_k(vectors.where("vec_id % 50 = 0"), vectors, 3, "vec_id", "embedding")
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("chunk"))
+    context = D.context(hits.join(texts, "id"), "query_id", "rank", "chunk")
+    question = F.concat(F.lit("What do texts near "), F.col("query_id").cast("string"), F.lit(" say?"))
+    made = context.withColumn("prompt", T.prompt(TEMPLATE, "context", question))
+    return made.select("query_id", F.md5("prompt").alias("prompt_md5"), long(F.length("prompt")).alias("n_chars"))
 
 
-PROMPTS_SQL = """
-with c as (select doc_id, i, substr(text, i * 180 + 1, 200) as chunk from (select doc_id, text, unnest(range(least(3, cast(ceil(greatest(length(text) - 20, 1) / 180.0) as bigint)))) as i from documents where length(text) > 0)),
-x as (select doc_id, string_agg(chunk, chr(10) || chr(10) order by i) as context from c group by 1),
-p as (select conv_id, 'Use the context to answer.' || chr(10) || chr(10) || 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || text || chr(10) || 'Answer:' as prompt
-  from conversations join x on conv_id = doc_id where turn = 0 and role = 'user')
-select conv_id, md5(prompt) as prompt_md5, length(prompt) as n_chars from p"""
+PROMPTS_SQL = f"""
+with s as (select a.vec_id as query_id, b.vec_id, {_COSINE} / ({_NORM.format("a")} * {_NORM.format("b")}) as score from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+h as (select query_id, vec_id, row_number() over (partition by query_id order by score desc, vec_id) as rank from s),
+x as (select query_id, string_agg(text, chr(10) || chr(10) order by rank) as context from h join documents on vec_id = doc_id where rank <= 3 group by 1),
+p as (select query_id, 'Use the context to answer.' || chr(10) || chr(10) || 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: What do texts near ' || query_id || ' say?' || chr(10) || 'Answer:' as prompt from x)
+select query_id, md5(prompt) as prompt_md5, length(prompt) as n_chars from p"""
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +131,7 @@ select * from (select event_id, ts, 'past' as direction from events where ts >=
 
 def render_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events of a type in time order as text, with a JSON field or a default."""
-    events = table(spark, sf_dir, "events").where("user_id < 20").withColumn("k", F.coalesce(F.get_json_object("props", "$.k"), F.lit("No k")))
+    events = table(spark, sf_dir, "events").withColumn("k", F.coalesce(F.get_json_object("props", "$.k"), F.lit("No k")))
     fields = [F.col("event_type"), F.date_format("ts", "yyyy-MM-dd HH:mm"), F.col("k")]
     made = D.render_records(events, "user_id", "%s at %s: %s", fields, ["ts", "event_id"])
     return made.select("user_id", F.md5("text").alias("text_md5"), "n")
@@ -134,7 +139,7 @@ def render_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RENDER_SQL = """
 select user_id, md5('RECORDS (' || count(*) || ')' || chr(10) || string_agg(event_type || ' at ' || strftime(ts, '%Y-%m-%d %H:%M') || ': ' || coalesce(json_extract_string(props, '$.k'), 'No k'), chr(10) order by ts, event_id)) as text_md5, count(*) as n
-from events where user_id < 20 group by 1"""
+from events group by 1"""
 
 
 def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,12 +168,11 @@ select block, round(100 * exp((block + 0.5::double) * {_WIDTH!r}), 4) as middle,
 
 
 def simpson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    series = hourly(spark, sf_dir).where("x < 23 or event_type != 'click'")
-    return Z.integrate_simpson(series, ["event_type"], "x", "y").select("event_type", rounded("integral", 5).alias("integral"))
+    return Z.integrate_simpson(hourly(spark, sf_dir), ["event_type"], "x", "y").select("event_type", rounded("integral", 5).alias("integral"))
 
 
 SIMPSON_SQL = """
-with s as (select event_type, hour(ts) as x, avg(value) as y from events where hour(ts) < 23 or event_type <> 'click' group by 1, 2),
+with s as (select event_type, hour(ts) as x, avg(value) as y from events group by 1, 2),
 p as (select *, row_number() over (partition by event_type order by x) - 1 as i, count(*) over (partition by event_type) as n from s),
 w as (select *, case when n = 1 then 1.0::double when n = 2 then 0.5 when n % 2 = 1 then case when i in (0, n - 1) then 1.0 / 3 when i % 2 = 1 then 4.0 / 3 else 2.0 / 3 end
   when i < n - 4 then case when i = 0 then 1.0 / 3 when i % 2 = 1 then 4.0 / 3 else 2.0 / 3 end when i = n - 4 and n > 4 then 1.0 / 3 + 3.0 / 8 when i in (n - 4, n - 1) then 3.0 / 8 else 9.0 / 8 end as wt from p)
@@ -188,12 +192,13 @@ select event_type, x, coalesce(abs(round(0.5 - 0.5 * cos(2 * pi() * t), 6)), 1)
 
 
 def regrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = Z.regrid(hourly(spark, sf_dir).where("x % 3 != 1"), "event_type", "x", "y")
+    """Hours with a mean over 50, on the full grid."""
+    made = Z.regrid(hourly(spark, sf_dir).where("y > 50"), "event_type", "x", "y")
     return made.select("event_type", "x", rounded("y").alias("y"))
 
 
 REGRID_SQL = """
-with s as (select event_type, hour(ts) as x, avg(value) as y from events where hour(ts) % 3 <> 1 group by 1, 2), g as (select event_type, unnest(range(max(x) + 1)) as x from s group by 1)
+with s as (select event_type, hour(ts) as x, avg(value) as y from events group by 1, 2 having avg(value) > 50), g as (select event_type, unnest(range(max(x) + 1)) as x from s group by 1)
 select g.event_type, g.x, round(coalesce(y, 0), 4) as y from g left join s using (event_type, x)"""
 
 
