@@ -20,7 +20,7 @@ ODD = np.random.default_rng(21).integers(0, 1 << 63, 16, dtype=np.uint64) * np.u
 
 
 #: Text that a block of documents has, as long as that leaves four blocks a partition at most.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def _narrow(counts: np.ndarray) -> bytes:
@@ -32,6 +32,20 @@ def _wide(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, f"<u{len(data) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
 
 
+def _pack(grams: np.ndarray, base: int) -> bytes:
+    """Ascending hashes from ``base`` on as differences, in as few bytes each as the widest needs."""
+    steps = np.diff(grams, prepend=np.uint64(base)).astype("<u8")
+    width = (int(steps.max(initial=0)).bit_length() + 7) // 8
+    return steps.view(np.uint8).reshape(-1, 8)[:, : max(1, width)].tobytes()
+
+
+def _unpack(data: bytes, n: int, base: int) -> np.ndarray:
+    steps = np.zeros((n, 8), np.uint8)
+    if n:
+        steps[:, : len(data) // n] = np.frombuffer(data, np.uint8).reshape(n, -1)
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64) + np.uint64(base)
+
+
 def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts in a row, and the number of each word's text."""
     split = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
@@ -102,7 +116,7 @@ def score(docs: DataFrame, order: int = 2, alpha: float = 0.4, id_col: str = "do
             cuts = np.searchsorted(grams, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
             for part, (g, c) in enumerate(zip(np.split(grams, cuts), np.split(times, cuts))):
                 if len(g) or n == 1:
-                    out.append((key[0].as_py(), n, part, len(g), g.tobytes(), _narrow(c)))
+                    out.append((key[0].as_py(), n, part, len(g), _pack(g, part << (64 - bits)), _narrow(c)))
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["block", "n", "part", "size", "grams", "times"])
 
@@ -111,7 +125,9 @@ def score(docs: DataFrame, order: int = 2, alpha: float = 0.4, id_col: str = "do
     def add(key, own):
         sizes = own.column("size").to_pylist()
         times = np.concatenate([_wide(t.as_py(), n) for t, n in zip(own.column("times"), sizes)])
-        distinct, at = np.unique(np.frombuffer(b"".join(own.column("grams").to_pylist()), np.uint64), return_inverse=True)
+        base = key[1].as_py() << (64 - bits)
+        grams = [_unpack(g.as_py(), n, base) for g, n in zip(own.column("grams"), sizes)]
+        distinct, at = np.unique(np.concatenate(grams), return_inverse=True)
         total = np.bincount(at, times, len(distinct)).astype(np.int64)[at]
         answers = [_narrow(x) for x in np.split(total, np.cumsum(sizes)[:-1])]
         return pa.table({"block": own.column("block"), "n": own.column("n"), "part": own.column("part"), "size": own.column("size"), "totals": pa.array(answers, pa.binary()), "held": pa.array([int(times.sum())] * len(sizes), pa.int64())})

@@ -59,5 +59,12 @@ def test_narrow_counts(top):
     assert (lm._wide(lm._narrow(counts), 3) == counts).all()
 
 
+@pytest.mark.parametrize("base", [0, 1 << 62, 3 << 62])
+def test_packed_hashes(base):
+    for steps in ([], [0], [0, 1, 255, 256], [5, 1 << 40, 1 << 61]):
+        grams = np.array([base + s for s in steps], np.uint64)
+        assert (lm._unpack(lm._pack(grams, base), len(grams), base) == grams).all()
+
+
 def test_empty_table(spark):
     assert lm.score(spark.createDataFrame([], SCHEMA)).collect() == []
