@@ -7,16 +7,18 @@ from pyspark.sql import DataFrame, functions as F
 from .common import materialise
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+# The smallest neighbours are written before they are joined back: both sides of the join are
+# then plain shuffles, and a node with very many neighbours can be split.
+def _large_star(edges: DataFrame, label: str) -> DataFrame:
     """Join every larger neighbour of a node to the node's smallest neighbour."""
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), label)
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, label: str) -> DataFrame:
     """Join a node and its smaller neighbours to the smallest of them; needs a > b."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = materialise(edges.groupBy("a").agg(F.min("b").alias("m")), label)
     moved = edges.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionAll(least.select("a", F.col("m").alias("b")))
 
@@ -39,5 +41,6 @@ def components(edges: DataFrame, label: str = "components", rounds: int = 40) ->
         if state[0] == 0 or state == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = state
-        now = materialise(_small_star(_large_star(now).distinct()).distinct(), label)
+        turned = materialise(_large_star(now, label).distinct(), label)
+        now = materialise(_small_star(turned, label).distinct(), label)
     raise RuntimeError(f"components not settled after {rounds} rounds")

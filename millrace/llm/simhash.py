@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise, partitions
+from .common import fresh, materialise, partitions
 from .graph import components
 
 SLICES = 4
@@ -224,7 +224,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(links(heads.select("fp"), radius), "simhash-links")
     roots = heads.join(found, heads.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     roots = materialise(roots, "simhash-roots")
-    least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
+    # Written, so that the join back is between plain shuffles and a large component can be split.
+    least = materialise(roots.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-components")
     named = roots.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -236,11 +237,13 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cannot be told apart and stay. All columns are kept; an empty table stays empty.
     """
     found = near_duplicates(docs, id_col, text_col, words, radius)
+    own, again = fresh(docs, "first"), fresh(docs, "again")
     first = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    first = materialise(first.select(F.col("doc_id").alias("_first"), (F.col("rows") > 1).alias("_again")), "simhash-first")
+    first = materialise(first.select(F.col("doc_id").alias(own), (F.col("rows") > 1).alias(again)), "simhash-first")
     # A merge join at every size, so that what a run shuffles grows as its input does.
-    kept = docs.join(first.hint("merge"), docs[id_col].cast("long") == F.col("_first"), "left").where(F.col("_first").isNotNull() | docs[id_col].isNull())
-    if first.where("_again").isEmpty():
+    kept = docs.join(first.hint("merge"), docs[id_col].cast("long") == F.col(own), "left").where(F.col(own).isNotNull() | docs[id_col].isNull())
+    if first.where(F.col(again)).isEmpty():
         return kept.select(*docs.columns)
-    once = kept.where("coalesce(_again, false)").dropDuplicates([id_col])
-    return kept.where("not coalesce(_again, false)").select(*docs.columns).unionByName(once.select(*docs.columns))
+    several = F.coalesce(again, F.lit(False))
+    once = kept.where(several).dropDuplicates([id_col])
+    return kept.where(~several).select(*docs.columns).unionByName(once.select(*docs.columns))
