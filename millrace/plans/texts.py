@@ -194,12 +194,12 @@ select event_type, x, coalesce(abs(round(0.5 - 0.5 * cos(2 * pi() * t), 6)), 1)
 def regrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours with a mean over 50, on the full grid."""
     made = Z.regrid(hourly(spark, sf_dir).where("y > 50"), "event_type", "x", "y")
-    return made.select("event_type", "x", rounded("y").alias("y"))
+    return made.select("event_type", "x", rounded("y", 9).alias("y"))
 
 
 REGRID_SQL = """
 with s as (select event_type, hour(ts) as x, avg(value) as y from events group by 1, 2 having avg(value) > 50), g as (select event_type, unnest(range(max(x) + 1)) as x from s group by 1)
-select g.event_type, g.x, round(coalesce(y, 0), 4) as y from g left join s using (event_type, x)"""
+select g.event_type, g.x, round(coalesce(y, 0), 9) as y from g left join s using (event_type, x)"""
 
 
 def relative(spark: SparkSession, sf_dir: str) -> DataFrame:
