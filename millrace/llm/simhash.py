@@ -19,11 +19,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import fresh, materialise, partitions
 from .graph import components
+from .likeness import groups, shingles
 
 SLICES = 4
 SLICE_BITS = 64 // SLICES
@@ -39,18 +39,9 @@ def simhash(text: str | None, words: int) -> int:
     Words are maximal runs without ASCII white space, A-Z lower-cased; fewer words than a
     shingle has: the whole sequence is one shingle.
     """
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
+    hashes = shingles(text, words)
+    if not len(hashes):
         return 0
-    line = b" ".join(found)
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    if len(found) > words:
-        starts, ends = starts[: len(found) - words + 1], ends[words - 1 :]
-    else:
-        starts, ends = starts[:1], ends[-1:]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(line[i:j], 42) for i, j in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 15):
         block = hashes[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8)
@@ -230,13 +221,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 7) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their group of near-duplicates.
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, likeness: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their group of texts of that likeness.
 
     Texts of equal id and equal text are one document and leave one row. Rows without an id
     cannot be told apart and stay. All columns are kept; an empty table stays empty.
     """
-    found = near_duplicates(docs, id_col, text_col, words, radius)
+    found = groups(docs, id_col, text_col, words, likeness)
     own, again = fresh(docs, "first"), fresh(docs, "again")
     first = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
     first = materialise(first.select(F.col("doc_id").alias(own), (F.col("rows") > 1).alias(again)), "simhash-first")
