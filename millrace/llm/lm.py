@@ -91,7 +91,7 @@ def stupid_backoff(order: int, alpha: float, words: np.ndarray, doc: np.ndarray,
     return score, used
 
 
-def score(docs: DataFrame, order: int = 2, alpha: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score, n_backoff) of every row.
 
     Each word scores count(n-gram) / count(its context) in the rest of the corpus, all other

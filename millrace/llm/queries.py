@@ -47,6 +47,12 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), length=400, digest=True)
 
 
+def op10_lm_scores_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The production order; op10_lm_scores has the order that its SQL says."""
+    found = lm.score(table(spark, sf_dir, "documents"), order=3, alpha=0.4)
+    return found.withColumns({"log_score": F.round("log_score", 6), "mean_log_score": F.round("mean_log_score", 9)})
+
+
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lm.score(table(spark, sf_dir, "documents"), order=2, alpha=0.4)
     return found.withColumns({"log_score": F.round("log_score", 6), "mean_log_score": F.round("mean_log_score", 9)})
@@ -62,6 +68,7 @@ QUERIES = {
     "op7_fingerprints": op7_fingerprints,
     "op8_kd_shards": op8_kd_shards,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_lm_scores_order3": op10_lm_scores_order3,
     "op10_lm_scores": op10_lm_scores,
 }
 

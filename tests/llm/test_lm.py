@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from millrace.llm import lm
+from millrace.llm import lm, queries
 
 SCHEMA = "doc_id long, text string, block string, n string"
 
@@ -68,3 +68,13 @@ def test_packed_hashes(base):
 
 def test_empty_table(spark):
     assert lm.score(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_registered_order_three(spark, data):
+    rows = spark.read.parquet(f"{data}/documents.parquet").collect()
+    found = {r.doc_id: r for r in queries.QUERIES["op10_lm_scores_order3"](spark, data).collect()}
+    # the words as hex, as plain() would also lower and split what is not ASCII
+    texts = [" ".join(w.hex() for w in (r.text or "").encode().lower().split()) for r in rows]
+    for row, (size, log_score, lower) in zip(rows, plain(texts, 3, 0.4), strict=True):
+        assert (found[row.doc_id].n_words, found[row.doc_id].n_backoff) == (size, lower)
+        assert math.isclose(found[row.doc_id].log_score, log_score, rel_tol=1e-9, abs_tol=1e-6)
