@@ -1,20 +1,23 @@
-"""Removal of long repeated byte strings by merging Burrows-Wheeler transforms.
+"""Removal of long repeated passages by merging Burrows-Wheeler transforms.
 
-Each window of ``length`` bytes belongs to one anchor, the least hash among the grams inside
+A text is a sequence of symbols: its UTF-8 bytes, or the hashes of its words.
+
+Each window of ``length`` symbols belongs to one anchor, the least hash among the grams inside
 it, so equal windows have equal anchors at equal offsets and only windows of one anchor need
-comparing. Neighbouring windows with one anchor form a string (a stretch of text). Strings
-whose anchor occurs once are done. The others are grouped by anchor, equal strings counted
-once with their number, and the windows of a group are compared by suffix order: the strings
-are dealt to shards, each shard has its Burrows-Wheeler transform over letters of several
-bytes, and the transforms are merged by refining their interleave (a round sorts suffixes by
-one letter more, reading the transforms alone). Blocks of the interleave after
-length / letter rounds are the suffixes with a common prefix of ``length`` bytes; a block with
-two occurrences is a repeated interval.
+comparing. Neighbouring windows with one anchor form a string (a stretch of text); equal
+strings are counted once with their number, and an anchor with one string is done. The others
+are grouped by anchor, which routes them and decides nothing: the strings of a group are dealt
+to shards, each shard has its Burrows-Wheeler transform over letters (eight bytes or one word,
+compared by value), and the transforms are merged by refining their interleave. A round sorts
+by one letter more, reading the transforms alone; where neighbours first part is the length of
+their common prefix. Intervals whose common prefixes reach ``length`` and that hold two
+occurrences are the repeats.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -22,16 +25,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import materialise, partitions
+from .fingerprints import WORD_HASHES
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Bytes that are hashed at once; longer texts are read in overlapping pieces.
+WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+#: Bytes of a symbol: a byte itself, or the hash of a word.
+BYTE, WORDS = 1, 8
+#: Symbols that are hashed at once; longer texts are read in overlapping pieces.
 PIECE = 1 << 20
 SHARDS = 4
 #: Suffixes that are merged at once where groups are small: their letters fit 16 bits.
 SUFFIXES = 60_000
 #: Strings of a group that one task merges; larger groups are dealt anew by longer grams.
-GROUP_STRINGS = 4_000
+GROUP_STRINGS = 1_000
 
 
 @lru_cache(maxsize=1)
@@ -48,13 +55,24 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def symbols(text: bytes, width: int) -> np.ndarray:
+    """What a text consists of: uint8 bytes, or a uint64 hash of each word."""
+    if width == BYTE:
+        return np.frombuffer(text, np.uint8)
+    return np.array([WORD_HASHES[w] for w in text.split()], np.uint64)
+
+
+def _held(data: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8 if width == BYTE else np.uint64)
+
+
 class Hashes:
     """Hashes of any substrings of ``data``."""
 
     def __init__(self, data: np.ndarray):
         self.up, self.down = _powers(4 * PIECE)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(TABLE[data] * self.up[: len(data)], out=self.sums[1:])
+        np.cumsum((TABLE[data] if data.dtype == np.uint8 else _mix(data)) * self.up[: len(data)], out=self.sums[1:])
 
     def of(self, start, n) -> np.ndarray:
         return _mix((self.sums[start + n] - self.sums[start]) * self.down[start])
@@ -94,66 +112,93 @@ def stretches(data: np.ndarray, owner: np.ndarray, length: int, gram: int):
     return start, count, grams[at], string
 
 
-def _bwt(letter: np.ndarray, following: np.ndarray) -> np.ndarray:
-    """The suffixes in order. letter 0 is the end of a string; following: the next suffix."""
-    rank = np.arange(len(letter))
+def _suffix_order(letter: np.ndarray, following: np.ndarray) -> np.ndarray:
+    """A shard's suffixes in order, by doubling. letter 0 ends a string; following: the next suffix.
+
+    Equal suffixes are in the order of their strings' ends.
+    """
+    rank, ahead, kinds = letter.astype(np.int64), following, -1
     while True:
-        order = np.argsort(rank[following], kind="stable")
-        order = order[np.argsort(letter[order], kind="stable")]
-        new = np.empty_like(rank)
-        new[order] = np.arange(len(order))
-        if (new == rank).all():
-            return order
-        rank = new
+        key = rank * (int(rank.max(initial=0)) + 1) + rank[ahead]
+        names, rank = np.unique(key, return_inverse=True)
+        ahead = ahead[ahead]
+        if len(names) in (kinds, len(letter)):
+            break
+        kinds = len(names)
+    while (ahead != ahead[ahead]).any():
+        ahead = ahead[ahead]
+    return np.lexsort((ahead, rank))
+
+
+def _letters(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Numbers from 1 for the ``n`` symbols from each place on, in the order of their values."""
+    if data.dtype == np.uint64 and n == 1:
+        value = data[at]
+    elif n <= 8 and data.dtype == np.uint8:
+        value = np.zeros(len(at), np.uint64)
+        for j in range(n):
+            value = value << np.uint64(8) | data[at + j]
+    else:
+        rows = np.lib.stride_tricks.sliding_window_view(data, n)[at] if len(at) else np.zeros((0, n), data.dtype)
+        value = np.ascontiguousarray(rows).view(np.dtype((np.void, n * data.itemsize))).ravel()
+    return np.unique(value, return_inverse=True)[1] + 1
+
 
+def merged_prefixes(letter: np.ndarray, before: np.ndarray, following: np.ndarray, edges: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """All shards' suffixes in order of their first ``rounds`` letters, and common prefixes.
 
-def repeated_windows(strings: list[bytes], weights: np.ndarray, length: int, letter_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    A shard is the suffixes between two ``edges``; ``before`` is the letter before each one.
+    The second array has, for each suffix, how many letters it shares with the one in front of
+    it, ``rounds`` at most. Each round reads the shards' transforms in the order found so far.
+    """
+    order = [low + _suffix_order(letter[low:high], following[low:high] - low) for low, high in zip(edges[:-1], edges[1:])]
+    suffix, shard = np.concatenate(order), np.repeat(np.arange(len(order), dtype=np.uint8), np.diff(edges))
+    transform, ends = before[suffix], np.bincount(shard[letter[suffix] == 0], minlength=len(order))
+    interleave, block = shard.copy(), np.zeros(len(suffix), np.int64)
+    shared = np.full(len(suffix), rounds)
+    for n in range(rounds):
+        read = np.empty_like(transform)
+        read[np.argsort(interleave, kind="stable")] = transform
+        moved = np.argsort(read, kind="stable")
+        read, block, turned = read[moved], block[moved], interleave[moved]
+        turned[: ends.sum()] = np.repeat(np.arange(len(order)), ends)
+        part = np.r_[False, (read[1:] != read[:-1]) | ((block[1:] != block[:-1]) & (read[1:] != 0))]
+        shared[part & (shared == rounds)] = n
+        still = n and (turned == interleave).all() and part.sum() == block_count
+        interleave, block, block_count = turned, np.cumsum(part), part.sum()
+        if still:
+            break
+    place = np.empty_like(suffix)
+    place[np.argsort(interleave, kind="stable")] = suffix
+    return place, shared
+
+
+def repeated_windows(strings: list[np.ndarray], weights: np.ndarray, length: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
     """(string, offset) of windows that occur twice or more; a string counts ``weights`` times."""
     sizes = np.fromiter(map(len, strings), np.int64, len(strings))
-    data = np.frombuffer(b"".join(strings), np.uint8)
-    # Every string is letter_bytes interleaved strings of letters, one for each offset they
-    # start from; each has its suffixes and one empty suffix: one suffix for each byte and one.
+    data = np.concatenate(strings)
+    # Every string is ``stride`` interleaved strings of letters, one for each offset they start
+    # from; each has its suffixes and one empty suffix: one suffix for each symbol and one.
     string = np.repeat(np.arange(len(strings)), sizes + 1)
     offset = np.arange(len(string)) - np.repeat(np.cumsum(sizes + 1) - sizes - 1, sizes + 1)
     begin = np.arange(len(string)) - string
-    full = offset + letter_bytes <= sizes[string]
+    full = offset + stride <= sizes[string]
     letter = np.zeros(len(string), np.int64)
-    hashed = np.concatenate([Hashes(part).of(np.arange(max(0, len(part) - letter_bytes + 1)), letter_bytes) for part in _parts(data, sizes, letter_bytes)])
-    names, letter[full] = np.unique(hashed, return_inverse=True)
-    letter[full] += 1
+    letter[full] = _letters(data, begin[full], stride)
     # the letter before a suffix; 0 where the suffix is a whole string of letters
-    before = np.where(offset >= letter_bytes, letter[np.maximum(np.arange(len(string)) - letter_bytes, 0)], 0)
-    following = np.where(full, np.minimum(np.arange(len(string)) + letter_bytes, len(string) - 1), np.arange(len(string)))
-    kind = np.uint16 if len(names) < 65_535 else np.int64
-    letter, before = letter.astype(kind), before.astype(kind)
-    # Shards of whole strings, and the Burrows-Wheeler transform of each.
+    before = np.where(offset >= stride, letter[np.maximum(np.arange(len(string)) - stride, 0)], 0)
+    following = np.where(full, np.minimum(np.arange(len(string)) + stride, len(string) - 1), np.arange(len(string)))
+    kind = np.uint16 if letter.max(initial=0) < 65_535 else np.int64
     edges = np.searchsorted(string, np.linspace(0, len(strings), min(SHARDS, len(strings)) + 1).astype(np.int64))
-    order = [low + _bwt(letter[low:high], following[low:high] - low) for low, high in zip(edges[:-1], edges[1:])]
-    suffix, shard = np.concatenate(order), np.repeat(np.arange(len(order), dtype=np.uint8), np.diff(edges))
-    symbols, ends = before[suffix], np.bincount(shard[letter[suffix] == 0], minlength=len(order))
-    interleave, block = shard.copy(), np.zeros(len(suffix), np.int64)
-    for _ in range(length // letter_bytes):
-        merged = np.empty_like(symbols)
-        merged[np.argsort(interleave, kind="stable")] = symbols
-        moved = np.argsort(merged, kind="stable")
-        merged, block, interleave = merged[moved], block[moved], interleave[moved]
-        interleave[: ends.sum()] = np.repeat(np.arange(len(order)), ends)
-        change = np.r_[False, (merged[1:] != merged[:-1]) | ((block[1:] != block[:-1]) & (merged[1:] != 0))]
-        block = np.cumsum(change)
-    place = np.empty_like(suffix)
-    place[np.argsort(interleave, kind="stable")] = suffix
+    place, shared = merged_prefixes(letter.astype(kind), before.astype(kind), following, edges, length // stride)
+    interval = np.cumsum(shared * stride < length)
     window = offset[place] + length <= sizes[string[place]]
-    place, block = place[window], block[window]
-    found = place[np.bincount(block, weights[string[place]])[block] >= 2] if len(place) else place
+    place, interval = place[window], interval[window]
+    found = place[np.bincount(interval, weights[string[place]])[interval] >= 2] if len(place) else place
     return string[found], offset[found]
 
 
-def _parts(data: np.ndarray, sizes: np.ndarray, letter_bytes: int):
-    for end, size in zip(np.cumsum(sizes), sizes):
-        yield data[end - size : end]
-
-
-def _windows(docs: DataFrame, length: int, gram: int) -> DataFrame:
+def _windows(docs: DataFrame, length: int, gram: int, width: int) -> DataFrame:
     """(doc_id, text_key, windows, anchor, string, starts) of the stretches of each text: a row
     for all places where the text has the same string, as periodic texts have many."""
     schema = "doc_id long, text_key long, windows int, anchor long, string long, starts array<long>"
@@ -163,7 +208,8 @@ def _windows(docs: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in batches:
             ids, keys = batch.column(0), batch.column(1)
             own, held = [], 0
-            for row, text in enumerate(batch.column(2).to_pylist()):
+            for row, data in enumerate(batch.column(2).to_pylist()):
+                text = symbols(data, width)
                 for at in range(0, max(1, len(text) - length + 1), PIECE):
                     part = text[at : at + PIECE + length - 1]
                     if len(part) >= length:
@@ -178,7 +224,7 @@ def _windows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def emit(own, ids, keys):
         sizes = np.array([len(x[2]) for x in own])
         owner = np.repeat(np.arange(len(own), dtype=np.int32), sizes)
-        start, count, anchor, string = stretches(np.frombuffer(b"".join(x[2] for x in own), np.uint8), owner, length, gram)
+        start, count, anchor, string = stretches(np.concatenate([x[2] for x in own]), owner, length, gram)
         at = owner[start]
         order = np.lexsort((start, string, anchor, at))
         at, start, count, anchor, string = (x[order] for x in (at, start, count, anchor, string))
@@ -194,24 +240,41 @@ def _windows(docs: DataFrame, length: int, gram: int) -> DataFrame:
 PARTS = "anchor long, string long, base long, number long, data binary, part long"
 
 
-def _finer(length: int, gram: int):
+def _cut(length: int, width: int):
+    """Of (doc_id, text_key, data, wanted) rows the strings that are wanted of a text of words."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for data, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                text = symbols(data, width)
+                out += [(w["anchor"], w["string"], 0, w["number"], text[w["start"] : w["start"] + w["windows"] + length - 1].tobytes(), w["anchor"]) for w in wanted]
+            yield _part_rows(out)
+
+    return run
+
+
+def _part_rows(out: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 4 + [pa.binary(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array([row[i] for row in out], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in PARTS.split(", ")])
+
+
+def _finer(length: int, gram: int, width: int):
     """Cut strings into stretches whose windows share a longer gram, named by it in ``part``."""
 
     def run(batches):
         for batch in batches:
             out = []
             for anchor, string, base, number, data in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                start, count, at, _ = stretches(np.frombuffer(data, np.uint8), np.zeros(len(data), np.int32), length, gram)
+                start, count, at, _ = stretches(_held(data, width), np.zeros(len(data) // width, np.int32), length, gram)
                 for s, n, a in zip(start.tolist(), count.tolist(), at.view(np.int64).tolist()):
-                    out.append((anchor, string, base + s, number, data[s : s + n + length - 1], a))
-            if out:
-                kinds = [pa.int64()] * 4 + [pa.binary(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[c.split()[0] for c in PARTS.split(", ")])
+                    out.append((anchor, string, base + s, number, data[s * width : (s + n + length - 1) * width], a))
+            yield _part_rows(out)
 
     return run
 
 
-def _merge(length: int, letter_bytes: int):
+def _merge(length: int, stride: int, width: int):
     """Of a bucket of PARTS rows: the repeated windows of each string as runs."""
 
     def run(rows: pa.Table) -> pa.Table:
@@ -226,9 +289,9 @@ def _merge(length: int, letter_bytes: int):
         out: list[tuple[np.ndarray, ...]] = []
         low, size = 0, 0
         for i, j in zip(group[:-1], group[1:]):
-            size += sum(len(d) + 1 for d in data[i:j])
+            size += sum(len(d) // width + 1 for d in data[i:j])
             if size >= SUFFIXES or j == len(part):
-                at, offset = repeated_windows(data[low:j], number[low:j], length, letter_bytes)
+                at, offset = repeated_windows([_held(d, width) for d in data[low:j]], number[low:j], length, stride)
                 order = np.lexsort((offset, at))
                 at, offset = at[order] + low, offset[order]
                 new = np.r_[True, (at[1:] != at[:-1]) | (offset[1:] != offset[:-1] + 1)] if len(at) else np.zeros(0, bool)
@@ -241,7 +304,7 @@ def _merge(length: int, letter_bytes: int):
     return run
 
 
-def _shared(parts: DataFrame, length: int, gram: int, letter_bytes: int) -> DataFrame:
+def _shared(parts: DataFrame, length: int, gram: int, stride: int, width: int) -> DataFrame:
     """(anchor, string, low, high) runs of windows that occur twice among the parts of a group."""
     spark, done = parts.sparkSession, []
     while True:
@@ -251,9 +314,10 @@ def _shared(parts: DataFrame, length: int, gram: int, letter_bytes: int) -> Data
         gram = (gram + length + 1) // 2
         huge = parts.join(sizes.where(F.col("n") > GROUP_STRINGS).select("part"), "part").select("anchor", "string", "base", "number", "data")
         done.append(parts.join(sizes.where(F.col("n") <= GROUP_STRINGS).select("part"), "part"))
-        parts = materialise(huge.dropDuplicates(["anchor", "string", "base"]).mapInArrow(_finer(length, gram), PARTS), "finer")
-    if gram >= length:  # every part is one window, and the parts of a group are equal
-        same = parts.join(sizes.where("total > 1").select("part"), "part")
+        parts = materialise(huge.dropDuplicates(["anchor", "string", "base"]).mapInArrow(_finer(length, gram, width), PARTS), "finer")
+    if gram >= length:  # every part is one window: equal ones are told by their bytes
+        twice = parts.groupBy("part", "data").agg(F.sum("number").alias("total")).where("total > 1").select("part", "data")
+        same = parts.join(materialise(twice, "twice"), ["part", "data"])
         found = same.select("anchor", "string", F.col("base").alias("low"), (F.col("base") + 1).alias("high"))
     else:
         done.append(parts)
@@ -266,14 +330,14 @@ def _shared(parts: DataFrame, length: int, gram: int, letter_bytes: int) -> Data
         # A stated number of partitions: merging costs far more than its bytes suggest, and
         # adaptive execution would put small partitions together by their bytes.
         dealt = rest.withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(buckets))).repartition(partitions(spark), "bucket")
-        merged = dealt.groupBy("bucket").applyInArrow(_merge(length, letter_bytes), "anchor long, string long, low long, high long")
+        merged = dealt.groupBy("bucket").applyInArrow(_merge(length, stride, width), "anchor long, string long, low long, high long")
         found = merged if found is None else found.unionByName(merged)
     return found
 
 
-def spans(docs: DataFrame, length: int, gram: int, letter_bytes: int) -> DataFrame:
+def spans(docs: DataFrame, length: int, gram: int, stride: int, width: int = BYTE) -> DataFrame:
     """(doc_id, text_key, spans): starts of repeated windows of each text, as [low, high) pairs."""
-    every = materialise(_windows(docs, length, gram), "windows")
+    every = materialise(_windows(docs, length, gram, width), "windows")
     # Written, so that both sides of the join are plain shuffles and a hot anchor can be split.
     shared = materialise(every.groupBy("anchor").agg(F.sum(F.size("starts")).alias("n")).where("n > 1").select("anchor"), "anchors")
     some = materialise(every.join(shared, "anchor"), "shared-windows")
@@ -287,20 +351,27 @@ def spans(docs: DataFrame, length: int, gram: int, letter_bytes: int) -> DataFra
     wanted = wanted.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "wanted")
     text = docs.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
     cut = F.expr(f"substring(data, cast(w.start + 1 as int), w.windows + {length - 1})")
-    parts = text.select(F.encode("text", "UTF-8").alias("data"), F.explode("wanted").alias("w"))
-    parts = parts.select("w.anchor", "w.string", F.lit(0).cast("long").alias("base"), "w.number", cut.alias("data"), F.col("w.anchor").alias("part"))
-    found = alone.unionByName(_shared(materialise(parts, "parts"), length, gram, letter_bytes))
+    text = text.select(F.encode("text", "UTF-8").alias("data"), "wanted")
+    if width == BYTE:
+        parts = text.select("data", F.explode("wanted").alias("w"))
+        parts = parts.select("w.anchor", "w.string", F.lit(0).cast("long").alias("base"), "w.number", cut.alias("data"), F.col("w.anchor").alias("part"))
+    else:
+        parts = text.mapInArrow(_cut(length, width), PARTS)
+    found = alone.unionByName(_shared(materialise(parts, "parts"), length, gram, stride, width))
     runs = F.expr("transform(starts, s -> struct(s + low as low, s + high as high))")
     hits = some.join(found, ["anchor", "string"]).select("doc_id", "text_key", runs.alias("runs"))
     return hits.groupBy("doc_id", "text_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs")))).alias("spans"))
 
 
-def _kept(data: bytes, spans: list[dict] | None, length: int) -> tuple[bytes, int]:
-    """What is left of a text, and how many runs went."""
+def _kept(data: bytes, spans: list[dict] | None, length: int, width: int) -> tuple[bytes, int]:
+    """What is left of a text, and how many runs went; white space after a word goes with it."""
     if not spans:
         return data, 0
+    bounds = None if width == BYTE else [m.start() for m in WORD.finditer(data)] + [len(data)]
     left, runs, end = [], 0, 0
     for low, high in ((s["low"], s["high"] + length - 1) for s in spans):
+        if bounds:
+            low, high = bounds[low], bounds[high]
         if low > end or runs == 0:
             left.append(data[end:low])
             runs += 1
@@ -308,21 +379,26 @@ def _kept(data: bytes, spans: list[dict] | None, length: int) -> tuple[bytes, in
     return b"".join(left) + data[end:], runs
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 200, letter_bytes: int = 200, digest: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int | None = None, letter_bytes: int = 8, digest: bool = False, keep: tuple[str, ...] = (), words: bool = False) -> DataFrame:
     """Each text without the bytes of any ``length``-byte string that starts twice or more.
 
     Texts are UTF-8 bytes, a null one empty; matches lie inside a text, overlaps and repeats
     within one text count, and all is judged on the input. Returns doc_id, n_bytes, n_removed,
     n_spans (maximal removed runs) and kept (binary), or with ``digest`` kept_sha256; after
     them the columns in ``keep`` as keep_<name>. Texts shorter than ``length`` stay whole. Rows that repeat,
-    ids included, are texts of their own and repeat each other. An empty table gives none.
-    ``length`` is a multiple of ``letter_bytes``.
+    ids included, are texts of their own and repeat each other. An empty table gives none. Texts
+    of any length are read whole, in overlapping pieces.
+
+    With ``words`` a string is ``length`` words instead, whatever white space is between them;
+    a word is a maximal run without ASCII white space. ``length`` is a multiple of
+    ``letter_bytes`` where it counts bytes; ``gram`` is half of it unless given.
     """
-    if length % letter_bytes or not 0 < gram <= length:
+    stride, width, gram = (1, WORDS, gram or max(1, length // 2)) if words else (letter_bytes, BYTE, gram or max(1, length // 2))
+    if length % stride or not 0 < gram <= length:
         raise ValueError("length must be a multiple of letter_bytes and at least gram")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
-    found = spans(rows.select("doc_id", "text_key", "text"), length, gram, letter_bytes)
+    found = spans(rows.select("doc_id", "text_key", "text"), length, gram, stride, width)
     found = found.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "spans")
     # A merge join at every size, so that what a run shuffles grows as its input does.
     joined = rows.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left")
@@ -335,7 +411,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches):
         for batch in batches:
             data = batch.column(1).to_pylist()
-            left = [_kept(d, s, length) for d, s in zip(data, batch.column(2).to_pylist())]
+            left = [_kept(d, s, length, width) for d, s in zip(data, batch.column(2).to_pylist())]
             size = np.fromiter(map(len, data), np.int64, len(data))
             after = np.fromiter((len(x) for x, _ in left), np.int64, len(left))
             kept = pa.array([hashlib.sha256(x).hexdigest() for x, _ in left], pa.string()) if digest else pa.array([x for x, _ in left], pa.binary())
@@ -344,14 +420,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return joined.select("doc_id", F.encode("text", "UTF-8").alias("data"), "spans", *held).mapInArrow(run, schema)
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, words: bool = False) -> DataFrame:
     """``docs`` with the repeated strings cut out of its texts and n_chars, if there, set anew.
 
+    ``length`` counts bytes, or with ``words`` words.
+
     A character of which a repeat covers some bytes goes as a whole. Every row stays, its text
     empty where nothing is left; a null text becomes empty.
     """
     others = tuple(c for c in docs.columns if c not in (id_col, text_col))
-    made = remove_repeats(docs, id_col, text_col, length, keep=others)
+    made = remove_repeats(docs, id_col, text_col, length, keep=others, words=words)
     whole = F.expr("try_validate_utf8(cast(kept as string))")
     text = F.coalesce(whole, F.regexp_replace(F.expr("make_valid_utf8(cast(kept as string))"), "\ufffd", ""))
     columns = {id_col: F.col("doc_id"), text_col: text} | {c: F.col(f"keep_{c}") for c in others}

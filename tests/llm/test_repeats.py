@@ -1,6 +1,8 @@
 import hashlib
 import random
+import re
 
+import numpy as np
 import pytest
 
 from millrace.llm import repeats
@@ -81,3 +83,39 @@ def test_repeated_rows_null_ids_and_empty(spark):
     docs = spark.createDataFrame([(None, long, "", ""), (3, long[50:] + "z", "", ""), (3, long[50:] + "z", "", "")], SCHEMA)
     found = repeats.remove_repeats(docs, keep=("data",)).collect()
     assert sorted((r.doc_id or 0, r.n_removed, bytes(r.kept), r.keep_data) for r in found) == [(0, 450, long[:50].encode(), ""), (3, 451, b"", ""), (3, 451, b"", "")]
+
+
+def plain_words(texts, length):
+    split, counts = [re.findall(r"[^\x20\x09-\x0d]+", t or "") for t in texts], {}
+    for words in split:
+        for i in range(len(words) - length + 1):
+            key = tuple(words[i : i + length])
+            counts[key] = counts.get(key, 0) + 1
+    out = []
+    for words in split:
+        gone = [False] * len(words)
+        for i in range(len(words) - length + 1):
+            if counts[tuple(words[i : i + length])] > 1:
+                gone[i : i + length] = [True] * length
+        out.append(([w for w, g in zip(words, gone) if not g], sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))))
+    return out
+
+
+@pytest.mark.parametrize("cap", [0, 3, 1000])
+def test_words_same_as_brute_force(spark, monkeypatch, cap):
+    monkeypatch.setattr(repeats, "GROUP_STRINGS", cap)
+    rows = [t and t.replace("c", "\n", 1) for t in texts(31, 30)] + ["tick tock " * 40]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(rows)], SCHEMA).repartition(4)
+    found = {r.doc_id: (bytes(r.kept).decode().split(), r.n_spans) for r in repeats.remove_repeats(docs, length=12, words=True).collect()}
+    assert found == dict(enumerate(plain_words(rows, 12)))
+
+
+@pytest.mark.parametrize("stride", [1, 3])
+def test_common_prefixes(stride):
+    rng = np.random.default_rng(stride)
+    strings = [rng.integers(0, 2, n).astype(np.uint8) for n in (0, 5, 9, 30, 31, 44)]
+    strings.append(strings[3].copy())
+    found = repeats.repeated_windows(strings, np.ones(len(strings), np.int64), 6, stride)
+    every = [bytes(x[i : i + 6]) for x in strings for i in range(len(x) - 5)]
+    want = {(k, i) for k, x in enumerate(strings) for i in range(len(x) - 5) if every.count(bytes(x[i : i + 6])) > 1}
+    assert set(zip(*(x.tolist() for x in found))) == want
