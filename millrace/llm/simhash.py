@@ -1,36 +1,25 @@
 """SimHash near-duplicates, linked through vantage-point trees.
 
-A fingerprint of 64 bits is cut into slices. Fingerprints within ``radius`` bits have a slice
-within ``radius // slices`` bits, so each slice gets its own vantage-point tree: the slice's
-values are split again and again at the median Hamming distance from a vantage value. A tree
-knows 2**16 values at most, whatever the corpus, and is built from the seed alone. Every
-fingerprint is stored in its home leaf (a shard) and asks the leaves that triangle bounds
-leave open, which is more than one where it lies near a boundary. Inside a shard, candidates
-are compared on all 64 bits. Links found are exact; none is lost.
-
-On whole fingerprints a tree of this radius prunes next to nothing (random fingerprints lie
-28 to 36 bits from any vantage point and a boundary overlaps 9 of those distances); on slices
-the same bounds keep a fingerprint to a few shards.
+A fingerprint of 64 bits is cut into four slices. Fingerprints within ``radius`` bits have a
+slice within ``radius // 4`` bits, so they meet in a shard of that slice's tree (``vantage``).
+Inside a shard, candidates are compared on all 64 bits. Links found are exact; none is lost.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fresh, materialise, partitions
+from .common import fresh, materialise
 from .graph import components
 from .likeness import groups, shingles
+from .vantage import SLICE_BITS, SLICES, ball, between, meet_in_shards, slice_of
 
-SLICES = 4
-SLICE_BITS = 64 // SLICES
 #: Rows of a shard that one task holds; larger shards are cut into chunks that meet pairwise.
 SHARD_ROWS = 32_768
-#: Candidate pairs that are compared at once.
-PAIRS = 1 << 21
+#: Rows with one value of a slice beyond which a second slice is searched as well.
+DENSE = 256
 
 
 def simhash(text: str | None, words: int) -> int:
@@ -61,57 +50,6 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> Dat
     return chosen.mapInArrow(run, "doc_id long, fp long")
 
 
-class VantageTree:
-    """A tree over all values of a slice: which leaf holds a value, which leaves a ball meets."""
-
-    def __init__(self, depth: int, seed: int, bits: int = SLICE_BITS):
-        values, rng = np.arange(1 << bits, dtype=np.uint32), np.random.default_rng(seed)
-        self.depth, self.vantage, self.median = depth, np.zeros(1 << depth, np.uint32), np.zeros(1 << depth, np.int16)
-        node = np.ones(1 << bits, np.int64)
-        for level in range(depth):
-            order = np.argsort(node, kind="stable")
-            edges = np.searchsorted(node[order], np.arange(1 << level, (2 << level) + 1))
-            for k in range(1 << level):
-                own, at = order[edges[k] : edges[k + 1]], (1 << level) + k
-                if len(own):
-                    self.vantage[at] = values[rng.choice(own)]
-                    self.median[at] = np.median(np.bitwise_count(values[own] ^ self.vantage[at]))
-            far = np.bitwise_count(values ^ self.vantage[node]).astype(np.int16) > self.median[node]
-            node = 2 * node + far
-        self.home = (node - (1 << depth)).astype(np.int32)
-        self.used = np.unique(self.home)
-
-    def leaves(self, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Offsets by value, leaves: all that may hold a value within ``radius`` of it."""
-        values = np.arange(len(self.home), dtype=np.uint32)
-        node = np.ones(len(values), np.int64)
-        for _ in range(self.depth):
-            away = np.bitwise_count(values ^ self.vantage[node]).astype(np.int16)
-            near, far = away - radius <= self.median[node], away + radius > self.median[node]
-            values = np.concatenate([values[near], values[far]])
-            node = np.concatenate([2 * node[near], 2 * node[far] + 1])
-        leaf = (node - (1 << self.depth)).astype(np.int32)
-        kept = np.isin(leaf, self.used)
-        values, leaf = values[kept], leaf[kept]
-        order = np.argsort(values, kind="stable")
-        return np.searchsorted(values[order], np.arange(len(self.home) + 1)), leaf[order]
-
-
-@lru_cache(maxsize=8)
-def _trees(depth: int, radius: int):
-    return [(t.home, *t.leaves(radius)) for t in (VantageTree(depth, 1000 + s) for s in range(SLICES))]
-
-
-@lru_cache(maxsize=4)
-def _masks(radius: int) -> np.ndarray:
-    values = np.arange(1 << SLICE_BITS, dtype=np.uint32)
-    return values[np.bitwise_count(values) <= radius]
-
-
-def _slice(fp: np.ndarray, s: int) -> np.ndarray:
-    return ((fp >> np.uint64(s * SLICE_BITS)) & np.uint64((1 << SLICE_BITS) - 1)).astype(np.uint32)
-
-
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, root) pairs that join what the pairs (a, b) join."""
     nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -129,23 +67,29 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pairs(stored: np.ndarray, asking: np.ndarray, s: int, radius: int):
-    """Pairs within ``radius`` bits whose slices ``s`` are within radius // SLICES, a block at a time."""
-    key = _slice(stored, s)
-    order = np.argsort(key, kind="stable")
-    key, stored, own = key[order], stored[order], _slice(asking, s)
-    for mask in _masks(radius // SLICES):
-        low, high = np.searchsorted(key, own ^ mask), np.searchsorted(key, own ^ mask, side="right")
-        some = np.flatnonzero(high > low)
-        width = high[some] - low[some]
-        cuts = np.searchsorted(np.cumsum(width), np.arange(PAIRS, width.sum() + PAIRS, PAIRS), side="right") if len(some) else []
-        for i, j in zip([0, *cuts], [*cuts, len(some)]):
-            if j > i:
-                n, at = width[i:j], some[i:j]
-                left = np.repeat(asking[at], n)
-                right = stored[np.repeat(low[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-                close = (np.bitwise_count(left ^ right) <= radius) & (left != right)
-                if close.any():
-                    yield left[close], right[close]
+    """Pairs within ``radius`` bits whose slices ``s`` are within radius // SLICES, a block at a time.
+
+    Where many rows have one value of the slice, a second slice is looked up with it: of the
+    other three one is within radius // 3 bits, so no pair is lost and the rows compared do not
+    grow with the shard.
+    """
+    first, own = slice_of([stored], s).astype(np.uint64), slice_of([asking], s).astype(np.uint64)
+    dense = len(stored) > DENSE * len(np.unique(first))
+    for t in [t for t in range(SLICES) if t != s] if dense else [s]:
+        key, want = first, own
+        if dense:
+            key, want = ((x << np.uint64(SLICE_BITS)) | slice_of([y], t) for x, y in ((first, stored), (own, asking)))
+        order = np.argsort(key, kind="stable")
+        key, held = key[order], stored[order]
+        seconds = ball(radius // (SLICES - 1)) if dense else ball(0)
+        for mask in ball(radius // SLICES).astype(np.uint64):
+            for second in seconds.astype(np.uint64):
+                wanted = want ^ ((mask << np.uint64(SLICE_BITS)) | second if dense else mask)
+                for row, at in between(np.searchsorted(key, wanted), np.searchsorted(key, wanted, side="right")):
+                    left, right = asking[row], held[at]
+                    close = (np.bitwise_count(left ^ right) <= radius) & (left != right)
+                    if close.any():
+                        yield left[close], right[close]
 
 
 def links(prints: DataFrame, radius: int = 4) -> DataFrame:
@@ -154,52 +98,14 @@ def links(prints: DataFrame, radius: int = 4) -> DataFrame:
     Each shard returns a forest of its links, so a dense group of m fingerprints gives fewer
     than m rows a shard, not m * m.
     """
-    spark = prints.sparkSession
-    count = prints.count()
-    depth = int(np.clip(np.ceil(np.log2(max(count, 1) / 4096)), 2, 14))
 
-    def deal(batches):
-        trees = _trees(depth, radius // SLICES)
-        for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False)
-            for s, (home, offsets, leaf) in enumerate(trees):
-                key = _slice(fp.view(np.uint64), s)
-                n = offsets[key + 1] - offsets[key]
-                asked = leaf[np.repeat(offsets[key], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-                shard = np.concatenate([home[key], asked]).astype(np.int64) * SLICES + s
-                stored = np.concatenate([np.ones(len(fp), bool), np.zeros(len(asked), bool)])
-                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(stored), pa.array(np.concatenate([fp, np.repeat(fp, n)]))], names=["shard", "stored", "fp"])
-
-    dealt = prints.select("fp").mapInArrow(deal, "shard long, stored boolean, fp long")
-    # A shard's size: at most SLICES * 2**depth rows, 65,536 by the clip above.
-    sizes = prints.select("fp").mapInArrow(
-        lambda batches: (
-            pa.RecordBatch.from_arrays([pa.array(home[_slice(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), s)].astype(np.int64) * SLICES + s)], names=["shard"])
-            for b in batches
-            for s, (home, _, _) in enumerate(_trees(depth, radius // SLICES))
-        ),
-        "shard long",
-    ).groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).cast("int").alias("chunks")).where("chunks > 1")
-    every = F.sequence(F.lit(0), F.col("chunks") - 1)
-    own = F.array(F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-    dealt = (
-        dealt.join(F.broadcast(sizes), "shard", "left")
-        .withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-        .withColumn("row", F.explode(F.when(F.col("stored"), own).otherwise(every)))
-        .withColumn("column", F.explode(F.when(F.col("stored"), every).otherwise(own)))
-    )
-
-    def meet(key, rows):
-        fp = rows.column("fp").to_numpy().view(np.uint64)
-        stored = rows.column("stored").to_numpy()
-        shard, a, b = key[0].as_py(), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        for x, y in _pairs(fp[stored], fp[~stored], shard % SLICES, radius):
+    def found(s, stored, asking):
+        a, b = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        for x, y in _pairs(*(rows.column("fp").to_numpy().view(np.uint64) for rows in (stored, asking)), s, radius):
             a, b = _forest(np.concatenate([a, x]), np.concatenate([b, y]))
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
-    # ~the shuffle's partitions: shards number 4 * 2**depth and more
-    dealt = dealt.repartition(partitions(spark), "shard", "row", "column")
-    return dealt.groupBy("shard", "row", "column").applyInArrow(meet, "a long, b long")
+    return meet_in_shards(prints.select("fp"), ["fp"], radius // SLICES, found, "a long, b long", SHARD_ROWS)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:

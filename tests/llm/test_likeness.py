@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from millrace.llm import likeness, simhash
@@ -7,12 +8,12 @@ from millrace.llm import likeness, simhash
 SCHEMA = "doc_id long, text string, sid string, root string"
 
 
-def texts(seed):
+def texts(seed, size=12):
     rng = random.Random(seed)
     vocabulary, common = ["w%d" % i for i in range(400)], ["c%d" % i for i in range(40)]
     rows = [None, "", " \t", "One", "one", "two  WORDS here"]
-    for _ in range(12):
-        base = rng.choices(vocabulary, k=rng.choice([4, 30, 120])) + common * rng.randrange(2)
+    for _ in range(size):
+        base = rng.choices(vocabulary, k=rng.choice([4, 30, 120, 600])) + common * rng.randrange(2)
         rows.append(" ".join(base))
         for _ in range(6):
             copy = list(base)
@@ -28,25 +29,56 @@ def plain(text, words):
 
 
 def expected(rows, words, least):
-    sets, label = [plain(t, words) for t in rows], list(range(len(rows)))
+    """The brute-force links, and the smallest row reachable over them."""
+    sets, label, links = [plain(t, words) for t in rows], list(range(len(rows))), []
     for i, a in enumerate(sets):
         for j, b in enumerate(sets[:i]):
-            if (a == b or len(a & b) / len(a | b) >= least) and label[i] != label[j]:
-                high, low = max(label[i], label[j]), min(label[i], label[j])
-                label = [low if x == high else x for x in label]
-    return label
+            if a == b or len(a & b) / len(a | b) >= least:
+                links.append((i, j))
+                if label[i] != label[j]:
+                    high, low = max(label[i], label[j]), min(label[i], label[j])
+                    label = [low if x == high else x for x in label]
+    return links, label
 
 
-@pytest.mark.parametrize(("seed", "least", "rounds"), [(1, 0.8, 2), (2, 0.6, 0)])
-def test_same_as_brute_force(spark, monkeypatch, seed, least, rounds):
-    monkeypatch.setattr(likeness, "ROUNDS", rounds)
-    rows = texts(seed)
+@pytest.mark.parametrize(("seed", "first"), [(1, 64), (2, 1)])
+def test_against_brute_force(spark, monkeypatch, seed, first):
+    monkeypatch.setattr(likeness, "FIRST", first)
+    rows = texts(seed, 30)
     docs = spark.createDataFrame([(i, t, "s", "r") for i, t in enumerate(rows)], SCHEMA)
-    want = expected(rows, 5, least)
-    assert {tuple(r) for r in likeness.groups(docs, likeness=least).collect()} == set(enumerate(want))
+    links, label = expected(rows, 5, 0.8)
+    found = {tuple(r) for r in likeness.groups(docs).collect()}
+    group = dict(found)
+    assert len(found) == len(rows) and all(group[g] == g for g in group.values())
+    # no group joins what brute force keeps apart, and nearly all links are inside a group
+    assert all(label[i] == label[g] for i, g in group.items())
+    assert np.mean([group[i] == group[j] for i, j in links]) >= 0.97
 
 
-def test_keeps_by_likeness_not_by_bits(spark):
+def test_large_group_and_chunks(spark, monkeypatch):
+    monkeypatch.setattr(likeness, "SHARD_ROWS", 50)
+    rng = random.Random(4)
+    base = rng.choices(["w%d" % i for i in range(400)], k=200)
+    rows = []
+    for _ in range(300):
+        copy = list(base)
+        copy[rng.randrange(200)] = "x%d" % rng.randrange(1000)
+        rows.append(" ".join(copy))
+    rows += [" ".join(rng.choices(base, k=90)) for _ in range(20)]
+    docs = spark.createDataFrame([(i, t, "s", "r") for i, t in enumerate(rows)], SCHEMA)
+    group = dict(tuple(r) for r in likeness.groups(docs).collect())
+    assert [group[i] for i in range(320)] == [0] * 300 + list(range(300, 320))
+
+
+def test_keeps_one_of_each_group(spark):
     rows = texts(1)
     docs = spark.createDataFrame([(i, t, "s", "r") for i, t in enumerate(rows)], SCHEMA)
-    assert sorted(r.doc_id for r in simhash.keep_first(docs).collect()) == sorted(set(expected(rows, 5, 0.8)))
+    group = dict(tuple(r) for r in likeness.groups(docs).collect())
+    assert sorted(r.doc_id for r in simhash.keep_first(docs).collect()) == sorted(set(group.values()))
+
+
+def test_empty_and_null_ids(spark):
+    assert likeness.groups(spark.createDataFrame([], SCHEMA)).collect() == []
+    docs = spark.createDataFrame([(None, "a b c d e f", "", ""), (7, "a b c d e f", "", ""), (7, "a b c d e f", "", ""), (8, None, "", ""), (9, "", "", "")], SCHEMA)
+    found = likeness.groups(docs).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in found) == [(0, 7), (7, 7), (7, 7), (8, 8), (9, 8)]

@@ -56,6 +56,15 @@ def test_hot_shards_in_chunks(spark, monkeypatch):
     assert found == expected(rows, 4, 7)
 
 
+def test_dense_shards_search_two_slices(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "DENSE", 0)
+    rows = texts(6)[:120]
+    docs = spark.createDataFrame([(i, t, "s", "f") for i, t in enumerate(rows)], SCHEMA)
+    for radius in (4, 7):
+        found = {tuple(r) for r in simhash.near_duplicates(docs, words=4, radius=radius).collect()}
+        assert found == expected(rows, 4, radius)
+
+
 def test_empty_repeated_and_null_ids(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
     docs = spark.createDataFrame([(None, "a b c d e", "", ""), (7, "a b c d e", "", ""), (7, "a b c d e", "", "")], SCHEMA)
