@@ -20,8 +20,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages of 400 bytes and more that occur elsewhere."""
-    return repeats.without_repeats(docs, length=400)
+    """All documents, without passages of 50 words and more that occur elsewhere."""
+    return repeats.without_repeats(docs, length=50, words=True)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
