@@ -1,10 +1,11 @@
 """Stupid-backoff language-model scores from n-gram counts of the whole corpus.
 
-Documents are dealt to blocks. A block's n-grams are exploded, counted and sent by hash to the
-count tables' partitions, a row for each n-gram and block; a partition adds the blocks' counts
-up and answers each block; the block joins the answers to its n-grams and sums by document.
-Frequent n-grams send one row a block, so no partition is hot. N-grams travel as packed
-columns, a row for each (block, order, partition).
+Documents are dealt to blocks of bounded size. A block's n-grams are exploded to rows (gram,
+block, times), one for each distinct n-gram of the block; the count table sums them by gram,
+partitioned by hash, and is joined back to the exploded rows; what a block's n-grams count in
+the corpus is joined to the block's texts and summed by document. An n-gram has one row a
+block, so the rows of the most frequent one are as many as there are blocks. N-grams that occur
+in one block only need no answer: the block knows their count.
 """
 
 from __future__ import annotations
@@ -13,37 +14,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import partitions
+from .common import materialise, partitions
 from .fingerprints import WORD_HASHES, _mix
 
 ODD = np.random.default_rng(21).integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-#: Text that a block of documents has, as long as that leaves four blocks a partition at most.
+#: Text that a block of documents has, about; the number of blocks follows from the corpus.
 BLOCK_BYTES = 8 << 20
-
-
-def _narrow(counts: np.ndarray) -> bytes:
-    """Whole numbers in as few bytes each as the greatest needs."""
-    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))).newbyteorder("<")).tobytes()
-
-
-def _wide(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, f"<u{len(data) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
-
-
-def _pack(grams: np.ndarray, base: int) -> bytes:
-    """Ascending hashes from ``base`` on as differences, in as few bytes each as the widest needs."""
-    steps = np.diff(grams, prepend=np.uint64(base)).astype("<u8")
-    width = (int(steps.max(initial=0)).bit_length() + 7) // 8
-    return steps.view(np.uint8).reshape(-1, 8)[:, : max(1, width)].tobytes()
-
-
-def _unpack(data: bytes, n: int, base: int) -> np.ndarray:
-    steps = np.zeros((n, 8), np.uint8)
-    if n:
-        steps[:, : len(data) // n] = np.frombuffer(data, np.uint8).reshape(n, -1)
-    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64) + np.uint64(base)
+#: The empty n-gram, which every word counts for.
+EMPTY = 0
 
 
 def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -66,6 +44,11 @@ def _grams(words: np.ndarray, doc: np.ndarray, order: int) -> tuple[np.ndarray,
     return _mix(total[same]), np.flatnonzero(same) + order - 1
 
 
+def _counts(words: np.ndarray, doc: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted distinct n-grams and their counts, for each order from 1."""
+    return [np.unique(_grams(words, doc, n)[0], return_counts=True) for n in range(1, order + 1)]
+
+
 def stupid_backoff(order: int, alpha: float, words: np.ndarray, doc: np.ndarray, totals: list[np.ndarray], total_words: int) -> tuple[np.ndarray, np.ndarray]:
     """Log score and order used, for each word; a document's own counts are taken off first.
 
@@ -99,53 +82,47 @@ def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, id_col: str = "do
     share of all words. log_score sums the logarithms, mean_log_score divides by n_words and is
     null where there are none, n_backoff counts words scored below the highest order. Words
     are maximal runs without ASCII white space, A-Z lower-cased. Null texts count as empty;
-    copies of a text are other rows and count. Null ids and repeated rows stay.
+    copies of a text are other rows and count. Null ids and repeated rows stay; a text of any
+    length is scored whole. N-grams are told apart by 64-bit hashes.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    size, most = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, partitions(docs.sparkSession)
-    blocks = max(1, min(4 * most, size // BLOCK_BYTES))
-    bits = max(1, min(2 * most, size // (2 * BLOCK_BYTES)) - 1).bit_length()
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-
-    def count(key, own):
-        words, doc = _tokens(own.column("text").to_pylist())
-        out = []
-        for n in range(1, order + 1):
-            grams, times = np.unique(_grams(words, doc, n)[0], return_counts=True)
-            cuts = np.searchsorted(grams, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-            for part, (g, c) in enumerate(zip(np.split(grams, cuts), np.split(times, cuts))):
-                if len(g) or n == 1:
-                    out.append((key[0].as_py(), n, part, len(g), _pack(g, part << (64 - bits)), _narrow(c)))
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["block", "n", "part", "size", "grams", "times"])
-
-    sent = rows.groupBy("block").applyInArrow(count, "block int, n int, part int, size int, grams binary, times binary")
-
-    def add(key, own):
-        sizes = own.column("size").to_pylist()
-        times = np.concatenate([_wide(t.as_py(), n) for t, n in zip(own.column("times"), sizes)])
-        base = key[1].as_py() << (64 - bits)
-        grams = [_unpack(g.as_py(), n, base) for g, n in zip(own.column("grams"), sizes)]
-        distinct, at = np.unique(np.concatenate(grams), return_inverse=True)
-        total = np.bincount(at, times, len(distinct)).astype(np.int64)[at]
-        answers = [_narrow(x) for x in np.split(total, np.cumsum(sizes)[:-1])]
-        return pa.table({"block": own.column("block"), "n": own.column("n"), "part": own.column("part"), "size": own.column("size"), "totals": pa.array(answers, pa.binary()), "held": pa.array([int(times.sum())] * len(sizes), pa.int64())})
-
-    counted = sent.groupBy("n", "part").applyInArrow(add, "block int, n int, part int, size int, totals binary, held long")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # Dealt by number, so that repeated rows part, and written, so that each keeps its block.
+    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(size // BLOCK_BYTES + 1))
+    dealt = rows.withColumn("block", block).repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block")
+    rows = materialise(dealt, "lm-blocks")
+
+    def explode(batches):
+        """The batches of a file lie by block; a block cut between batches gives two sets of rows."""
+        for batch in batches:
+            own, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            edges = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
+            for i, j in zip(edges[:-1], edges[1:]):
+                words, doc = _tokens(texts.slice(i, j - i).to_pylist())
+                grams, times = (np.concatenate(x) for x in zip((np.array([EMPTY], np.uint64), np.array([len(words)])), *_counts(words, doc, order)))
+                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(np.full(len(grams), own[i])), pa.array(times)], names=["gram", "block", "times"])
+
+    exploded = rows.select("block", "text").mapInArrow(explode, "gram long, block long, times long").repartition(partitions(docs.sparkSession), "gram")
+    totals = exploded.groupBy("gram").agg(F.sum("times").alias("total"))
+    # The most rows that a gram has here is the number of blocks, or of batches.
+    answers = exploded.join(totals, "gram").where("total > times").select("block", "gram", "total")
 
     def join(key, own, answers):
-        answers = answers.sort_by([("n", "ascending"), ("part", "ascending")])
-        order_of, held = answers.column("n").to_numpy(), answers.column("held").to_numpy()
-        made = [_wide(t, n) for t, n in zip(answers.column("totals").to_pylist(), answers.column("size").to_pylist())]
-        totals = [np.concatenate([np.zeros(0, np.int64), *(m for m, k in zip(made, order_of) if k == n)]) for n in range(1, order + 1)]
         words, doc = _tokens(own.column("text").to_pylist())
-        log_score, used = stupid_backoff(order, alpha, words, doc, totals, int(held[order_of == 1].sum()))
+        gram = answers.column("gram").to_numpy().view(np.uint64)
+        by_gram = np.argsort(gram)
+        gram, total = gram[by_gram], answers.column("total").to_numpy()[by_gram]
+        totals = []
+        for grams, times in [(np.array([EMPTY], np.uint64), np.array([len(words)])), *_counts(words, doc, order)]:
+            at = np.minimum(np.searchsorted(gram, grams), max(0, len(gram) - 1))
+            totals.append(np.where(gram[at] == grams, total[at], times) if len(gram) else times)
+        log_score, used = stupid_backoff(order, alpha, words, doc, totals[1:], int(totals[0][0]))
         rows = own.num_rows
-        size, total = np.bincount(doc, minlength=rows), np.bincount(doc, log_score, rows).astype(float)
+        size, summed = np.bincount(doc, minlength=rows), np.bincount(doc, log_score, rows).astype(float)
         lower = np.bincount(doc, used < order, rows)
-        mean = pa.array(np.where(size > 0, total / np.maximum(size, 1), 0), mask=size == 0)
-        return pa.table({"doc_id": own.column("doc_id"), "n_words": pa.array(size), "log_score": pa.array(total), "mean_log_score": mean, "n_backoff": pa.array(lower.astype(np.int64))})
+        mean = pa.array(np.where(size > 0, summed / np.maximum(size, 1), 0), mask=size == 0)
+        return pa.table({"doc_id": own.column("doc_id"), "n_words": pa.array(size), "log_score": pa.array(summed), "mean_log_score": mean, "n_backoff": pa.array(lower.astype(np.int64))})
 
     schema = "doc_id long, n_words long, log_score double, mean_log_score double, n_backoff long"
-    return rows.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(join, schema)
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(join, schema)

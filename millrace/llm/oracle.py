@@ -14,13 +14,15 @@ select d.doc_id, cast(length(h) // 2 as bigint) as n_bytes, cast(coalesce(n_remo
 from d left join cut on d.doc_id = cut.doc_id"""
 OP10 = """
 with d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as words from documents),
-t as (select doc_id, i, words[i] as w, case when i > 1 then words[i - 1] end as v from (select doc_id, words, unnest(range(1, len(words) + 1)) as i from d)),
-u as (select w, count(*) as n from t group by 1), ud as (select doc_id, w, count(*) as n from t group by 1, 2),
-b as (select v, w, count(*) as n from t where v is not null group by 1, 2), bd as (select doc_id, v, w, count(*) as n from t where v is not null group by 1, 2, 3),
-s as (select t.doc_id, greatest(sum(1) over () - len(d.words), 1) as others, u.n - ud.n as c1, coalesce(uv.n - udv.n, 0) as c0, coalesce(b.n - bd.n, 0) as c2
-  from t join d on t.doc_id = d.doc_id join u on t.w = u.w join ud on t.doc_id = ud.doc_id and t.w = ud.w left join u uv on t.v = uv.w left join ud udv on t.doc_id = udv.doc_id and t.v = udv.w
-  left join b on t.v = b.v and t.w = b.w left join bd on t.doc_id = bd.doc_id and t.v = bd.v and t.w = bd.w),
-r as (select doc_id, count(*) as n_words, sum(case when c2 > 0 then ln(c2 / greatest(c0, c2)) else ln(greatest(c1, 0.5) / others) + ln(0.4::double) end) as log_score, count(*) filter (c2 <= 0) as n_backoff from s group by 1)
+t as (select doc_id, i, words[i] as w, case when i > 1 then words[i - 1] end as v, case when i > 2 then words[i - 2] end as u from (select doc_id, words, unnest(range(1, len(words) + 1)) as i from d)),
+n1 as (select w, count(*) as n from t group by 1), d1 as (select doc_id, w, count(*) as n from t group by 1, 2),
+n2 as (select v, w, count(*) as n from t where v is not null group by 1, 2), d2 as (select doc_id, v, w, count(*) as n from t where v is not null group by 1, 2, 3),
+n3 as (select u, v, w, count(*) as n from t where u is not null group by 1, 2, 3), d3 as (select doc_id, u, v, w, count(*) as n from t where u is not null group by 1, 2, 3, 4),
+r1 as (select doc_id, w, n1.n - d1.n as n from d1 join n1 using (w)), r2 as (select doc_id, v, w, n2.n - d2.n as n from d2 join n2 using (v, w)), r3 as (select doc_id, u, v, w, n3.n - d3.n as n from d3 join n3 using (u, v, w)),
+s as (select t.doc_id, greatest(sum(1) over () - len(d.words), 1) as others, a.n as c1, coalesce(b.n, 0) as c2, coalesce(c.n, 0) as c3, coalesce(x.n, 0) as x1, coalesce(y.n, 0) as x2
+  from t join d on t.doc_id = d.doc_id join r1 a on t.doc_id = a.doc_id and t.w = a.w left join r2 b on t.doc_id = b.doc_id and t.v = b.v and t.w = b.w left join r3 c on t.doc_id = c.doc_id and t.u = c.u and t.v = c.v and t.w = c.w
+  left join r1 x on t.doc_id = x.doc_id and t.v = x.w left join r2 y on t.doc_id = y.doc_id and t.u = y.v and t.v = y.w),
+r as (select doc_id, count(*) as n_words, sum(case when c3 > 0 then ln(c3 / greatest(x2, c3)) when c2 > 0 then ln(c2 / greatest(x1, c2)) + ln(0.4::double) else ln(greatest(c1, 0.5) / others) + 2 * ln(0.4::double) end) as log_score, count(*) filter (c3 <= 0) as n_backoff from s group by 1)
 select d.doc_id, coalesce(n_words, 0) as n_words, round(coalesce(log_score, 0), 6) as log_score, round(log_score / n_words, 9) as mean_log_score, coalesce(n_backoff, 0) as n_backoff from d left join r on d.doc_id = r.doc_id"""
 HOST = r"translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 PATH = r"coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '')"
