@@ -3,13 +3,17 @@
 Texts are split at white space; each distinct stretch is encoded once. The new stretches of a
 batch lie in one flat symbol array. A round looks every adjacent pair up by binary search in
 the sorted pair keys, takes each word's lowest rank, and merges all its occurrences at once;
-words without a pair that merges leave the array.
+words without a pair that merges leave the array. A word of over LONG symbols has rounds of its
+own, which look at the places of one rank and at the pairs that its merges make, so that its
+cost does not grow with the square of its length.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
+import os
 import unicodedata
 from functools import lru_cache
 
@@ -25,6 +29,8 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Distinct stretches that a worker remembers; beyond, it starts anew.
 REMEMBERED = 500_000
 NEVER = np.iinfo(np.int32).max
+#: Symbols of a word beyond which it is merged by itself.
+LONG = 1_000
 
 
 class Vocabulary:
@@ -51,11 +57,12 @@ class Vocabulary:
         self.keys, self.ranks = keys[order], order.astype(np.int32)
         self.merged = np.array([ids[a + b] for a, b in pairs], np.int64)
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.mark = os.path.commonprefix(list(self.special))
 
     def stretches(self, text: str) -> list[str]:
         """The text without white space; special tokens' strings stand alone."""
         parts = [text]
-        if self.specials and "<|" in text and self.specials.search(text):
+        if self.specials and self.mark in text and self.specials.search(text):
             parts = regex.split(f"({self.specials.pattern})", text)
         found: list[str] = []
         for part in parts:
@@ -68,6 +75,46 @@ class Vocabulary:
         text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
         return [w.encode("utf-8", "surrogatepass") for w in self.pieces.findall(text)]
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank at which each pair merges, NEVER where it does not."""
+        key = left * len(self.tokens) + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], NEVER)
+
+    def _merge_long(self, symbols: np.ndarray) -> np.ndarray:
+        """The merged symbols of one word, rank by rank; places are linked to the next ones left."""
+        n = len(symbols)
+        symbols, after, ahead = symbols.copy(), np.arange(1, n + 1), np.arange(-1, n - 1)
+        there, pending, heap = np.ones(n, bool), {}, []
+
+        def wait(at):
+            rank = self._ranks(symbols[at], symbols[after[at]])
+            order = np.argsort(rank, kind="stable")
+            order = order[: np.searchsorted(rank[order], NEVER)]
+            names, starts = np.unique(rank[order], return_index=True)
+            for r, own in zip(names.tolist(), np.split(at[order], starts[1:])):
+                if r not in pending:
+                    pending[r] = []
+                    heapq.heappush(heap, r)
+                pending[r].append(own)
+
+        wait(np.arange(n - 1))
+        while heap:
+            rank = heapq.heappop(heap)
+            at = np.unique(np.concatenate(pending.pop(rank)))
+            at = at[there[at] & (after[at] < n)]
+            at = at[self._ranks(symbols[at], symbols[after[at]]) == rank]
+            # of overlapping occurrences (a a a) every other one from the left merges
+            starts = np.r_[True, at[1:] != after[at[:-1]]] if len(at) else np.zeros(0, bool)
+            place = np.arange(len(at))
+            at = at[(place - np.maximum.accumulate(np.where(starts, place, 0))) % 2 == 0]
+            right = after[at]
+            symbols[at], there[right], after[at] = self.merged[rank], False, after[right]
+            inner = after[at] < n
+            ahead[after[at[inner]]] = at[inner]
+            wait(np.unique(np.concatenate([ahead[at][ahead[at] >= 0], at[inner]])))
+        return symbols[there]
+
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and how many each word has."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -76,11 +123,15 @@ class Vocabulary:
         ends = np.cumsum(sizes) - 1
         symbols[ends] = self.last[data[ends]]
         done: list[tuple[np.ndarray, np.ndarray]] = []
+        for w in np.flatnonzero(sizes > LONG):
+            own = self._merge_long(symbols[word == w])
+            done.append((np.full(len(own), w), own))
+        if done:
+            short = sizes[word] <= LONG
+            symbols, word = symbols[short], word[short]
         while len(symbols):
-            key = symbols[:-1] * len(self.tokens) + symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             rank = np.full(len(symbols), NEVER, np.int32)
-            rank[:-1] = np.where((self.keys[at] == key) & (word[:-1] == word[1:]), self.ranks[at], NEVER)
+            rank[:-1] = np.where(word[:-1] == word[1:], self._ranks(symbols[:-1], symbols[1:]), NEVER)
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             best = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.r_[starts, len(word)]))
             still = best < NEVER
@@ -167,6 +218,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     ids are little-endian uint32 in a binary column; decoded is the text of these ids, whose
     tokens the vocabulary joins by a space. A null text counts as empty and has no ids. Every
     row gives a row, repeated ones too; an empty table gives none. Other columns are ignored.
+    Texts and words of any length are encoded whole.
     """
     kinds = "ids_sha256 string, decoded_sha256 string" if digest else "ids binary, decoded string"
     names = ["doc_id", "n_tokens", *(k.split()[0] for k in kinds.split(", "))]

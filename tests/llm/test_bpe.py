@@ -60,3 +60,22 @@ def test_ids_and_empty(spark, library):
     (row,) = bpe.encode(docs, PATH).collect()
     assert np.frombuffer(row.ids, "<u4").tolist() == library.encode("hello world", add_special_tokens=False).ids and row.doc_id is None
     assert bpe.encode(docs.where("doc_id = 3"), PATH).collect() == []
+
+
+@pytest.mark.parametrize("kind", ["random", "same", "pairs", "accents"])
+def test_long_words_same_as_library(library, kind):
+    rng = np.random.default_rng(3)
+    letters = {"random": "etaoinshrdlu", "same": "a", "pairs": "ab", "accents": "aé日z"}[kind]
+    word = "".join(letters[i] for i in rng.integers(0, len(letters), 20_000)) if kind != "pairs" else "ab" * 10_000
+    own = bpe.codec(PATH).vocabulary
+    texts = [word, "the " + word[:1500] + " end", word[:999]]
+    for text in texts:
+        words = [w for s in own.stretches(text) for w in own.words(s)]
+        ids, sizes = own.encode_words(words)
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids and len(sizes) == len(words)
+
+
+def test_a_million_letters(library):
+    word = "".join("etaoinshrdlu"[i] for i in np.random.default_rng(5).integers(0, 12, 1_000_000))
+    ids, _ = bpe.codec(PATH).vocabulary.encode_words([word.encode()])
+    assert ids.tolist() == library.encode(word, add_special_tokens=False).ids
