@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from .common import gapless, materialise, partitions
 
 DIMENSION_BITS, TEXT_BITS, ROW_BITS = 16, 30, 16
 KEY_BITS = DIMENSION_BITS + TEXT_BITS + ROW_BITS
 #: Buckets of a histogram pass, as bits of the key.
-PASS_BITS = 10
+PASS_BITS = 16
 
 
 def metadata(text: Column, size: Column) -> dict[str, Column]:
@@ -27,28 +28,29 @@ def _with(rows: DataFrame, table: list[tuple], schema: str) -> DataFrame:
 def _cuts(rows: DataFrame, chosen: dict[int, int], goals: dict[int, float], tolerance: float, whole: float) -> dict[int, int]:
     """For each node the key at which ``goals`` bytes lie below, by histograms that narrow down.
 
-    A pass brings at most 2**PASS_BITS sums a node to the driver. Documents of equal text have
-    equal keys but for the last ROW_BITS, into which a cut goes only where one text alone
-    outweighs ``whole`` bytes.
+    The bucket in which a node's goal lies is found by Spark: a pass brings one row a node to
+    the driver. Documents of equal text have equal keys but for the last ROW_BITS, into which a
+    cut goes only where one text alone outweighs ``whole`` bytes.
     """
     low, bits, below, cuts = dict.fromkeys(goals, 0), dict.fromkeys(goals, KEY_BITS), dict.fromkeys(goals, 0), {}
     while goals.keys() - cuts.keys():
         todo = sorted(goals.keys() - cuts.keys())
         step = {n: max(0 if bits[n] <= ROW_BITS else ROW_BITS, bits[n] - PASS_BITS) for n in todo}
-        params = [(n, chosen[n], low[n], low[n] + (1 << bits[n]), 1 << step[n]) for n in todo]
-        inside = _with(rows, params, "node int, dim int, low long, high long, step long").withColumn("key", F.expr("keys[dim]"))
+        params = [(n, chosen[n], low[n], low[n] + (1 << bits[n]), 1 << step[n], float(goals[n]) - below[n]) for n in todo]
+        inside = _with(rows, params, "node int, dim int, low long, high long, step long, goal double").withColumn("key", F.expr("keys[dim]"))
         bucket = F.expr("(key - low) div step").alias("bucket")
-        sums = inside.where("key >= low and key < high").groupBy("node", bucket).agg(F.sum("size").alias("bytes")).collect()
-        for n in todo:
-            at, number, weight = below[n], 0, 0
-            for number, weight in sorted((r["bucket"], r["bytes"]) for r in sums if r["node"] == n):
-                if at + weight >= goals[n]:
-                    break
-                at += weight
-            start = low[n] + (number << step[n])
-            if weight <= (whole if step[n] == ROW_BITS else tolerance) or step[n] == 0:
-                cuts[n] = start if goals[n] - at < at + weight - goals[n] else start + (1 << step[n])
-            low[n], bits[n], below[n] = start, step[n], at
+        sums = inside.where("key >= low and key < high").groupBy("node", "goal", bucket).agg(F.sum("size").alias("weight"), F.min("key").alias("least"), F.max("key").alias("most"))
+        # 2**PASS_BITS sums a node
+        by_bucket = Window.partitionBy("node").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+        running = sums.withColumn("upto", F.sum("weight").over(by_bucket))
+        there = running.where("upto >= goal - 0.5").groupBy("node").agg(F.min(F.struct("bucket", "weight", "upto", "least", "most")).alias("at"))
+        for n, (number, weight, upto, least, most) in ((r["node"], r["at"]) for r in there.collect()):
+            at, start, grain = below[n] + upto - weight, low[n] + (number << step[n]), step[n]
+            if grain > ROW_BITS and least >> ROW_BITS == most >> ROW_BITS:  # one text has all of the bucket
+                start, grain = least >> ROW_BITS << ROW_BITS, ROW_BITS
+            if weight <= (whole if grain == ROW_BITS else tolerance) or grain == 0:
+                cuts[n] = start if goals[n] - at < at + weight - goals[n] else start + (1 << grain)
+            low[n], bits[n], below[n] = start, grain, at
     return cuts
 
 
@@ -59,7 +61,8 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     one shard is split along its widest metadata dimension where its bytes divide as its
     shards do, to ``tolerance`` of a shard. Equal texts go to the same shard, unless one text's
     rows outweigh ``whole`` of a shard: then a cut may pass between them. slot counts each shard's
-    rows from 0. Repeated rows and null ids are kept; an empty table gives no rows.
+    rows from 0. Repeated rows and null ids are kept; an empty table gives no rows. Texts of any
+    length are measured whole; one that outweighs a shard leaves its shard above the others.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
@@ -92,7 +95,8 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
         cuts = _cuts(rows, chosen, goals, tolerance * target, whole * target)
         table = [(k, chosen.get(k, 0), cuts.get(k, 0)) if n > 1 else (k, 0, None) for k, (_, n) in leaves.items()]
         node = F.expr("if(cut is null, node, if(keys[dim] < cut, 2 * node, 2 * node + 1))").cast("int")
-        rows = _with(rows, table, "node int, dim int, cut long").withColumn("node", node).drop("dim", "cut")
+        # Written, so that a level's passes do not repeat the levels before it.
+        rows = materialise(_with(rows, table, "node int, dim int, cut long").withColumn("node", node).drop("dim", "cut"), "shard-nodes")
         for k, n in inner.items():
             first = leaves.pop(k)[0]
             leaves[2 * k], leaves[2 * k + 1] = (first, n // 2), (first + n // 2, n - n // 2)

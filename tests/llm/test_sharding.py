@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -50,3 +51,34 @@ def test_few_rows_repeated_rows_and_none(spark):
     rows = sharding.shard(frame(spark, [(1, "x"), (1, "x"), (None, None)]), 16).collect()
     assert len(rows) == 3 and all(0 <= r.shard < 16 for r in rows)
     assert sharding.shard(frame(spark, [(7, "only")]), 16).count() == 1
+
+
+def measures(text):
+    size, chars = len((text or "").encode()) + 1, len(text or "")
+    return {"length": math.log2(size), "script": size / (chars + 1), "line": math.log2((chars + 1) / ((text or "").count("\n") + 1))}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_a_split_by_brute_force(spark, seed):
+    rng = random.Random(seed)
+    letters = {1: "ab c", 2: "ab\u00e9\u65e5", 3: "abc\n"}[seed]
+    texts = [(i, "".join(rng.choices(letters, k=int(rng.lognormvariate(4, 1.2)) + 1))) for i in range(1500)]
+    rows = sharding.shard(frame(spark, texts), 2).collect()
+    own = {i: measures(t) for i, t in texts}
+    # the shards are apart along one dimension, to the grain of its scale
+    left, right = ([r for r in rows if r.shard == k] for k in (0, 1))
+    apart = []
+    for d in ("length", "script", "line"):
+        grain = (max(m[d] for m in own.values()) - min(m[d] for m in own.values())) / ((1 << sharding.DIMENSION_BITS) - 1)
+        apart.append(grain > 0 and max(own[r.doc_id][d] for r in left) - min(own[r.doc_id][d] for r in right) <= grain)
+    assert any(apart)
+    # no other place of the cut along that dimension is nearer to half, to the tolerance
+    total = sum(r["size"] for r in rows)
+    assert abs(sum(r["size"] for r in left) - total / 2) <= max(0.002 * total / 2, max(r["size"] for r in rows))
+
+
+def test_a_text_larger_than_a_shard(spark):
+    texts = [(0, "long text " * 300_000)] + [(i, f"text {i} " * 30) for i in range(1, 400)]
+    rows = sharding.shard(frame(spark, texts), 4).collect()
+    check(rows, texts, 4)
+    assert len({r.shard for r in rows}) >= 2
