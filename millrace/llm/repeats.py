@@ -70,7 +70,7 @@ class Hashes:
     """Hashes of any substrings of ``data``."""
 
     def __init__(self, data: np.ndarray):
-        self.up, self.down = _powers(4 * PIECE)
+        self.up, self.down = _powers(3 * PIECE)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((TABLE[data] if data.dtype == np.uint8 else _mix(data)) * self.up[: len(data)], out=self.sums[1:])
 
@@ -203,6 +203,7 @@ def _windows(docs: DataFrame, length: int, gram: int, width: int) -> DataFrame:
     for all places where the text has the same string, as periodic texts have many."""
     schema = "doc_id long, text_key long, windows int, anchor long, string long, starts array<long>"
     names = [c.split()[0] for c in schema.split(", ")]
+    piece = max(1, PIECE // width)
 
     def run(batches):
         for batch in batches:
@@ -210,12 +211,12 @@ def _windows(docs: DataFrame, length: int, gram: int, width: int) -> DataFrame:
             own, held = [], 0
             for row, data in enumerate(batch.column(2).to_pylist()):
                 text = symbols(data, width)
-                for at in range(0, max(1, len(text) - length + 1), PIECE):
-                    part = text[at : at + PIECE + length - 1]
+                for at in range(0, max(1, len(text) - length + 1), piece):
+                    part = text[at : at + piece + length - 1]
                     if len(part) >= length:
                         own.append((row, at, part))
                         held += len(part)
-                    if held >= PIECE:
+                    if held >= piece:
                         yield emit(own, ids, keys)
                         own, held = [], 0
             if own:

@@ -27,7 +27,7 @@ SLICE_BITS = 64 // SLICES
 #: Points of a leaf that a tree's depth aims at, up to 2**14 leaves.
 LEAF_ROWS = 16_384
 #: Candidate pairs that are compared at once.
-PAIRS = 1 << 21
+PAIRS = 1 << 18
 
 
 @lru_cache(maxsize=4)
