@@ -1,8 +1,8 @@
 """Stupid-backoff language-model scores from n-gram counts of the whole corpus.
 
 Documents are dealt to blocks of bounded size. A block's n-grams are exploded to rows (gram,
-block, times), one for each distinct n-gram of the block; the count table sums them by gram,
-partitioned by hash, and is joined back to the exploded rows; what a block's n-grams count in
+block, times), one for each distinct n-gram of the block; the count table, partitioned by hash,
+sums them by gram and gives each exploded row its total; what a block's n-grams count in
 the corpus is joined to the block's texts and summed by document. An n-gram has one row a
 block, so the rows of the most frequent one are as many as there are blocks. N-grams that occur
 in one block only need no answer: the block knows their count.
@@ -13,6 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from .common import materialise, partitions
 from .fingerprints import WORD_HASHES, _mix
@@ -103,10 +104,10 @@ def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, id_col: str = "do
                 grams, times = (np.concatenate(x) for x in zip((np.array([EMPTY], np.uint64), np.array([len(words)])), *_counts(words, doc, order)))
                 yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(np.full(len(grams), own[i])), pa.array(times)], names=["gram", "block", "times"])
 
-    exploded = rows.select("block", "text").mapInArrow(explode, "gram long, block long, times long").repartition(partitions(docs.sparkSession), "gram")
-    totals = exploded.groupBy("gram").agg(F.sum("times").alias("total"))
-    # The most rows that a gram has here is the number of blocks, or of batches.
-    answers = exploded.join(totals, "gram").where("total > times").select("block", "gram", "total")
+    exploded = rows.select("block", "text").mapInArrow(explode, "gram long, block long, times long")
+    # One shuffle by hash for the count table and its join; a gram has a row for each block.
+    counted = exploded.withColumn("total", F.sum("times").over(Window.partitionBy("gram")))
+    answers = counted.where("total > times").select("block", "gram", "total")
 
     def join(key, own, answers):
         words, doc = _tokens(own.column("text").to_pylist())
