@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from .columns import as_column, ratio
+from .ordered import join_groups, numbered, quantiles, ranges
 
 FUNCTIONS = {"mean": F.avg, "min": F.min, "max": F.max, "sum": F.sum, "count": F.count, "nunique": F.countDistinct, "std": F.stddev_samp}
 
@@ -89,13 +90,17 @@ def value_share(df: DataFrame, keys: Sequence[str], c: str) -> DataFrame:
 
 def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """count, mean, std, min, quartiles and max of each column, by group if asked for."""
-    made = []
+    made, names = [], ("n", "mean", "std", "min", "q25", "q50", "q75", "max")
     for c in columns:
-        points = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        items = {"n": F.count(c), "mean": F.avg(c), "std": F.stddev_samp(c), "min": F.min(c), "q25": points[0], "q50": points[1], "q75": points[2], "max": F.max(c)}
+        items = {"n": F.count(c), "mean": F.avg(c), "std": F.stddev_samp(c), "min": F.min(c), "max": F.max(c)}
         made += [(v if k == "n" else v.cast("double")).alias(f"{k}_{c}") for k, v in items.items()]
-    down = F.array(*(F.struct(F.lit(c).alias("column_name"), *(F.col(f"{k}_{c}").alias(k) for k in items)) for c in columns))
-    return df.groupBy(*by).agg(*made).select(*by, F.inline(down))
+    row = df.groupBy(*by).agg(*made)
+    for c in columns:
+        points = quantiles(df, c, (0.25, 0.5, 0.75), by).select(*by, *(F.col(f"q{i}").alias(f"{k}_{c}") for i, k in enumerate(names[4:7])))
+        # a column without values has no quantiles and no group
+        row = join_groups(row, points if by else points.groupBy().agg(*(F.max(x).alias(x) for x in points.columns)), by)
+    down = F.array(*(F.struct(F.lit(c).alias("column_name"), *(F.col(f"{k}_{c}").alias(k) for k in names)) for c in columns))
+    return row.select(*by, F.inline(down))
 
 
 def with_total(df: DataFrame, key: str, c: str, label: str = "Total") -> DataFrame:
@@ -150,9 +155,8 @@ def histogram(df: DataFrame, c: str, bins: int, by: Sequence[str] = ()) -> DataF
 
 def box_stats(df: DataFrame, c: str, by: Sequence[str], reach: float = 1.5) -> DataFrame:
     """Quartiles, whiskers at ``reach`` interquartile ranges and the number of outliers by group."""
-    points = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    boxes = df.where(F.col(c).isNotNull()).groupBy(*by).agg(points.alias("p"))
-    boxes = boxes.select(*by, *(F.col("p")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))))
+    points = quantiles(df, c, (0.25, 0.5, 0.75), by)
+    boxes = points.select(*by, *(F.col(f"q{i}").alias(n) for i, n in enumerate(("q1", "median", "q3"))))
     spread = (F.col("q3") - F.col("q1")) * reach
     inside = F.col(c).between(F.col("q1") - spread, F.col("q3") + spread)
     joined = df.where(F.col(c).isNotNull()).join(boxes, list(by))
@@ -200,22 +204,39 @@ def binary_metrics(df: DataFrame, truth: str, predicted: str, positive: object)
 def roc(df: DataFrame, truth: str, score: str) -> DataFrame:
     """A point for each distinct score from the highest: rates of positives and negatives at or above.
 
-    Running sums go over the distinct scores, not over rows.
+    Running sums go over the distinct scores, in ranges of the score.
     """
     steps = df.dropna(subset=[truth, score]).groupBy(score).agg(F.sum(F.col(truth).cast("long")).alias("p"), F.sum(1 - F.col(truth).cast("long")).alias("q"))
-    everything = Window.partitionBy(F.lit(1))
-    down = everything.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    return steps.select(score, ratio(F.sum("p").over(down), F.sum("p").over(everything)).alias("tpr"), ratio(F.sum("q").over(down), F.sum("q").over(everything)).alias("fpr"))
+    placed = numbered(steps, [F.desc(score)], ["p", "q"])
+    whole = placed.agg(F.sum("p").alias("_p"), F.sum("q").alias("_q"))
+    return placed.crossJoin(F.broadcast(whole)).select(score, ratio("_upto_p", "_p").alias("tpr"), ratio("_upto_q", "_q").alias("fpr"))
 
 
 def auc(points: DataFrame) -> DataFrame:
     """Area under roc() points by trapezoids from (0, 0)."""
-    down = Window.partitionBy(F.lit(1)).orderBy("fpr", "tpr")
-    x, y = F.lag("fpr", 1, 0.0).over(down), F.lag("tpr", 1, 0.0).over(down)
-    area = points.select(((F.col("fpr") - x) * (F.col("tpr") + y) / 2).alias("a"))
+    placed = ranges(points.select("fpr", "tpr"), ["fpr", "tpr"])
+    # one row a range: the last point, which the next range starts from
+    ends = placed.groupBy("_part").agg(F.max(F.struct("fpr", "tpr")).alias("end"))
+    ends = ends.select("_part", F.lag("end").over(Window.partitionBy(F.lit(1)).orderBy("_part")).alias("end"))
+    own = Window.partitionBy("_part").orderBy("fpr", "tpr")
+    before = lambda c: F.coalesce(F.lag(c).over(own), F.col(f"end.{c}"), F.lit(0.0))
+    area = placed.join(F.broadcast(ends), "_part").select(((F.col("fpr") - before("fpr")) * (F.col("tpr") + before("tpr")) / 2).alias("a"))
     return area.agg(F.sum("a").alias("auc"))
 
 
+def range_of(df: DataFrame, limits: Mapping[str, tuple[float, float]]) -> DataFrame:
+    """(column_name, low, high, inside): each column's ends, and whether all values lie within its limits."""
+    row = df.agg(*(f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in limits for n, f in (("low", F.min), ("high", F.max))))
+    inside = {f"inside_{c}": F.coalesce((F.col(f"low_{c}") >= low) & (F.col(f"high_{c}") <= high), F.lit(True)) for c, (low, high) in limits.items()}
+    return _columns_down(row.withColumns(inside), list(limits), ["low", "high", "inside"])
+
+
+def mean_loss(df: DataFrame, truth: str, predicted: str, loss: Callable[[Column], Column], by: Sequence[str] = ()) -> DataFrame:
+    """The mean by group of a loss that the caller gives as a function of the error's column."""
+    error = F.col(truth).cast("double") - F.col(predicted).cast("double")
+    return df.dropna(subset=[truth, predicted]).groupBy(*by).agg(F.avg(loss(error)).alias("loss"), F.count(F.lit(1)).alias("n"))
+
+
 def non_converters(df: DataFrame, user: str, converted: str) -> DataFrame:
     """Distinct users less the sum of the flag."""
     return df.agg((F.countDistinct(user) - F.coalesce(F.sum(F.col(converted).cast("long")), F.lit(0))).alias("n"))

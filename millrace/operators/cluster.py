@@ -12,6 +12,10 @@ from pyspark.sql.window import Window
 
 from .checkpoints import ensure
 from .columns import as_column
+from .ordered import numbered
+
+#: Points of which an exact silhouette compares all pairs.
+MOST_POINTS = 50_000
 
 
 def distance(columns: Sequence[str], a: str = "a", b: str = "b") -> Column:
@@ -65,7 +69,7 @@ def dbscan(points: DataFrame, key: str, columns: Sequence[str], eps: float, min_
     labels = _settle(inner, rounds)
     reached = pairs.join(labels.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("border"))
     # a core keeps its own component's label; all its core neighbours have the same one
-    numbers = labels.select("label").distinct().withColumn("cluster", (F.row_number().over(Window.orderBy("label")) - 1).cast("int"))
+    numbers = numbered(labels.select("label").distinct(), ["label"]).select("label", F.col("_position").cast("int").alias("cluster"))
     found = points.select(key).join(reached, F.col(key) == F.col("a"), "left").join(numbers, F.col("border") == F.col("label"), "left")
     return found.select(key, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
@@ -74,8 +78,11 @@ def silhouette(points: DataFrame, key: str, cluster: str, columns: Sequence[str]
     """(key, cluster, silhouette) by Euclidean distances between all pairs: for bounded samples.
 
     Noise is left out first; a point alone in its cluster has 0; one cluster alone gives nulls.
+    More than ``MOST_POINTS`` points are an error: silhouette_squared serves them.
     """
     used = points.where(F.col(cluster) != F.lit(noise)).select(key, F.col(cluster).alias("cluster"), *columns)
+    if (n := used.count()) > MOST_POINTS:
+        raise ValueError(f"{n} points are too many to be compared in pairs; use silhouette_squared")
     pairs = used.alias("a").join(used.alias("b"), F.col(f"a.{key}") != F.col(f"b.{key}"))
     means = pairs.groupBy(F.col(f"a.{key}").alias(key), F.col("a.cluster").alias("cluster"), F.col("b.cluster").alias("other")).agg(F.avg(distance(columns)).alias("d"))
     scored = means.groupBy(key, "cluster").agg(F.min(F.when(F.col("other") == F.col("cluster"), F.col("d"))).alias("own"), F.min(F.when(F.col("other") != F.col("cluster"), F.col("d"))).alias("next"))
@@ -83,6 +90,26 @@ def silhouette(points: DataFrame, key: str, cluster: str, columns: Sequence[str]
     return scored.select(key, "cluster", value.alias("silhouette"))
 
 
+def silhouette_squared(points: DataFrame, key: str, cluster: str, columns: Sequence[str], noise: object = -1) -> DataFrame:
+    """(key, cluster, silhouette) by squared Euclidean distances, from each cluster's sums.
+
+    The squared distances from x to a cluster's n points add up to n |x|^2 - 2 x . sum + sum of
+    squares, so a point meets each cluster once and no pair of points is made. Noise, lone
+    points and one cluster alone are as in silhouette().
+    """
+    used = points.where(F.col(cluster) != F.lit(noise)).select(key, F.col(cluster).alias("cluster"), *columns)
+    square = lambda of: reduce(add, (F.col(f"{of}{c}") * F.col(f"{of}{c}") for c in columns))
+    clusters = used.groupBy(F.col("cluster").alias("_other")).agg(F.count(F.lit(1)).alias("_n"), F.sum(square("")).alias("_square"), *(F.sum(c).alias(f"_sum_{c}") for c in columns))
+    # one row a cluster
+    met = used.crossJoin(F.broadcast(clusters))
+    dot = reduce(add, (F.col(c) * F.col(f"_sum_{c}") for c in columns))
+    total = F.greatest(F.lit(0.0), F.col("_n") * square("") - 2 * dot + F.col("_square"))
+    own = F.col("_other") == F.col("cluster")
+    scored = met.groupBy(key, "cluster").agg(F.min(F.when(own, F.try_divide(total, F.col("_n") - 1))).alias("own"), F.min(F.when(~own, total / F.col("_n"))).alias("next"))
+    value = F.when(F.col("next").isNull(), F.lit(None)).when(F.col("own").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("next") - F.col("own"), F.greatest("next", "own")), F.lit(0.0)))
+    return scored.select(key, "cluster", value.alias("silhouette"))
+
+
 def assign_tiers(df: DataFrame, cluster: str, score: Column, tiers: Sequence[str], noise: object | None = None) -> DataFrame:
     """Tier names to clusters by ascending mean score, ties by cluster; noise is its own tier.
 

@@ -46,6 +46,16 @@ def override(c: Column | str, condition: Column, value: object) -> Column:
     return rules([(condition, value)], as_column(c))
 
 
+def external_score(*columns: Column | str) -> Column:
+    """The sum of counts of what lies around; a missing count counts as 0."""
+    return reduce(add, (F.coalesce(as_column(c), F.lit(0)) for c in columns))
+
+
+def no_access(*columns: Column | str) -> Column:
+    """1 where nothing lies around, else 0."""
+    return flag(external_score(*columns) == 0)
+
+
 def guarded_ratio(num: Column | str, den: Column | str) -> Column:
     """num / (den + 1): one is added so that a zero count divides."""
     return as_column(num) / (as_column(den) + 1)
@@ -103,20 +113,22 @@ def cast_all(df: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
     return df.withColumns({c: F.col(c).try_cast(k) for c, k in kinds.items()})
 
 
-def category_code(df: DataFrame, c: str, out: str, missing: int = -1) -> DataFrame:
-    """Alphabetical codes from 0, null as ``missing``. Only the distinct values are ordered."""
+def category_code(df: DataFrame, c: str, out: str, missing: int = -1, levels: DataFrame | None = None) -> DataFrame:
+    """Alphabetical codes from 0, null as ``missing``. Only the distinct values are ordered.
+
+    ``levels``, a table with the column ``c`` such as a dimension, says the values there are;
+    without it ``df`` is read once more for them.
+    """
     from pyspark.sql.window import Window
 
-    codes = df.where(F.col(c).isNotNull()).select(c).distinct()
+    codes = (df if levels is None else levels).where(F.col(c).isNotNull()).select(c).distinct()
     codes = codes.withColumn(out, (F.row_number().over(Window.orderBy(c)) - 1).cast("int"))
     return df.join(codes, c, "left").withColumn(out, F.coalesce(out, F.lit(missing)))
 
 
 def group_number(df: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
     """A number from 0 for each combination of keys, in their order; null keys match null."""
-    from pyspark.sql.window import Window
+    from .ordered import join_groups, numbered as in_order
 
-    numbers = df.select(*keys).distinct().withColumn(out, (F.row_number().over(Window.orderBy(*keys)) - 1).cast("long"))
-    renamed = numbers.select(*(F.col(k).alias(f"_{k}") for k in keys), out)
-    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
-    return df.join(renamed, same).drop(*(f"_{k}" for k in keys))
+    numbers = in_order(df.select(*keys).distinct(), keys).select(*keys, F.col("_position").cast("long").alias(out))
+    return join_groups(df, numbers, keys, "inner")

@@ -38,28 +38,33 @@ def chunks(docs: DataFrame, key: str, text: str, size: int = 1000, overlap: int
     return made.select(key, "chunk_no", (F.col("chunk_no") * (size - overlap)).alias("start_pos"), "chunk")
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str, vector: str, query_blocks: int = 4, vector_blocks: int = 64) -> DataFrame:
     """(query_id, rank, id, score): the k nearest by cosine, the query itself left out.
 
     A stated set of queries against all rows, in blocks: each side is dealt to blocks and sent
-    once for each block of the other, so neither has to fit in one task. Equal scores go by
-    id, zero vectors take no part.
+    once for each block of the other, so neither has to fit in one task. Norms are made once
+    a row. Equal scores go by id, zero vectors take no part.
     """
     block = lambda n: F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector).alias("_q"), block(query_blocks).alias("_a"), every(vector_blocks).alias("_b"))
-    held = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("_v"), every(query_blocks).alias("_a"), block(vector_blocks).alias("_b"))
+    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector).alias("_q"), F.sqrt(dot(F.col(vector), F.col(vector))).alias("_qn"), block(query_blocks).alias("_a"), every(vector_blocks).alias("_b"))
+    held = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("_v"), F.sqrt(dot(F.col(vector), F.col(vector))).alias("_vn"), every(query_blocks).alias("_a"), block(vector_blocks).alias("_b"))
     pairs = held.join(asked, ["_a", "_b"]).where("id != query_id")
-    scored = pairs.select("query_id", "id", cosine(F.col("_q"), F.col("_v")).alias("score")).where("score is not null")
+    scored = pairs.select("query_id", "id", F.try_divide(dot(F.col("_q"), F.col("_v")), F.col("_qn") * F.col("_vn")).alias("score")).where("score is not null")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return scored.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
+def sources(hits: DataFrame, rows: DataFrame, id_col: str, content: str, metadata: Sequence[str]) -> DataFrame:
+    """(query_id, rank, id, content, metadata): what each hit of top_k() stands on."""
+    held = rows.select(F.col(id_col).alias("id"), F.col(content).alias("content"), *metadata)
+    return hits.join(held, "id").select("query_id", "rank", "id", "content", *metadata)
+
+
 def context(hits: DataFrame, key: str, rank: str, content: str, sep: str = "\n\n") -> DataFrame:
     """(key, context): the contents of each query's hits in rank order."""
     ordered = F.array_sort(F.collect_list(F.struct(rank, content)))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from .ordered import join_groups, numbered
+
 
 def group_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "place") -> DataFrame:
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
@@ -35,13 +37,13 @@ def repeated_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
 
 def group_minmax(df: DataFrame, c: str, keys: Sequence[str], out: str) -> DataFrame:
     """Scaled to 0..1 inside the group; null where the group has one value."""
-    own = Window.partitionBy(*keys)
-    low, high = F.min(c).over(own), F.max(c).over(own)
-    return df.withColumn(out, F.try_divide(F.col(c) - low, high - low))
+    ends = df.groupBy(*keys).agg(F.min(c).alias("_low"), F.max(c).alias("_high"))
+    return join_groups(df, ends, keys).withColumn(out, F.try_divide(F.col(c) - F.col("_low"), F.col("_high") - F.col("_low"))).select(*df.columns, out)
 
 
 def group_share(df: DataFrame, c: str, keys: Sequence[str], out: str) -> DataFrame:
-    return df.withColumn(out, F.try_divide(F.col(c), F.sum(c).over(Window.partitionBy(*keys))))
+    sums = df.groupBy(*keys).agg(F.sum(c).alias("_sum"))
+    return join_groups(df, sums, keys).withColumn(out, F.try_divide(F.col(c), F.col("_sum"))).select(*df.columns, out)
 
 
 def impute_group_mean(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
@@ -61,12 +63,14 @@ def borderline(df: DataFrame, c: str, keys: Sequence[str], k: float, out: str) -
 
 
 def cum_rank_pct(df: DataFrame, c: str, ties: Sequence[str], out: str) -> DataFrame:
-    """Running percentage of the 0-based position after sorting. For summaries: one task sorts all."""
-    everything = Window.partitionBy(F.lit(1))
-    order = everything.orderBy(c, *ties)
-    placed = df.withColumn("position", F.row_number().over(order) - 1)
-    running = F.sum("position").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return placed.withColumn(out, F.try_divide(running * 100.0, F.sum("position").over(everything)))
+    """Running percentage of the 0-based position after sorting; ``ties`` leave none.
+
+    The positions up to p add up to p (p + 1) / 2, so that only the position has to be known.
+    """
+    p, n = F.col("position").cast("double"), F.col("_n")
+    placed = numbered(df, [c, *ties]).withColumnRenamed("_position", "position")
+    whole = df.agg(F.count(F.lit(1)).alias("_n"))
+    return placed.crossJoin(F.broadcast(whole)).withColumn(out, F.try_divide(p * (p + 1) * 100.0, n * (n - 1))).drop("_n")
 
 
 def minmax(df: DataFrame, columns: Sequence[str], suffix: str = "_scaled") -> DataFrame:

@@ -90,7 +90,10 @@ def occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     calendar = table(spark, sf_dir, "orders").select(F.to_date(F.date_trunc("month", "o_orderdate")).alias("holiday_date")).distinct()
     flagged = J.calendar_flag(joined, "day", calendar, "holiday_date", "holiday")
     filled = flagged.na.fill(0, ["total_flights", "total_passengers", "intl_flights", "intl_share", "europe_share"])
-    return C.category_code(C.category_code(filled, "terminal", "terminal_num"), "carpark", "carpark_num")
+    # Codes come from the dimensions, so that the daily table is made once.
+    terminals = table(spark, sf_dir, "region").select(F.col("r_name").alias("terminal"))
+    carparks = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("carpark"))
+    return C.category_code(C.category_code(filled, "terminal", "terminal_num", levels=terminals), "carpark", "carpark_num", levels=carparks)
 
 
 def occupancy_master(spark: SparkSession, sf_dir: str) -> DataFrame:

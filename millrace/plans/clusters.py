@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml import Pipeline
+from pyspark.ml.feature import PCA
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -14,7 +15,7 @@ from .common import long, rounded, table
 FEATURES = ["internal", "hospitals", "pharmacies", "diversity", "density"]
 WEIGHTS = dict(zip(FEATURES, (0.3, 0.2, 0.15, 0.2, 0.15)))
 TIERS = ["Basic", "Standard", "Premium"]
-SEEDS = (42, 123, 456)
+SEEDS = tuple(range(42, 52))
 LINES = ["l_quantity", "l_discount", "l_tax"]
 
 
@@ -76,6 +77,18 @@ m as (select k, c, min(d) filter (o = c) as own, min(d) filter (o <> c) as nxt f
 select k as s_suppkey, round(case when nxt is null then null when own is null then 0 else (nxt - own) / greatest(nxt, own) end, 5) as silhouette from m"""
 
 
+def silhouette_squared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silhouettes of all parts by squared distances, from each cluster's sums."""
+    made = K.silhouette_squared(centres(spark, sf_dir), "p_partkey", "cluster", FEATURES)
+    return made.select("p_partkey", rounded("silhouette", 5).alias("silhouette"))
+
+
+SILHOUETTE_SQUARED_SQL = f"""
+with {CENTRES}, d as (select a.p_partkey as k, a.cluster as c, b.cluster as o, avg({" + ".join(f"(a.{c} - b.{c}) ** 2" for c in FEATURES)}) as d from p a join p b on a.p_partkey <> b.p_partkey group by 1, 2, 3),
+m as (select k, c, min(d) filter (o = c) as own, min(d) filter (o <> c) as nxt from d group by 1, 2)
+select k as p_partkey, round(case when nxt is null then null when own is null then 0 else (nxt - own) / greatest(nxt, own) end, 5) as silhouette from m"""
+
+
 def noise_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = centres(spark, sf_dir).withColumn("cluster", F.when(F.col("p_partkey") % 9 == 0, -1).otherwise(F.col("cluster")))
     made = A.noise_contrast(points, "cluster", FEATURES)
@@ -119,8 +132,8 @@ def dbscan_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kmeans_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = centres(spark, sf_dir)
-    variants = {"scaled": M.standardise(FEATURES), "reduced": [*M.standardise(FEATURES[:3])]}
-    swept = M.kmeans_sweep(rows, variants, range(2, 6))
+    variants = {"scaled": M.standardise(FEATURES), "pca2": [*M.standardise(FEATURES, "scaled"), PCA(k=2, inputCol="scaled", outputCol="features")]}
+    swept = M.kmeans_sweep(rows, variants, range(2, 10))
     return W.group_rank(swept, ["k"], [F.desc("silhouette"), F.asc("variant")])
 
 
@@ -167,9 +180,20 @@ def regressors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def per_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out metrics of a linear model of line number and price for each of three targets."""
     rows = lines(spark, sf_dir)
     make = lambda target: M.regressor("linear", ["l_linenumber", "price"], target)
-    return M.per_target(rows.where("not is_test"), rows.where("is_test"), LINES, make)
+    made = M.per_target(rows.where("not is_test"), rows.where("is_test"), LINES, make)
+    return made.select("target", *(rounded(c, 6).alias(c) for c in ("mae", "mse", "rmse", "r2")), "n")
+
+
+_LINES_SQL = "l as (select *, l_extendedprice / 1000 as price, cast('0x' || substr(md5(concat_ws('|', l_orderkey, '42')), 1, 8) as bigint) % 1000000 < 300000 as is_test from lineitem)"
+PER_TARGET_SQL = f"with {_LINES_SQL} " + " union all ".join(
+    f"""select '{t}' as target, round(avg(abs({t} - p)), 6) as mae, round(avg(({t} - p) ** 2), 6) as mse, round(sqrt(avg(({t} - p) ** 2)), 6) as rmse, round(1 - avg(({t} - p) ** 2) / var_pop({t}), 6) as r2, count(*) as n from (
+  select l.{t}, my + (cxy * vz - czy * cxz) / (vx * vz - cxz * cxz) * (l_linenumber - mx) + (czy * vx - cxy * cxz) / (vx * vz - cxz * cxz) * (price - mz) as p from l, (
+    select avg({t}) as my, avg(l_linenumber) as mx, avg(price) as mz, covar_pop(l_linenumber, {t}) as cxy, covar_pop(price, {t}) as czy, covar_pop(l_linenumber, price) as cxz, var_pop(l_linenumber) as vx, var_pop(price) as vz from l where not is_test) where is_test)"""
+    for t in LINES
+)
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +204,54 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.bands import accuracy_band
 
     made = made.withColumn("pct", C.pct_error("truth", "prediction"))
-    return made.withColumn("band", accuracy_band("pct"))
+    made = made.withColumn("band", accuracy_band("pct"))
+    return made.select("l_orderkey", "l_linenumber", rounded("truth", 5).alias("truth"), rounded("prediction", 5).alias("prediction"), rounded("pct", 4).alias("pct"), "band")
+
+
+def _det(rows: list[list[str]]) -> str:
+    (a, b, c), (d, e, f), (g, h, i) = rows
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+_COV = [[f"c{i}{j}" for j in range(3)] for i in range(3)]
+_SLOPES = [_det([[f"y{i}" if j == k else _COV[i][j] for j in range(3)] for i in range(3)]) + f" / {_det(_COV)}" for k in range(3)]
+LEDGER_SQL = f"""
+with {_LINES_SQL}, m as (select avg(price) as my, {", ".join(f"avg({c}) as m{i}, covar_pop({c}, price) as y{i}" for i, c in enumerate(LINES))}, {", ".join(f"covar_pop({a}, {b}) as c{i}{j}" for i, a in enumerate(LINES) for j, b in enumerate(LINES))} from l where not is_test),
+b as (select *, {", ".join(f"{e} as b{k}" for k, e in enumerate(_SLOPES))} from m),
+p as (select l_orderkey, l_linenumber, price as truth, my + {" + ".join(f"b{i} * ({c} - m{i})" for i, c in enumerate(LINES))} as prediction from l, b where is_test),
+e as (select *, (prediction - truth) / truth * 100 as pct from p)
+select l_orderkey, l_linenumber, round(truth, 5) as truth, round(prediction, 5) as prediction, round(pct, 4) as pct, case when pct <= -15 then 'Extreme Underforecast' when pct <= -5 then 'Underforecast' when pct <= 5 then 'Correct' when pct <= 15 then 'Overforecast' when pct > 15 then 'Extreme Overforecast' end as band from e"""
+
+
+def mean_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caller's loss of a constant prediction: square below one unit, straight beyond."""
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_quantity") / 10).alias("truth"), F.lit(2.5).alias("guess"))
+    huber = lambda e: F.when(F.abs(e) <= 1, e * e / 2).otherwise(F.abs(e) - 0.5)
+    return A.mean_loss(rows, "truth", "guess", huber, ["l_returnflag"]).select("l_returnflag", rounded("loss", 6).alias("loss"), "n")
+
+
+MEAN_LOSS_SQL = "with e as (select l_returnflag, abs(l_quantity / 10 - 2.5) as e from lineitem) select l_returnflag, round(avg(case when e <= 1 then e * e / 2 else e - 0.5 end), 6) as loss, count(*) as n from e group by 1"
+
+
+def majority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of the training labels' commonest value on the test rows."""
+    rows = S.split(table(spark, sf_dir, "labels"), ["doc_id"], 0.2)
+    made = A.binary_metrics(M.majority_baseline(rows.where("not is_test"), rows.where("is_test"), "quality"), "quality", "prediction", 1)
+    return made.select("tp", "fp", "fn", "tn", *(rounded(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1")))
+
+
+MAJORITY_SQL = """
+with l as (select *, cast('0x' || substr(md5(concat_ws('|', doc_id, '42')), 1, 8) as bigint) % 1000000 < 200000 as is_test from labels),
+b as (select quality as guess from l where not is_test and quality is not null group by 1 order by count(*) desc, 1 limit 1),
+m as (select count(*) filter (quality = 1 and guess = 1) as tp, count(*) filter (quality <> 1 and guess = 1) as fp, count(*) filter (quality = 1 and guess <> 1) as fn, count(*) filter (quality <> 1 and guess <> 1) as tn, avg((quality = guess)::int) as accuracy from l, b where is_test and quality is not null)
+select tp, fp, fn, tn, round(accuracy, 6) as accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) as precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) as recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) as f1 from m"""
+
+
+def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.range_of(table(spark, sf_dir, "lineitem"), {"l_quantity": (1, 50), "l_discount": (0, 0.05), "l_tax": (0, 1)})
+
+
+RANGES_SQL = " union all ".join(f"select '{c}' as column_name, min({c})::double as low, max({c})::double as high, min({c}) >= {a} and max({c}) <= {b} as inside from lineitem" for c, a, b in (("l_quantity", 1, 50), ("l_discount", 0, 0.05), ("l_tax", 0, 1)))
 
 
 def classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,6 +278,7 @@ QUERIES = {
     "tier_profile": (tier_profile, TIER_PROFILE_SQL),
     "centroid_distance": (centroid_distances, DISTANCES_SQL),
     "silhouette": (silhouette, SILHOUETTE_SQL),
+    "silhouette_squared": (silhouette_squared, SILHOUETTE_SQUARED_SQL),
     "noise_contrast": (noise_contrast, NOISE_SQL),
     "dbscan": (dbscan, None),
     "dbscan_grid": (dbscan_grid, None),
@@ -216,8 +288,11 @@ QUERIES = {
     "pca": (pca, None),
     "linear": (linear, LINEAR_SQL),
     "regressors": (regressors, None),
-    "per_target": (per_target, None),
-    "ledger": (ledger, None),
+    "per_target": (per_target, PER_TARGET_SQL),
+    "ledger": (ledger, LEDGER_SQL),
+    "mean_loss": (mean_loss, MEAN_LOSS_SQL),
+    "majority": (majority, MAJORITY_SQL),
+    "ranges": (ranges, RANGES_SQL),
     "classifier": (classifier, None),
     "importances": (importances, None),
 }

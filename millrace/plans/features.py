@@ -116,16 +116,45 @@ select event_id, event_type, event_id % 52 + 1 as week_no, event_id // 52 + 1 as
 
 
 def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What must hold for splits: groups do not leak, shares and folds come out as asked."""
-    events = table(spark, sf_dir, "events")
-    grouped = S.split_groups(events, ["user_id"], 0.3).groupBy("user_id").agg(F.countDistinct("is_test").alias("sides"))
-    strata = S.split_stratified(events, "event_id", "event_type", 0.2).groupBy("event_type").agg(F.abs(F.count_if("is_test") - F.count(F.lit(1)) * 0.2).alias("gap"))
-    folds = S.kfold(S.random_labels(events, ["event_id"], 3), ["event_id"], 5).agg(F.countDistinct("fold").alias("n"), F.max("fold").alias("m"))
-    leaks = grouped.agg(F.count_if(F.col("sides") > 1).alias("leaked_groups"))
-    return leaks.crossJoin(strata.agg((F.max("gap") <= 1).alias("strata_exact"))).crossJoin(folds.select(long("n").alias("n_folds"), long("m").alias("last_fold")))
+    """Each event's side in a random, a group and a stratified split, its fold and a random label."""
+    made = S.split(table(spark, sf_dir, "events"), ["event_id"], 0.3, out="random")
+    made = S.split_groups(made, ["user_id"], 0.3, out="grouped")
+    made = S.split_stratified(made, "event_id", "event_type", 0.2, out="stratified")
+    made = S.random_labels(S.kfold(made, ["event_id"], 5), ["event_id"], 3, seed=7)
+    return made.select("event_id", "random", "grouped", "stratified", long("fold").alias("fold"), long("label").alias("label"))
 
 
-SPLITS_SQL = "select cast(0 as bigint) as leaked_groups, true as strata_exact, least(5, count(distinct event_id)) as n_folds, cast(4 as bigint) as last_fold from events"
+def _hashed(keys: str, seed: int) -> str:
+    return f"cast('0x' || substr(md5(concat_ws('|', {keys}, '{seed}')), 1, 8) as bigint)"
+
+
+SPLITS_SQL = f"""
+select event_id, {_hashed("event_id", 42)} % 1000000 < 300000 as random, {_hashed("user_id", 42)} % 1000000 < 300000 as grouped,
+  percent_rank() over (partition by event_type order by md5(concat_ws('|', event_id, '42')), event_id) < 0.2 as stratified, {_hashed("event_id", 42)} % 5 as fold, {_hashed("event_id", 7)} % 3 as label from events"""
+
+
+def shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers in a random order, with the place that each one has."""
+    from ..operators.ordered import numbered
+
+    made = S.shuffle(table(spark, sf_dir, "supplier").select("s_suppkey"), ["s_suppkey"])
+    return numbered(made.withColumn("digest", S.digest(["s_suppkey"], 42)), ["digest", "s_suppkey"]).select("s_suppkey", long("_position").alias("place"))
+
+
+SHUFFLED_SQL = "select s_suppkey, row_number() over (order by md5(concat_ws('|', s_suppkey, '42')), s_suppkey) - 1 as place from supplier"
+
+
+def access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lies around each customer: orders and suppliers of the nation, their sum and who has none."""
+    orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders"))
+    near = table(spark, sf_dir, "supplier").where("s_acctbal > 9000").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("suppliers"))
+    made = table(spark, sf_dir, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left").join(near, F.col("c_nationkey") == F.col("s_nationkey"), "left")
+    return made.select("c_custkey", long(C.external_score("orders", "suppliers")).alias("external"), long(C.no_access("orders", "suppliers")).alias("deficit"))
+
+
+ACCESS_SQL = """
+select c_custkey, coalesce(orders, 0) + coalesce(suppliers, 0) as external, cast(coalesce(orders, 0) + coalesce(suppliers, 0) = 0 as bigint) as deficit from customer
+left join (select o_custkey, count(*) as orders from orders group by 1) on c_custkey = o_custkey left join (select s_nationkey, count(*) as suppliers from supplier where s_acctbal > 9000 group by 1) on c_nationkey = s_nationkey"""
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,6 +229,8 @@ QUERIES = {
     "reject_nulls": (rejects, REJECTS_SQL),
     "period_parts": (periods, PERIODS_SQL),
     "splits": (splits, SPLITS_SQL),
+    "shuffled": (shuffled, SHUFFLED_SQL),
+    "access": (access, ACCESS_SQL),
     "geohash": (geohashes, GEOHASH_SQL),
     "geo_levels": (geo_levels, GEO_LEVELS_SQL),
     "names_by": (nation_names, NAMES_SQL),

@@ -87,6 +87,20 @@ with s as (select a.vec_id as query_id, b.vec_id, {_COSINE} / ({_NORM.format("a"
 select query_id, rank, vec_id, round(score, 5) as score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5"""
 
 
+def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each query vector's nearest documents are: rank, content and where it is from."""
+    vectors = table(spark, sf_dir, "embeddings")
+    hits = D.top_k(vectors.where("vec_id % 50 = 0"), vectors, 3, "vec_id", "embedding")
+    made = D.sources(hits, table(spark, sf_dir, "documents"), "doc_id", "text", ["source", "lang"])
+    return made.select("query_id", long("rank").alias("rank"), F.col("id").alias("doc_id"), F.md5("content").alias("content_md5"), "source", "lang")
+
+
+ATTRIBUTION_SQL = f"""
+with s as (select a.vec_id as query_id, b.vec_id, {_COSINE} / ({_NORM.format("a")} * {_NORM.format("b")}) as score from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+h as (select query_id, vec_id, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, rank, doc_id, md5(text) as content_md5, source, lang from h join documents on vec_id = doc_id where rank <= 3"""
+
+
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts with the texts of each query vector's nearest documents, in rank order."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -232,6 +246,7 @@ QUERIES = {
     "chunks": (chunks, CHUNKS_SQL),
     "top_k": (top_k, TOP_K_SQL),
     "prompts": (prompts, PROMPTS_SQL),
+    "attribution": (attribution, ATTRIBUTION_SQL),
     "choose_source": (sources, SOURCES_SQL),
     "event_window": (event_window, EVENT_WINDOW_SQL),
     "render_records": (render_records, RENDER_SQL),
