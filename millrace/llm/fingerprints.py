@@ -23,7 +23,7 @@ BIN_BITS, LOW_BITS = 9, 4
 BINS = 1 << BIN_BITS
 WORDS = 5
 #: Words whose hashes a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 DRAWS = 64
 ODD = np.random.default_rng(11).integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SALT = np.random.default_rng(12).integers(0, 1 << 63, BINS, dtype=np.uint64)

@@ -32,6 +32,8 @@ REACH = 1
 #: Rows of one slice value that the first step looks at.
 FIRST = 64
 SHARD_ROWS = 32_768
+#: Sets that a task sends at once.
+HELD = 500
 #: Bits by which texts are chosen before they are hashed; a power of two.
 WANTED = 1 << 22
 
@@ -86,10 +88,14 @@ def _rows(texts: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            made = [_set(t, words) for t in batch.column(2).to_pylist()]
-            sid = np.array([s for s, _ in made], np.uint64).view(np.int64)
-            prints = np.array([fingerprint(m) for _, m in made], np.int64).reshape(-1, PRINTS)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sid), pa.array([len(m) for _, m in made], pa.int32()), *(pa.array(p) for p in prints.T)], names=["doc_id", "key", "sid", "size", *names])
+            sid, size, prints = [], [], []
+            for text in batch.column(2).to_pylist():
+                own, members = _set(text, words)
+                sid.append(own)
+                size.append(len(members))
+                prints.append(fingerprint(members))
+            columns = np.array(prints, np.int64).reshape(-1, PRINTS).T
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.array(sid, np.uint64).view(np.int64)), pa.array(size, pa.int32()), *(pa.array(p) for p in columns)], names=["doc_id", "key", "sid", "size", *names])
 
     return texts.mapInArrow(run, "doc_id long, key long, sid long, size int, " + ", ".join(f"{n} long" for n in names))
 
@@ -177,8 +183,8 @@ def _alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, lik
         for batch in batches:
             at = batch.column(0).to_numpy(zero_copy_only=False) & (WANTED - 1)
             some = np.flatnonzero(np.frombuffer(wanted, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-            if len(some):
-                own = batch.take(pa.array(some))
+            for i in range(0, len(some), HELD):
+                own = batch.take(pa.array(some[i : i + HELD]))
                 yield pa.RecordBatch.from_arrays([own.column(0), _arrays([_set(t, words)[1] for t in own.column(1).to_pylist()])], names=["key", "members"])
 
     sets = texts.select("key", "text").mapInArrow(run, "key long, members array<long>").join(asked, "key")

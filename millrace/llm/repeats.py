@@ -70,7 +70,7 @@ class Hashes:
     """Hashes of any substrings of ``data``."""
 
     def __init__(self, data: np.ndarray):
-        self.up, self.down = _powers(3 * PIECE)
+        self.up, self.down = _powers(3 * max(1, PIECE // data.itemsize))
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((TABLE[data] if data.dtype == np.uint8 else _mix(data)) * self.up[: len(data)], out=self.sums[1:])
 
