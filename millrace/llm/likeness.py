@@ -7,9 +7,9 @@ there are candidates, and every one of them is tested on the whole sets, so no l
 Sets that are 0.8 alike are missed in about one case in fifty, at 0.9 in one of thousands; groups
 are transitive, so that a text is missed only if all its links are.
 
-Candidates are tested in two steps. First each set is tested with one candidate of each shard,
-which joins a dense group of m by about m tests. Then all candidates of sets not yet in one
-group are.
+Candidates are tested in steps. In the first ROUNDS steps a set is tested with one candidate of
+each shard, another each time, which joins a dense group of m by about m tests a step. Then all
+candidates of sets not yet in one group are.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ from .graph import components
 from .vantage import ball, between, meet_in_shards, slice_of
 
 #: Words of a fingerprint, and the differing bits up to which two of them are candidates:
-#: 5 deviations above what sets of likeness 0.8 show, 5 below what unlike sets do.
-PRINTS, WIDE = 3, 56
+#: nearly 4 deviations above what sets of likeness 0.8 show, 7 below what unlike sets do.
+#: ROUNDS: steps before all candidates that are left are tested.
+PRINTS, WIDE = 3, 48
+ROUNDS = 1
 #: Bits by which a slice may differ.
 REACH = 1
 #: Rows of one slice value that the first step looks at.
@@ -100,11 +102,12 @@ def _rows(texts: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, key long, sid long, size int, " + ", ".join(f"{n} long" for n in names))
 
 
-def _candidates(nodes: DataFrame, likeness: float, first: bool) -> DataFrame:
+def _candidates(nodes: DataFrame, likeness: float, step: int) -> DataFrame:
     """(a, b, more) sets that are close and not in one group. ``nodes``: sid, label, size, p0, ...
 
-    With ``first``, one b for each a and shard, ``more`` where there may be others.
+    In the first ROUNDS steps one b for each a and shard, ``more`` where there may be others.
     """
+    first = step < ROUNDS
     names = [f"p{k}" for k in range(PRINTS)]
 
     def close(s, stored, asking, left, right):
@@ -129,7 +132,7 @@ def _candidates(nodes: DataFrame, likeness: float, first: bool) -> DataFrame:
         key, want = slice_of(held[0], s).astype(np.int64), slice_of(asks[0], s).astype(np.int64)
         # Rows of one slice value lie together, and in them the rows of one group.
         groups_, group = np.unique(held[3], return_inverse=True)
-        priority = _mix(held[1].view(np.uint64) + np.uint64(77))
+        priority = _mix(held[1].view(np.uint64) + np.uint64(77 + step))
         order = np.lexsort((priority, key) if first else (group, key))
         held = [x[order] for x in held[0]], *(x[order] for x in held[1:])
         key, both = key[order], (key * len(groups_) + group)[order]
@@ -210,15 +213,18 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     names = [f"p{k}" for k in range(PRINTS)]
     nodes = rows.groupBy("sid").agg(F.min("key").alias("key"), *(F.first(c).alias(c) for c in ("size", *names)))
     nodes = materialise(nodes.where("size > 0"), "likeness-nodes")
-    near = materialise(_candidates(nodes.withColumn("label", F.col("sid")), likeness, True), "likeness-first")
-    links = _alike(near, nodes, texts, words, likeness)
-    roots = materialise(components(links, "likeness-links"), "likeness-roots")
-    # Sets that had one candidate in each shard have nothing left to test.
-    open_ = near.where("more").select(F.col("a").alias("sid")).distinct()
-    rest = nodes.join(open_, "sid").join(roots, F.col("sid") == F.col("node"), "left").withColumn("label", F.coalesce("root", "sid"))
-    rest = materialise(rest.select("sid", "label", "size", *names), "likeness-rest")
-    again = _alike(_candidates(rest, likeness, False), nodes, texts, words, likeness)
-    roots = materialise(components(links.unionAll(again), "likeness-links"), "likeness-roots")
+    rest, links = nodes.withColumn("label", F.col("sid")), None
+    for step in range(ROUNDS + 1):
+        near = materialise(_candidates(rest, likeness, step), "likeness-near")
+        new = _alike(near, nodes, texts, words, likeness)
+        links = new if links is None else links.unionAll(new)
+        roots = materialise(components(links, "likeness-links"), "likeness-roots")
+        # Sets that had one candidate in each shard have nothing left to test.
+        open_ = near.where("more").select(F.col("a").alias("sid")).distinct()
+        rest = nodes.join(open_, "sid").join(roots, F.col("sid") == F.col("node"), "left").withColumn("label", F.coalesce("root", "sid"))
+        rest = materialise(rest.select("sid", "label", "size", *names), "likeness-rest")
+        if rest.isEmpty():
+            break
     named = rows.select("doc_id", "sid").join(roots, F.col("sid") == F.col("node"), "left").select("doc_id", F.coalesce("root", "sid").alias("root"))
     named = materialise(named, "likeness-named")
     # Written, so that the join back is between plain shuffles and a large group can be split.
