@@ -9,11 +9,15 @@ are transitive, so that a text is missed only if all its links are.
 
 Candidates are tested in steps. In the first ROUNDS steps a set is tested with one candidate of
 each shard, another each time, which joins a dense group of m by about m tests a step. Then all
-candidates of sets not yet in one group are.
+candidates of sets not yet in one group are. The sets of candidates are sent to a grid of lots by
+the hashes of both ends, so that a set goes to one row and one column of lots however many
+candidates it has; lots have a bounded number of members.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -36,6 +40,9 @@ FIRST = 64
 SHARD_ROWS = 32_768
 #: Sets that a task sends at once.
 HELD = 500
+#: Members that a lot's pairs have, each pair with all of its own; about, and twice that at most
+#: but for a pair that has more.
+LOT = 1 << 22
 #: Bits by which texts are chosen before they are hashed; a power of two.
 WANTED = 1 << 22
 
@@ -103,7 +110,8 @@ def _rows(texts: DataFrame, words: int) -> DataFrame:
 
 
 def _candidates(nodes: DataFrame, likeness: float, step: int) -> DataFrame:
-    """(a, b, more) sets that are close and not in one group. ``nodes``: sid, label, size, p0, ...
+    """(a, b, more, weight) sets that are close and not in one group, and how many members both
+    have. ``nodes``: sid, label, size, p0, ...
 
     In the first ROUNDS steps one b for each a and shard, ``more`` where there may be others.
     """
@@ -161,20 +169,48 @@ def _candidates(nodes: DataFrame, likeness: float, step: int) -> DataFrame:
                         partner[left[won]] = right[won]
                     else:
                         ahead = asks[1][left] < held[1][right]
-                        pairs.append((asks[1][left[ahead]], held[1][right[ahead]]))
+                        left, right = left[ahead], right[ahead]
+                        pairs.append((asks[1][left], held[1][right], asks[2][left].astype(np.int64) + held[2][right]))
         if first:
             some = (partner >= 0) | more
-            b = np.where(partner[some] >= 0, held[1][partner[some]] if len(key) else 0, asks[1][some])
-            return pa.table({"a": pa.array(asks[1][some]), "b": pa.array(b), "more": pa.array(more[some])})
-        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
-        return pa.table({"a": pa.array(a), "b": pa.array(b), "more": pa.array(np.zeros(len(a), bool))})
-
-    return meet_in_shards(nodes.select("sid", "label", "size", *names), names, REACH, found, "a long, b long, more boolean", SHARD_ROWS)
+            chosen = partner[some]
+            b = np.where(chosen >= 0, held[1][chosen] if len(key) else 0, asks[1][some])
+            weight = asks[2][some].astype(np.int64) + (held[2][chosen] if len(key) else 0)
+            return pa.table({"a": pa.array(asks[1][some]), "b": pa.array(b), "more": pa.array(more[some]), "weight": pa.array(weight)})
+        a, b, weight = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 3
+        return pa.table({"a": pa.array(a), "b": pa.array(b), "more": pa.array(np.zeros(len(a), bool)), "weight": pa.array(weight)})
+
+    return meet_in_shards(nodes.select("sid", "label", "size", *names), names, REACH, found, "a long, b long, more boolean, weight long", SHARD_ROWS)
+
+
+def _shared(pairs: pa.Table, sets: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, members in both, members in either) of all pairs."""
+    sets = sets.combine_chunks()
+    if not sets.num_rows:
+        return (np.zeros(0, np.int64),) * 4
+    sid, lists = sets.column("sid").to_numpy(), sets.column("members").chunk(0)
+    edges = lists.offsets.to_numpy()
+    names, code = np.unique(lists.values.to_numpy(), return_inverse=True)
+    by_sid = np.argsort(sid)
+    a, b = (pairs.column(c).to_numpy() for c in "ab")
+    left, right = (by_sid[np.searchsorted(sid, x, sorter=by_sid)] for x in (a, b))
+    order = np.argsort(left, kind="stable")
+    a, b, left, right = a[order], b[order], left[order], right[order]
+    shared, held = np.zeros(len(a), np.int64), np.zeros(len(names), bool)
+    cuts = np.flatnonzero(np.diff(left)) + 1
+    for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(a)]):
+        own = code[edges[left[i]] : edges[left[i] + 1]]
+        held[own] = True
+        for row, at in between(edges[right[i:j]], edges[right[i:j] + 1]):
+            shared[i:j] += np.bincount(row, held[code[at]], j - i).astype(np.int64)
+        held[own] = False
+    sizes = np.diff(edges).astype(np.int64)
+    return a, b, shared, sizes[left] + sizes[right] - shared
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, likeness: float) -> DataFrame:
     """Those of the pairs (a, b) of sets whose Jaccard likeness is ``likeness`` or more."""
-    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "likeness-pairs")
+    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight").where("a != b").distinct(), "likeness-pairs")
     asked = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select("b")).distinct()
     asked = materialise(asked.join(nodes.select("sid", "key"), "sid"), "likeness-asked")
     # The bits keep texts that nobody asks for from being hashed; WANTED of them at most.
@@ -192,10 +228,23 @@ def _alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, lik
 
     sets = texts.select("key", "text").mapInArrow(run, "key long, members array<long>").join(asked, "key")
     sets = materialise(sets.groupBy("sid").agg(F.first("members").alias("members")), "likeness-sets")
-    left, right = (sets.select(F.col("sid").alias(c), F.col("members").alias(f"of_{c}")) for c in "ab")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    tested = pairs.join(left, "a").join(right, "b").where(shared >= likeness * (F.size("of_a") + F.size("of_b") - shared))
-    return materialise(tested.select("a", "b"), "likeness-links")
+    side = max(1, math.ceil(math.sqrt((pairs.agg(F.sum("weight")).first()[0] or 0) / LOT)))
+    cells = pairs.select("a", "b", "weight", *(F.pmod(F.xxhash64(x), F.lit(side)).alias(y) for x, y in ("ai", "bj")))
+    # A cell of one set's many pairs is cut by the pairs.
+    sizes = cells.groupBy("i", "j").agg(F.ceil(F.sum("weight") / (2 * LOT)).alias("cuts"))
+    lots = cells.join(sizes, ["i", "j"]).withColumn("cut", F.pmod(F.xxhash64("a", "b"), "cuts"))
+    lots = materialise(lots.select("i", "j", "cut", "a", "b"), "likeness-lots")
+    lot = [F.col(c).alias(f"of_{c}") for c in ("i", "j", "cut")]
+    ends = lots.select(*lot, F.col("a").alias("sid")).unionAll(lots.select(*lot, "b")).distinct()
+
+    def test(key, pairs, sets):
+        a, b, shared, either = _shared(pairs, sets)
+        good = shared >= likeness * either
+        return pa.table({"a": pa.array(a[good]), "b": pa.array(b[good])})
+
+    sent = ends.join(sets, "sid").groupBy("of_i", "of_j", "of_cut")
+    tested = lots.groupBy("i", "j", "cut").cogroup(sent).applyInArrow(test, "a long, b long")
+    return materialise(tested, "likeness-links")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, likeness: float = 0.8) -> DataFrame:

@@ -41,9 +41,10 @@ def expected(rows, words, least):
     return links, label
 
 
-@pytest.mark.parametrize(("seed", "first"), [(1, 64), (2, 1)])
-def test_against_brute_force(spark, monkeypatch, seed, first):
+@pytest.mark.parametrize(("seed", "first", "lot"), [(1, 64, 1 << 22), (2, 1, 2_000)])
+def test_against_brute_force(spark, monkeypatch, seed, first, lot):
     monkeypatch.setattr(likeness, "FIRST", first)
+    monkeypatch.setattr(likeness, "LOT", lot)
     rows = texts(seed, 30)
     docs = spark.createDataFrame([(i, t, "s", "r") for i, t in enumerate(rows)], SCHEMA)
     links, label = expected(rows, 5, 0.8)
