@@ -213,10 +213,13 @@ def _alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, lik
     pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight").where("a != b").distinct(), "likeness-pairs")
     asked = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select("b")).distinct()
     asked = materialise(asked.join(nodes.select("sid", "key"), "sid"), "likeness-asked")
-    # The bits keep texts that nobody asks for from being hashed; WANTED of them at most.
-    bits = np.zeros(WANTED, bool)
-    bits[[r[0] for r in asked.select(F.expr(f"key & {WANTED - 1}")).distinct().collect()]] = True
-    wanted = np.packbits(bits, bitorder="little").tobytes()
+    # The bits keep texts that nobody asks for from being hashed; Spark sets them, in words of 64.
+    place = F.col("key").bitwiseAND(F.lit(WANTED - 1))
+    words_of_bits = asked.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("bits"))
+    bits = np.zeros(WANTED // 64, np.int64)
+    for at, own in words_of_bits.collect():
+        bits[at] = own
+    wanted = bits.astype("<i8").tobytes()
 
     def run(batches):
         for batch in batches:
