@@ -64,6 +64,32 @@ def gapless(df: DataFrame, group: list[str], order: list[str], out: str, buckets
     )
 
 
+def along(df: DataFrame, group: list[str], order: list[str], label: str, running: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """``place`` (0, 1, ... inside the group) and running totals along ``order``, however large a group is.
+
+    ``running`` maps a new column to (column, "sum" or "xor"). Rows are dealt to ranges of
+    (group, order) and written; each range counts for itself and a group that goes on from
+    earlier ranges is shifted by what they hold of it. Rows of equal order stay in one range, so
+    ``order`` should end in a row number where many rows may be equal.
+    """
+    running = running or {}
+    total = {"sum": F.sum, "xor": F.bit_xor}
+    joined = {"sum": lambda a, b: a + b, "xor": lambda a, b: a.bitwiseXOR(b)}
+    placed = materialise(df.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()), label)
+    inside = Window.partitionBy("_part", *group).orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    made = placed.withColumns({"place": F.row_number().over(inside).cast("long") - 1, **{n: total[f](c).over(upto) for n, (c, f) in running.items()}})
+    sums = placed.groupBy("_part", *group).agg(F.count(F.lit(1)).alias("_t_place"), *(total[f](c).alias(f"_t_{n}") for n, (c, f) in running.items()))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    kinds = {"place": "sum", **{n: f for n, (_, f) in running.items()}}
+    starts = sums.select(F.col("_part").alias("_p"), *(F.col(c).alias(f"_g_{c}") for c in group), *(total[f](f"_t_{n}").over(before).alias(f"_b_{n}") for n, f in kinds.items()))
+    # Ranges follow each other, so that one group at most goes on into a range: one row a range.
+    starts = F.broadcast(starts.where("_b_place is not null"))
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group), F.col("_part") == F.col("_p"))
+    shifted = {n: F.when(F.col("_p").isNull(), F.col(n)).otherwise(joined[f](F.col(n), F.col(f"_b_{n}"))) for n, f in kinds.items()}
+    return made.join(starts, same, "left").withColumns(shifted).select(*df.columns, *kinds)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it as long as ``df`` has a column of that name."""
     taken = {c.lower() for c in df.columns}

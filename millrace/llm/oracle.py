@@ -44,3 +44,72 @@ g as (select * from (values ('example.com', '/en/7', 'allow'), ('example.net', '
 f as (select k.*, (select {{'rule': h || q, 'verdict': v}} from g where (host = h or ends_with(host, '.' || h)) and starts_with(path, q) order by length(h || q) desc limit 1) as found,
   exists (select 1 from m where list_has_all(tokens, needed)) as hit from k)
 select page_id, host, path, found.rule as rule, coalesce(found.verdict, case when hit then 'block' else 'allow' end) as verdict from f"""
+
+
+def _crc(x: str) -> str:
+    """The unsigned crc32 of a number's decimal text, bit by bit."""
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast({x} as varchar), ''), lambda s: ascii(s)::bigint)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda d, e: xor(d >> 1, (d & 1) * 3988292384))), 4294967295)"
+
+
+#: Levels of a tree that the SQL writes out: up to 16 ** 6 leaves.
+LEVELS = 6
+
+
+def _op11() -> str:
+    """Nodes level by level, then each leaf's siblings and its fold; a tree stops at one node."""
+    part = lambda c: f"coalesce(strlen(cast({c} as varchar)) || ':' || {c}, '-')"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    both = lambda text: "sha256(" + " || ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    sql = f"""
+with base as (select doc_id, case when source is null then '' else '=' || source end as tree, {both("text")} as leaf, {both(lower)} as bent, row_number() over () as r from documents),
+l as (select *, row_number() over (partition by tree order by doc_id nulls first, leaf, r) - 1 as i, count(*) over (partition by tree) as n from base),
+a0 as (select tree, i, leaf as h from l)"""
+
+    def levels(x: str, last: str) -> str:
+        out = ""
+        for k in range(LEVELS):
+            out += f""",
+{x}r{k} as (select tree, i // 16 as i, list(h order by i) as hs from {x}{k} where tree in (select tree from {x}{k} group by tree having count(*) > 1) group by 1, 2),
+{x}{k + 1} as (select tree, i, sha256(array_to_string(hs, '')) as h from {x}r{k})"""
+        return out + f""",
+{last} as (select tree, h from ({" union all ".join(f"select tree, h, {k} as k from {x}{k}" for k in range(LEVELS + 1))}) qualify row_number() over (partition by tree order by k desc) = 1)"""
+
+    def climb(x: str, rows: str, before: str) -> str:
+        out, last = "", before
+        for k in range(LEVELS):
+            step = f"{rows}{k + 1}"
+            at = f"p.{x}i // {16**k} % 16 + 1"
+            out += f""",
+{step} as (select p.* replace (p.proof || coalesce(array_to_string(list_filter(hs, lambda h, j: j <> {at}), ''), '') as proof, coalesce(sha256(array_to_string(list_transform(hs, lambda h, j: case when j = {at} then p.fold else h end), '')), p.fold) as fold)
+  from {last} p left join {x}r{k} q on q.tree = p.{x}tree and q.i = p.{x}i // {16 ** (k + 1)})"""
+            last = step
+        return out
+
+    sql += levels("a", "tops") + ", b0 as (select '' as tree, row_number() over (order by tree) - 1 as i, h from tops)" + levels("b", "roots")
+    sql += f""",
+c0 as (select doc_id, leaf, l.tree as atree, l.i as ai, '' as btree, t.i as bi, t.h as subroot, '' as proof, case when {_crc("doc_id")} % 5 = 0 then bent else leaf end as fold
+  from l join (select tree, h, row_number() over (order by tree) - 1 as i from tops) t on l.tree = t.tree)"""
+    sql += climb("a", "c", "c0") + climb("b", "e", f"c{LEVELS}")
+    return sql + f" select doc_id, leaf, subroot, (select h from roots) as root, sha256(proof) as proof_sha256, fold as folded_root, fold = (select h from roots) as verified from e{LEVELS}"
+
+
+OP11 = _op11()
+OP12 = rf"""
+with t as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as i, struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) as s from conversations where conv_id is not null),
+o as (select conv_id, list(s order by i) as turns, {_crc("conv_id")} % 4 as h from t group by conv_id),
+r as (select o.conv_id, list_concat(coalesce(g.turns[1:o.h], []), o.turns[o.h + 1:]) as path from o left join o g on g.conv_id = o.conv_id - o.conv_id % 20),
+m as (select conv_id, path, unnest(range(len(path) + 1)) as depth from r),
+k as (select depth, path[1:depth] as key, min(conv_id) as conv_id, count(*) as n_convs, string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (len(path) = depth) as ends from m group by 1, 2),
+v as (select k.*, p.conv_id as parent_conv_id, (k.n_convs - 1) * case when k.depth = 0 then 0 else len(regexp_extract_all(k.key[k.depth].t, '[^\x20\x09-\x0D]+')) end as saved from k left join k p on p.depth = k.depth - 1 and p.key = k.key[1:k.depth - 1]),
+c as (select parent_conv_id as conv_id, depth - 1 as depth, count(*) as n from v where depth > 0 group by 1, 2),
+w as (select v.*, coalesce(c.n, 0) as n_children from v left join c on c.conv_id = v.conv_id and c.depth = v.depth),
+a as (select unnest(range(depth + 1)) as top, key, saved, n_children from w),
+s as (select top, key[1:top] as key, count(*) filter (n_children = 0) as n_leaves, cast(sum(saved) as bigint) as saved_tokens from a group by 1, 2)
+select w.conv_id, w.depth, w.parent_conv_id, w.n_convs, w.n_children, s.n_leaves, s.saved_tokens, sha256(coalesce(w.ends, '')) as ends_sha256 from w join s on s.top = w.depth and s.key = w.key"""
+OP13 = r"""
+with e as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -7, i, case when i = 0 then 'user' else 'assistant' end, '\### Assistant: </turn> ok' from range(2) x(i)),
+l as (select *, length(regexp_replace(replace(role, '\', '\\'), '<(/?turn>|text>)', '<\\\1', 'g')) + length(regexp_replace(replace(text, '\', '\\'), '<(/?turn>|text>)', '<\\\1', 'g')) + 20 as chars, row_number() over w as i, count(*) over (partition by conv_id) as n from e window w as (partition by conv_id order by turn nulls first, role, text)),
+p as (select *, sum(chars) over (partition by conv_id order by i) as upto from l)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by i)) as turns_sha256, cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by i) filter (role = 'assistant'), '')) as loss_sha256, cast(sum(upto) filter (role = 'assistant' or i = n) as bigint) as formatted_chars, count(*) filter (role = 'assistant' or i = n) as n_examples
+from p group by conv_id"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, fingerprints, lm, oracle, packing, quality, repeats, sharding, simhash, url_rules
+from . import ann, bpe, chat, fingerprints, lm, merkle, oracle, packing, quality, repeats, sharding, simhash, trie, url_rules
 from .common import table
 
 
@@ -52,6 +52,26 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({"log_score": F.round("log_score", 6), "mean_log_score": F.round("mean_log_score", 9)})
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    tampered = F.when(hit, merkle.leaf(docs, merkle.COLUMNS, {"text": lower}))
+    return merkle.manifest(docs, tampered=tampered)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, lengths = trie.rebuilt(trie.turn_rows(table(spark, sf_dir, "conversations")))
+    return trie.prefix_trie(turns, lengths)
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = r"\\### Assistant: </turn> ok"
+    extra = spark.range(2).selectExpr("-7L as conv_id", "id as turn", "if(id = 0, 'user', 'assistant') as role", f"'{odd}' as text")
+    return chat.read_back(chat.examples(talks.unionByName(extra)))
+
+
 QUERIES = {
     "op1_adaptive_scan": op1_adaptive_scan,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -63,6 +83,9 @@ QUERIES = {
     "op8_kd_shards": op8_kd_shards,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_lm_scores": op10_lm_scores,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_chat_format": op13_chat_format,
 }
 
 #: The others rest on XXH64, trained models, tokenizers or an approximate index; tests hold them
@@ -71,4 +94,7 @@ ORACLE_SQL = {
     "op3_url_rules": oracle.OP3,
     "op9_suffix_dedup": oracle.OP9,
     "op10_lm_scores": oracle.OP10,
+    "op11_merkle_manifest": oracle.OP11,
+    "op12_prefix_trie": oracle.OP12,
+    "op13_chat_format": oracle.OP13,
 }
