@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -20,9 +22,36 @@ def multi_agg(df: DataFrame, keys: Sequence[str], columns: Sequence[str], functi
     return df.dropna(subset=list(keys)).groupBy(*keys).agg(*made)
 
 
+def distinct_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by, column_name, n_distinct, n): distinct and all non-null values of each column.
+
+    Distinct (group, column, value) rows are made first, partly where the rows are read, and then
+    counted: rows are not copied once an aggregate and a hot group or value is spread.
+    """
+    kinds = {df.schema[c].dataType.simpleString() for c in columns}
+    value = lambda c: F.col(c) if len(kinds) == 1 else F.col(c).cast("string")
+    cells = df.select(*by, F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), value(c).alias("_v")) for c in columns))))
+    once = cells.where("_v is not null").groupBy(*by, "column_name", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    found = once.groupBy(*by, "column_name").agg(F.count(F.lit(1)).alias("n_distinct"), F.sum("_n").alias("n"))
+    # A column without values has 0 of both.
+    groups = (df.select(*by).distinct() if by else df.sparkSession.range(1).select()).withColumn("column_name", F.explode(F.array(*map(F.lit, columns))))
+    filled = join_groups(groups, found, [*by, "column_name"])
+    return filled.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_distinct", "n")})
+
+
+def approx_distinct(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), error: float = 0.02) -> DataFrame:
+    """(by, column_name, n_distinct) from HyperLogLog sketches with a relative standard error of
+    ``error``: one pass, a sketch a group and column."""
+    row = df.groupBy(*by).agg(*(F.approx_count_distinct(c, error).alias(f"n_distinct_{c}") for c in columns))
+    down = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"n_distinct_{c}").alias("n_distinct")) for c in columns))
+    return row.select(*by, F.inline(down))
+
+
 def profile_by(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Distinct and non-null counts of the columns by group."""
-    return multi_agg(df, keys, columns, ["nunique", "count"])
+    """Distinct and non-null counts of the columns by group; rows with a null key are left out."""
+    cells = distinct_counts(df.dropna(subset=list(keys)), columns, keys)
+    made = [F.max(F.when(F.col("column_name") == c, F.col(v))).alias(f"{c}_{n}") for v, n in (("n_distinct", "nunique"), ("n", "count")) for c in columns]
+    return cells.groupBy(*keys).agg(*made)
 
 
 def sum_if(c: Column | str, condition: Column) -> Column:
@@ -63,8 +92,7 @@ def sentinel_profile(df: DataFrame, columns: Sequence[str], sentinels: Sequence[
 
 
 def distinct_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    row = df.agg(*(F.countDistinct(c).alias(f"n_distinct_{c}") for c in columns))
-    return _columns_down(row, columns, ["n_distinct"])
+    return distinct_counts(df, columns).select("column_name", "n_distinct")
 
 
 def missing_report(df: DataFrame, c: str, keep: Column) -> DataFrame:
@@ -90,17 +118,16 @@ def value_share(df: DataFrame, keys: Sequence[str], c: str) -> DataFrame:
 
 def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """count, mean, std, min, quartiles and max of each column, by group if asked for."""
-    made, names = [], ("n", "mean", "std", "min", "q25", "q50", "q75", "max")
+    made = []
     for c in columns:
         items = {"n": F.count(c), "mean": F.avg(c), "std": F.stddev_samp(c), "min": F.min(c), "max": F.max(c)}
         made += [(v if k == "n" else v.cast("double")).alias(f"{k}_{c}") for k, v in items.items()]
     row = df.groupBy(*by).agg(*made)
-    for c in columns:
-        points = quantiles(df, c, (0.25, 0.5, 0.75), by).select(*by, *(F.col(f"q{i}").alias(f"{k}_{c}") for i, k in enumerate(names[4:7])))
-        # a column without values has no quantiles and no group
-        row = join_groups(row, points if by else points.groupBy().agg(*(F.max(x).alias(x) for x in points.columns)), by)
-    down = F.array(*(F.struct(F.lit(c).alias("column_name"), *(F.col(f"{k}_{c}").alias(k) for k in names)) for c in columns))
-    return row.select(*by, F.inline(down))
+    down = F.array(*(F.struct(F.lit(c).alias("column_name"), *(F.col(f"{k}_{c}").alias(k) for k in ("n", "mean", "std", "min", "max"))) for c in columns))
+    # A column without values has no quantiles.
+    points = quantiles(df, columns, (0.25, 0.5, 0.75), by)
+    joined = join_groups(row.select(*by, F.inline(down)), points, [*by, "column_name"])
+    return joined.select(*by, "column_name", "n", "mean", "std", "min", F.col("q0").alias("q25"), F.col("q1").alias("q50"), F.col("q2").alias("q75"), "max")
 
 
 def with_total(df: DataFrame, key: str, c: str, label: str = "Total") -> DataFrame:
@@ -118,8 +145,94 @@ def grouping_levels(df: DataFrame, sets: Sequence[Sequence[str]], measures: Sequ
     return grouped.agg(*measures, *([names.alias(level)] if level else []))
 
 
+#: Columns up to which correlations are plain aggregates of one row; columns of a block beyond.
+PLAIN, GRAM_BLOCK = 16, 256
+
+
+def _gram_parts(columns: Sequence[str], others: Sequence[str]):
+    """Sums of products of a partition's rows, blocks of columns as rows of bytes.
+
+    For columns a, b over the rows in which both have a value: their number, the sums of a, b,
+    a squared, b squared and a b.
+    """
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(batch.num_columns)])
+            for at in range(0, len(x), 8192):
+                own = x[at : at + 8192]
+                has = np.isfinite(own)
+                own = np.where(has, own, 0.0)
+                a, m, b, o = own[:, : len(columns)], has[:, : len(columns)].astype(float), own[:, len(columns) :], has[:, len(columns) :].astype(float)
+                made = np.stack([m.T @ o, a.T @ o, m.T @ b, (a * a).T @ o, m.T @ (b * b), a.T @ b])
+                held = made if held is None else held + made
+        if held is not None:
+            for i in range(0, len(columns), GRAM_BLOCK):
+                for j in range(0, len(others), GRAM_BLOCK):
+                    part = np.ascontiguousarray(held[:, i : i + GRAM_BLOCK, j : j + GRAM_BLOCK])
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([j], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["i", "j", "sums"])
+
+    return run
+
+
+def _gram_corr(columns: Sequence[str], others: Sequence[str], upper: bool):
+    """Adds up the blocks of a partition, which lie together, and makes correlations of them."""
+
+    def rows(i, j, held):
+        shape = (6, min(GRAM_BLOCK, len(columns) - i), min(GRAM_BLOCK, len(others) - j))
+        n, sa, sb, qa, qb, ab = held.reshape(shape)
+        with np.errstate(all="ignore"):
+            va, vb = qa - sa * sa / n, qb - sb * sb / n
+            corr = (ab - sa * sb / n) / np.sqrt(va * vb)
+        # What is left of a constant column is rounding.
+        good = (n > 1) & (va > 1e-12 * qa) & (vb > 1e-12 * qb) & np.isfinite(corr)
+        p, q = np.nonzero(np.add.outer(np.arange(shape[1]) + i, -(np.arange(shape[2]) + j)) < 0) if upper else np.nonzero(np.ones(shape[1:]))
+        value = [float(np.clip(corr[x, y], -1, 1)) if good[x, y] else None for x, y in zip(p, q)]
+        return pa.RecordBatch.from_arrays([pa.array([columns[i + x] for x in p]), pa.array([others[j + y] for y in q]), pa.array(value, pa.float64())], names=["a", "b", "corr"])
+
+    def run(batches):
+        at, held = None, None
+        for batch in batches:
+            for i, j, sums in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                own = np.frombuffer(sums)
+                if at == (i, j):
+                    held = held + own
+                    continue
+                if at is not None:
+                    yield rows(*at, held)
+                at, held = (i, j), own
+        if at is not None:
+            yield rows(*at, held)
+
+    return run
+
+
+def gram_corr(df: DataFrame, columns: Sequence[str], others: Sequence[str] | None = None) -> DataFrame:
+    """(a, b, corr) of every pair, each once, or of ``columns`` with ``others``; for thousands of columns.
+
+    Each partition of rows is multiplied with itself in Arrow batches, columns shifted by their
+    means, and gives one set of blocks of GRAM_BLOCK columns a side, which are dealt by block
+    and added up one after the other. A plan has two stages however many columns there are; a
+    task holds one set of sums, 48 bytes a pair. Rows in which one of the two is null, NaN or
+    infinite are left out for that pair; a pair that does not vary has null.
+    """
+    own, upper = list(columns), others is None
+    other = own if upper else list(others)
+    used = list(dict.fromkeys([*own, *other]))
+    finite = lambda c: F.when(F.abs(F.col(f"`{c}`").cast("double")) < float("inf"), F.col(f"`{c}`").cast("double"))
+    means = df.select(*(F.avg(finite(c)).alias(f"m{i}") for i, c in enumerate(used))).first()
+    shift = {c: (means[i] or 0.0) for i, c in enumerate(used)}
+    x = df.select(*((F.col(f"`{c}`").cast("double") - F.lit(shift[c])).alias(f"x{i}") for i, c in enumerate([*own, *other])))
+    parts = x.mapInArrow(_gram_parts(own, other), "i int, j int, sums binary")
+    parts = parts.where("i <= j") if upper else parts
+    return parts.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(_gram_corr(own, other, upper), "a string, b string, corr double")
+
+
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns, each pair once, from one pass."""
+    """Pearson correlation of every pair of columns, each pair once; many columns by gram_corr()."""
+    if len(columns) > PLAIN:
+        return gram_corr(df, columns)
     pairs = list(combinations(columns, 2))
     row = df.agg(*(F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)))
     return row.select(F.inline(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{i}`").alias("corr")) for i, (a, b) in enumerate(pairs)))))
@@ -127,8 +240,11 @@ def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def corr_with(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
     """Correlation of each column with the target, strongest first."""
-    row = df.agg(*(F.corr(c, target).alias(c) for c in columns))
-    down = row.select(F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("corr")) for c in columns))))
+    if len(columns) > PLAIN * PLAIN:
+        down = gram_corr(df, columns, [target]).select(F.col("a").alias("feature"), "corr")
+    else:
+        row = df.agg(*(F.corr(c, target).alias(c) for c in columns))
+        down = row.select(F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("corr")) for c in columns))))
     return down.orderBy(F.desc(F.abs("corr")), "feature")
 
 
@@ -155,11 +271,11 @@ def histogram(df: DataFrame, c: str, bins: int, by: Sequence[str] = ()) -> DataF
 
 def box_stats(df: DataFrame, c: str, by: Sequence[str], reach: float = 1.5) -> DataFrame:
     """Quartiles, whiskers at ``reach`` interquartile ranges and the number of outliers by group."""
-    points = quantiles(df, c, (0.25, 0.5, 0.75), by)
+    points = quantiles(df, [c], (0.25, 0.5, 0.75), by)
     boxes = points.select(*by, *(F.col(f"q{i}").alias(n) for i, n in enumerate(("q1", "median", "q3"))))
     spread = (F.col("q3") - F.col("q1")) * reach
     inside = F.col(c).between(F.col("q1") - spread, F.col("q3") + spread)
-    joined = df.where(F.col(c).isNotNull()).join(boxes, list(by))
+    joined = join_groups(df.where(F.col(c).isNotNull()), boxes, by, "inner")
     return joined.groupBy(*by, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col(c))).alias("whisker_low"), F.max(F.when(inside, F.col(c))).alias("whisker_high"), F.count_if(~inside).alias("n_outliers")
     )

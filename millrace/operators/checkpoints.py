@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure(spark: SparkSession) -> None:
@@ -16,3 +17,14 @@ def ensure(spark: SparkSession) -> None:
         if not named and context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir is not set on this cluster")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in the checkpoint directory, read back. Unlike a checkpoint, the frame
+    read carries no constraints of the plan that made it, which in loops of joins multiply
+    until planning takes longer than the work."""
+    spark = df.sparkSession
+    ensure(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,4 +1,4 @@
-"""Clusters: density clustering, silhouettes, tiers, scoring, validation."""
+"""Clusters: neighbours, silhouettes, tiers, scoring, validation."""
 
 from __future__ import annotations
 
@@ -10,9 +10,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .checkpoints import ensure
 from .columns import as_column
-from .ordered import numbered
 
 #: Points of which an exact silhouette compares all pairs.
 MOST_POINTS = 50_000
@@ -25,7 +23,8 @@ def distance(columns: Sequence[str], a: str = "a", b: str = "b") -> Column:
 def neighbours(points: DataFrame, key: str, columns: Sequence[str], eps: float) -> DataFrame:
     """(a, b) keys of all ordered pairs within ``eps``, a point with itself included.
 
-    Points meet in grid cells of side ``eps`` on up to three columns, so the join has an equal
+    For points of which few lie within ``eps``, as its rows are those pairs; density.dbscan makes
+    none inside a dense cell. Points meet in grid cells of side ``eps`` on up to three columns, so the join has an equal
     key and only neighbouring cells are compared.
     """
     grid = columns[: min(3, len(columns))]
@@ -39,41 +38,6 @@ def neighbours(points: DataFrame, key: str, columns: Sequence[str], eps: float)
     return left.join(right, same).where(distance(columns) <= eps).select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"))
 
 
-def _settle(edges: DataFrame, rounds: int) -> DataFrame:
-    """(a, label): the smallest key reachable; labels are checkpointed each round."""
-    labels = edges.groupBy("a").agg(F.min("b").alias("label")).checkpoint()
-    for _ in range(rounds):
-        seen = labels.select(F.col("a").alias("b"), F.col("label").alias("l"))
-        least = edges.join(seen, "b").groupBy("a").agg(F.min("l").alias("label"))
-        jumped = least.alias("x").join(labels.alias("y"), F.col("x.label") == F.col("y.a")).select("x.a", F.least("x.label", "y.label").alias("label")).checkpoint()
-        changed = jumped.alias("n").join(labels.alias("o"), "a").where("n.label != o.label").isEmpty()
-        labels = jumped
-        if changed:
-            return labels
-    raise RuntimeError(f"labels not settled after {rounds} rounds")
-
-
-def dbscan(points: DataFrame, key: str, columns: Sequence[str], eps: float, min_pts: int, rounds: int = 60) -> DataFrame:
-    """(key, cluster): density clusters numbered from 0, noise -1.
-
-    A core point has ``min_pts`` points within ``eps``, itself counted; cores within ``eps``
-    share a cluster; another point joins the cluster of its core neighbour with the smallest
-    label. Clusters are numbered by their smallest core key.
-    """
-    ensure(points.sparkSession)
-    pairs = neighbours(points, key, columns, eps).checkpoint()
-    cores = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pts).select("a").checkpoint()
-    inner = pairs.join(cores, "a").join(cores.select(F.col("a").alias("b")), "b").select("a", "b")
-    if cores.isEmpty():
-        return points.select(key, F.lit(-1).alias("cluster"))
-    labels = _settle(inner, rounds)
-    reached = pairs.join(labels.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("border"))
-    # a core keeps its own component's label; all its core neighbours have the same one
-    numbers = numbered(labels.select("label").distinct(), ["label"]).select("label", F.col("_position").cast("int").alias("cluster"))
-    found = points.select(key).join(reached, F.col(key) == F.col("a"), "left").join(numbers, F.col("border") == F.col("label"), "left")
-    return found.select(key, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
-
-
 def silhouette(points: DataFrame, key: str, cluster: str, columns: Sequence[str], noise: object = -1) -> DataFrame:
     """(key, cluster, silhouette) by Euclidean distances between all pairs: for bounded samples.
 
@@ -90,24 +54,25 @@ def silhouette(points: DataFrame, key: str, cluster: str, columns: Sequence[str]
     return scored.select(key, "cluster", value.alias("silhouette"))
 
 
-def silhouette_squared(points: DataFrame, key: str, cluster: str, columns: Sequence[str], noise: object = -1) -> DataFrame:
-    """(key, cluster, silhouette) by squared Euclidean distances, from each cluster's sums.
+def silhouette_squared(points: DataFrame, key: str, cluster: str, columns: Sequence[str], noise: object = -1, by: Sequence[str] = ()) -> DataFrame:
+    """(by, key, cluster, silhouette) by squared Euclidean distances, from each cluster's sums.
 
     The squared distances from x to a cluster's n points add up to n |x|^2 - 2 x . sum + sum of
     squares, so a point meets each cluster once and no pair of points is made. Noise, lone
-    points and one cluster alone are as in silhouette().
+    points and one cluster alone are as in silhouette(). ``by`` tells several clusterings of
+    the same points apart.
     """
-    used = points.where(F.col(cluster) != F.lit(noise)).select(key, F.col(cluster).alias("cluster"), *columns)
+    used = points.where(F.col(cluster) != F.lit(noise)).select(*by, key, F.col(cluster).alias("cluster"), *columns)
     square = lambda of: reduce(add, (F.col(f"{of}{c}") * F.col(f"{of}{c}") for c in columns))
-    clusters = used.groupBy(F.col("cluster").alias("_other")).agg(F.count(F.lit(1)).alias("_n"), F.sum(square("")).alias("_square"), *(F.sum(c).alias(f"_sum_{c}") for c in columns))
+    clusters = used.groupBy(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("cluster").alias("_other")).agg(F.count(F.lit(1)).alias("_n"), F.sum(square("")).alias("_square"), *(F.sum(c).alias(f"_sum_{c}") for c in columns))
     # one row a cluster
-    met = used.crossJoin(F.broadcast(clusters))
+    met = used.join(F.broadcast(clusters), reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by), F.lit(True)))
     dot = reduce(add, (F.col(c) * F.col(f"_sum_{c}") for c in columns))
     total = F.greatest(F.lit(0.0), F.col("_n") * square("") - 2 * dot + F.col("_square"))
     own = F.col("_other") == F.col("cluster")
-    scored = met.groupBy(key, "cluster").agg(F.min(F.when(own, F.try_divide(total, F.col("_n") - 1))).alias("own"), F.min(F.when(~own, total / F.col("_n"))).alias("next"))
+    scored = met.groupBy(*by, key, "cluster").agg(F.min(F.when(own, F.try_divide(total, F.col("_n") - 1))).alias("own"), F.min(F.when(~own, total / F.col("_n"))).alias("next"))
     value = F.when(F.col("next").isNull(), F.lit(None)).when(F.col("own").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("next") - F.col("own"), F.greatest("next", "own")), F.lit(0.0)))
-    return scored.select(key, "cluster", value.alias("silhouette"))
+    return scored.select(*by, key, "cluster", value.alias("silhouette"))
 
 
 def assign_tiers(df: DataFrame, cluster: str, score: Column, tiers: Sequence[str], noise: object | None = None) -> DataFrame:

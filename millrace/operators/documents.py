@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from .checkpoints import ensure
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -20,15 +23,27 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 def reach(links: DataFrame, start: str, depth: int, most: int | None = None) -> DataFrame:
     """(url, depth) of pages reachable from ``start``, each once with its smallest depth.
 
-    Breadth first by frontier joins, at most ``depth`` rounds. ``most`` is a crawl budget: the
-    first so many pages by depth and URL.
+    Breadth first, at most ``depth`` rounds: each joins the pages found last to their links and
+    is written, so that the plan of a round does not hold those before it. ``most`` is a crawl
+    budget: the first so many pages by depth and URL; no round is begun once they are found.
     """
     spark = links.sparkSession
-    seen = frontier = spark.createDataFrame([(start, 0)], "url string, depth int")
+    ensure(spark)
+    links = links.select("url", "link").where("url is not null and link is not null").distinct().checkpoint()
+    found = [spark.createDataFrame([(start, 0)], "url string, depth int").checkpoint()]
+    seen, n = found[0], 1
     for step in range(1, depth + 1):
-        following = links.join(frontier.select("url"), "url").select(F.col("link").alias("url")).distinct()
-        frontier = following.join(seen, "url", "left_anti").withColumn("depth", F.lit(step))
-        seen = seen.unionByName(frontier)
+        following = links.join(found[-1].select("url"), "url").select(F.col("link").alias("url")).distinct()
+        frontier = following.join(seen, "url", "left_anti").withColumn("depth", F.lit(step)).checkpoint()
+        new = frontier.count()
+        if not new:
+            break
+        found.append(frontier)
+        n += new
+        # One frame of all before, so that a round's plan has two tables at any depth.
+        seen = seen.unionByName(frontier).checkpoint()
+        if most and n >= most:
+            break
     return seen.orderBy("depth", "url").limit(most) if most else seen
 
 
@@ -38,25 +53,50 @@ def chunks(docs: DataFrame, key: str, text: str, size: int = 1000, overlap: int
     return made.select(key, "chunk_no", (F.col("chunk_no") * (size - overlap)).alias("start_pos"), "chunk")
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str, vector: str, query_blocks: int = 4, vector_blocks: int = 64) -> DataFrame:
+def _best(k: int, rows: pa.Table, held: pa.Table) -> pa.Table:
+    """The k nearest of one block of vectors for each query of another block."""
+    rows, held = rows.combine_chunks(), held.combine_chunks()
+    out: list[tuple[int, int, float]] = []
+    if rows.num_rows and held.num_rows:
+        q, v = (np.array(t["x"].to_pylist(), float).reshape(t.num_rows, -1) for t in (rows, held))
+        asked, ids = rows["id"].to_numpy(), held["id"].to_numpy()
+        norms = np.sqrt((v * v).sum(1))
+        for at in range(0, len(q), 256):
+            own = q[at : at + 256]
+            with np.errstate(all="ignore"):
+                score = own @ v.T / (np.sqrt((own * own).sum(1))[:, None] * norms)
+            score[~np.isfinite(score) | (asked[at : at + 256, None] == ids)] = -np.inf
+            few = min(k, len(ids))
+            # All that are as near as the k-th, so that equal scores can go by id.
+            least = -np.partition(-score, few - 1, axis=1)[:, few - 1]
+            for name, row, low in zip(asked[at : at + 256], score, least):
+                hit = np.flatnonzero((row >= low) & np.isfinite(row))
+                hit = hit[np.lexsort((ids[hit], -row[hit]))[:few]]
+                out += zip([name] * len(hit), ids[hit].tolist(), row[hit].tolist())
+    columns = zip(*out) if out else [()] * 3
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "id", "score"])
+
+
+def top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str, vector: str, query_blocks: int = 4, block_rows: int = 20_000) -> DataFrame:
     """(query_id, rank, id, score): the k nearest by cosine, the query itself left out.
 
-    A stated set of queries against all rows, in blocks: each side is dealt to blocks and sent
-    once for each block of the other, so neither has to fit in one task. Norms are made once
-    a row. Equal scores go by id, zero vectors take no part.
+    A stated set of queries against all rows, in blocks: vectors are dealt to blocks of about
+    ``block_rows`` and sent once for each of ``query_blocks``; a task multiplies a block of
+    queries with a block of vectors and passes on k rows a query, so that what is shuffled
+    after it grows with queries and blocks, not with pairs. Equal scores go by id; vectors that
+    are null, zero or hold nulls take no part. Ids are long.
     """
-    block = lambda n: F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
+    x = F.transform(vector, lambda v: v.cast("double"))
+    good = lambda df: df.where(F.col(vector).isNotNull() & ~F.exists(vector, lambda v: v.isNull() | F.isnan(v.cast("double")))).select(F.col(id_col).cast("long").alias("id"), x.alias("x"))
+    blocks = max(1, -(-vectors.count() // block_rows))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector).alias("_q"), F.sqrt(dot(F.col(vector), F.col(vector))).alias("_qn"), block(query_blocks).alias("_a"), every(vector_blocks).alias("_b"))
-    held = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("_v"), F.sqrt(dot(F.col(vector), F.col(vector))).alias("_vn"), every(query_blocks).alias("_a"), block(vector_blocks).alias("_b"))
-    pairs = held.join(asked, ["_a", "_b"]).where("id != query_id")
-    scored = pairs.select("query_id", "id", F.try_divide(dot(F.col("_q"), F.col("_v")), F.col("_qn") * F.col("_vn")).alias("score")).where("score is not null")
+    asked = good(queries).select("id", "x", block(query_blocks).alias("_a"), every(blocks).alias("_b"))
+    held = good(vectors).select("id", "x", every(query_blocks).alias("_a"), block(blocks).alias("_b"))
+    near = asked.groupBy("_a", "_b").cogroup(held.groupBy("_a", "_b")).applyInArrow(lambda rows, vecs: _best(k, rows, vecs), "query_id long, id long, score double")
+    # k rows a query and block of vectors.
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    return near.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
 def sources(hits: DataFrame, rows: DataFrame, id_col: str, content: str, metadata: Sequence[str]) -> DataFrame:
@@ -93,10 +133,3 @@ def event_window(events: DataFrame, ts: str, now: Column, ahead: int, back: int,
         frames.append(events.where((F.col(ts) >= now - day(back)) & (F.col(ts) < now)).withColumn("direction", F.lit("past")).orderBy(order, *events.columns[:1]).limit(most))
     return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
 
-
-def render_records(df: DataFrame, key: str, template: str, fields: Sequence[Column], order: Sequence[str], empty: str = "No records") -> DataFrame:
-    """(key, text, n): each record by the template, in order, under a header with their number."""
-    record = df.select(key, *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), F.format_string(template, *fields).alias("_r"))
-    ordered = F.array_sort(F.collect_list(F.struct(*(f"_o{i}" for i in range(len(order))), "_r")))
-    made = record.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(ordered, lambda x: x["_r"]), "\n").alias("body"))
-    return made.select(key, F.when(F.col("n") > 0, F.format_string("RECORDS (%d)\n%s", "n", "body")).otherwise(empty).alias("text"), "n")

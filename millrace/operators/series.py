@@ -86,3 +86,48 @@ def ar1_forecast(df: DataFrame, key: str, t: str, y: str, steps: int) -> DataFra
     following = lambda s, i: F.struct(i.alias("step"), (F.col("a") + F.col("b") * s["dy"]).alias("dy"), (s["y"] + F.col("a") + F.col("b") * s["dy"]).alias("y"))
     path = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.array(start), lambda acc, i: F.concat(acc, F.array(following(F.element_at(acc, -1), i))))
     return fits.select(key, F.inline(F.slice(path, 2, steps))).select(key, "step", F.col("y").alias("forecast"))
+
+
+def _two_slopes(y: str, p: str, q: str) -> list[Column]:
+    """Intercept and slopes of ``y`` on ``p`` and ``q`` from one aggregate, by normal equations.
+
+    Where the two do not vary apart from each other, the first alone is used, then none.
+    """
+    has = F.col(y).isNotNull() & F.col(p).isNotNull() & F.col(q).isNotNull()
+    c = {n: F.when(has, F.col(n)) for n in (y, p, q)}
+    pp, qq, pq = F.var_pop(c[p]), F.var_pop(c[q]), F.covar_pop(c[p], c[q])
+    py, qy = F.covar_pop(c[p], c[y]), F.covar_pop(c[q], c[y])
+    whole = pp * qq - pq * pq
+    apart = F.coalesce(whole > 1e-12 * pp * qq, F.lit(False))
+    slope_p = F.coalesce(F.when(apart, F.try_divide(py * qq - qy * pq, whole)).otherwise(F.try_divide(py, pp)), F.lit(0.0))
+    slope_q = F.coalesce(F.when(apart, F.try_divide(qy * pp - py * pq, whole)), F.lit(0.0))
+    level = F.coalesce(F.avg(c[y]) - slope_p * F.avg(c[p]) - slope_q * F.avg(c[q]), F.lit(0.0))
+    return [level.alias("c0"), slope_p.alias("c1"), slope_q.alias("c2")]
+
+
+def arima_fit(df: DataFrame, key: str, t: str, y: str) -> DataFrame:
+    """(key, level, ar, ma, last, dy, shock): an ARIMA(1, 1, 1) of each series in two regressions.
+
+    First a long autoregression of differences, dy on the two before it, whose residuals stand
+    for the shocks; then dy on the difference and the shock before it (Hannan and Rissanen).
+    A series too short for either regression has a slope of 0. ``last``, ``dy`` and ``shock`` are
+    where a forecast starts from. A series is ordered in one task: it is one row a time.
+    """
+    own = Window.partitionBy(key).orderBy(t)
+    moved = df.select(key, t, F.col(y).cast("double").alias("_y")).withColumn("_d", F.col("_y") - F.lag("_y").over(own))
+    moved = moved.withColumns({"_d1": F.lag("_d").over(own), "_d2": F.lag("_d", 2).over(own)})
+    long_ar = moved.groupBy(F.col(key).alias("_k")).agg(*_two_slopes("_d", "_d1", "_d2"))
+    shocks = moved.join(long_ar, F.col(key).eqNullSafe(F.col("_k"))).withColumn("_e", F.col("_d") - F.col("c0") - F.col("c1") * F.col("_d1") - F.col("c2") * F.col("_d2")).drop("_k", "c0", "c1", "c2")
+    shocks = shocks.withColumn("_e1", F.lag("_e").over(own))
+    zero = lambda c: F.coalesce(F.max_by(c, t), F.lit(0.0))
+    level, ar, ma = _two_slopes("_d", "_d1", "_e1")
+    return shocks.groupBy(key).agg(level.alias("level"), ar.alias("ar"), ma.alias("ma"), F.max_by("_y", t).alias("last"), zero("_d").alias("dy"), zero("_e").alias("shock"))
+
+
+def arima_forecast(fits: DataFrame, key: str, steps: int) -> DataFrame:
+    """(key, step, forecast) from arima_fit(): the last shock counts in the first step only."""
+    first = F.col("level") + F.col("ar") * F.col("dy") + F.col("ma") * F.col("shock")
+    start = F.array(F.struct(F.lit(1).alias("step"), first.alias("dy"), (F.col("last") + first).alias("y")))
+    following = lambda s, i: F.struct(i.alias("step"), (F.col("level") + F.col("ar") * s["dy"]).alias("dy"), (s["y"] + F.col("level") + F.col("ar") * s["dy"]).alias("y"))
+    path = F.aggregate(F.slice(F.sequence(F.lit(1), F.lit(steps)), 2, max(1, steps - 1)), start, lambda acc, i: F.concat(acc, F.array(following(F.element_at(acc, -1), i))))
+    return fits.select(key, F.inline(path)).select(key, "step", F.col("y").alias("forecast"))

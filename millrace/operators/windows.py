@@ -7,16 +7,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .ordered import join_groups, numbered
+from .ordered import group_numbered, join_groups, numbered
 
 
-def group_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "place") -> DataFrame:
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+#: Rows of a group up to which one task sorts it.
+ONE_TASK = 1 << 20
+
+
+def group_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "place", one_task: int = ONE_TASK) -> DataFrame:
+    """1, 2, ... inside each group along ``order``, which should leave no ties.
+
+    Groups are counted first: where one has over ``one_task`` rows, all rows are dealt to ranges
+    of keys and order, so that a hot group is spread over tasks; else a window numbers them.
+    """
+    if df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > one_task).isEmpty():
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return group_numbered(df, keys, order).withColumn(out, (F.col("_position") + 1).cast("int")).select(*(c for c in df.columns if c != out), out)
 
 
 def top1(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row of each group in ``order``, which should leave no ties."""
-    return group_rank(df, keys, order, "_place").where("_place = 1").drop("_place")
+    """The first row of each group in ``order``, which should leave no ties.
+
+    The filter on the row number lets Spark keep one row a group where rows are read
+    (WindowGroupLimit), so that a hot group brings a row a task to the shuffle.
+    """
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
 def dedup_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

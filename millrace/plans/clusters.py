@@ -9,7 +9,7 @@ from pyspark.ml.feature import PCA
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import aggregate as A, cluster as K, columns as C, models as M, splits as S, windows as W
+from ..operators import aggregate as A, cluster as K, columns as C, density as N, models as M, splits as S, windows as W
 from .common import long, rounded, table
 
 FEATURES = ["internal", "hospitals", "pharmacies", "diversity", "density"]
@@ -109,25 +109,106 @@ def tier_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 TIER_PROFILE_SQL = f"with t as ({TIERS_SQL}), u as (unpivot t on {', '.join(FEATURES)} into name feature value mean) select tier, feature, mean, round((mean - min(mean) over w) / nullif(max(mean) over w - min(mean) over w, 0), 4) as scaled from u window w as (partition by feature)"
 
 
-def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors by their first dimensions."""
-    return table(spark, sf_dir, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"d{i}") for i in range(4)))
+DIMS = [f"d{i}" for i in range(64)]
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(d) for i, d in enumerate(DIMS)))
 
 
 def dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = K.dbscan(points(spark, sf_dir), "vec_id", ["d0", "d1", "d2"], 0.05, 4)
+    """Vectors by all their dimensions."""
+    made = N.dbscan(vectors(spark, sf_dir), "vec_id", DIMS, 1.1, 3)
     return made.select("vec_id", long("cluster").alias("cluster"))
 
 
+def _dbscan_sql(points: str, out: str, eps: float, min_pts: int, rounds: int) -> str:
+    """Labels spread over links of cores, ``rounds`` times; ``points``: k, x."""
+    return f"""
+with recursive pts as ({points}), pr as (select a.k as a, b.k as b from pts a join pts b on list_distance(a.x, b.x) <= {eps}::double),
+core as (select a from pr group by a having count(*) >= {min_pts}), ed as (select a, b from pr where a in (select a from core) and b in (select a from core)),
+lab as (select 0 as it, a, a as label from core union all select it + 1, ed.a, min(label) from lab join ed on lab.a = ed.b where it < {rounds} group by 1, 2),
+own as (select a, label from lab where it = {rounds}),
+found as (select a, label from own union all select pr.a, min(label) from pr join own on pr.b = own.a where pr.a not in (select a from core) group by 1),
+num as (select label, row_number() over (order by label) - 1 as cluster from (select distinct label from own))
+select k as {out}, coalesce(cluster, -1) as cluster from pts left join found on k = a left join num using (label)"""
+
+
+DBSCAN_SQL = _dbscan_sql("select vec_id as k, embedding::double[] as x from embeddings", "vec_id", 1.1, 3, 30)
+
+
+def dbscan_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers by balance, in quarters of 500, and nation: many equal points, full cells."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", (F.floor(F.col("c_acctbal") / 125) / 4.0).alias("x"), F.col("c_nationkey").cast("double").alias("y"))
+    return N.dbscan(rows, "c_custkey", ["x", "y"], 0.6, 4).select("c_custkey", long("cluster").alias("cluster"))
+
+
+DBSCAN_CELLS_SQL = _dbscan_sql("select c_custkey as k, [floor(c_acctbal / 125) / 4.0::double, c_nationkey::double] as x from customer", "c_custkey", 0.6, 4, 120)
+
+
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many suppliers lie within a distance of each, itself counted."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") / 1000).alias("x"), F.col("s_nationkey").cast("double").alias("y"))
+    return K.neighbours(rows, "s_suppkey", ["x", "y"], 1.5).groupBy(F.col("a").alias("s_suppkey")).agg(F.count(F.lit(1)).alias("n"), F.max("b").alias("last"))
+
+
+NEIGHBOURS_SQL = "select a.s_suppkey, count(*) as n, max(b.s_suppkey) as last from supplier a join supplier b on sqrt(((a.s_acctbal - b.s_acctbal) / 1000) ** 2 + (a.s_nationkey - b.s_nationkey) ** 2) <= 1.5 group by 1"
+EPS, MIN_PTS = [round(0.1 * i, 1) for i in range(1, 15)], range(2, 6)
+SCORES = ["silhouette_scaled", "noise_scaled", "score", "group_silhouette", "group_noise", "group_score"]
+
+
 def dbscan_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters, noise and MLlib's silhouette over settings, ranked inside each number of clusters."""
-    rows, from_points = [], points(spark, sf_dir)
-    for eps in (0.04, 0.05, 0.06):
-        for min_pts in (4, 5):
-            found = K.dbscan(from_points, "vec_id", ["d0", "d1", "d2"], eps, min_pts)
-            rows.append(found.agg(F.lit(eps).alias("eps"), F.lit(min_pts).alias("min_pts"), F.countDistinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("n_clusters"), F.avg((F.col("cluster") == -1).cast("double") * 100).alias("noise_pct")))
-    table_ = W.group_minmax(reduce(DataFrame.unionByName, rows), "noise_pct", ["n_clusters"], "group_noise")
-    return W.group_rank(table_, ["n_clusters"], [F.asc("group_noise"), F.asc("min_pts"), F.asc("eps")])
+    """All settings on vectors and on scaled suppliers: clusters, noise, silhouette without noise.
+
+    Settings with two to six clusters are scored, by squared distances; those of a positive
+    silhouette are scaled over all and inside their number of clusters, and ranked there by
+    silhouette less noise.
+    """
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("x"), F.col("s_nationkey").cast("double").alias("y"), (F.col("s_suppkey") % 17).cast("double").alias("z"))
+    experiments = {"vectors": (vectors(spark, sf_dir), "vec_id", DIMS), "suppliers": (K.standardised(suppliers, ["x", "y", "z"]), "s_suppkey", ["x", "y", "z"])}
+    rows, by = [], ["eps", "min_pts"]
+    for name, (points, key, columns) in experiments.items():
+        found = N.dbscan_settings(points, key, columns, EPS, MIN_PTS).checkpoint()
+        noise = F.count_if(F.col("cluster") == -1)
+        each = found.groupBy(*by).agg(F.countDistinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("n_clusters"), noise.alias("n_noise"), (noise * 100 / F.count(F.lit(1))).alias("noise_pct"))
+        scored = found.join(each.where("n_clusters between 2 and 6").select(*by), by, "left_semi").join(points, key)
+        means = K.silhouette_squared(scored, key, "cluster", columns, by=by).groupBy(*by).agg(F.avg("silhouette").alias("silhouette"))
+        rows.append(each.join(means, by, "left").select(F.lit(name).alias("experiment"), "*"))
+    made = reduce(DataFrame.unionByName, rows)
+    made = made.withColumns({"n_clusters": F.when(F.col("silhouette").isNull(), 0).otherwise(F.col("n_clusters")), "silhouette": F.coalesce("silhouette", F.lit(-1.0))}).checkpoint()
+    good = W.minmax(made.where("silhouette > 0"), ["silhouette", "noise_pct"]).withColumnRenamed("noise_pct_scaled", "noise_scaled")
+    good = W.group_minmax(W.group_minmax(good, "silhouette", ["n_clusters"], "group_silhouette"), "noise_pct", ["n_clusters"], "group_noise")
+    good = good.withColumns({"score": F.col("silhouette_scaled") - F.col("noise_scaled"), "group_score": rounded(F.col("group_silhouette") - F.col("group_noise"), 6)})
+    good = W.group_rank(good, ["n_clusters"], [F.desc("group_score"), F.asc("min_pts"), F.asc("experiment"), F.asc("eps")], "group_rank")
+    whole = made.join(good.select("experiment", *by, *SCORES, "group_rank"), ["experiment", *by], "left")
+    return whole.select("experiment", "eps", long("min_pts").alias("min_pts"), long("n_clusters").alias("n_clusters"), "n_noise", *(rounded(c, 6).alias(c) for c in ("noise_pct", "silhouette", *SCORES)), long("group_rank").alias("group_rank"))
+
+
+_SCALED = ", ".join(f"({c} - avg({c}) over ()) / stddev_pop({c}) over ()" for c in ("s_acctbal", "s_nationkey", "(s_suppkey % 17)"))
+DBSCAN_GRID_SQL = f"""
+with recursive pts as (select 'vectors' as experiment, vec_id as k, embedding::double[] as x from embeddings union all select 'suppliers', s_suppkey, [{_SCALED}] from supplier),
+pr as (select a.experiment, a.k as a, b.k as b, list_distance(a.x, b.x) as d from pts a join pts b on a.experiment = b.experiment),
+st as (select e / 10.0::double as eps, m as min_pts from range(1, 15) x(e), range(2, 6) y(m)),
+core as (select experiment, eps, min_pts, a from pr join st on d <= eps group by 1, 2, 3, 4 having count(*) >= min_pts),
+ed as (select c.experiment, c.eps, c.min_pts, c.a, p.b from core c join pr p on p.experiment = c.experiment and p.a = c.a and p.d <= c.eps join core o on o.experiment = c.experiment and o.eps = c.eps and o.min_pts = c.min_pts and o.a = p.b),
+lab as (select 0 as it, experiment, eps, min_pts, a, a as label from core
+  union all select it + 1, ed.experiment, ed.eps, ed.min_pts, ed.a, min(label) from lab join ed on lab.experiment = ed.experiment and lab.eps = ed.eps and lab.min_pts = ed.min_pts and lab.a = ed.b where it < 25 group by 1, 2, 3, 4, 5),
+own as (select * from lab where it = 25),
+fnd as (select experiment, eps, min_pts, a, label from own union all
+  select p.experiment, o.eps, o.min_pts, p.a, min(label) from pr p join own o on o.experiment = p.experiment and o.a = p.b and p.d <= o.eps
+  where not exists (select 1 from core c where c.experiment = p.experiment and c.eps = o.eps and c.min_pts = o.min_pts and c.a = p.a) group by 1, 2, 3, 4),
+tot as (select experiment, count(*) as n from pts group by 1),
+each as (select t.experiment, st.eps, st.min_pts, count(distinct label) as n_clusters, t.n - count(f.a) as n_noise, t.n from tot t cross join st left join fnd f on f.experiment = t.experiment and f.eps = st.eps and f.min_pts = st.min_pts group by 1, 2, 3, t.n),
+sc as (select f.* from fnd f join each e on e.experiment = f.experiment and e.eps = f.eps and e.min_pts = f.min_pts where n_clusters between 2 and 6),
+dd as (select x.experiment, x.eps, x.min_pts, x.a, x.label as c, y.label as o, avg(d * d) as d from sc x join sc y on x.experiment = y.experiment and x.eps = y.eps and x.min_pts = y.min_pts and x.a <> y.a join pr on pr.experiment = x.experiment and pr.a = x.a and pr.b = y.a group by 1, 2, 3, 4, 5, 6),
+mm as (select experiment, eps, min_pts, a, c, min(d) filter (o = c) as own, min(d) filter (o <> c) as nxt from dd group by 1, 2, 3, 4, 5),
+sil as (select experiment, eps, min_pts, avg(case when nxt is null then null when own is null then 0 else (nxt - own) / greatest(nxt, own) end) as s from mm group by 1, 2, 3),
+made as (select e.experiment, e.eps, e.min_pts, case when s is null then 0 else n_clusters end as n_clusters, n_noise, n_noise * 100.0::double / n as noise_pct, coalesce(s, -1) as silhouette from each e left join sil on sil.experiment = e.experiment and sil.eps = e.eps and sil.min_pts = e.min_pts),
+good as (select *, (silhouette - min(silhouette) over ()) / nullif(max(silhouette) over () - min(silhouette) over (), 0) as silhouette_scaled, (noise_pct - min(noise_pct) over ()) / nullif(max(noise_pct) over () - min(noise_pct) over (), 0) as noise_scaled,
+  (silhouette - min(silhouette) over w) / nullif(max(silhouette) over w - min(silhouette) over w, 0) as group_silhouette, (noise_pct - min(noise_pct) over w) / nullif(max(noise_pct) over w - min(noise_pct) over w, 0) as group_noise from made where silhouette > 0 window w as (partition by n_clusters)),
+rnk as (select *, silhouette_scaled - noise_scaled as score, round(group_silhouette - group_noise, 6) as group_score from good)
+select m.experiment, m.eps, m.min_pts, m.n_clusters, m.n_noise, round(m.noise_pct, 6) as noise_pct, round(m.silhouette, 6) as silhouette, {", ".join(f"round(r.{c}, 6) as {c}" for c in SCORES)}, r.group_rank
+from made m left join (select *, row_number() over (partition by n_clusters order by group_score desc nulls last, min_pts, experiment, eps) as group_rank from rnk) r on r.experiment = m.experiment and r.eps = m.eps and r.min_pts = m.min_pts"""
 
 
 def kmeans_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,8 +361,10 @@ QUERIES = {
     "silhouette": (silhouette, SILHOUETTE_SQL),
     "silhouette_squared": (silhouette_squared, SILHOUETTE_SQUARED_SQL),
     "noise_contrast": (noise_contrast, NOISE_SQL),
-    "dbscan": (dbscan, None),
-    "dbscan_grid": (dbscan_grid, None),
+    "dbscan": (dbscan, DBSCAN_SQL),
+    "dbscan_cells": (dbscan_cells, DBSCAN_CELLS_SQL),
+    "dbscan_grid": (dbscan_grid, DBSCAN_GRID_SQL),
+    "neighbours": (neighbours, NEIGHBOURS_SQL),
     "kmeans_sweep": (kmeans_sweep, None),
     "gmm": (gmm, None),
     "stability": (stability, None),

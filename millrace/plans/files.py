@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import columns as C, models as M
 from ..operators.checkpoints import ensure
+from ..operators.parts import text_parts, write_parts
 from ..sources import files
 from .common import long, rounded, table
 
@@ -71,16 +72,32 @@ REUSED_SQL = "select o_orderstatus, count(*) as n from orders group by 1"
 
 
 def whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file of rows as one text of JSON lines."""
+    """A file of rows as text of JSON lines, in parts of about 500 characters."""
     path = folder(spark, "texts")
     table(spark, sf_dir, "nation").select("n_nationkey", "n_name").coalesce(1).orderBy("n_nationkey").write.option("header", True).csv(path)
-    read = files.read_texts(spark, path, "csv")
-    return read.select(F.md5("content").alias("md5"), long(F.length("content")).alias("n_chars"))
+    read = files.read_texts(spark, path, "csv", 500)
+    return read.select("part", F.md5("content").alias("md5"), long(F.length("content")).alias("n_chars"))
 
 
 TEXTS_SQL = """
-with t as (select string_agg('{"n_nationkey":"' || n_nationkey || '","n_name":"' || n_name || '"}', chr(10) order by n_nationkey) as content from nation)
-select md5(content) as md5, length(content) as n_chars from t"""
+with t as (select n_nationkey as k, '{"n_nationkey":"' || n_nationkey || '","n_name":"' || n_name || '"}' as line from nation),
+n as (select *, sum(length(line) + 1) over (order by k) - length(line) - 1 as start from t),
+g as (select start // 500 as part, string_agg(line, chr(10) order by k) as content from n group by 1)
+select cast(part as bigint) as part, md5(content) as md5, length(content) as n_chars from g"""
+
+
+def written_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order comments as one long text, written as files in order and read back line by line."""
+    path = folder(spark, "parts")
+    orders = table(spark, sf_dir, "orders")
+    line = F.format_string("%d %s", "o_orderkey", "o_orderpriority")
+    parts = text_parts(orders, ["o_orderstatus"], ["o_orderkey"], F.char_length(line) + 1, line, "\n", 20_000)
+    write_parts(parts, path, ["o_orderstatus", "part"])
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("name"), "value")
+    return lines.select(F.split("value", " ", 2).alias("v")).select(long(F.col("v")[0]).alias("o_orderkey"), F.col("v")[1].alias("o_orderpriority"))
+
+
+WRITTEN_SQL = "select o_orderkey, o_orderpriority from orders"
 
 
 def saved_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +129,7 @@ QUERIES = {
     "feature_sets": (feature_sets, SETS_SQL),
     "reused_table": (reused_table, REUSED_SQL),
     "whole_texts": (whole_texts, TEXTS_SQL),
+    "written_parts": (written_parts, WRITTEN_SQL),
     "saved_model": (saved_model, SAVED_SQL),
     "selected_columns": (selected_columns, SELECTED_SQL),
 }

@@ -244,6 +244,21 @@ def corr_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 CORR_SQL = " union all ".join(f"select '{a}' as a, '{b}' as b, round(corr({a}, {b}), 4) as corr from lineitem" for i, a in enumerate(LINE_COLUMNS) for b in LINE_COLUMNS[i + 1 :])
 
 
+DIMENSIONS = 64
+
+
+def wide_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of the vectors' dimensions."""
+    dims = [f"d{i}" for i in range(DIMENSIONS)]
+    rows = table(spark, sf_dir, "embeddings").select(*(F.col("embedding")[i].alias(d) for i, d in enumerate(dims)))
+    return A.corr_matrix(rows, dims).select("a", "b", rounded("corr", 6).alias("corr"))
+
+
+WIDE_CORR_SQL = f"""
+with v as (select unnest(range(1, {DIMENSIONS + 1})) as i, embedding from embeddings), c as (select i, embedding, embedding[i]::double as x, unnest(range(i + 1, {DIMENSIONS + 1})) as j from v)
+select 'd' || (i - 1) as a, 'd' || (j - 1) as b, round(corr(x, embedding[j]::double), 6) as corr from c group by i, j"""
+
+
 def top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.top_features(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax", "l_linenumber"], 2).select("feature", rounded("corr").alias("corr"))
 
@@ -426,6 +441,7 @@ QUERIES = {
     "crosstab": (crosstab, CROSSTAB_SQL),
     "reindex": (reindexed, REINDEX_SQL),
     "corr_matrix": (corr_matrix, CORR_SQL),
+    "wide_corr": (wide_corr, WIDE_CORR_SQL),
     "top_features": (top_features, TOP_SQL),
     "histogram": (histogram, HISTOGRAM_SQL),
     "box_stats": (box_stats, BOX_SQL),

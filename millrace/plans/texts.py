@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 from ..operators import documents as D, series as Z
-from ..sources.files import render_pages
+from ..operators.parts import render_pages, render_records as records_text
 from .common import long, rounded, table
 
 NOW = "2024-01-15 12:00:00"
@@ -54,14 +54,19 @@ r as (select '0' as url, 0 as depth union select link, depth + 1 from r join lin
 select url, cast(min(depth) as bigint) as depth from r group by 1"""
 
 
+PART = 20_000
+
+
 def pages_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", T.host("url").alias("host"), "url", F.length("html").cast("string").alias("content"), (F.col("page_id") % 3).cast("int").alias("depth"))
-    return render_pages(pages, "host", "url", "content", "depth", ["page_id"])
+    """The visible text of each host's pages under headers, in parts of about PART characters."""
+    pages = table(spark, sf_dir, "pages").select("page_id", T.host("url").alias("host"), "url", T.html_text("html").alias("content"), (F.col("page_id") % 3).cast("int").alias("depth"))
+    return render_pages(pages, "host", "url", "content", "depth", ["page_id"], PART)
 
 
-PAGES_SQL = r"""
-with p as (select *, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) as host from pages), n as (select *, row_number() over (partition by host order by page_id) as i from p)
-select host, string_agg('--- Page ' || i || ': ' || url || ' (Depth ' || (page_id % 3) || ') ---' || chr(10) || length(html) || chr(10) || chr(10), '' order by i) as text from n group by 1"""
+PAGES_SQL = rf"""
+with c as ({HTML_SQL}), p as (select page_id, url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) as host, coalesce(content, '') as content from pages join c using (page_id)),
+n as (select *, row_number() over w as i, sum(length(content)) over w - length(content) as start from p window w as (partition by host order by page_id))
+select host, cast(start // {PART} as bigint) as part, string_agg('--- Page ' || i || ': ' || url || ' (Depth ' || (page_id % 3) || ') ---' || chr(10) || content || chr(10) || chr(10), '' order by i) as text, count(*) as n from n group by 1, 2"""
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,17 +148,22 @@ select * from (select event_id, ts, 'future' as direction from events where ts >
 select * from (select event_id, ts, 'past' as direction from events where ts >= timestamp '{NOW}' - interval 2 day and ts < timestamp '{NOW}' order by ts, event_id limit 50)"""
 
 
+RECORDS_PART = 400
+
+
 def render_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events of a type in time order as text, with a JSON field or a default."""
     events = table(spark, sf_dir, "events").withColumn("k", F.coalesce(F.get_json_object("props", "$.k"), F.lit("No k")))
     fields = [F.col("event_type"), F.date_format("ts", "yyyy-MM-dd HH:mm"), F.col("k")]
-    made = D.render_records(events, "user_id", "%s at %s: %s", fields, ["ts", "event_id"])
-    return made.select("user_id", F.md5("text").alias("text_md5"), "n")
+    made = records_text(events, "user_id", "%s at %s: %s", fields, ["ts", "event_id"], part=RECORDS_PART)
+    return made.select("user_id", "part", F.md5("text").alias("text_md5"), "n")
 
 
-RENDER_SQL = """
-select user_id, md5('RECORDS (' || count(*) || ')' || chr(10) || string_agg(event_type || ' at ' || strftime(ts, '%Y-%m-%d %H:%M') || ': ' || coalesce(json_extract_string(props, '$.k'), 'No k'), chr(10) order by ts, event_id)) as text_md5, count(*) as n
-from events group by 1"""
+RENDER_SQL = f"""
+with r as (select user_id, ts, event_id, event_type || ' at ' || strftime(ts, '%Y-%m-%d %H:%M') || ': ' || coalesce(json_extract_string(props, '$.k'), 'No k') as t from events),
+n as (select *, sum(length(t) + 1) over (partition by user_id order by ts, event_id rows unbounded preceding) - length(t) - 1 as start, count(*) over (partition by user_id) as n from r),
+g as (select user_id, start // {RECORDS_PART} as part, n, string_agg(t, chr(10) order by ts, event_id) as text from n group by 1, 2, 3)
+select user_id, cast(part as bigint) as part, md5(case when part = 0 then 'RECORDS (' || n || ')' || chr(10) else '' end || text) as text_md5, n from g"""
 
 
 def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,7 +248,32 @@ f as (select event_type, regr_slope(dy, before) as b, regr_intercept(dy, before)
 s as (select *, a + b * d0 as d1, a + b * (a + b * d0) as d2, a + b * (a + b * (a + b * d0)) as d3 from f)
 select event_type, 1::bigint as step, round(y0 + d1, 3) as forecast from s union all select event_type, 2, round(y0 + d1 + d2, 3) from s union all select event_type, 3, round(y0 + d1 + d2 + d3, 3) from s"""
 
+
+def arima(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three days ahead of each event type's daily values, with both regressions' coefficients."""
+    daily = table(spark, sf_dir, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.sum("value").alias("y"))
+    fits = Z.arima_fit(daily, "event_type", "day", "y")
+    made = Z.arima_forecast(fits, "event_type", 3).join(fits, "event_type")
+    return made.select("event_type", long("step").alias("step"), rounded("forecast", 3).alias("forecast"), *(rounded(c, 6).alias(c) for c in ("level", "ar", "ma")))
+
+
+def _slopes_sql(y: str, p: str, q: str, rows: str) -> str:
+    """Coefficients of y on p and q by type, from covariances."""
+    return f"""select event_type, {{my}} - b * mp - c * mq as a, b, c from (select *, (py * qq - qy * pq) / (pp * qq - pq * pq) as b, (qy * pp - py * pq) / (pp * qq - pq * pq) as c from (
+  select event_type, avg({y}) as my, avg({p}) as mp, avg({q}) as mq, var_pop({p}) as pp, var_pop({q}) as qq, covar_pop({p}, {q}) as pq, covar_pop({p}, {y}) as py, covar_pop({q}, {y}) as qy
+  from {rows} where {y} is not null and {p} is not null and {q} is not null group by 1))""".format(my="my")
+
+
+ARIMA_SQL = f"""
+with s as (select event_type, cast(ts as date) as day, sum(value) as y from events group by 1, 2), d as (select *, y - lag(y) over (partition by event_type order by day) as d from s),
+m as (select *, lag(d) over w as d1, lag(d, 2) over w as d2 from d window w as (partition by event_type order by day)), f as ({_slopes_sql("d", "d1", "d2", "m")}),
+e as (select m.*, d - a - b * d1 - c * d2 as e from m join f using (event_type)), g as (select *, lag(e) over (partition by event_type order by day) as e1 from e), h as ({_slopes_sql("d", "d1", "e1", "g")}),
+l as (select event_type, max_by(y, day) as y0, max_by(d, day) as d0, max_by(e, day) as e0 from g group by 1),
+p as (select *, a + b * d0 + c * e0 as s1 from h join l using (event_type)), q as (select *, a + b * s1 as s2, a + b * (a + b * s1) as s3 from p)
+select event_type, step, round(case step when 1 then y0 + s1 when 2 then y0 + s1 + s2 else y0 + s1 + s2 + s3 end, 3) as forecast, round(a, 6) as level, round(b, 6) as ar, round(c, 6) as ma from q, (select unnest([1, 2, 3]::bigint[]) as step)"""
+
 QUERIES = {
+    "arima_forecast": (arima, ARIMA_SQL),
     "html_text": (html_text, HTML_SQL),
     "page_links": (page_links, LINKS_SQL),
     "reach": (reach, REACH_SQL),

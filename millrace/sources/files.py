@@ -8,6 +8,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.parts import PART, text_parts
+
 
 def read_csv(spark: SparkSession, path: str, schema: str | StructType, sep: str = ",", corrupt: str | None = None) -> DataFrame:
     """CSV with a header and a declared schema. What does not fit becomes null; its line is
@@ -49,15 +51,19 @@ def materialise(make: Callable[[], DataFrame], spark: SparkSession, path: str) -
     return spark.read.parquet(path)
 
 
-def read_texts(spark: SparkSession, path: str, kind: str = "text") -> DataFrame:
-    """(path, content): each file as one text; rows of csv and json files as lines of JSON."""
+def read_texts(spark: SparkSession, path: str, kind: str = "text", part: int = PART) -> DataFrame:
+    """(path, part, content): each file as text; rows of csv and json files as lines of JSON.
+
+    Those come in parts of about ``part`` characters, so that a file of any length is read by
+    many tasks; the parts of a file follow each other with a line feed between them.
+    """
     if kind == "text":
-        return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+        return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.lit(0).cast("long").alias("part"), F.col("value").alias("content"))
     rows = spark.read.option("header", True).csv(path) if kind == "csv" else spark.read.json(path)
-    line = F.to_json(F.struct(*rows.columns))
-    numbered = rows.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("n"), line.alias("line"))
-    lines = F.array_sort(F.collect_list(F.struct("n", "line")))
-    return numbered.groupBy("path").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("content"))
+    where = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")]
+    lines = rows.select(*where, F.to_json(F.struct(*rows.columns)).alias("line"))
+    made = text_parts(lines, ["path"], ["block", "row"], F.char_length("line") + 1, F.col("line"), "\n", part)
+    return made.select("path", "part", F.col("text").alias("content"))
 
 
 def save_model(model: PipelineModel, path: str) -> None:
@@ -67,12 +73,3 @@ def save_model(model: PipelineModel, path: str) -> None:
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
-
-def render_pages(pages: DataFrame, key: str, url: str, content: str, depth: str, order: Sequence[str]) -> DataFrame:
-    """(key, text): each group's pages under ``--- Page i: url (Depth d) ---`` headers in order."""
-    from pyspark.sql.window import Window
-
-    numbered = pages.withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    block = F.format_string("--- Page %d: %s (Depth %d) ---\n%s\n\n", F.col("_i"), F.col(url), F.col(depth), F.coalesce(content, F.lit("")))
-    blocks = F.array_sort(F.collect_list(F.struct("_i", block.alias("block"))))
-    return numbered.groupBy(key).agg(F.array_join(F.transform(blocks, lambda x: x["block"]), "").alias("text"))

@@ -207,29 +207,6 @@ def test_event_stamps(spark):
     assert found == ["2024-01-02 03:04:05", "2024-01-02 02:04:05", "2024-01-02 00:00:00", "2024-01-02 03:04:05", "None", "None"]
 
 
-def brute_dbscan(points, eps, min_pts):
-    near = {k: [j for j, q in points.items() if math.dist(p, q) <= eps] for k, p in points.items()}
-    cores, label = {k for k, n in near.items() if len(n) >= min_pts}, {}
-    for k in sorted(cores):
-        if k not in label:
-            todo = [k]
-            while todo:
-                i = todo.pop()
-                if label.setdefault(i, k) == k:
-                    todo += [j for j in near[i] if j in cores and j not in label]
-    number = {root: i for i, root in enumerate(sorted(set(label.values())))}
-    return {k: number[label[k]] if k in cores else min((number[label[j]] for j in near[k] if j in cores), default=-1) for k in points}
-
-
-def test_dbscan_same_as_brute_force(spark):
-    rng = random.Random(2)
-    points = {i: (rng.gauss(i % 3 * 4, 0.6), rng.gauss(0, 0.6)) for i in range(90)} | {100: (50.0, 50.0)}
-    df = spark.createDataFrame([(k, *p) for k, p in points.items()], "k int, x double, y double")
-    found = {r.k: r.cluster for r in K.dbscan(df, "k", ["x", "y"], 0.5, 4).collect()}
-    assert found == brute_dbscan(points, 0.5, 4) and found[100] == -1 and len(set(found.values())) > 2
-    assert {r.cluster for r in K.dbscan(df, "k", ["x", "y"], 0.001, 4).collect()} == {-1}
-
-
 def test_silhouette_bounds_and_singletons(spark):
     df = spark.createDataFrame([(1, 0, 0.0), (2, 0, 1.0), (3, 1, 9.0), (4, -1, 5.0)], "k int, c int, x double")
     found = {r.k: r.silhouette for r in K.silhouette(df, "k", "c", ["x"]).collect()}
