@@ -61,7 +61,8 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     one shard is split along its widest metadata dimension where its bytes divide as its
     shards do, to ``tolerance`` of a shard. Equal texts go to the same shard, unless one text's
     rows outweigh ``whole`` of a shard: then a cut may pass between them. slot counts each shard's
-    rows from 0. Repeated rows and null ids are kept; an empty table gives no rows. Texts of any
+    rows from 0. Repeated rows and null ids are kept, each with a number of its own in the key, so that
+    they too are divided; an empty table gives no rows. Texts of any
     length are measured whole; one that outweighs a shard leaves its shard above the others.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -73,7 +74,8 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
         size.alias("size"),
         F.crc32("text").cast("long").alias("text_crc32"),
         F.shiftrightunsigned(F.xxhash64("text"), 64 - TEXT_BITS).alias("text_key"),
-        F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - ROW_BITS).alias("row_key"),
+        # The row's number parts rows that are equal in everything else.
+        F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), 64 - ROW_BITS).alias("row_key"),
         *(c.alias(name) for name, c in dims.items()),
     )
     rows = materialise(rows, "shard-rows")

@@ -53,6 +53,19 @@ def test_few_rows_repeated_rows_and_none(spark):
     assert sharding.shard(frame(spark, [(7, "only")]), 16).count() == 1
 
 
+def test_rows_equal_in_everything_are_divided(spark):
+    texts = [(7, "one row, many times " * 5)] * 1600
+    sizes = check(sharding.shard(frame(spark, texts), 16).collect(), texts, 16)
+    assert max(sizes) <= 1.05 * sum(sizes) / 16 and min(sizes) >= 0.95 * sum(sizes) / 16
+    # Half of the rows have no id.
+    texts = [(None, "no id at all " * 8)] * 800 + [(i, f"number {i:04d} " * 8) for i in range(800)]
+    rows = sharding.shard(frame(spark, texts), 16).collect()
+    sizes = [0] * 16
+    for r in rows:
+        sizes[r.shard] += r["size"]
+    assert len(rows) == 1600 and max(sizes) <= 1.05 * sum(sizes) / 16 and min(sizes) >= 0.95 * sum(sizes) / 16
+
+
 def measures(text):
     size, chars = len((text or "").encode()) + 1, len(text or "")
     return {"length": math.log2(size), "script": size / (chars + 1), "line": math.log2((chars + 1) / ((text or "").count("\n") + 1))}
