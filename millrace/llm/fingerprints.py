@@ -9,6 +9,7 @@ Jaccard likeness, or by chance, and the estimate corrects for chance.
 from __future__ import annotations
 
 import hashlib
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -25,6 +26,8 @@ WORDS = 5
 #: Words whose hashes a worker remembers.
 REMEMBERED = 200_000
 DRAWS = 64
+#: Bytes of text of a run, about.
+RUN_BYTES = 64 << 20
 ODD = np.random.default_rng(11).integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SALT = np.random.default_rng(12).integers(0, 1 << 63, BINS, dtype=np.uint64)
 
@@ -121,7 +124,8 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (run, copied, doc_id, text), sorted in each partition so that a row's next follows.
 
-    Ids are cut into runs at approximate quantiles. The first row of a run is also copied to
+    Ids are cut into runs at approximate quantiles, so many that a run has about RUN_BYTES; an id
+    of more rows than a run's is cut along the hash of the text. The first row of a run is also copied to
     the end of the run before it, that of the first run to the last: one row for each run, so
     every text is shuffled once and no task needs another's rows. Order is by id, then by a
     hash of the text; null ids come first.
@@ -129,15 +133,26 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("place", F.col("doc_id").cast("double"))
-    count = 2 * partitions(docs.sparkSession)
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    count = max(2 * partitions(docs.sparkSession), math.ceil((size["bytes"] or 0) / RUN_BYTES))
+    # Ids of more rows than a run should have, fewer than ``count``: they are cut by the hash.
+    hot = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(2, size["n"] / count)).collect()
     cuts = rows.approxQuantile("place", [i / count for i in range(1, count)], 0.2 / count)
-    splits = [-float("inf"), *(sorted(set(cuts)) or [0.0]), float("inf")]
+    cuts = {*cuts, *(float(h["doc_id"] + d) for h in hot if h["doc_id"] is not None for d in (0, 1))}
+    splits = [-float("inf"), *(sorted(cuts) or [0.0]), float("inf")]
     dealt = Bucketizer(splits=splits, inputCol="place", outputCol="slot", handleInvalid="keep").transform(rows)
-    dealt = dealt.withColumn("run", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("slot").cast("int"))).drop("slot", "place")
-    # At most ``count`` + 1 rows.
+    parts = [(h["doc_id"], math.ceil(h["n"] * count / size["n"])) for h in hot]
+    # Fewer than ``count`` rows.
+    parts = F.broadcast(docs.sparkSession.createDataFrame(parts, "h long, own long"))
+    dealt = dealt.join(parts, F.col("doc_id").eqNullSafe(F.col("h")), "left").withColumn("own", F.coalesce("own", F.lit(1)))
+    # The hash's range in equal steps, lowest first.
+    step = F.least(F.floor((F.col("tie") / 2.0**64 + 0.5) * F.col("own")), F.col("own") - 1)
+    slot = F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("slot").cast("long"))
+    dealt = dealt.withColumn("run", (slot * F.lit(2 * count) + step).cast("long")).drop("slot", "place", "h", "own")
+    # A row a run: a few times ``count``.
     heads = dealt.groupBy("run").agg(F.min(F.struct("doc_id", "tie")).alias("head")).orderBy("run").collect()
     back = [(h["head"]["doc_id"], h["head"]["tie"], heads[i - 1]["run"]) for i, h in enumerate(heads)]
-    copies = F.broadcast(docs.sparkSession.createDataFrame(back, "d long, t long, back int"))
+    copies = F.broadcast(docs.sparkSession.createDataFrame(back, "d long, t long, back long"))
     own = F.array(F.struct(F.col("run"), F.lit(False).alias("copied")))
     also = F.array(F.struct(F.col("run"), F.lit(False).alias("copied")), F.struct(F.col("back").alias("run"), F.lit(True).alias("copied")))
     joined = dealt.join(copies, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t")), "left")

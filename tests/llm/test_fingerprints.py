@@ -49,5 +49,17 @@ def test_equal_texts_repeats_nulls(spark):
     assert fp.fingerprint(docs).count() == 5
 
 
+def test_ids_of_most_rows_are_cut_into_runs(spark):
+    """Half of the rows have no id, a quarter one id; order is by id, then by the text's hash."""
+    rows = [(None if i % 2 else 5 if i % 4 == 0 else 10 + i, f"text {i} " * 3, "", "") for i in range(2000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    dealt = fp.with_next(docs, "doc_id", "text").where("not copied").groupBy("run").count().collect()
+    assert max(r["count"] for r in dealt) < 400
+    ties = {r.text: r.t for r in docs.selectExpr("text", "xxhash64(text) as t").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, ties[r[1]]))
+    want = sorted(hashlib.sha256(fp.edit(r[1], order[(k + 1) % len(order)][1]).encode()).hexdigest() for k, r in enumerate(order))
+    assert sorted(r.edited_sha256 for r in fp.compare_neighbours(docs).collect()) == want
+
+
 def test_likeness_of_unlike_short_texts():
     assert all(fp.likeness(fp.codes(f"only {i}"), fp.codes(f"other {i}")) < 0.2 for i in range(50))
