@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.clustering import GaussianMixture, KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator, Evaluator
+from pyspark.ml.clustering import GaussianMixture
+from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -33,6 +33,24 @@ def one_hot(columns: Sequence[str]) -> list[Estimator]:
     ]
 
 
+def level_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name, level, n): how often each slot of the one-hot codes is set."""
+    model = Pipeline(stages=one_hot(columns)).fit(df)
+    hot = model.transform(df).select(*(vector_to_array(f"{c}_hot").alias(c) for c in columns))
+    levels = dict(zip(columns, model.stages[0].labelsArray))
+    row = hot.agg(*(F.sum(F.col(c)[i]).alias(f"{c}_{i}") for c in columns for i in range(len(levels[c]))))
+    items = (F.struct(F.lit(c).alias("column_name"), F.lit(v).alias("level"), F.col(f"{c}_{i}").cast("long").alias("n")) for c in columns for i, v in enumerate(levels[c]))
+    return row.select(F.inline(F.array(*items)))
+
+
+def rebuilt_correlations(model: PipelineModel, df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(a, b, corr) as the components of a pca() with all of them give it: the sum of loadings
+    times variances, which is each pair's correlation if the components are right."""
+    parts = loadings(model, df, columns).join(explained(model, df), "component")
+    left, right = parts.select("component", F.col("feature").alias("a"), F.col("loading").alias("la"), "variance"), parts.select("component", F.col("feature").alias("b"), F.col("loading").alias("lb"))
+    return left.join(right, "component").where("a <= b").groupBy("a", "b").agg((F.sum(F.col("la") * F.col("lb") * F.col("variance")) * len(columns)).alias("corr"))
+
+
 def preprocessor(numeric: Sequence[str], categorical: Sequence[str]) -> list[Estimator]:
     parts = [*standardise(numeric, "scaled"), *(one_hot(categorical) if categorical else [])]
     return [*parts, VectorAssembler(inputCols=["scaled", *(f"{c}_hot" for c in categorical)], outputCol="features")]
@@ -56,39 +74,10 @@ def loadings(model: PipelineModel, df: DataFrame, columns: Sequence[str]) -> Dat
     return df.sparkSession.createDataFrame(rows, "feature string, component int, loading double")
 
 
-def kmeans_sweep(df: DataFrame, variants: Mapping[str, Sequence[Estimator]], ks: Iterable[int], seed: int = 42) -> DataFrame:
-    """(variant, k, silhouette, inertia): the driver loops over settings, each fit is distributed.
-
-    The silhouette is MLlib's, on squared distances.
-    """
-    rows, judge = [], ClusteringEvaluator()
-    for name, stages in variants.items():
-        ready = Pipeline(stages=list(stages)).fit(df).transform(df).select("features").cache()
-        for k in ks:
-            model = KMeans(k=k, seed=seed).fit(ready)
-            rows.append((name, k, judge.evaluate(model.transform(ready)), model.summary.trainingCost))
-        ready.unpersist()
-    return df.sparkSession.createDataFrame(rows, "variant string, k int, silhouette double, inertia double")
-
-
 def gmm(stages: Sequence[Estimator], k: int, seed: int = 42) -> Pipeline:
     return Pipeline(stages=[*stages, GaussianMixture(k=k, seed=seed)])
 
 
-def stability_runs(df: DataFrame, key: str, k: int, seeds: Sequence[int]) -> DataFrame:
-    """(key, seed, label) of k-means runs over ``features``.
-
-    Labels are ordered by the centres' first coordinates, so that runs agree on names.
-    """
-    runs = []
-    for seed in seeds:
-        model = KMeans(k=k, seed=seed).fit(df)
-        order = sorted(range(k), key=lambda i: tuple(model.clusterCenters()[i]))
-        names = F.array(*(F.lit(order.index(i)) for i in range(k)))
-        runs.append(model.transform(df).select(key, F.lit(seed).alias("seed"), names[F.col("prediction")].alias("label")))
-    return reduce(DataFrame.unionByName, runs)
-
-
 def regressor(kind: str, numeric: Sequence[str], label: str, categorical: Sequence[str] = (), **params) -> Pipeline:
     """linear (normal equations), forest or boosted trees behind scaling and one-hot codes."""
     made = {"linear": LinearRegression, "forest": RandomForestRegressor, "boosted": GBTRegressor}[kind]
@@ -111,6 +100,12 @@ def search(pipeline: Pipeline, grid: Mapping[str, Sequence], judge: Evaluator, f
     return TrainValidationSplit(trainRatio=0.8, seed=42, **shared)
 
 
+def chosen(model, grid: Mapping[str, Sequence]) -> str:
+    """The setting of a fitted search()'s best model, as text."""
+    last = model.bestModel.stages[-1]
+    return ", ".join(f"{name} {last.getOrDefault(last.getParam(name))}" for name in grid)
+
+
 def majority_baseline(train: DataFrame, test: DataFrame, label: str, out: str = "prediction") -> DataFrame:
     """The training rows' commonest label, the smaller on ties, for every test row."""
     common = train.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
@@ -145,5 +140,6 @@ def per_target(train: DataFrame, test: DataFrame, targets: Sequence[str], make:
 
 
 def vector_columns(df: DataFrame, vector: str, names: Sequence[str]) -> DataFrame:
+    """``df`` with a column for each entry of a vector."""
     array = vector_to_array(vector)
     return df.select("*", *(array[i].alias(n) for i, n in enumerate(names)))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import PCA
+import numpy as np
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import aggregate as A, cluster as K, columns as C, density as N, models as M, splits as S, windows as W
+from ..operators import aggregate as A, cluster as K, columns as C, density as N, models as M, splits as S, sweeps as V, windows as W
+from ..operators.checkpoints import written
 from .common import long, rounded, table
 
 FEATURES = ["internal", "hospitals", "pharmacies", "diversity", "density"]
@@ -211,13 +211,43 @@ select m.experiment, m.eps, m.min_pts, m.n_clusters, m.n_noise, round(m.noise_pc
 from made m left join (select *, row_number() over (partition by n_clusters order by group_score desc nulls last, min_pts, experiment, eps) as group_rank from rnk) r on r.experiment = m.experiment and r.eps = m.eps and r.min_pts = m.min_pts"""
 
 
+def sweep_points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, list[str]]]:
+    """Centres with scaled features and two component scores, and the variants' columns."""
+    scaled = K.standardised(centres(spark, sf_dir), FEATURES)
+    scored = M.vector_columns(M.pca(FEATURES, 2).fit(scaled).transform(scaled), "scores", ["s0", "s1"])
+    return written(scored.select("p_partkey", *FEATURES, "s0", "s1")), {"scaled": FEATURES, "pca2": ["s0", "s1"]}
+
+
 def kmeans_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = centres(spark, sf_dir)
-    variants = {"scaled": M.standardise(FEATURES), "pca2": [*M.standardise(FEATURES, "scaled"), PCA(k=2, inputCol="scaled", outputCol="features")]}
-    swept = M.kmeans_sweep(rows, variants, range(2, 10))
+    """Two to nine clusters of scaled features and of two components, ranked by silhouette."""
+    rows, variants = sweep_points(spark, sf_dir)
+    found = V.fit(rows, variants, V.starts(rows, "p_partkey", variants, range(2, 10), [42]))
+    swept = V.score(rows, variants, found).drop("seed", "n_clusters")
     return W.group_rank(swept, ["k"], [F.desc("silhouette"), F.asc("variant")])
 
 
+def lloyd_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round from the first parts as centres, for all numbers of clusters at once."""
+    rows = written(K.standardised(centres(spark, sf_dir), FEATURES))
+    first = np.array([tuple(r) for r in rows.orderBy("p_partkey").limit(9).select(*FEATURES).collect()])
+    variants = {"scaled": FEATURES}
+    moved = V.fit(rows, variants, {V.Setting("scaled", k, 0): first[:k] for k in range(2, 10)}, rounds=1)
+    return V.score(rows, variants, moved).select(long("k").alias("k"), rounded("inertia", 4).alias("inertia"), rounded("silhouette", 6).alias("silhouette"))
+
+
+_FAR = "list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) ** 2))"
+LLOYD_SQL = f"""
+with {CENTRES}, s as (select p_partkey as i, [{", ".join(f"({c} - avg({c}) over ()) / stddev_pop({c}) over ()" for c in FEATURES)}] as x from p),
+k as (select unnest(range(2, 10)) as k), f as (select row_number() over (order by i) - 1 as c, x from s), c0 as (select k, c, x from k join f on c < k),
+a0 as (select k, c.c, p.i, p.x, row_number() over (partition by k, p.i order by {_FAR}, c.c) as r from s p cross join c0 c),
+m0 as (select k, c, [{", ".join(f"avg(x[{i + 1}])" for i in range(len(FEATURES)))}] as x from a0 where r = 1 group by 1, 2), c1 as (select k, c, coalesce(m0.x, c0.x) as x from c0 left join m0 using (k, c)),
+a1 as (select k, c.c, p.i, p.x, {_FAR} as d, row_number() over (partition by k, p.i order by {_FAR}, c.c) as r from s p cross join c1 c), own as (select * from a1 where r = 1),
+g as (select k, c, count(*) as n, sum({" + ".join(f"x[{i + 1}] ** 2" for i in range(len(FEATURES)))}) as q, [{", ".join(f"sum(x[{i + 1}])" for i in range(len(FEATURES)))}] as x from own group by 1, 2),
+w as (select p.k, p.i, p.c, g.c as o, g.n, greatest(0, g.n * ({" + ".join(f"p.x[{i + 1}] ** 2" for i in range(len(FEATURES)))}) - 2 * ({" + ".join(f"p.x[{i + 1}] * g.x[{i + 1}]" for i in range(len(FEATURES)))}) + g.q) as t from own p join g on p.k = g.k),
+v as (select k, i, min(t / nullif(n - 1, 0)) filter (o = c) as mine, min(t / n) filter (o <> c) as other, max(n) filter (o = c) as n from w group by 1, 2)
+select k, round(inertia, 4) as inertia, round(sil, 6) as silhouette from (select k, sum(d) as inertia from own group by 1) join (select k, avg(case when n > 1 then coalesce((other - mine) / nullif(greatest(other, mine), 0), 0) else 0 end) as sil from v group by 1) using (k)"""
+
+
 def gmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = centres(spark, sf_dir)
     made = M.gmm(M.standardise(FEATURES), 3).fit(rows).transform(rows)
@@ -225,9 +255,40 @@ def gmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = sweep_points(spark, sf_dir)
+    variants = {"scaled": FEATURES}
+    found = V.fit(rows, variants, V.starts(rows, "p_partkey", variants, [3], SEEDS))
+    return K.stability(V.assign(rows, "p_partkey", variants, found), "p_partkey", "label")
+
+
+def modal_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's commonest order priority, as labels of repeated runs."""
+    runs = table(spark, sf_dir, "orders").select("o_custkey", F.substring("o_orderpriority", 1, 1).cast("int").alias("label"))
+    return K.stability(runs, "o_custkey", "label").select("o_custkey", long("modal").alias("modal"), rounded("agreement", 6).alias("agreement"))
+
+
+MODAL_SQL = """
+with c as (select o_custkey, cast(substr(o_orderpriority, 1, 1) as bigint) as label, count(*) as n from orders group by 1, 2),
+r as (select *, sum(n) over (partition by o_custkey) as total, row_number() over (partition by o_custkey order by n desc, label) as place from c)
+select o_custkey, label as modal, round(n / total, 6) as agreement from r where place = 1"""
+
+
+def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.level_counts(table(spark, sf_dir, "lineitem"), HOT)
+
+
+HOT = ["l_returnflag", "l_linestatus"]
+ONE_HOT_SQL = " union all ".join(f"select '{c}' as column_name, {c} as level, count(*) as n from lineitem where {c} is not null group by 2" for c in HOT)
+
+
+def pca_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlations of all features from all their components."""
     rows = centres(spark, sf_dir)
-    ready = Pipeline(stages=M.standardise(FEATURES)).fit(rows).transform(rows)
-    return K.stability(M.stability_runs(ready, "p_partkey", 3, SEEDS), "p_partkey", "label")
+    made = M.rebuilt_correlations(M.pca(FEATURES, len(FEATURES)).fit(rows), rows, FEATURES)
+    return made.select("a", "b", rounded("corr", 6).alias("corr"))
+
+
+PCA_REBUILT_SQL = f"with {CENTRES} " + " union all ".join(f"select '{min(a, b)}' as a, '{max(a, b)}' as b, round(corr({a}, {b}), 6) as corr from p" for i, a in enumerate(FEATURES) for b in FEATURES[i:])
 
 
 def pca(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,12 +313,37 @@ LINEAR_SQL = "select round(regr_slope(l_extendedprice, l_quantity), 3) as slope,
 
 
 def regressors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held-out metrics of three regressors on lines' prices; the forest's depth is searched."""
+    """Held-out metrics of three regressors and the training mean on lines' prices.
+
+    Depth and trees of the forest are searched by three folds of orders, depth and rate of the
+    boosted trees by one split; the settings that won and their score are beside the metrics.
+    """
     rows = lines(spark, sf_dir)
-    train, test, judge = rows.where("not is_test").cache(), rows.where("is_test"), RegressionEvaluator(labelCol="price", metricName="rmse")
-    forest = M.search(M.regressor("forest", LINES, "price", ["l_returnflag"], numTrees=5), {"maxDepth": [3, 5]}, judge)
-    fits = {"linear": M.regressor("linear", LINES, "price", ["l_returnflag"]), "forest": forest, "boosted": M.regressor("boosted", LINES, "price", ["l_returnflag"], maxIter=5)}
-    return A.model_table({name: A.regression_metrics(fit.fit(train).transform(test), "price", "prediction") for name, fit in fits.items()})
+    train, test, judge = S.kfold(rows.where("not is_test"), ["l_orderkey"], 3).cache(), rows.where("is_test"), RegressionEvaluator(labelCol="price", metricName="rmse")
+    forest = M.search(M.regressor("forest", LINES, "price", ["l_returnflag"]), FOREST_GRID, judge, folds=3, fold_col="fold", parallelism=4).fit(train)
+    boosted = M.search(M.regressor("boosted", LINES, "price", ["l_returnflag"], maxIter=5), BOOSTED_GRID, judge, parallelism=4).fit(train)
+    linear = M.regressor("linear", LINES, "price", ["l_returnflag"]).fit(train)
+    mean = test.crossJoin(F.broadcast(train.agg(F.avg("price").alias("prediction"))))
+    found = {"linear": linear.transform(test), "forest": forest.transform(test), "boosted": boosted.transform(test), "mean": mean}
+    made = A.model_table({name: A.regression_metrics(df, "price", "prediction") for name, df in found.items()})
+    best = spark.createDataFrame([("forest", M.chosen(forest, FOREST_GRID), float(min(forest.avgMetrics))), ("boosted", M.chosen(boosted, BOOSTED_GRID), float(min(boosted.validationMetrics)))], "model string, setting string, searched_rmse double")
+    return made.join(F.broadcast(best), "model", "left")
+
+
+FOREST_GRID, BOOSTED_GRID, CLASSIFIER_GRID = {"maxDepth": [3, 6], "numTrees": [5, 10]}, {"maxDepth": [2, 4], "stepSize": [0.1, 0.3]}, {"maxDepth": [3, 6], "numTrees": [10, 20]}
+
+
+def better_than_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training mean's error of a charge that follows from a line's numbers, on held-out
+    lines, and whether small models of each kind have less."""
+    charge = F.col("l_quantity") * 2 + F.col("l_discount") * 100 + F.col("price") / 10
+    rows = lines(spark, sf_dir).withColumn("charge", charge)
+    train, test = rows.where("not is_test").cache(), rows.where("is_test")
+    fits = {"linear": M.regressor("linear", LINES, "charge"), "forest": M.regressor("forest", LINES, "charge", numTrees=3, maxDepth=3), "boosted": M.regressor("boosted", LINES, "charge", maxIter=2, maxDepth=3)}
+    made = A.model_table({name: A.regression_metrics(fit.fit(train).transform(test), "charge", "prediction") for name, fit in fits.items()})
+    mean = test.crossJoin(F.broadcast(train.agg(F.avg("charge").alias("prediction"))))
+    base = A.regression_metrics(mean, "charge", "prediction").select(F.col("rmse").alias("mean_rmse"), F.col("mae").alias("mean_mae"))
+    return made.crossJoin(F.broadcast(base)).select("model", "n", (F.col("rmse") < F.col("mean_rmse")).alias("better"), rounded("mean_rmse", 6).alias("mean_rmse"), rounded("mean_mae", 6).alias("mean_mae"))
 
 
 def per_target(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,6 +363,11 @@ PER_TARGET_SQL = f"with {_LINES_SQL} " + " union all ".join(
 )
 
 
+BETTER_SQL = f"""
+with {_LINES_SQL}, h as (select is_test, l_quantity * 2 + l_discount * 100 + price / 10 as charge from l), e as (select charge - (select avg(charge) from h where not is_test) as e from h where is_test)
+select model, count(*) as n, true as better, round(sqrt(avg(e * e)), 6) as mean_rmse, round(avg(abs(e)), 6) as mean_mae from e cross join (values ('linear'), ('forest'), ('boosted')) m(model) group by 1"""
+
+
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions of held-out lines with truth, error and accuracy band."""
     rows = lines(spark, sf_dir)
@@ -336,16 +427,18 @@ RANGES_SQL = " union all ".join(f"select '{c}' as column_name, min({c})::double
 
 
 def classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality from simple counts: forest by folds and the majority baseline, held out."""
+    """Quality from simple counts: the best of a grid of forests by folds and the majority
+    baseline, held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", F.length(F.regexp_replace("text", "[^|#%&$!]", "")).alias("marks"))
     rows = S.split_stratified(table(spark, sf_dir, "labels").join(docs, "doc_id").select("*", F.col("quality").cast("double").alias("y")), "doc_id", "quality", 0.2)
     train, test = S.kfold(rows.where("not is_test"), ["doc_id"], 3), rows.where("is_test")
-    pipeline = M.classifier(["n_chars", "marks"], "y", ["lang"], numTrees=10)
+    pipeline = M.classifier(["n_chars", "marks"], "y", ["lang"])
     judge = MulticlassClassificationEvaluator(labelCol="y", metricName="accuracy")
-    model = M.search(pipeline, {"maxDepth": [4]}, judge, folds=3, fold_col="fold").fit(train)
+    model = M.search(pipeline, CLASSIFIER_GRID, judge, folds=3, fold_col="fold", parallelism=4).fit(train)
     found = {"forest": model.transform(test), "majority": M.majority_baseline(train, test, "y")}
     made = A.model_table({name: A.binary_metrics(df, "y", "prediction", 1.0) for name, df in found.items()})
-    return made.withColumn("cv_accuracy", F.when(F.col("model") == "forest", F.lit(float(model.avgMetrics[0]))))
+    own = F.col("model") == "forest"
+    return made.withColumns({"cv_accuracy": F.when(own, F.lit(float(max(model.avgMetrics)))), "setting": F.when(own, F.lit(M.chosen(model, CLASSIFIER_GRID)))})
 
 
 def importances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -367,8 +460,13 @@ QUERIES = {
     "neighbours": (neighbours, NEIGHBOURS_SQL),
     "kmeans_sweep": (kmeans_sweep, None),
     "gmm": (gmm, None),
+    "lloyd_step": (lloyd_step, LLOYD_SQL),
     "stability": (stability, None),
+    "modal_label": (modal_label, MODAL_SQL),
+    "one_hot": (one_hot, ONE_HOT_SQL),
     "pca": (pca, None),
+    "pca_rebuilt": (pca_rebuilt, PCA_REBUILT_SQL),
+    "better_than_mean": (better_than_mean, BETTER_SQL),
     "linear": (linear, LINEAR_SQL),
     "regressors": (regressors, None),
     "per_target": (per_target, PER_TARGET_SQL),
