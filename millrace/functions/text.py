@@ -2,18 +2,39 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, functions as F
 
 from ..operators.columns import as_column
 
 
+def unescaped(text: Column | str) -> Column:
+    """Character references decoded once: HTML 4's names, decimal and hexadecimal numbers.
+
+    A no-break space becomes a space, a number that is no character U+FFFD; a name that is not
+    known, or a reference without its semicolon, stays.
+    """
+    pieces = F.split(as_column(text), "&")
+    names = F.create_map(*(F.lit(x) for name, code in sorted(name2codepoint.items()) for x in (name, " " if name == "nbsp" else chr(code))), F.lit("apos"), F.lit("'"))
+
+    def decoded(piece: Column) -> Column:
+        name = F.regexp_extract(piece, "^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        code = F.when(name.rlike("^#[xX]"), F.conv(F.substr(name, F.lit(3)), 16, 10)).otherwise(F.substr(name, F.lit(2))).cast("long")
+        real = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code < 0x110000))
+        number = F.when(code == 160, " ").when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        character = F.when(name.startswith("#"), number).when(name != "", F.try_element_at(names, name))
+        return F.when(character.isNull(), F.concat(F.lit("&"), piece)).otherwise(F.concat(character, F.substr(piece, F.length(name) + 2)))
+
+    rest = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), decoded)
+    return F.concat(pieces[0], F.array_join(rest, ""))
+
+
 def html_text(html: Column | str) -> Column:
-    """Visible text: scripts, styles and comments out, tags stripped, common entities decoded,
+    """Visible text: scripts, styles and comments out, tags stripped, references decoded,
     stretches without line ends or double spaces trimmed and joined by one space."""
     text = F.regexp_replace(as_column(html), r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "")
-    text = F.regexp_replace(F.regexp_replace(text, r"(?s)<!--.*?-->", ""), r"(?s)<[^>]*>", "")
-    for entity, character in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(character))
+    text = unescaped(F.regexp_replace(F.regexp_replace(text, r"(?s)<!--.*?-->", ""), r"(?s)<[^>]*>", ""))
     parts = F.transform(F.split(text, r"\r\n|\r|\n|  "), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
     return F.array_join(F.filter(parts, lambda x: x != ""), " ")
 

@@ -20,7 +20,8 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STRIPPED = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?s)<[^>]*>', '', 'g')"
-_DECODED = f"replace(replace(replace(replace(replace(replace({_STRIPPED}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+# The references that the tables have, and a few more.
+_DECODED = f"replace(replace(replace(replace(replace(replace(replace(replace({_STRIPPED}, '&middot;', '\u00b7'), '&copy;', '\u00a9'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
 HTML_SQL = rf"select page_id, list_aggregate(list_filter(list_transform(regexp_split_to_array({_DECODED}, '\r\n|\r|\n|  '), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), 'string_agg', ' ') as content from pages"
 
 
@@ -54,6 +55,23 @@ r as (select '0' as url, 0 as depth union select link, depth + 1 from r join lin
 select url, cast(min(depth) as bigint) as depth from r group by 1"""
 
 
+def reach_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred orders by steps from the first, over customers' orders in key order."""
+    return D.reach(order_links(spark, sf_dir), "1", 50, 100).select("url", long("depth").alias("depth"))
+
+
+def order_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order k leads to 2 k and 2 k + 1 where there are such orders of another customer."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    to = orders.select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
+    made = orders.withColumn("k", F.explode(F.array(F.col("o_orderkey") * 2, F.col("o_orderkey") * 2 + 1))).join(to, "k").where("c != o_custkey")
+    return made.select(F.col("o_orderkey").cast("string").alias("url"), F.col("k").cast("string").alias("link"))
+
+
+REACH_CAPPED_SQL = """
+with recursive l as (select cast(a.o_orderkey as varchar) as url, cast(b.o_orderkey as varchar) as link from orders a join orders b on b.o_orderkey // 2 = a.o_orderkey and a.o_custkey <> b.o_custkey),
+r as (select '1' as url, 0 as depth union select link, depth + 1 from r join l using (url) where depth < 50)
+select url, cast(min(depth) as bigint) as depth from r group by 1 order by 2, 1 limit 100"""
 PART = 20_000
 
 
@@ -79,6 +97,27 @@ select doc_id, i as chunk_no, i * 900 as start_pos, md5(substr(text, i * 900 + 1
   select doc_id, text, unnest(range(cast(ceil(greatest(length(text) - 100, 1) / 900.0) as bigint))) as i from documents where length(text) > 0)"""
 
 
+def chunks_at_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents cut at breaks: what the pieces make together, and whether each is short enough."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.chunk_at_breaks("text", 700).alias("c"))
+    fits = F.forall("c", lambda x: F.char_length(x) <= 700)
+    return docs.select("doc_id", F.md5(F.array_join("c", "")).alias("text_md5"), fits.alias("fits"), (F.size("c") > 0).alias("has_pieces"))
+
+
+CHUNKS_AT_BREAKS_SQL = "select doc_id, md5(text) as text_md5, true as fits, length(text) > 0 as has_pieces from documents"
+
+
+def event_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event times from texts of four forms: by zone, by offset, without either, the day alone."""
+    form = F.col("event_id") % 4
+    second = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    written = F.when(form == 0, F.concat(second, F.lit("Z"))).when(form == 1, F.concat(second, F.lit("+02:00"))).when(form == 2, second).otherwise(F.date_format("ts", "yyyy-MM-dd"))
+    return table(spark, sf_dir, "events").select("event_id", F.date_format(T.event_start(written), "yyyy-MM-dd HH:mm:ss").alias("start"))
+
+
+EVENT_STARTS_SQL = "select event_id, strftime(case event_id % 4 when 1 then ts - interval 2 hour when 3 then date_trunc('day', ts) else ts end, '%Y-%m-%d %H:%M:%S') as start from events"
+
+
 def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     found = D.top_k(vectors.where("vec_id % 50 = 0"), vectors, 5, "vec_id", "embedding")
@@ -277,6 +316,9 @@ QUERIES = {
     "html_text": (html_text, HTML_SQL),
     "page_links": (page_links, LINKS_SQL),
     "reach": (reach, REACH_SQL),
+    "reach_capped": (reach_capped, REACH_CAPPED_SQL),
+    "chunks_at_breaks": (chunks_at_breaks, CHUNKS_AT_BREAKS_SQL),
+    "event_starts": (event_starts, EVENT_STARTS_SQL),
     "render_pages": (pages_text, PAGES_SQL),
     "chunks": (chunks, CHUNKS_SQL),
     "top_k": (top_k, TOP_K_SQL),

@@ -189,6 +189,12 @@ def test_html_and_links(spark):
     assert rows(D.page_links(df)) == [("http://h.org/d/e", "http://h.org/a"), ("http://h.org/d/e", "http://h.org/d/b?q"), ("http://h.org/d/e", "http://h.org/d/e")]
 
 
+def test_character_references(spark):
+    cases = {"a &lt;b&gt; &amp;lt; c": "a <b> &lt; c", "it&#8217;s &#x2019; &#39;x&#39;": "it\u2019s \u2019 'x'", "&copy;&middot;&euro;&Omega;&apos;": "\u00a9\u00b7\u20ac\u03a9'", "x&nbsp;y&#160;z": "x y z", "&#128512;": "\U0001f600", "&#0;&#xD800;&#1114112;": "\ufffd" * 3, "&nope; & &amp &;": "&nope; & &amp &;", "": "", "&": "&"}
+    made = [r[0] for r in column(spark, list(cases), "string").select(T.unescaped("x")).collect()]
+    assert made == list(cases.values()) and column(spark, [None], "string").select(T.unescaped("x")).first()[0] is None
+
+
 def test_reach_smallest_depth_and_cycles(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "a"), ("c", "d"), ("x", "y")], "url string, link string")
     assert rows(D.reach(links, "a", 2)) == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]
