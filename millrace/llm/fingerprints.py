@@ -167,7 +167,8 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Returns doc_id, n_chars (code points), edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next, one row for each row. The next text is that of the next higher id,
     after the last the first; equal ids are ordered by their text. A single row is its own
-    next. Null texts count as empty; an empty table gives no rows.
+    next. Null texts count as empty, texts of any length are taken whole; an empty table gives
+    no rows.
     """
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     names = [c.split()[0] for c in schema.split(", ")]

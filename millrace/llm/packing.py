@@ -136,7 +136,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, classes: int = 6
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its text's ids and ``end_id``; null and empty texts are ``end_id`` alone.
-    Repeated rows are packed as often as they occur; a null id is kept. Pieces of one
+    Repeated rows are packed as often as they occur; a null id is kept; a text of any length is
+    cut into pieces. Pieces of one
     sequence follow each other without a gap from offset 0. An empty table gives no rows;
     other columns are ignored. ``with_ids`` adds each piece's ids (little-endian uint32).
     """

@@ -159,8 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def scores(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of every row; label 1 is likelier the higher the score.
 
-    The whole text decides and nothing else; null and empty texts are scored alike. Repeated
-    rows and null ids stay, an empty table gives no rows.
+    The whole text decides and nothing else, whatever its length; null and empty texts are
+    scored alike. Repeated rows and null ids stay, an empty table gives no rows.
     """
 
     def run(batches):
@@ -175,7 +175,8 @@ def scores(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more, with all their columns.
 
-    Null and empty texts are scored like any other; an empty table stays empty.
+    Null and empty texts are scored like any other, texts of any length whole; repeated rows and
+    null ids stay, as only the text decides; an empty table stays empty.
     """
     model, at = train(docs, labels, id_col, text_col), docs.columns.index(text_col)
 
@@ -190,7 +191,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted): predicted is 1 at ``threshold`` and above.
 
-    A null id is not held out. Without labelled rows every score is 0.5.
+    A null id is not held out. Texts of any length are scored whole, repeated rows are scored
+    alike. Without labelled rows every score is 0.5; an empty table gives no rows.
     """
     model = train(docs, labels, id_col, text_col)
     found = scores(docs, model, id_col, text_col)

@@ -114,7 +114,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two fingerprints link at ``radius`` or fewer differing bits; component_id is the smallest
     doc_id reachable. Null and empty texts share fingerprint zero and link like any other.
     Rows with a null id are fingerprinted; they pass links on but name no component.
-    Repeated rows come back repeated; an empty table gives none. Other columns are ignored.
+    Texts of any length are fingerprinted whole. Repeated rows come back repeated; an empty table
+    gives none. Other columns are ignored.
     """
     prints = materialise(fingerprints(docs, id_col, text_col, words), "simhash")
     heads = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
@@ -131,7 +132,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` with the smallest id of their group of texts of that likeness.
 
     Texts of equal id and equal text are one document and leave one row. Rows without an id
-    cannot be told apart and stay. All columns are kept; an empty table stays empty.
+    cannot be told apart and stay. Texts of any length are compared whole, those without words
+    are alike. All columns are kept; an empty table stays empty.
     """
     found = groups(docs, id_col, text_col, words, likeness)
     own, again = fresh(docs, "first"), fresh(docs, "again")

@@ -44,6 +44,43 @@ def test_no_labels_and_empty_tables(spark):
     assert quality.classify(docs.where("doc_id = 2"), labels).collect() == []
 
 
+def test_long_texts_and_repeats(spark):
+    made = [(i, t, q) for i, t, q in rows(90)]
+    docs = spark.createDataFrame([(i, t, "", 0) for i, t, _ in made] + [(500, made[1][1] * 4000, "", 0), (501, made[0][1] * 4000, "", 0), (2, made[2][1], "", 0)], DOCS)
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in made], LABELS)
+    found = quality.classify(docs, labels).collect()
+    assert len(found) == 93 and len({r.score for r in found if r.doc_id == 2}) == 1
+    assert {r.doc_id: r.predicted for r in found if r.doc_id >= 500} == {500: 1, 501: 0}
+    assert sorted(r.doc_id for r in quality.keep_good(docs, labels).collect()) == sorted(r.doc_id for r in found if r.predicted)
+
+
+def test_fit_by_trying_every_split():
+    """Each split has the greatest gain of all, each leaf the step that its rows call for."""
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(150, 4)), rng.integers(0, 2, 150).astype(float)
+    x[:, 1] += y
+    ridge, rate, depth = 5.0, 0.1, 3
+    model = quality.fit(x, y, trees=6, depth=depth, rate=rate, bins=16, ridge=ridge)
+    binned, inner, total = model.bins(x), (1 << depth) - 1, np.full(len(y), model.prior)
+    assert model.prior == pytest.approx(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+    for feature, cut, leaf in zip(model.feature, model.cut, model.leaf):
+        p = 1 / (1 + np.exp(-total))
+        g, h = y - p, p * (1 - p)
+        part = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + ridge)  # noqa: B023, E731
+        members = {0: np.arange(len(y))}
+        for node in range(inner):
+            own = members[node]
+            gain = lambda f, c: part(own[binned[own, f] <= c]) + part(own[binned[own, f] > c]) - part(own)  # noqa: B023, E731
+            best = max(gain(f, c) for f in range(4) for c in range(16))
+            assert max(best, 1e-6) == pytest.approx(max(gain(feature[node], cut[node]), 1e-6), abs=1e-9)
+            right = binned[own, feature[node]] > cut[node]
+            members[2 * node + 1], members[2 * node + 2] = own[~right], own[right]
+        for k in range(inner + 1):
+            own = members[inner + k]
+            assert leaf[k] == pytest.approx(rate * g[own].sum() / (h[own].sum() + ridge))
+            total[own] += leaf[k]
+
+
 def test_flat_trees_equal_walked_trees():
     rng = np.random.default_rng(1)
     x, y = rng.normal(size=(400, 5)), rng.integers(0, 2, 400).astype(float)
