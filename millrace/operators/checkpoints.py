@@ -19,12 +19,16 @@ def ensure(spark: SparkSession) -> None:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
 
 
+def folder(spark: SparkSession) -> str:
+    """A new folder beside the checkpoints, which all machines share."""
+    ensure(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tables/{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as Parquet in the checkpoint directory, read back. Unlike a checkpoint, the frame
     read carries no constraints of the plan that made it, which in loops of joins multiply
     until planning takes longer than the work."""
-    spark = df.sparkSession
-    ensure(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tables/{uuid.uuid4().hex}"
+    path = folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from .checkpoints import ensure
+from .checkpoints import folder, written
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -27,24 +27,24 @@ def reach(links: DataFrame, start: str, depth: int, most: int | None = None) ->
     is written, so that the plan of a round does not hold those before it. ``most`` is a crawl
     budget: the first so many pages by depth and URL; no round is begun once they are found.
     """
-    spark = links.sparkSession
-    ensure(spark)
-    links = links.select("url", "link").where("url is not null and link is not null").distinct().checkpoint()
-    found = [spark.createDataFrame([(start, 0)], "url string, depth int").checkpoint()]
-    seen, n = found[0], 1
+    spark, base = links.sparkSession, folder(links.sparkSession)
+    links = written(links.select("url", "link").where("url is not null and link is not null").distinct())
+
+    def found() -> DataFrame:
+        """All rounds so far: one table of a folder a depth, so that its plan is the same at any."""
+        return spark.read.schema("url string, depth int").parquet(base)
+
+    spark.createDataFrame([(start,)], "url string").write.parquet(f"{base}/depth=0")
+    n = 1
     for step in range(1, depth + 1):
-        following = links.join(found[-1].select("url"), "url").select(F.col("link").alias("url")).distinct()
-        frontier = following.join(seen, "url", "left_anti").withColumn("depth", F.lit(step)).checkpoint()
-        new = frontier.count()
-        if not new:
-            break
-        found.append(frontier)
+        seen = found()
+        following = links.join(seen.where(F.col("depth") == step - 1).select("url"), "url").select(F.col("link").alias("url")).distinct()
+        following.join(seen, "url", "left_anti").select("url").write.parquet(f"{base}/depth={step}")
+        new = found().where(F.col("depth") == step).count()
         n += new
-        # One frame of all before, so that a round's plan has two tables at any depth.
-        seen = seen.unionByName(frontier).checkpoint()
-        if most and n >= most:
+        if not new or (most and n >= most):
             break
-    return seen.orderBy("depth", "url").limit(most) if most else seen
+    return found().orderBy("depth", "url").limit(most) if most else found()
 
 
 def chunks(docs: DataFrame, key: str, text: str, size: int = 1000, overlap: int = 100) -> DataFrame:

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .checkpoints import ensure
+from .checkpoints import ensure, written
 
 
 def join_groups(df: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -85,13 +85,12 @@ def quantiles(df: DataFrame, columns: Sequence[str], points: Sequence[float], by
     range has few rows or one value. Only in ranges of ``few`` rows are values counted one by
     one, so that neither a hot group nor a value of most rows meets in one task.
     """
-    ensure(df.sparkSession)
     items = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in columns))
     rows = df.select(*by, F.inline(items)).where("v is not null and not isnan(v)")
     keys = [*by, "column_name"]
     whole = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
     wanted = F.explode(F.array(*(F.struct(F.lit(i).alias("q"), F.lit(e).alias("end"), f(F.lit(p) * (F.col("n") - 1)).cast("long").alias("rank")) for i, p in enumerate(points) for e, f in (("low", F.floor), ("high", F.ceil)))))
-    state = whole.withColumn("w", wanted).select(*keys, F.col("n").alias("whole"), "w.q", "w.end", "w.rank", F.lit(0).cast("long").alias("below"), "n", "low", "high").checkpoint()
+    state = written(whole.withColumn("w", wanted).select(*keys, F.col("n").alias("whole"), "w.q", "w.end", "w.rank", F.lit(0).cast("long").alias("below"), "n", "low", "high"))
     span, k = [*keys, "low", "high"], 0
 
     def inside(open_: DataFrame) -> DataFrame:
@@ -108,7 +107,7 @@ def quantiles(df: DataFrame, columns: Sequence[str], points: Sequence[float], by
         met = join_groups(state, bins, span)
         hit = (F.col("rank") >= F.col("below") + F.col("b_upto") - F.col("b_n")) & (F.col("rank") < F.col("below") + F.col("b_upto"))
         met = met.where(F.col("bin").isNull() | hit)
-        state = met.select(*keys, "whole", "q", "end", "rank", (F.col("below") + F.coalesce(F.col("b_upto") - F.col("b_n"), F.lit(0))).alias("below"), F.coalesce("b_n", "n").alias("n"), F.coalesce("b_low", "low").alias("low"), F.coalesce("b_high", "high").alias("high")).checkpoint()
+        state = written(met.select(*keys, "whole", "q", "end", "rank", (F.col("below") + F.coalesce(F.col("b_upto") - F.col("b_n"), F.lit(0))).alias("below"), F.coalesce("b_n", "n").alias("n"), F.coalesce("b_low", "low").alias("low"), F.coalesce("b_high", "high").alias("high")))
         k += 1
     counts = inside(state.where("low < high")).groupBy(*span, "v").agg(F.count(F.lit(1)).alias("v_n"))
     # At most ``few`` rows a range.
