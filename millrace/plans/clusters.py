@@ -172,7 +172,7 @@ def dbscan_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         noise = F.count_if(F.col("cluster") == -1)
         each = found.groupBy(*by).agg(F.countDistinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("n_clusters"), noise.alias("n_noise"), (noise * 100 / F.count(F.lit(1))).alias("noise_pct"))
         scored = found.join(each.where("n_clusters between 2 and 6").select(*by), by, "left_semi").join(points, key)
-        means = K.silhouette_squared(scored, key, "cluster", columns, by=by).groupBy(*by).agg(F.avg("silhouette").alias("silhouette"))
+        means = K.silhouette_squared(scored, key, "cluster", columns, by=by).groupBy(*by).agg(rounded(F.avg("silhouette"), 9).alias("silhouette"))
         rows.append(each.join(means, by, "left").select(F.lit(name).alias("experiment"), "*"))
     made = reduce(DataFrame.unionByName, rows)
     made = made.withColumns({"n_clusters": F.when(F.col("silhouette").isNull(), 0).otherwise(F.col("n_clusters")), "silhouette": F.coalesce("silhouette", F.lit(-1.0))}).checkpoint()
@@ -202,7 +202,7 @@ each as (select t.experiment, st.eps, st.min_pts, count(distinct label) as n_clu
 sc as (select f.* from fnd f join each e on e.experiment = f.experiment and e.eps = f.eps and e.min_pts = f.min_pts where n_clusters between 2 and 6),
 dd as (select x.experiment, x.eps, x.min_pts, x.a, x.label as c, y.label as o, avg(d * d) as d from sc x join sc y on x.experiment = y.experiment and x.eps = y.eps and x.min_pts = y.min_pts and x.a <> y.a join pr on pr.experiment = x.experiment and pr.a = x.a and pr.b = y.a group by 1, 2, 3, 4, 5, 6),
 mm as (select experiment, eps, min_pts, a, c, min(d) filter (o = c) as own, min(d) filter (o <> c) as nxt from dd group by 1, 2, 3, 4, 5),
-sil as (select experiment, eps, min_pts, avg(case when nxt is null then null when own is null then 0 else (nxt - own) / greatest(nxt, own) end) as s from mm group by 1, 2, 3),
+sil as (select experiment, eps, min_pts, round(avg(case when nxt is null then null when own is null then 0 else (nxt - own) / greatest(nxt, own) end), 9) as s from mm group by 1, 2, 3),
 made as (select e.experiment, e.eps, e.min_pts, case when s is null then 0 else n_clusters end as n_clusters, n_noise, n_noise * 100.0::double / n as noise_pct, coalesce(s, -1) as silhouette from each e left join sil on sil.experiment = e.experiment and sil.eps = e.eps and sil.min_pts = e.min_pts),
 good as (select *, (silhouette - min(silhouette) over ()) / nullif(max(silhouette) over () - min(silhouette) over (), 0) as silhouette_scaled, (noise_pct - min(noise_pct) over ()) / nullif(max(noise_pct) over () - min(noise_pct) over (), 0) as noise_scaled,
   (silhouette - min(silhouette) over w) / nullif(max(silhouette) over w - min(silhouette) over w, 0) as group_silhouette, (noise_pct - min(noise_pct) over w) / nullif(max(noise_pct) over w - min(noise_pct) over w, 0) as group_noise from made where silhouette > 0 window w as (partition by n_clusters)),
