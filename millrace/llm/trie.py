@@ -11,6 +11,7 @@ between a node's two arcs.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -112,9 +113,16 @@ def turn_rows(convs: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
     whole = F.sha2(F.concat(F.octet_length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")), 256)
     number = lambda at: F.conv(F.substring(whole, at, 15), 16, 10).cast("long")
     words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    # Texts are looked at once: where turns tie, their order is that of role and text.
-    tie = materialise(rows.select("conv_id", "turn", "role", "text", number(1).alias("a"), number(16).alias("b"), words.alias("words"), F.monotonically_increasing_id().alias("row")), "trie-turns")
-    placed = along(tie, ["conv_id"], ["turn", "role", "text", "row"], "trie-places")
+    rows = rows.withColumns({"a": number(1), "b": number(16), "words": words, "row": F.monotonically_increasing_id()})
+    # Where turns tie, their order is that of their texts, which go along for these alone.
+    key = ["conv_id", "turn", "role"]
+    tied = materialise(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "trie-tied")
+    if tied.isEmpty():
+        rows = rows.withColumn("tie", F.lit(""))
+    else:
+        same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in key))
+        rows = rows.join(tied.select(*(F.col(c).alias(f"t_{c}") for c in key)), same, "left").withColumn("tie", F.when(F.col("t_conv_id").isNotNull(), F.col("text")).otherwise(""))
+    placed = along(rows.select(*key, "tie", "row", "a", "b", "words"), ["conv_id"], ["turn", "role", "tie", "row"], "trie-places")
     return materialise(placed.select("conv_id", (F.col("place") + 1).alias("place"), "a", "b", "words"), "trie-placed")
 
 
