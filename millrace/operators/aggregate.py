@@ -147,9 +147,11 @@ def grouping_levels(df: DataFrame, sets: Sequence[Sequence[str]], measures: Sequ
 
 #: Columns up to which correlations are plain aggregates of one row; columns of a block beyond.
 PLAIN, GRAM_BLOCK = 16, 256
+#: Rows whose means values are shifted by.
+SHIFT_ROWS = 1000
 
 
-def _gram_parts(columns: Sequence[str], others: Sequence[str]):
+def _gram_parts(left: Sequence[int], right: Sequence[int], shift: np.ndarray):
     """Sums of products of a partition's rows, blocks of columns as rows of bytes.
 
     For columns a, b over the rows in which both have a value: their number, the sums of a, b,
@@ -161,15 +163,15 @@ def _gram_parts(columns: Sequence[str], others: Sequence[str]):
         for batch in batches:
             x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(batch.num_columns)])
             for at in range(0, len(x), 8192):
-                own = x[at : at + 8192]
+                own = x[at : at + 8192] - shift
                 has = np.isfinite(own)
-                own = np.where(has, own, 0.0)
-                a, m, b, o = own[:, : len(columns)], has[:, : len(columns)].astype(float), own[:, len(columns) :], has[:, len(columns) :].astype(float)
+                own, has = np.where(has, own, 0.0), has.astype(float)
+                a, m, b, o = own[:, left], has[:, left], own[:, right], has[:, right]
                 made = np.stack([m.T @ o, a.T @ o, m.T @ b, (a * a).T @ o, m.T @ (b * b), a.T @ b])
                 held = made if held is None else held + made
         if held is not None:
-            for i in range(0, len(columns), GRAM_BLOCK):
-                for j in range(0, len(others), GRAM_BLOCK):
+            for i in range(0, len(left), GRAM_BLOCK):
+                for j in range(0, len(right), GRAM_BLOCK):
                     part = np.ascontiguousarray(held[:, i : i + GRAM_BLOCK, j : j + GRAM_BLOCK])
                     yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([j], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["i", "j", "sums"])
 
@@ -211,20 +213,24 @@ def _gram_corr(columns: Sequence[str], others: Sequence[str], upper: bool):
 def gram_corr(df: DataFrame, columns: Sequence[str], others: Sequence[str] | None = None) -> DataFrame:
     """(a, b, corr) of every pair, each once, or of ``columns`` with ``others``; for thousands of columns.
 
-    Each partition of rows is multiplied with itself in Arrow batches, columns shifted by their
-    means, and gives one set of blocks of GRAM_BLOCK columns a side, which are dealt by block
-    and added up one after the other. A plan has two stages however many columns there are; a
-    task holds one set of sums, 48 bytes a pair. Rows in which one of the two is null, NaN or
-    infinite are left out for that pair; a pair that does not vary has null.
+    Each partition of rows is multiplied with itself in Arrow batches and gives one set of blocks of
+    GRAM_BLOCK columns a side, which are dealt by block and added up one after the other. A plan
+    has two stages however many columns there are; a task holds one set of sums, 48 bytes a
+    pair. Values are shifted by the means of SHIFT_ROWS rows, any rows, which keeps digits and
+    changes no result. Rows in which one of the two is null, NaN or infinite are left out for
+    that pair; a pair that does not vary has null.
     """
     own, upper = list(columns), others is None
     other = own if upper else list(others)
     used = list(dict.fromkeys([*own, *other]))
-    finite = lambda c: F.when(F.abs(F.col(f"`{c}`").cast("double")) < float("inf"), F.col(f"`{c}`").cast("double"))
-    means = df.select(*(F.avg(finite(c)).alias(f"m{i}") for i, c in enumerate(used))).first()
-    shift = {c: (means[i] or 0.0) for i, c in enumerate(used)}
-    x = df.select(*((F.col(f"`{c}`").cast("double") - F.lit(shift[c])).alias(f"x{i}") for i, c in enumerate([*own, *other])))
-    parts = x.mapInArrow(_gram_parts(own, other), "i int, j int, sums binary")
+    kinds = dict(df.dtypes)
+    x = df.select(*(f"`{c}`" if kinds[c] == "double" else F.col(f"`{c}`").cast("double").alias(c) for c in used))
+    first = x.limit(SHIFT_ROWS).toArrow()
+    sample = np.column_stack([c.to_numpy().astype(float) for c in first.columns]) if first.num_rows else np.zeros((0, len(used)))
+    has = np.isfinite(sample)
+    shift = np.where(has, sample, 0.0).sum(0) / np.maximum(has.sum(0), 1)
+    at = {c: i for i, c in enumerate(used)}
+    parts = x.mapInArrow(_gram_parts([at[c] for c in own], [at[c] for c in other], shift), "i int, j int, sums binary")
     parts = parts.where("i <= j") if upper else parts
     return parts.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(_gram_corr(own, other, upper), "a string, b string, corr double")
 
