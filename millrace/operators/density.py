@@ -15,8 +15,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .checkpoints import written
 from .ordered import numbered
 
-#: Points of a lot; two lots meet in a task.
-LOT = 1000
+#: Points of a lot; two lots meet in a task, tile by tile.
+LOT, TILE = 32_000, 2048
+#: Lots that fewer points are dealt to, so that tasks share the work, and the least points of such a lot.
+SPREAD, LEAST = 10, 2000
+#: Columns beyond which cells of side eps / sqrt(columns) hold next to nothing but single points.
+MOST_CELLS = 8
 #: Kept off a cell's side, so that points of one cell are within eps whatever the rounding.
 MARGIN = 1e-9
 
@@ -65,7 +69,12 @@ def dbscan(points: DataFrame, key: str, columns: Sequence[str], eps: float, min_
     and only where a cell with few points takes part. Two full cells that touch are tried by
     the points nearest to each other's box, and compared in whole only if these are too far
     apart and nothing else joins them. A point without one of its coordinates is noise.
+
+    Of over MOST_CELLS columns a cell holds next to no two points, and boxes on three of them
+    leave nearly all pairs to be compared: they are compared lot by lot, as dbscan_settings() does.
     """
+    if len(columns) > MOST_CELLS:
+        return dbscan_settings(points, key, columns, [eps], [min_pts]).select(key, "cluster")
     q = [f"q{i}" for i in range(len(columns))]
     keyed = points.select(F.col(key).alias("key"), *(F.col(c).cast("double").alias(n) for c, n in zip(columns, q)))
     whole = reduce(Column.__and__, (F.col(n).isNotNull() & ~F.isnan(n) for n in q))
@@ -136,112 +145,257 @@ def dbscan(points: DataFrame, key: str, columns: Sequence[str], eps: float, min_
     return keyed.join(found, q, "left").select(F.col("key").alias(key), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    total = np.zeros((len(a), len(b)))
-    for x, y in zip(a.T, b.T):
-        total += (x[:, None] - y[None, :]) ** 2
-    return np.sqrt(total)
-
-
-def _sides(rows: pa.Table) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(numbers, coordinates, core distances) of the first and the second lot of a task."""
+def _sides(rows: pa.Table) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(numbers, coordinates, weights, core distances) of the first and the second lot of a task."""
     sides = []
     for second in (False, True):
         own = rows.filter(pa.array(rows["second"].to_numpy() == second)).combine_chunks()
-        table = lambda c: np.array(own[c].to_pylist(), float) if own.num_rows else np.zeros((0, 0))  # noqa: B023, E731
-        sides.append((own["number"].to_numpy(), table("x"), table("cores")))
+        table = lambda c: own[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(own.num_rows, -1) if own.num_rows else np.zeros((0, 0))  # noqa: B023, E731
+        sides.append((own["number"].to_numpy(), table("x"), own["w"].to_numpy(), table("cores")))
     return sides
 
 
+def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of the rows of two equally long arrays."""
+    total = np.zeros(len(a))
+    for x, y in zip(a.T, b.T):
+        total += (x - y) ** 2
+    return np.sqrt(total)
+
+
+def _exactly(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distances of a[i] and b[j], so many at a time."""
+    return np.concatenate([_exact(a[i[k : k + TILE * 8]], b[j[k : k + TILE * 8]]) for k in range(0, len(i), TILE * 8)] or [np.zeros(0)])
+
+
+def _firsts(i: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+    """Of places in an order by i, those of the first ``most`` of each i."""
+    i = i[order]
+    return order[np.arange(len(i)) - np.searchsorted(i, i) < most]
+
+
+class _Squares:
+    """Squared distances of a tile, none of them wrong by more than ``slack``.
+
+    Products in single precision where that is fine enough for ``least``, else differences.
+    """
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, least: float):
+        with np.errstate(all="ignore"):
+            base = a.mean(0)
+            self.a, self.b = ((v - base).astype(np.float32) for v in (a, b))
+            self.sa, self.sb = (self.a * self.a).sum(1), (self.b * self.b).sum(1)
+            self.slack = (a.shape[1] + 8) * 2.0**-22 * (float(self.sa.max()) + float(self.sb.max()))
+        if not self.slack <= 0.05 * least * least:
+            self.a, self.b, self.sa, self.slack = a, b, None, 1e-12 * least * least
+
+    def __call__(self, rows: slice, columns: slice) -> np.ndarray:
+        if self.sa is None:
+            with np.errstate(all="ignore"):
+                return reduce(add, ((x[:, None] - y) ** 2 for x, y in zip(self.a[rows].T, self.b[columns].T)))
+        made = self.a[rows] @ (self.b[columns].T * np.float32(-2))
+        made += self.sa[rows][:, None]
+        made += self.sb[columns]
+        return made
+
+
+class _Best:
+    """Of each point of a those of b that may be among its ``most`` nearest within ``eps``."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, most: int, eps: float, slack: float):
+        self.a, self.b, self.most, self.eps, self.slack = a, b, most, eps, slack
+        self.best, self.found = np.full((len(a), most), np.inf), []
+        self.bound = np.full(len(a), eps * eps * (1 + 1e-6) + slack)
+
+    def add(self, squares: np.ndarray, row: int, column: int) -> None:
+        at, k = slice(row, row + len(squares)), self.most
+        if squares.shape[1] > k and np.isinf(self.best[at]).all():
+            kth = np.partition(squares, k - 1, axis=1)[:, k - 1].astype(float)
+            self.bound[at] = np.fmin(self.bound[at], kth * (1 + 1e-6) + 2 * self.slack)
+        i, j = np.nonzero(squares <= self.bound[at].astype(squares.dtype)[:, None])
+        far = squares[i, j].astype(float)
+        if len(i) > 8 * k * len(squares):  # many that only exact distances tell apart
+            exact = _exactly(self.a, self.b, i + row, j + column)
+            kept = _firsts(i, np.lexsort((j, exact, i)), k)
+            i, j, far = i[kept], j[kept], far[kept]
+        self.found.append((i + row, j + column, far))
+        kept = _firsts(i, np.lexsort((far, i)), k)
+        new = np.full((len(squares), k), np.inf)
+        new[i[kept], np.arange(len(kept)) - np.searchsorted(i[kept], i[kept])] = far[kept]
+        self.best[at] = np.partition(np.concatenate([self.best[at], new], axis=1), k - 1, axis=1)[:, :k]
+        self.bound[at] = np.fmin(self.bound[at], self.best[at].max(1) * (1 + 1e-6) + 2 * self.slack)
+
+    def nearest(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, column, distance) of each row's ``most`` nearest within ``eps``, ties to smaller numbers."""
+        i, j, far = (np.concatenate(c) for c in zip(*self.found))
+        keep = far <= self.bound[i]
+        i, j = i[keep], j[keep]
+        far = _exactly(self.a, self.b, i, j)
+        order = np.lexsort((numbers[j], far, i))
+        kept = _firsts(i, order[far[order] <= self.eps], self.most)
+        return i[kept], j[kept], far[kept]
+
+
+def _steps(n: int) -> list[slice]:
+    return [slice(i, min(n, i + TILE)) for i in range(0, n, TILE)]
+
+
 def _nearest(rows: pa.Table, most: int, eps: float) -> pa.Table:
-    """Of each point the ``most`` nearest of the other lot within eps."""
-    (na, a, _), (nb, b, _) = _sides(rows)
-    out: list[tuple[int, int, float]] = []
+    """Of each point the ``most`` nearest of the other lot within eps, with their weights."""
+    (na, a, wa, _), (nb, b, wb, _) = _sides(rows)
     same = rows["i"][0] == rows["j"][0]
-    d = _distances(a, a if same else b)
-    for numbers, others, far in [(na, na, d)] if same else [(na, nb, d), (nb, na, d.T)]:
-        for i, row in enumerate(far):
-            hit = np.flatnonzero(row <= eps)
-            hit = hit[np.lexsort((others[hit], row[hit]))[:most]]
-            out += zip([numbers[i]] * len(hit), others[hit].tolist(), row[hit].tolist())
-    number, other, far = zip(*out) if out else ((), (), ())
-    return pa.table({"number": pa.array(number, pa.int64()), "other": pa.array(other, pa.int64()), "d": pa.array(far, pa.float64())})
-
-
-def _tree(weights: np.ndarray, limit: float) -> list[tuple[int, int, float]]:
-    """Edges of a shortest spanning forest of a square matrix, none over ``limit``."""
-    n = len(weights)
-    best, link, open_ = np.full(n, np.inf), np.zeros(n, int), np.ones(n, bool)
+    if same:
+        nb, b, wb = na, a, wa
     found = []
-    for _ in range(n):
-        i = int(np.argmin(np.where(open_, best, np.inf))) if np.isfinite(best[open_]).any() else int(np.flatnonzero(open_)[0])
-        if best[i] <= limit:
-            found.append((link[i], i, float(best[i])))
-        open_[i] = False
-        nearer = open_ & (weights[i] < best) & (weights[i] <= limit)
-        best[nearer], link[nearer] = weights[i][nearer], i
-    return found
-
-
-def _forest(rows: pa.Table, sizes: Sequence[int], eps: float) -> pa.Table:
-    """A spanning forest of the links between two lots, for each of ``sizes``."""
-    (na, a, ca), (nb, b, cb) = _sides(rows)
+    if len(a) and len(b):
+        squares = _Squares(a, b, eps)
+        here, there = _Best(a, b, most, eps, squares.slack), _Best(b, a, most, eps, squares.slack)
+        back = here if same else there
+        for r in _steps(len(a)):
+            for c in _steps(len(b)):
+                if same and c.start < r.start:
+                    continue
+                tile = squares(r, c)
+                here.add(tile, r.start, c.start)
+                if not same or c.start > r.start:
+                    back.add(np.ascontiguousarray(tile.T), c.start, r.start)
+        for best, own, others, weights in [(here, na, nb, wb)] + ([] if same else [(there, nb, na, wa)]):
+            i, j, far = best.nearest(others)
+            found.append((own[i], others[j], weights[j], far))
+    number, other, w, far = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int),) * 4
+    return pa.table({"number": pa.array(number, pa.int64()), "other": pa.array(other, pa.int64()), "w": pa.array(w, pa.int64()), "d": pa.array(far, pa.float64())})
+
+
+def _unite(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
+    """Joins the classes of p and q in ``label``, where each class has its least member's place."""
+    while True:
+        p, q = label[p], label[q]
+        apart = p != q
+        if not apart.any():
+            return
+        p, q = p[apart], q[apart]
+        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+        while True:
+            further = label[label]
+            if (further == label).all():
+                break
+            label[:] = further
+
+
+def _join(label: np.ndarray, hit: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> None:
+    """Joins the classes of rows and columns that hit. Those that hit the largest class go there
+    first, without a list of links."""
+    for turn in range(4):
+        lr, lc = label[rows], label[columns]
+        main = np.bincount(np.concatenate([lr, lc])).argmax()
+        open_r, open_c = lr != main, lc != main
+        reached = np.concatenate([rows[open_r][hit[np.ix_(open_r, ~open_c)].any(1)], columns[open_c][hit[np.ix_(~open_r, open_c)].any(0)]])
+        _unite(label, reached, np.full(len(reached), main))
+        if not len(reached):
+            break
+    rows, columns = rows[open_r], columns[open_c]
+    i, j = np.nonzero(hit[np.ix_(open_r, open_c)] & (label[rows][:, None] != label[columns]))
+    _unite(label, rows[i], columns[j])
+
+
+def _forest(rows: pa.Table, sizes: Sequence[int], eps: Sequence[float]) -> pa.Table:
+    """For each of ``sizes`` a spanning forest of the links between two lots: its classes at each
+    of the ascending ``eps`` are those of the links up to there."""
+    (na, a, _, ca), (nb, b, _, cb) = _sides(rows)
     same = rows["i"][0] == rows["j"][0]
-    if not len(na) or not (same or len(nb)):
-        sizes = ()
-    d = _distances(a, a if same else b)
-    numbers, out = na if same else np.concatenate([na, nb]), []
-    for k, size in enumerate(sizes):
-        reach = np.maximum(d, np.maximum(ca[:, k][:, None], (ca if same else cb)[:, k][None, :]))
-        if not same:
-            square = np.full((len(numbers), len(numbers)), np.inf)
-            square[: len(na), len(na) :], square[len(na) :, : len(na)] = reach, reach.T
-            reach = square
-        out += [(size, int(numbers[i]), int(numbers[j]), w) for i, j, w in _tree(reach, eps)]
-    columns = zip(*out) if out else [()] * 4
+    numbers, after = (na, 0) if same else (np.concatenate([na, nb]), len(na))
+    out: list[tuple[np.ndarray, ...]] = []
+    if len(a) and (same or len(b)):
+        b, cores = (a, ca) if same else (b, np.concatenate([ca, cb]))
+        squares = _Squares(a, b, eps[0])
+        level = np.searchsorted(eps, cores, "left")
+        labels = {(k, e): np.arange(len(numbers)) for e in range(len(eps)) for k in range(len(sizes)) if (level[:, k] <= e).any()}
+        for r in _steps(len(a)):
+            for c in _steps(len(b)):
+                if same and c.start < r.start:
+                    continue
+                tile = None
+                for e, far in enumerate(eps):
+                    hit = None
+                    for k in range(len(sizes)):
+                        if (k, e) not in labels:
+                            continue
+                        label = labels[k, e]
+                        own, other = (np.arange(x.start, x.stop) + add for x, add in ((r, 0), (c, after)))
+                        in_r, in_c = level[own, k] <= e, level[other, k] <= e
+                        own, other = own[in_r], other[in_c]
+                        if not len(own) or not len(other) or (label[own[0]] == label[own]).all() and (label[own[0]] == label[other]).all():
+                            continue
+                        if tile is None:
+                            tile = squares(r, c)
+                        if hit is None:
+                            hit = tile <= far * far - squares.slack
+                            i, j = np.nonzero(~hit & ~(tile > far * far + squares.slack))
+                            hit[i, j] = _exactly(a, b, i + r.start, j + c.start) <= far
+                        _join(label, hit if in_r.all() and in_c.all() else hit[np.ix_(in_r, in_c)], own, other)
+        for k, size in enumerate(sizes):
+            before = np.arange(len(numbers))
+            for e, far in enumerate(eps):
+                if (k, e) in labels:
+                    pairs = np.unique(np.stack([before, labels[k, e]])[:, (level[:, k] <= e) & (before != labels[k, e])], axis=1)
+                    out.append((np.full(pairs.shape[1], size), numbers[pairs[0]], numbers[pairs[1]], np.full(pairs.shape[1], far)))
+                    before = labels[k, e]
+    columns = [np.concatenate(c) for c in zip(*out)] if out else [[]] * 4
     return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.float64()))], names=["min_pts", "a", "b", "reach"])
 
 
 def _meet(points: DataFrame, lots: int) -> DataFrame:
-    """Rows sent to each pair of lots, once as the first and once as the second."""
+    """Rows sent to each pair of lots, once as the first and once as the second; the pairs are
+    dealt to as many tasks, which do not grow as small as their rows are."""
     own, other = F.col("lot"), F.explode(F.sequence(F.lit(0), F.lit(lots - 1)))
     sent = points.withColumn("other", other)
-    return sent.select("number", "x", "cores", F.least(own, "other").alias("i"), F.greatest(own, "other").alias("j"), (F.col("other") < own).alias("second"))
+    sent = sent.select("number", "x", "w", "cores", F.least(own, "other").alias("i"), F.greatest(own, "other").alias("j"), (F.col("other") < own).alias("second"))
+    return sent.repartition(lots * (lots + 1) // 2, "i", "j")
 
 
 def dbscan_settings(points: DataFrame, key: str, columns: Sequence[str], eps: Sequence[float], min_pts: Sequence[int]) -> DataFrame:
     """(eps, min_pts, key, cluster) as dbscan() gives them, for all settings from two passes.
 
     With the distance to its ``min_pts``-th nearest point as a point's core distance, two cores
-    are linked at every eps from the largest of their distance and core distances on. A
-    shortest spanning forest of these has the clusters of all eps. Points are dealt to lots of
-    about LOT; a task compares two lots and keeps each point's nearest and one forest a
-    ``min_pts``, so that rows grow with points and lots and not with pairs within eps. A point
-    that is not core has fewer than ``min_pts`` neighbours, all among its nearest.
+    are linked at every eps from the largest of their distance and core distances on. Equal
+    points are one with a weight. Points are dealt to lots; a task compares two lots, tile by
+    tile in single precision and exactly where that cannot tell, and keeps each point's nearest
+    and one forest a ``min_pts``, so that rows grow with points and lots and not with pairs
+    within eps. A point that is not core has fewer than ``min_pts`` neighbours, all among its
+    nearest.
     """
-    most, widest, sizes = max(min_pts), max(eps), sorted(min_pts)
+    most, levels, sizes = max(min_pts), sorted(map(float, eps)), sorted(min_pts)
     x = F.array(*(F.col(c).cast("double") for c in columns))
-    keyed = written(numbered(points.select(F.col(key).alias("key"), x.alias("x")), ["key"]).select("key", "x", F.col("_position").alias("number")))
+    keyed = points.select(F.col(key).alias("key"), x.alias("x"))
     usable = keyed.where(~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
-    lots = max(1, ceil(usable.count() / LOT))
-    dealt = usable.select("number", "x", F.pmod(F.xxhash64("number"), F.lit(lots)).cast("int").alias("lot"))
+    units = usable.groupBy("x").agg(F.min("key").alias("u"), F.count(F.lit(1)).alias("w"))
+    units = written(numbered(units, ["u"]).select("x", "w", F.col("_position").alias("number")))
+    keyed = written(keyed.join(units.select("x", "number"), "x", "left").select("key", "number"))
+    n = units.count()
+    lots = max(1, ceil(n / LOT), min(SPREAD, ceil(n / LEAST)))
+    dealt = units.withColumn("lot", F.pmod(F.xxhash64("number"), F.lit(lots)).cast("int"))
     bare = _meet(dealt.withColumn("cores", F.array().cast("array<double>")), lots)
-    nearest = bare.groupBy("i", "j").applyInArrow(lambda rows: _nearest(rows, most, widest), "number long, other long, d double")
+    nearest = bare.groupBy("i", "j").applyInArrow(lambda rows: _nearest(rows, most, levels[-1]), "number long, other long, w long, d double")
     # A point has ``most`` candidates for each lot.
-    ranked = written(nearest.groupBy("number").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "other"))), 1, most).alias("near")))
-    cores = ranked.select("number", F.array(*(F.coalesce(F.try_element_at("near", F.lit(k))["d"], F.lit(float("inf"))) for k in sizes)).alias("cores"))
+    ranked = written(nearest.groupBy("number").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "other", "w"))), 1, most).alias("near")))
+    each = F.flatten(F.transform("near", lambda p: F.array_repeat(p["d"], F.least(p["w"], F.lit(most)).cast("int"))))
+    cores = ranked.select("number", each.alias("each")).select("number", F.array(*(F.coalesce(F.try_element_at("each", F.lit(k)), F.lit(float("inf"))) for k in sizes)).alias("cores"))
     full = _meet(dealt.join(cores, "number"), lots)
-    forest = written(full.groupBy("i", "j").applyInArrow(lambda rows: _forest(rows, sizes, widest), "min_pts int, a long, b long, reach double"))
+    forest = written(full.groupBy("i", "j").applyInArrow(lambda rows: _forest(rows, sizes, levels), "min_pts int, a long, b long, reach double"))
+    # A point has links of one length for each lot: all but one go on from the least point they lead to.
+    ends = forest.select("min_pts", "reach", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).groupBy("min_pts", "reach", "a").agg(F.collect_set("b").alias("b"))
+    ends = ends.withColumn("m", F.array_min("b"))
+    forest = ends.select("min_pts", "reach", F.explode(F.concat(F.array("a"), F.array_remove("b", F.col("m")))).alias("a"), F.col("m").alias("b")).distinct()
     spark, by = points.sparkSession, ["eps", "min_pts"]
-    settings = F.broadcast(spark.createDataFrame([(float(e),) for e in eps], "eps double"))  # one row a setting
+    settings = F.broadcast(spark.createDataFrame([(e,) for e in levels], "eps double"))  # one row a setting
     links = forest.join(settings, F.col("reach") <= F.col("eps")).select(*by, "a", "b")
     core = cores.select("number", F.explode(F.arrays_zip(F.array(*(F.lit(k) for k in sizes)).alias("k"), F.col("cores").alias("d"))).alias("c"))
     core = written(core.join(settings, F.col("c.d") <= F.col("eps")).select("eps", F.col("c.k").alias("min_pts"), "number"))
-    every = keyed.select("key", "number").crossJoin(settings).withColumn("min_pts", F.explode(F.array(*map(F.lit, sizes))))
+    every = keyed.crossJoin(settings).withColumn("min_pts", F.explode(F.array(*map(F.lit, sizes))))
     if core.isEmpty():
         return every.select(*by, F.col("key").alias(key), F.lit(-1).alias("cluster"))
-    edges = links.unionAll(links.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))).unionAll(core.select(*by, F.col("number").alias("a"), F.col("number").alias("b")))
-    labels = settle(written(edges.distinct()), by)
+    edges = links.unionAll(core.select(*by, F.col("number").alias("a"), F.col("number").alias("b")))
+    labels = settle(written(edges), by)
     heads = written(numbered(labels.select(*by, "label").distinct(), [*by, "label"]).select(*by, "label", "_position"))
     least = heads.groupBy(*by).agg(F.min("_position").alias("_least"))
     named = written(labels.join(heads, [*by, "label"]).join(least, by).select(*by, F.col("a").alias("number"), (F.col("_position") - F.col("_least")).cast("int").alias("cluster")))

@@ -3,6 +3,8 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.operators import density as N
@@ -76,3 +78,46 @@ def test_settings_of_nothing(spark):
     df, columns = frame(spark, {1: (0.0,), 2: (9.0,)})
     assert {(r.k, r.cluster) for r in N.dbscan_settings(df, "k", columns, [0.5], [2]).collect()} == {(1, -1), (2, -1)}
     assert N.dbscan_settings(df.limit(0), "k", columns, [0.5], [2]).count() == 0
+
+
+def test_many_columns_are_compared_by_lots(spark, monkeypatch):
+    """Nothing is spread over cells, which of many columns hold single points only."""
+    monkeypatch.setattr(N, "product", None)
+    monkeypatch.setattr(N, "LOT", 50)
+    rng = random.Random(5)
+    points = {i: tuple(rng.gauss(i % 3, 0.5) for _ in range(20)) for i in range(150)}
+    points |= {300 + i: points[i] for i in range(20)} | {400: (1e9,) * 20}
+    df, columns = frame(spark, points)
+    for eps, min_pts in ((2.4, 3), (2.8, 4)):
+        assert {r.k: r.cluster for r in N.dbscan(df, "k", columns, eps, min_pts).collect()} == brute(points, eps, min_pts)
+
+
+@pytest.mark.parametrize("far", [1.0, 1e7])
+def test_tasks_keep_the_nearest_and_a_forest(monkeypatch, far):
+    monkeypatch.setattr(N, "TILE", 70)
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(240, 6)), np.repeat(rng.normal(size=(1, 6)), 160, 0) + rng.normal(size=(160, 6)) * 1e-6])
+    x[3] *= far
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    sizes, eps, n = [2, 4], [0.5, 1.0, 1.5], len(x)
+    cores = np.sort(d, axis=1)[:, [1, 3]]
+    order = rng.permutation(n)
+    for a, b in ((order[:250], order[250:]), (order, order[:0])):
+        ids, two = np.concatenate([a, b]), len(b) > 0
+        lists = lambda v: pa.array(v[ids].tolist(), pa.list_(pa.float64()))  # noqa: B023, E731
+        rows = pa.table({"number": ids, "x": lists(x), "w": np.ones(n, int), "cores": lists(cores), "i": np.zeros(n, int), "j": np.full(n, int(two)), "second": np.isin(ids, b)})
+        want = {(p, q) for own, others in ([(a, b), (b, a)] if two else [(a, a)]) for p in own for q in others[np.lexsort((others, d[p, others]))[:4]] if d[p, q] <= 1.5}
+        made = N._nearest(rows, 4, 1.5)
+        assert set(zip(made["number"].to_pylist(), made["other"].to_pylist())) == want
+        made = N._forest(rows, sizes, eps)
+        assert made.num_rows <= 2 * (n - 1)
+        p, q, size, reach = (made[c].to_numpy() for c in ("a", "b", "min_pts", "reach"))
+        for k, e in ((k, e) for k in range(2) for e in eps):
+            link, core = d <= e, cores[:, k] <= e
+            if two:
+                link = link & (np.isin(np.arange(n), a)[:, None] != np.isin(np.arange(n), a))
+            classes = [np.arange(n), np.arange(n)]
+            N._unite(classes[0], *np.nonzero(link & core[:, None] & core))
+            use = (size == sizes[k]) & (reach <= e)
+            N._unite(classes[1], p[use], q[use])
+            assert (classes[0] == classes[1]).all()
