@@ -5,15 +5,22 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from itertools import product
+from math import ceil
 from operator import add
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from .columns import as_column
 
-#: Points of which an exact silhouette compares all pairs.
-MOST_POINTS = 50_000
+#: Points of a lot of an exact silhouette, two of which meet in a task, and of a side of a tile.
+LOT, TILE = 16_000, 512
+#: Sums that a task may hold for a lot, one for each point and cluster.
+SUMS = 1 << 23
+#: Lots that fewer points are dealt to, so that tasks share the work, and the least points of such a lot.
+SPREAD, LEAST = 10, 500
 
 
 def distance(columns: Sequence[str], a: str = "a", b: str = "b") -> Column:
@@ -38,20 +45,82 @@ def neighbours(points: DataFrame, key: str, columns: Sequence[str], eps: float)
     return left.join(right, same).where(distance(columns) <= eps).select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"))
 
 
+def _leave_out_own(count: np.ndarray, sums: np.ndarray, keys: pa.Array, x: np.ndarray, code: np.ndarray) -> None:
+    """Takes each row itself, and rows that have its key too, off its counts and sums."""
+    names = keys.dictionary_encode().indices.to_numpy()
+    repeated = np.bincount(names)[names] > 1
+    count[np.flatnonzero(~repeated), code[~repeated]] -= 1
+    for at in np.flatnonzero(repeated):
+        own = np.flatnonzero(names == names[at])
+        np.subtract.at(count[at], code[own], 1)
+        np.subtract.at(sums[at], code[own], np.sqrt(((x[own] - x[at]) ** 2).sum(1)))
+
+
+def _to_clusters(rows: pa.Table, key: str) -> pa.Table:
+    """Of each point of two lots the sum of distances to each cluster of the other lot, and how
+    many points these are, itself left out."""
+    rows = rows.combine_chunks()
+    second = rows["second"].to_numpy()
+    names = rows["cluster"].combine_chunks().dictionary_encode()
+    code = names.indices.to_numpy()
+    x = rows["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
+    same = rows["i"][0] == rows["j"][0]
+    # Rows of each side by cluster, so that a cluster's are one run.
+    sides = [at[np.argsort(code[at], kind="stable")] for at in (np.flatnonzero(~second), np.flatnonzero(second))]
+    if same:
+        sides[1] = sides[0]
+    n = [np.bincount(code[at], minlength=len(names.dictionary)) for at in sides]
+    sums = [np.zeros((len(at), len(names.dictionary))) for at in sides]
+    steps = [[slice(k, min(k + TILE, len(at))) for k in range(0, len(at), TILE)] for at in sides]
+    runs = [[np.flatnonzero(np.diff(code[at[r]], prepend=-1)) for r in own] for at, own in zip(sides, steps)]
+    for r, firsts_r in zip(steps[0], runs[0]):
+        a = x[sides[0][r]]
+        for c, firsts_c in zip(steps[1], runs[1]):
+            b = x[sides[1][c]]
+            far = np.zeros((len(a), len(b)))
+            for u, v in zip(a.T, b.T):
+                gap = u[:, None] - v
+                gap *= gap
+                far += gap
+            np.sqrt(far, out=far)
+            sums[0][r, code[sides[1][c]][firsts_c]] += np.add.reduceat(far, firsts_c, axis=1)
+            if not same:
+                sums[1][c, code[sides[0][r]][firsts_r]] += np.add.reduceat(far, firsts_r, axis=0).T
+    made = []
+    for one, other in ([(0, 0)] if same else [(0, 1), (1, 0)]):
+        count = np.broadcast_to(n[other], sums[one].shape).copy()
+        if same:
+            _leave_out_own(count, sums[0], rows[key].combine_chunks().take(pa.array(sides[0])), x[sides[0]], code[sides[0]])
+        i, j = np.nonzero(count)
+        at = pa.array(sides[one][i])
+        made.append(pa.table({key: rows[key].take(at), "cluster": rows["cluster"].take(at), "other": names.dictionary.take(pa.array(j)), "d": sums[one][i, j], "n": count[i, j]}))
+    return pa.concat_tables(made)
+
+
 def silhouette(points: DataFrame, key: str, cluster: str, columns: Sequence[str], noise: object = -1) -> DataFrame:
-    """(key, cluster, silhouette) by Euclidean distances between all pairs: for bounded samples.
+    """(key, cluster, silhouette) by Euclidean distances between all pairs of different keys.
 
     Noise is left out first; a point alone in its cluster has 0; one cluster alone gives nulls.
-    More than ``MOST_POINTS`` points are an error: silhouette_squared serves them.
+    A point without one of its coordinates is compared with none. Points are dealt to lots; a task
+    compares two lots, tile by tile, and returns each point's sums by cluster, so that rows grow
+    with points, lots and clusters. The time grows with the square of the points; silhouette_squared
+    needs each cluster's sums only.
     """
-    used = points.where(F.col(cluster) != F.lit(noise)).select(key, F.col(cluster).alias("cluster"), *columns)
-    if (n := used.count()) > MOST_POINTS:
-        raise ValueError(f"{n} points are too many to be compared in pairs; use silhouette_squared")
-    pairs = used.alias("a").join(used.alias("b"), F.col(f"a.{key}") != F.col(f"b.{key}"))
-    means = pairs.groupBy(F.col(f"a.{key}").alias(key), F.col("a.cluster").alias("cluster"), F.col("b.cluster").alias("other")).agg(F.avg(distance(columns)).alias("d"))
+    whole = reduce(Column.__and__, (F.col(c).isNotNull() for c in columns))
+    used = points.where((F.col(cluster) != F.lit(noise)) & F.col(key).isNotNull()).select(key, F.col(cluster).alias("cluster"), F.when(whole, F.array(*(F.col(c).cast("double") for c in columns))).alias("x"))
+    n, clusters = used.agg(F.count(F.lit(1)), F.approx_count_distinct("cluster")).first()
+    lots = max(1, ceil(n / LOT), ceil(n * clusters / SUMS), min(SPREAD, ceil(n / LEAST)))
+    dealt = used.where("x is not null").withColumn("lot", F.pmod(F.xxhash64(key), F.lit(lots)).cast("int"))
+    sent = dealt.withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
+    sent = sent.select(key, "cluster", "x", F.least("lot", "_to").alias("i"), F.greatest("lot", "_to").alias("j"), (F.col("_to") < F.col("lot")).alias("second"))
+    kinds = {f.name: f.dataType.simpleString() for f in used.schema}
+    schema = f"`{key}` {kinds[key]}, cluster {kinds['cluster']}, other {kinds['cluster']}, d double, n long"
+    sums = sent.repartition(lots * (lots + 1) // 2, "i", "j").groupBy("i", "j").applyInArrow(lambda rows: _to_clusters(rows, key), schema)
+    means = sums.groupBy(key, "cluster", "other").agg((F.sum("d") / F.sum("n")).alias("d"))
     scored = means.groupBy(key, "cluster").agg(F.min(F.when(F.col("other") == F.col("cluster"), F.col("d"))).alias("own"), F.min(F.when(F.col("other") != F.col("cluster"), F.col("d"))).alias("next"))
     value = F.when(F.col("next").isNull(), F.lit(None)).when(F.col("own").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("next") - F.col("own"), F.greatest("next", "own")), F.lit(0.0)))
-    return scored.select(key, "cluster", value.alias("silhouette"))
+    # A point that is alone has no pair, and so no row.
+    return used.where(F.lit(n > 1)).select(key, "cluster").distinct().join(scored, [key, "cluster"], "left").select(key, "cluster", value.alias("silhouette"))
 
 
 def silhouette_squared(points: DataFrame, key: str, cluster: str, columns: Sequence[str], noise: object = -1, by: Sequence[str] = ()) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.sql import functions as F
 
-from millrace.operators import models as M, sweeps as V
+from millrace.operators import cluster as K, models as M, sweeps as V
 
 COLUMNS = ["x", "y"]
 
@@ -98,3 +98,32 @@ def test_trees_use_what_matters_and_the_grid_is_searched(spark):
         assert won.keys() == grid.keys() and all(float(won[n]) in map(float, grid[n]) for n in grid)
         best = M.importances(model.bestModel, model.bestModel.transform(df)).collect()
         assert best[0].feature.startswith("scaled_0") and best[0].importance > 0.9 and sum(r.importance for r in best) == pytest.approx(1)
+
+
+def test_exact_silhouette_of_many_points(spark):
+    df = spark.range(50_500).select("id", (F.col("id") % 2).alias("c"), (F.col("id") % 2 * 3.0).alias("x"))
+    found = K.silhouette(df, "id", "c", ["x"]).agg(F.count("silhouette").alias("n"), F.min("silhouette").alias("low")).first()
+    assert (found.n, found.low) == (50_500, 1.0)
+
+
+def test_exact_silhouette_in_lots_as_from_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(K, "LOT", 40)
+    monkeypatch.setattr(K, "TILE", 7)
+    rng = np.random.default_rng(6)
+    rows = [(i if i != 9 else 8, "abcd"[i % 3], *map(float, rng.normal(size=2) + i % 3)) for i in range(120)]
+    rows += [(500, "d", 1.0, 1.0), (501, "a", None, 2.0), (502, "noise", 0.0, 0.0), (503, None, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "k long, c string, x double, y double")
+    used = [r for r in rows if r[1] not in (None, "noise")]
+    want = {}
+    for k, c in {r[:2] for r in used}:
+        means = {}
+        for o in "abcd":
+            d = [np.hypot(p[2] - q[2], p[3] - q[3]) for p in used for q in used if p[:2] == (k, c) and q[1] == o and q[0] != k and None not in p + q]
+            if d:
+                means[o] = np.mean(d)
+        own, after = means.get(c), min((m for o, m in means.items() if o != c), default=None)
+        want[k, c] = None if after is None else 0.0 if own is None else (after - own) / max(after, own)
+    made = {(r.k, r.cluster): r.silhouette for r in K.silhouette(df, "k", "c", ["x", "y"], noise="noise").collect()}
+    assert made.keys() == want.keys() and made[501, "a"] is None
+    assert all(made[k] == (v if v is None else pytest.approx(v, abs=1e-12)) for k, v in want.items())
+    assert K.silhouette(df.where("k = 500"), "k", "c", ["x", "y"], noise="noise").count() == 0
