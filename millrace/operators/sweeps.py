@@ -34,13 +34,26 @@ def _points(df: DataFrame, variants: Mapping[str, Sequence[str]], key: str | Non
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nearest centre of each row, the first on ties, and the squared distance to it."""
-    away = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(2)
-    at = away.argmin(1)
-    return at, away[np.arange(len(x)), at]
+    away = np.empty((len(centres), len(x)))
+    # A centre at a time over whole columns: the inner sum over a few coordinates is what costs.
+    for total, centre in zip(away, centres):
+        total[:] = _sum_of_squares(x, centre)
+    at = away.argmin(0)
+    return at, away[at, np.arange(len(x))]
+
+
+def _sum_of_squares(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(x))
+    for column, middle in zip(x.T, centre):
+        gap = column - middle
+        gap *= gap
+        total += gap
+    return total
 
 
 def _matrix(batch: pa.RecordBatch, first: int) -> np.ndarray:
-    return np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(first, batch.num_columns)]).astype(float)
+    """Columns from ``first`` on, each in one piece of memory."""
+    return np.array([batch.column(i).to_numpy(zero_copy_only=False) for i in range(first, batch.num_columns)], float).T
 
 
 def starts(df: DataFrame, key: str, variants: Mapping[str, Sequence[str]], ks: Sequence[int], seeds: Sequence[int]) -> Centres:
@@ -81,12 +94,13 @@ def _step(rows: DataFrame, at: Mapping[str, Sequence[int]], centres: Centres) ->
                 for s, setting in enumerate(order):
                     x = whole[i : i + 4096, at[setting.variant]]
                     own, away = _nearest(x, centres[setting])
-                    for c in np.unique(own):
-                        mine = x[own == c]
-                        made = np.zeros(3 + widest)
-                        made[:3] = len(mine), away[own == c].sum(), (mine * mine).sum()
-                        made[3 : 3 + mine.shape[1]] = mine.sum(0)
-                        held[s, int(c)] = held.get((s, int(c)), 0) + made
+                    made = np.zeros((len(centres[setting]), 3 + widest))
+                    of = lambda weights: np.bincount(own, weights, len(made))  # noqa: B023, E731
+                    made[:, 0], made[:, 1], made[:, 2] = of(None), of(away), of(_sum_of_squares(x, np.zeros(x.shape[1])))
+                    for k, column in enumerate(x.T):
+                        made[:, 3 + k] = of(column)
+                    for c in np.flatnonzero(made[:, 0]):
+                        held[s, int(c)] = held.get((s, int(c)), 0) + made[c]
         for (s, c), made in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([c], pa.int32()), *(pa.array([v]) for v in made)], names=["s", "c", *(f"v{i}" for i in range(len(made)))])
 

@@ -1,5 +1,7 @@
 """Fitted models against plain versions and planted structure."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -127,3 +129,14 @@ def test_exact_silhouette_in_lots_as_from_all_pairs(spark, monkeypatch):
     assert made.keys() == want.keys() and made[501, "a"] is None
     assert all(made[k] == (v if v is None else pytest.approx(v, abs=1e-12)) for k, v in want.items())
     assert K.silhouette(df.where("k = 500"), "k", "c", ["x", "y"], noise="noise").count() == 0
+
+
+def test_nearest_centres_make_no_array_of_points_centres_and_columns():
+    rng = np.random.default_rng(8)
+    x, centres = np.asfortranarray(rng.normal(size=(4096, 40))), rng.normal(size=(9, 40))
+    tracemalloc.start()
+    own, away = V._nearest(x, centres)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    far = ((x[:, None] - centres) ** 2).sum(2)
+    assert (own == far.argmin(1)).all() and np.allclose(away, far.min(1)) and peak < 3 * far.nbytes
