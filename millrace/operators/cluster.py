@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from .checkpoints import written
 from .columns import as_column
 
 #: Points of a lot of an exact silhouette, two of which meet in a task, and of a side of a tile.
@@ -21,6 +22,8 @@ LOT, TILE = 16_000, 512
 SUMS = 1 << 23
 #: Lots that fewer points are dealt to, so that tasks share the work, and the least points of such a lot.
 SPREAD, LEAST = 10, 500
+#: Different points of a lot whose neighbours are counted, and of a block of it.
+NEAR_LOT, BLOCK = 32_000, 64
 
 
 def distance(columns: Sequence[str], a: str = "a", b: str = "b") -> Column:
@@ -31,7 +34,7 @@ def neighbours(points: DataFrame, key: str, columns: Sequence[str], eps: float)
     """(a, b) keys of all ordered pairs within ``eps``, a point with itself included.
 
     For points of which few lie within ``eps``, as its rows are those pairs; density.dbscan makes
-    none inside a dense cell. Points meet in grid cells of side ``eps`` on up to three columns, so the join has an equal
+    none inside a dense cell and neighbour_counts() none at all. Points meet in grid cells of side ``eps`` on up to three columns, so the join has an equal
     key and only neighbouring cells are compared.
     """
     grid = columns[: min(3, len(columns))]
@@ -45,6 +48,88 @@ def neighbours(points: DataFrame, key: str, columns: Sequence[str], eps: float)
     return left.join(right, same).where(distance(columns) <= eps).select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"))
 
 
+def _blocks(x: np.ndarray) -> list[np.ndarray]:
+    """Places of rows that lie together, at most BLOCK each: halves along the widest column."""
+    todo, done = [np.arange(len(x))], []
+    while todo:
+        at = todo.pop()
+        if len(at) <= BLOCK:
+            done.append(at)
+            continue
+        own = x[at]
+        order, half = np.argpartition(own[:, np.ptp(own, axis=0).argmax()], len(at) // 2), len(at) // 2
+        todo += [at[order[:half]], at[order[half:]]]
+    return done
+
+
+def _counted(left: pa.Table, right: pa.Table, columns: Sequence[str], eps: float) -> pa.Table:
+    """Of each left point the weights of the right ones within ``eps`` and their largest key.
+
+    A block of right points whose box is within ``eps`` of a left block's box adds its totals;
+    points are compared where a box is neither wholly within nor wholly beyond.
+    """
+    n, last = np.zeros(left.num_rows, np.int64), np.full(left.num_rows, np.iinfo(np.int64).min)
+    if left.num_rows and right.num_rows:
+        a, b = (np.array([side[c].to_numpy() for c in columns], float).T for side in (left, right))
+        blocks = _blocks(b)
+        order, starts = np.concatenate(blocks), np.cumsum([0, *map(len, blocks)])
+        b, w, top = b[order], right["w"].to_numpy()[order], right["last"].to_numpy()[order]
+        low, high = np.minimum.reduceat(b, starts[:-1]), np.maximum.reduceat(b, starts[:-1])
+        total, most = np.add.reduceat(w, starts[:-1]), np.maximum.reduceat(top, starts[:-1])
+        for at in _blocks(a):
+            own = a[at]
+            least, greatest = own.min(0), own.max(0)
+            gap = (np.maximum(0, np.maximum(low - greatest, least - high)) ** 2).sum(1)
+            span = (np.maximum(high - least, greatest - low) ** 2).sum(1)
+            whole = span <= eps * eps * (1 - 1e-9)
+            if whole.any():
+                n[at] += total[whole].sum()
+                last[at] = np.maximum(last[at], most[whole].max())
+            for k in np.flatnonzero(~whole & (gap <= eps * eps * (1 + 1e-9))):
+                part = slice(starts[k], starts[k + 1])
+                far = np.zeros((len(at), part.stop - part.start))
+                for x, y in zip(own.T, b[part].T):
+                    far += (x[:, None] - y) ** 2
+                hit = np.sqrt(far) <= eps
+                n[at] += hit @ w[part]
+                last[at] = np.maximum(last[at], np.where(hit, top[part], np.iinfo(np.int64).min).max(1))
+    found = n > 0
+    return pa.table({**{c: left[c].to_numpy()[found] for c in columns}, "n": n[found], "last": last[found]})
+
+
+def neighbour_counts(points: DataFrame, key: str, columns: Sequence[str], eps: float) -> DataFrame:
+    """(key, n, last): how many points lie within ``eps`` of each, itself counted, and the largest
+    whole-numbered key of them. Points without one of their coordinates have no row.
+
+    What neighbours() makes as pairs is only counted: equal points are one with a weight and
+    their largest key, and points meet in cells of side ``eps`` on up to three columns, where
+    blocks of them are counted in whole. Cells of many points are dealt to lots that meet in pairs.
+    """
+    q = [f"q{i}" for i in range(len(columns))]
+    grid = [f"g{i}" for i in range(min(3, len(columns)))]
+    keyed = points.select(F.col(key).cast("long").alias("key"), *(F.col(c).cast("double").alias(n) for c, n in zip(columns, q)))
+    keyed = keyed.where(reduce(Column.__and__, (F.col(n).isNotNull() & ~F.isnan(n) for n in q)))
+    units = keyed.groupBy(*q).agg(F.max("key").alias("last"), F.count(F.lit(1)).alias("w"))
+    side = eps * (1 + 1e-9)  # so that rounding puts no two neighbours two cells apart
+    units = written(units.withColumns({g: F.floor(F.col(n) / side) for g, n in zip(grid, q)}))
+    lots = written(units.groupBy(*grid).agg(F.ceil(F.count(F.lit(1)) / NEAR_LOT).cast("int").alias("lots")))
+    near = F.array(*(F.struct(*(F.lit(s).alias(g) for s, g in zip(shift, grid))) for shift in product((-1, 0, 1), repeat=len(grid))))
+    # A point as the left one meets the cells beside its own; its lot is that of its own cell.
+    own = units.join(lots, grid).withColumn("i", F.pmod(F.xxhash64(*q), F.col("lots")).cast("int"))
+    cell, met, other = [F.col(g).alias(f"c{g}") for g in grid], [f"c{g}" for g in grid], F.explode(F.sequence(F.lit(0), F.col("lots") - 1))
+    sent = own.select("i", *q, *cell, F.explode(near).alias("s"), *grid)
+    sent = sent.withColumns({g: F.col(g) + F.col(f"s.{g}") for g in grid}).drop("s").join(lots, grid).withColumn("j", other).drop("lots")
+    beside = lots.select(*(F.col(g).alias(f"c{g}") for g in grid), F.col("lots").alias("all"), F.explode(near).alias("s"), *grid)
+    beside = beside.select(*met, "all", *((F.col(g) + F.col(f"s.{g}")).alias(g) for g in grid))
+    right = own.withColumnRenamed("i", "j").drop("lots").join(beside, grid).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("all") - 1))).drop("all")
+    right = right.select(*(F.col(c).alias(c) for c in right.columns))  # both sides come from one table
+    pair = [*met, *grid, "i", "j"]
+    counted = sent.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInArrow(lambda a, b: _counted(a, b, q, eps), ", ".join(f"{n} double" for n in q) + ", n long, last long")
+    found = written(counted.groupBy(*q).agg(F.sum("n").alias("n"), F.max("last").alias("last")))
+    each = keyed.join(found, q).groupBy("key").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+    return each.withColumnRenamed("key", key)
+
+
 def _leave_out_own(count: np.ndarray, sums: np.ndarray, keys: pa.Array, x: np.ndarray, code: np.ndarray) -> None:
     """Takes each row itself, and rows that have its key too, off its counts and sums."""
     names = keys.dictionary_encode().indices.to_numpy()

@@ -149,7 +149,7 @@ DBSCAN_CELLS_SQL = _dbscan_sql("select c_custkey as k, [floor(c_acctbal / 125) /
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many suppliers lie within a distance of each, itself counted."""
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") / 1000).alias("x"), F.col("s_nationkey").cast("double").alias("y"))
-    return K.neighbours(rows, "s_suppkey", ["x", "y"], 1.5).groupBy(F.col("a").alias("s_suppkey")).agg(F.count(F.lit(1)).alias("n"), F.max("b").alias("last"))
+    return K.neighbour_counts(rows, "s_suppkey", ["x", "y"], 1.5)
 
 
 NEIGHBOURS_SQL = "select a.s_suppkey, count(*) as n, max(b.s_suppkey) as last from supplier a join supplier b on sqrt(((a.s_acctbal - b.s_acctbal) / 1000) ** 2 + (a.s_nationkey - b.s_nationkey) ** 2) <= 1.5 group by 1"

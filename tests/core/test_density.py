@@ -6,8 +6,10 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from millrace.operators import density as N
+from millrace.operators import cluster as K, density as N
+from millrace.plans import clusters
 
 
 def brute(points, eps, min_pts):
@@ -121,3 +123,26 @@ def test_tasks_keep_the_nearest_and_a_forest(monkeypatch, far):
             use = (size == sizes[k]) & (reach <= e)
             N._unite(classes[1], p[use], q[use])
             assert (classes[0] == classes[1]).all()
+
+
+@pytest.mark.parametrize("dims,lot,block", [(1, 1000, 8), (2, 1000, 8), (2, 10, 2), (4, 30, 5)])
+def test_neighbours_are_counted_as_from_all_pairs(spark, monkeypatch, dims, lot, block):
+    monkeypatch.setattr(K, "NEAR_LOT", lot)
+    monkeypatch.setattr(K, "BLOCK", block)
+    points = blobs(120, dims, 4) | {300 + i: (0.25 * i,) * dims for i in range(9)} | {500 + i: (0.5,) * dims for i in range(3)}
+    df, columns = frame(spark, points)
+    df = df.unionAll(spark.createDataFrame([(900, *[None] * dims), (901, *[float("nan")] * dims)], df.schema))
+    for eps in (0.25, 1.0, 30.0):
+        want = {k: [j for j, q in points.items() if math.dist(p, q) <= eps] for k, p in points.items()}
+        made = {r.k: (r.n, r.last) for r in K.neighbour_counts(df, "k", columns, eps).collect()}
+        assert made == {k: (len(near), max(near)) for k, near in want.items()}
+    assert K.neighbour_counts(df.limit(0), "k", columns, 1.0).count() == 0
+
+
+def test_no_pairs_are_made_of_suppliers_that_lie_together(spark, tmp_path):
+    """200,000 suppliers at four places: 2.5e10 pairs, of which none is a row."""
+    key = F.col("id")
+    made = spark.range(200_000).select(key.alias("s_suppkey"), (key % 2).cast("int").alias("s_nationkey"), (key % 4 * 1000.0).alias("s_acctbal"))
+    made.write.parquet(f"{tmp_path}/supplier.parquet")
+    found = clusters.neighbours(spark, str(tmp_path)).groupBy("n", "last").agg(F.count("*").alias("rows")).collect()
+    assert sorted(map(tuple, found)) == [(100_000, 199_997, 50_000), (100_000, 199_999, 50_000), (150_000, 199_998, 50_000), (150_000, 199_999, 50_000)]
