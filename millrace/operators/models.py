@@ -16,6 +16,47 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationS
 from pyspark.sql import DataFrame, functions as F
 
 from .aggregate import regression_metrics
+from .checkpoints import written
+
+#: Lots that rows of equal features are pooled into, which the trees of a forest draw in place of rows.
+LOTS = 16
+#: Of a pooled row: how many rows it stands for, and their labels' squared deviations from its own.
+WEIGHT, WITHIN = "_weight", "_within"
+
+
+def pool(df: DataFrame, features: Sequence[str], label: str, key: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Rows of equal ``features`` and ``by`` as LOTS rows at most, dealt by a hash of ``key``, with
+    their number as WEIGHT, their mean ``label`` and its squared deviations as WITHIN; those without a label are left out.
+
+    A regressor that is given the weights finds what it finds on all rows, as sums of labels and of
+    products are the same: least squares to the rounding, trees to the split candidates and a
+    forest to the draw, which takes a lot of equal rows at a time. Features of few values are
+    fitted in memory and time that do not grow with the rows.
+    """
+    lot = F.pmod(F.xxhash64(*key), F.lit(LOTS)).alias("_lot")
+    y = F.col(label).cast("double")
+    sums = [F.count(y).cast("double").alias(WEIGHT), (F.var_pop(y) * F.count(y)).alias(WITHIN), F.avg(y).alias(label)]
+    return written(df.where(y.isNotNull()).groupBy(*features, *by, lot).agg(*sums).drop("_lot"))
+
+
+def pooled_mean(pooled: DataFrame, label: str) -> DataFrame:
+    """(prediction): the mean label of all rows behind pooled ones."""
+    return pooled.agg((F.sum(F.col(label) * F.col(WEIGHT)) / F.sum(WEIGHT)).alias("prediction"))
+
+
+class PooledRmse(Evaluator):
+    """The root mean squared error over the rows behind pooled ones."""
+
+    def __init__(self, label: str):
+        super().__init__()
+        self.label = label
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        error = F.col("prediction") - F.col(self.label)
+        return dataset.agg(F.sqrt(F.sum(error * error * F.col(WEIGHT) + F.col(WITHIN)) / F.sum(WEIGHT))).first()[0]
+
+    def isLargerBetter(self) -> bool:
+        return False
 
 
 def standardise(columns: Sequence[str], out: str = "features") -> list[Estimator]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import aggregate as A, cluster as K, columns as C, density as N, models as M, splits as S, sweeps as V, windows as W
@@ -301,6 +301,11 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.split_groups(table(spark, sf_dir, "lineitem").withColumn("price", F.col("l_extendedprice") / 1000), ["l_orderkey"], 0.3)
 
 
+def pooled_lines(rows: DataFrame, label: str, by: tuple | list = ()) -> DataFrame:
+    """Lines of equal features pooled: of over 100 million there are some 15,000 different ones."""
+    return M.pool(rows, [*LINES, "l_returnflag"], label, ["l_orderkey", "l_linenumber"], by)
+
+
 def linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The slope of price on quantity, as a one-feature fit finds it."""
     rows = table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice")
@@ -319,11 +324,11 @@ def regressors(spark: SparkSession, sf_dir: str) -> DataFrame:
     boosted trees by one split; the settings that won and their score are beside the metrics.
     """
     rows = lines(spark, sf_dir)
-    train, test, judge = S.kfold(rows.where("not is_test"), ["l_orderkey"], 3).cache(), rows.where("is_test"), RegressionEvaluator(labelCol="price", metricName="rmse")
-    forest = M.search(M.regressor("forest", LINES, "price", ["l_returnflag"]), FOREST_GRID, judge, folds=3, fold_col="fold", parallelism=4).fit(train)
-    boosted = M.search(M.regressor("boosted", LINES, "price", ["l_returnflag"], maxIter=5), BOOSTED_GRID, judge, parallelism=4).fit(train)
-    linear = M.regressor("linear", LINES, "price", ["l_returnflag"]).fit(train)
-    mean = test.crossJoin(F.broadcast(train.agg(F.avg("price").alias("prediction"))))
+    train, test, judge = pooled_lines(S.kfold(rows.where("not is_test"), ["l_orderkey"], 3), "price", ["fold"]), rows.where("is_test"), M.PooledRmse("price")
+    forest = M.search(M.regressor("forest", LINES, "price", ["l_returnflag"], weightCol=M.WEIGHT), FOREST_GRID, judge, folds=3, fold_col="fold", parallelism=4).fit(train)
+    boosted = M.search(M.regressor("boosted", LINES, "price", ["l_returnflag"], maxIter=5, weightCol=M.WEIGHT), BOOSTED_GRID, judge, parallelism=4).fit(train)
+    linear = M.regressor("linear", LINES, "price", ["l_returnflag"], weightCol=M.WEIGHT).fit(train)
+    mean = test.crossJoin(F.broadcast(M.pooled_mean(train, "price")))
     found = {"linear": linear.transform(test), "forest": forest.transform(test), "boosted": boosted.transform(test), "mean": mean}
     made = A.model_table({name: A.regression_metrics(df, "price", "prediction") for name, df in found.items()})
     best = spark.createDataFrame([("forest", M.chosen(forest, FOREST_GRID), float(min(forest.avgMetrics))), ("boosted", M.chosen(boosted, BOOSTED_GRID), float(min(boosted.validationMetrics)))], "model string, setting string, searched_rmse double")
@@ -443,7 +448,8 @@ def classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines(spark, sf_dir)
-    model = M.regressor("forest", LINES, "price", ["l_returnflag"], numTrees=5, maxDepth=4).fit(rows.where("not is_test"))
+    train = pooled_lines(rows.where("not is_test"), "price")
+    model = M.regressor("forest", LINES, "price", ["l_returnflag"], numTrees=5, maxDepth=4, weightCol=M.WEIGHT).fit(train)
     return M.importances(model, model.transform(rows))
 
 

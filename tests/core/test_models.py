@@ -140,3 +140,19 @@ def test_nearest_centres_make_no_array_of_points_centres_and_columns():
     tracemalloc.stop()
     far = ((x[:, None] - centres) ** 2).sum(2)
     assert (own == far.argmin(1)).all() and np.allclose(away, far.min(1)) and peak < 3 * far.nbytes
+
+
+def test_fits_on_pooled_rows_are_those_on_all_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, float(a), "uvw"[b], float(a * a + 3 * b + e)) for i, (a, b, e) in enumerate(zip(rng.integers(0, 6, 4000), rng.integers(0, 3, 4000), rng.normal(size=4000)))]
+    df = spark.createDataFrame(rows, "i long, a double, c string, y double")
+    pooled = M.pool(df, ["a", "c"], "y", ["i"])
+    assert pooled.count() <= 18 * M.LOTS and pooled.agg(F.sum(M.WEIGHT)).first()[0] == 4000
+    assert M.pooled_mean(pooled, "y").first()[0] == pytest.approx(np.mean([r[3] for r in rows]))
+    for kind, params in (("linear", {}), ("boosted", {"maxIter": 3, "maxDepth": 2})):
+        one = M.regressor(kind, ["a"], "y", ["c"], **params).fit(df)
+        other = M.regressor(kind, ["a"], "y", ["c"], weightCol=M.WEIGHT, **params).fit(pooled)
+        a, b = ([r.prediction for r in m.transform(df).orderBy("i").collect()] for m in (one, other))
+        assert np.allclose(a, b, atol=1e-9)
+        judged = RegressionEvaluator(labelCol="y", metricName="rmse").evaluate(other.transform(df))
+        assert M.PooledRmse("y").evaluate(other.transform(pooled)) == pytest.approx(judged)
