@@ -343,10 +343,11 @@ def better_than_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, and whether small models of each kind have less."""
     charge = F.col("l_quantity") * 2 + F.col("l_discount") * 100 + F.col("price") / 10
     rows = lines(spark, sf_dir).withColumn("charge", charge)
-    train, test = rows.where("not is_test").cache(), rows.where("is_test")
-    fits = {"linear": M.regressor("linear", LINES, "charge"), "forest": M.regressor("forest", LINES, "charge", numTrees=3, maxDepth=3), "boosted": M.regressor("boosted", LINES, "charge", maxIter=2, maxDepth=3)}
+    train, test = pooled_lines(rows.where("not is_test"), "charge"), rows.where("is_test")
+    weight = {"weightCol": M.WEIGHT}
+    fits = {"linear": M.regressor("linear", LINES, "charge", **weight), "forest": M.regressor("forest", LINES, "charge", numTrees=3, maxDepth=3, **weight), "boosted": M.regressor("boosted", LINES, "charge", maxIter=2, maxDepth=3, **weight)}
     made = A.model_table({name: A.regression_metrics(fit.fit(train).transform(test), "charge", "prediction") for name, fit in fits.items()})
-    mean = test.crossJoin(F.broadcast(train.agg(F.avg("charge").alias("prediction"))))
+    mean = test.crossJoin(F.broadcast(M.pooled_mean(train, "charge")))
     base = A.regression_metrics(mean, "charge", "prediction").select(F.col("rmse").alias("mean_rmse"), F.col("mae").alias("mean_mae"))
     return made.crossJoin(F.broadcast(base)).select("model", "n", (F.col("rmse") < F.col("mean_rmse")).alias("better"), rounded("mean_rmse", 6).alias("mean_rmse"), rounded("mean_mae", 6).alias("mean_mae"))
 

@@ -8,6 +8,7 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.sql import functions as F
 
 from millrace.operators import cluster as K, models as M, sweeps as V
+from millrace.plans import clusters
 
 COLUMNS = ["x", "y"]
 
@@ -156,3 +157,17 @@ def test_fits_on_pooled_rows_are_those_on_all_rows(spark):
         assert np.allclose(a, b, atol=1e-9)
         judged = RegressionEvaluator(labelCol="y", metricName="rmse").evaluate(other.transform(df))
         assert M.PooledRmse("y").evaluate(other.transform(pooled)) == pytest.approx(judged)
+
+
+def test_models_of_lines_are_fitted_on_pooled_ones(spark, tmp_path, monkeypatch):
+    """20,000 lines of 12 different features."""
+    i = F.col("id")
+    made = spark.range(20_000).select(
+        (i / 3).cast("long").alias("l_orderkey"), (i % 3).cast("int").alias("l_linenumber"), (i % 4 + 1.0).alias("l_quantity"), (i % 3 / 100).alias("l_discount"), (i % 2 / 100).alias("l_tax"),
+        (i % 97 * 100.0).alias("l_extendedprice"), F.lit("A").alias("l_returnflag"),
+    )
+    made.write.parquet(f"{tmp_path}/lineitem.parquet")
+    seen, fit = [], M.Pipeline.fit
+    monkeypatch.setattr(M.Pipeline, "fit", lambda self, df, *more: seen.append(df.count()) or fit(self, df, *more))
+    assert {(r.model, r.better) for r in clusters.better_than_mean(spark, str(tmp_path)).collect()} == {(m, True) for m in ("linear", "forest", "boosted")}
+    assert len(seen) == 3 and max(seen) <= 12 * M.LOTS
