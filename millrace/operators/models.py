@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
+from math import ceil
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -23,6 +24,9 @@ LOTS = 16
 #: Of a pooled row: how many rows it stands for, and their labels' squared deviations from its own.
 WEIGHT, WITHIN = "_weight", "_within"
 
+#: Rows of a partition of a fit that goes over them many times.
+SHARE = 50_000
+
 
 def pool(df: DataFrame, features: Sequence[str], label: str, key: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Rows of equal ``features`` and ``by`` as LOTS rows at most, dealt by a hash of ``key``, with
@@ -115,6 +119,14 @@ def loadings(model: PipelineModel, df: DataFrame, columns: Sequence[str]) -> Dat
     return df.sparkSession.createDataFrame(rows, "feature string, component int, loading double")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt by hash of ``key`` to partitions of about SHARE rows, in its order, so that a fit
+    of many rounds is shared by all cores though a small file is read as one partition, and
+    starts from the same rows whatever the files."""
+    n = max(1, ceil(df.count() / SHARE))
+    return df.repartition(n, key).sortWithinPartitions(key)
+
+
 def gmm(stages: Sequence[Estimator], k: int, seed: int = 42) -> Pipeline:
     return Pipeline(stages=[*stages, GaussianMixture(k=k, seed=seed)])
 

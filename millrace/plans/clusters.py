@@ -249,7 +249,7 @@ select k, round(inertia, 4) as inertia, round(sil, 6) as silhouette from (select
 
 
 def gmm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = centres(spark, sf_dir)
+    rows = M.spread(centres(spark, sf_dir), "p_partkey")
     made = M.gmm(M.standardise(FEATURES), 3).fit(rows).transform(rows)
     return made.groupBy(F.col("prediction").alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -171,3 +171,15 @@ def test_models_of_lines_are_fitted_on_pooled_ones(spark, tmp_path, monkeypatch)
     monkeypatch.setattr(M.Pipeline, "fit", lambda self, df, *more: seen.append(df.count()) or fit(self, df, *more))
     assert {(r.model, r.better) for r in clusters.better_than_mean(spark, str(tmp_path)).collect()} == {(m, True) for m in ("linear", "forest", "boosted")}
     assert len(seen) == 3 and max(seen) <= 12 * M.LOTS
+
+
+def test_mixture_of_a_small_file_is_shared_and_starts_the_same_whatever_the_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(M, "SHARE", 50)
+    i = F.col("id")
+    made = spark.range(300).select(i.alias("p_partkey"), (i * 7 % 50 + 1).cast("int").alias("p_size"), (900.0 + i * 31 % 101).alias("p_retailprice"))
+    made.coalesce(1).write.parquet(f"{tmp_path}/one/part.parquet")
+    made.orderBy(F.xxhash64("p_partkey")).repartition(3).write.parquet(f"{tmp_path}/three/part.parquet")
+    shares, fit = [], M.Pipeline.fit
+    monkeypatch.setattr(M.Pipeline, "fit", lambda self, df, *more: shares.append(df.rdd.getNumPartitions()) or fit(self, df, *more))
+    one, three = (sorted(map(tuple, clusters.gmm(spark, f"{tmp_path}/{files}").collect())) for files in ("one", "three"))
+    assert shares == [6, 6] and one == three and sum(n for _, n in one) == 300
