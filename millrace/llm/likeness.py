@@ -9,9 +9,13 @@ are transitive, so that a text is missed only if all its links are.
 
 Candidates are tested in steps. In the first ROUNDS steps a set is tested with one candidate of
 each shard, another each time, which joins a dense group of m by about m tests a step. Then all
-candidates of sets not yet in one group are. The sets of candidates are sent to a grid of lots by
-the hashes of both ends, so that a set goes to one row and one column of lots however many
-candidates it has; lots have a bounded number of members.
+candidates of sets not yet in one group are, but for those that parities tell apart where they
+meet: a set's members fall into CELLS cells, and a cell that holds an odd number of one set and an
+even number of another has a member that only one of them holds. No two sets have more such cells
+than members that differ, so that a family of sets too unlike to link makes few rows and no link
+is lost. The sets of candidates are sent to a grid of lots by the hashes of both ends, so that a
+set goes to one row and one column of lots however many candidates it has; lots have a bounded
+number of members.
 """
 
 from __future__ import annotations
@@ -35,6 +39,10 @@ PRINTS, WIDE = 3, 48
 ROUNDS = 1
 #: Bits by which a slice may differ.
 REACH = 1
+#: Cells whose parities a set has, in words of 64. They tell sets of up to about 500 members from
+#: those a bit too unlike, and larger ones from those that have less in common.
+CELLS = 512
+PARITIES = [f"s{k}" for k in range(CELLS // 64)]
 #: Rows of one slice value that the first step looks at.
 FIRST = 64
 SHARD_ROWS = 32_768
@@ -91,9 +99,15 @@ def fingerprint(members: np.ndarray) -> list[int]:
     return made
 
 
+def parities(members: np.ndarray) -> np.ndarray:
+    """A bit for each cell, 1 where an odd number of members falls into it."""
+    held = np.bincount(members & (CELLS - 1), minlength=CELLS) & 1
+    return np.packbits(held.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _rows(texts: DataFrame, words: int) -> DataFrame:
-    """(doc_id, key, sid, size, p0, p1, ...) of each text; sid: its set's own hash."""
-    names = [f"p{k}" for k in range(PRINTS)]
+    """(doc_id, key, sid, size, p0, p1, ..., s0, s1, ...) of each text; sid: its set's own hash."""
+    names = [*(f"p{k}" for k in range(PRINTS)), *PARITIES]
 
     def run(batches):
         for batch in batches:
@@ -102,8 +116,8 @@ def _rows(texts: DataFrame, words: int) -> DataFrame:
                 own, members = _set(text, words)
                 sid.append(own)
                 size.append(len(members))
-                prints.append(fingerprint(members))
-            columns = np.array(prints, np.int64).reshape(-1, PRINTS).T
+                prints.append([*fingerprint(members), *parities(members).tolist()])
+            columns = np.array(prints, np.int64).reshape(-1, len(names)).T
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.array(sid, np.uint64).view(np.int64)), pa.array(size, pa.int32()), *(pa.array(p) for p in columns)], names=["doc_id", "key", "sid", "size", *names])
 
     return texts.mapInArrow(run, "doc_id long, key long, sid long, size int, " + ", ".join(f"{n} long" for n in names))
@@ -111,21 +125,29 @@ def _rows(texts: DataFrame, words: int) -> DataFrame:
 
 def _candidates(nodes: DataFrame, likeness: float, step: int) -> DataFrame:
     """(a, b, more, weight) sets that are close and not in one group, and how many members both
-    have. ``nodes``: sid, label, size, p0, ...
+    have. ``nodes``: sid, label, size, p0, ..., s0, ...
 
     In the first ROUNDS steps one b for each a and shard, ``more`` where there may be others.
     """
     first = step < ROUNDS
     names = [f"p{k}" for k in range(PRINTS)]
+    # All sets go to the shards of the first steps, few to those of the last, with their parities.
+    odd = [] if first else PARITIES
+    apart = (1 - likeness) / (1 + likeness)
 
     def close(s, stored, asking, left, right):
         """Which pairs are candidates, each in the first slice that brings it together."""
-        (own, node, size, label), (prints, other, width, group) = asking, stored
+        (own, node, size, label, cells), (prints, other, width, group, others) = asking, stored
         small, large = np.minimum(size[left], width[right]), np.maximum(size[left], width[right])
         good = (label[left] != group[right]) & (small >= large * (likeness - 1e-9))
         left, right = left[good], right[good]
         away = sum(np.bitwise_count(x[left] ^ y[right]).astype(np.int64) for x, y in zip(own, prints))
         left, right = left[away <= WIDE], right[away <= WIDE]
+        if odd:
+            differ = sum(np.bitwise_count(x[left] ^ y[right]).astype(np.int64) for x, y in zip(cells, others))
+            # Sets of this likeness differ in so many members at most.
+            good = differ <= (size[left].astype(np.int64) + width[right]) * apart + 1e-6
+            left, right = left[good], right[good]
         new = np.ones(len(left), bool)
         for t in range(s):
             new &= np.bitwise_count(slice_of([x[left] for x in own], t) ^ slice_of([x[right] for x in prints], t)) > REACH
@@ -133,7 +155,7 @@ def _candidates(nodes: DataFrame, likeness: float, step: int) -> DataFrame:
 
     def arrays(rows):
         column = lambda c: rows.column(c).to_numpy()
-        return [column(n).view(np.uint64) for n in names], column("sid"), column("size"), column("label")
+        return [column(n).view(np.uint64) for n in names], column("sid"), column("size"), column("label"), [column(n).view(np.uint64) for n in odd]
 
     def found(s, stored, asking):
         held, asks = arrays(stored), arrays(asking)
@@ -142,7 +164,7 @@ def _candidates(nodes: DataFrame, likeness: float, step: int) -> DataFrame:
         groups_, group = np.unique(held[3], return_inverse=True)
         priority = _mix(held[1].view(np.uint64) + np.uint64(77 + step))
         order = np.lexsort((priority, key) if first else (group, key))
-        held = [x[order] for x in held[0]], *(x[order] for x in held[1:])
+        held = [x[order] for x in held[0]], *(x[order] for x in held[1:4]), [x[order] for x in held[4]]
         key, both = key[order], (key * len(groups_) + group)[order]
         place = np.minimum(np.searchsorted(groups_, asks[3]), max(0, len(groups_) - 1))
         best = np.full(len(want), np.iinfo(np.uint64).max)
@@ -180,7 +202,7 @@ def _candidates(nodes: DataFrame, likeness: float, step: int) -> DataFrame:
         a, b, weight = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 3
         return pa.table({"a": pa.array(a), "b": pa.array(b), "more": pa.array(np.zeros(len(a), bool)), "weight": pa.array(weight)})
 
-    return meet_in_shards(nodes.select("sid", "label", "size", *names), names, REACH, found, "a long, b long, more boolean, weight long", SHARD_ROWS)
+    return meet_in_shards(nodes.select("sid", "label", "size", *names, *odd), names, REACH, found, "a long, b long, more boolean, weight long", SHARD_ROWS)
 
 
 def _shared(pairs: pa.Table, sets: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -263,7 +285,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     texts = texts.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
     rows = materialise(_rows(texts, words), "likeness-rows")
     names = [f"p{k}" for k in range(PRINTS)]
-    nodes = rows.groupBy("sid").agg(F.min("key").alias("key"), *(F.first(c).alias(c) for c in ("size", *names)))
+    nodes = rows.groupBy("sid").agg(F.min("key").alias("key"), *(F.first(c).alias(c) for c in ("size", *names, *PARITIES)))
     nodes = materialise(nodes.where("size > 0"), "likeness-nodes")
     rest, links = nodes.withColumn("label", F.col("sid")), None
     for step in range(ROUNDS + 1):
@@ -274,7 +296,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
         # Sets that had one candidate in each shard have nothing left to test.
         open_ = near.where("more").select(F.col("a").alias("sid")).distinct()
         rest = nodes.join(open_, "sid").join(roots, F.col("sid") == F.col("node"), "left").withColumn("label", F.coalesce("root", "sid"))
-        rest = materialise(rest.select("sid", "label", "size", *names), "likeness-rest")
+        rest = materialise(rest.select("sid", "label", "size", *names, *PARITIES), "likeness-rest")
         if rest.isEmpty():
             break
     named = rows.select("doc_id", "sid").join(roots, F.col("sid") == F.col("node"), "left").select("doc_id", F.coalesce("root", "sid").alias("root"))

@@ -83,3 +83,37 @@ def test_empty_and_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b c d e f", "", ""), (7, "a b c d e f", "", ""), (7, "a b c d e f", "", ""), (8, None, "", ""), (9, "", "", "")], SCHEMA)
     found = likeness.groups(docs).collect()
     assert sorted((r.doc_id or 0, r.component_id) for r in found) == [(0, 7), (7, 7), (7, 7), (8, 8), (9, 8)]
+
+
+def test_family_too_unlike_makes_few_pairs(spark, monkeypatch):
+    rng, tested, kept = random.Random(9), [], likeness.materialise
+
+    def counted(df, label):
+        written = kept(df, label)
+        if label == "likeness-pairs":
+            tested.append(written.count())
+        return written
+
+    monkeypatch.setattr(likeness, "materialise", counted)
+    base, rows = ["w%d" % i for i in range(150)], []
+    for i in range(150):
+        copy = list(base)
+        for at in range(3):
+            copy[rng.randrange(150)] = f"x{i}-{at}"
+        rows.append(" ".join(copy))
+        if i % 5 == 0:
+            rows.append(" ".join([*copy[:-1], "last"]))
+    docs = spark.createDataFrame([(i, t, "s", "r") for i, t in enumerate(rows)], SCHEMA)
+    links, label = expected(rows, 5, 0.8)
+    assert [g for _, g in sorted(likeness.groups(docs).collect())] == label
+    # of the family's 16,000 pairs few are alike; the last step tests few others
+    assert len(tested) == 2 and tested[1] < 3 * len(links) + len(rows)
+
+
+def test_parities_differ_in_no_more_than_members(spark):
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 20, 700, 5_000):
+        members = np.unique(rng.integers(-(1 << 63), 1 << 63, size))
+        other = np.unique(np.r_[members[size // 7 :], rng.integers(-(1 << 63), 1 << 63, size // 9)])
+        differ = np.bitwise_count((likeness.parities(members) ^ likeness.parities(other)).view(np.uint64)).sum()
+        assert differ <= len(np.setxor1d(members, other)) and (size != 20 or differ > 0)
