@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import repeats
 
@@ -119,3 +120,17 @@ def test_common_prefixes(stride):
     every = [bytes(x[i : i + 6]) for x in strings for i in range(len(x) - 5)]
     want = {(k, i) for k, x in enumerate(strings) for i in range(len(x) - 5) if every.count(bytes(x[i : i + 6])) > 1}
     assert set(zip(*(x.tolist() for x in found))) == want
+
+
+def test_spans_are_not_compared_pair_by_pair(spark):
+    passages = ["%08d" % (7919 * i) for i in range(400)]
+    text = "".join(f"{p}<{i:x}>" for i, p in enumerate(passages + passages[::-1]))
+    docs = spark.createDataFrame([(1, text), (1, text), (2, text[:5000])], "doc_id long, text string")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    found = repeats.spans(rows, 8, 4, 8)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct" not in plan
+    spans = {r.doc_id: [(s.low, s.high) for s in r.spans] for r in found.collect()}
+    # both rows of id 1 bring each run, which counts once
+    assert all(own == sorted(set(own)) for own in spans.values())
+    assert len({s for low, high in spans[1] for s in range(low, high)}) == len(text) - 7
