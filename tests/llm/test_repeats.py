@@ -134,3 +134,25 @@ def test_spans_are_not_compared_pair_by_pair(spark):
     # both rows of id 1 bring each run, which counts once
     assert all(own == sorted(set(own)) for own in spans.values())
     assert len({s for low, high in spans[1] for s in range(low, high)}) == len(text) - 7
+
+
+def test_merge_leaves_settled_suffixes_alone(monkeypatch):
+    rng = np.random.default_rng(8)
+    common = rng.integers(1, 200, 60)
+    strings = [np.r_[rng.integers(1, 200, 40), common, rng.integers(1, 200, 40), 0] for _ in range(40)]
+    letter = np.concatenate(strings)
+    size = len(strings[0])
+    at = np.arange(len(letter))
+    following = np.where(letter == 0, at, at + 1)
+    before = np.where(at % size == 0, 0, letter[at - 1])
+    edges, rounds = np.arange(5) * 10 * size, 50
+    sort, sorted_ = np.argsort, []
+    monkeypatch.setattr(repeats.np, "argsort", lambda a, *x, **k: sorted_.append(len(a)) or sort(a, *x, **k))
+    place, shared = repeats.merged_prefixes(letter, before, following, edges, rounds)
+    # every round sorted all suffixes twice before
+    assert sum(sorted_) < 10 * len(letter)
+    start = [tuple(letter[i : i - i % size + size].tolist())[:rounds] for i in place]
+    assert start == sorted(start) and sorted(place.tolist()) == at.tolist()
+    for a, b, n in zip(start, start[1:], shared[1:]):
+        alike = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), rounds)
+        assert n == alike
