@@ -4,7 +4,9 @@ from collections import Counter
 
 import pytest
 
-from millrace.llm import lm, queries
+from pyspark.sql import functions as F
+
+from millrace.llm import common, lm, queries
 
 SCHEMA = "doc_id long, text string, block string, n string"
 
@@ -73,3 +75,29 @@ def test_repeated_rows_null_ids_and_a_long_text(spark, monkeypatch):
     found = lm.score(docs).collect()
     want = list(plain(texts, 3, 0.4))
     assert sorted((r.doc_id or 0, r.n_words, round(r.log_score, 4), r.n_backoff) for r in found) == sorted((7 if i < 30 else 0 if i == 30 else i, n, round(s, 4) + 0.0, b) for i, (n, s, b) in enumerate(want))
+
+
+def test_grams_are_counted_part_by_part_and_shuffles_go(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices("a b c d e f g hh I".split(), k=30)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], SCHEMA)
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 200)
+    found = lm.score(docs)
+    # words and their counts lie by block: what is left to do moves nothing, in particular no texts
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+    want = list(plain(texts, 3, 0.4))
+    assert [(r.n_words, round(r.log_score, 6), r.n_backoff) for r in sorted(found.collect())] == [(n, round(s, 6), b) for n, s, b in want]
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    assert spark.conf.get(name) == "false" and not [t for t in spark.catalog.listTables() if t.name.startswith("lm_")]
+    words = sum(len(t.split()) for t in texts)
+    parts = [lm._part(*lm._tokens(texts), 1, part)[0] for part in range(lm.PARTS)]
+    assert lm.PARTS > 1 and sum(map(len, parts)) == words and not set(parts[0]) & set(parts[1])
+
+
+def test_rows_of_a_bucket_lie_by_block(spark):
+    df = spark.range(3_000).select("id", F.pmod(F.xxhash64("id"), F.lit(40)).alias("block"))
+    table = common.bucketed(spark, [df, df], "block", "lm-some")
+    # a block is in two files, one for each frame, and in one run there
+    files = spark.read.parquet(*table.inputFiles()).mapInPandas(lambda batches: (b.assign(run=(b.block != b.block.shift()).cumsum()).groupby(["block", "run"], as_index=False).id.count() for b in batches), "block long, run long, id long")
+    assert table.count() == 6_000 and files.count() == 80
