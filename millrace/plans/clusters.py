@@ -168,7 +168,7 @@ def dbscan_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     experiments = {"vectors": (vectors(spark, sf_dir), "vec_id", DIMS), "suppliers": (K.standardised(suppliers, ["x", "y", "z"]), "s_suppkey", ["x", "y", "z"])}
     rows, by = [], ["eps", "min_pts"]
     for name, (points, key, columns) in experiments.items():
-        found = N.dbscan_settings(points, key, columns, EPS, MIN_PTS).checkpoint()
+        found = written(N.dbscan_settings(points, key, columns, EPS, MIN_PTS))
         noise = F.count_if(F.col("cluster") == -1)
         each = found.groupBy(*by).agg(F.countDistinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("n_clusters"), noise.alias("n_noise"), (noise * 100 / F.count(F.lit(1))).alias("noise_pct"))
         scored = found.join(each.where("n_clusters between 2 and 6").select(*by), by, "left_semi").join(points, key)

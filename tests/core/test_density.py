@@ -125,6 +125,73 @@ def test_tasks_keep_the_nearest_and_a_forest(monkeypatch, far):
             assert (classes[0] == classes[1]).all()
 
 
+@pytest.mark.parametrize("dims,one", [(2, 1 << 20), (10, 1 << 20), (2, 0)])
+def test_groups_that_their_nearest_do_not_join(spark, monkeypatch, dims, one):
+    """Groups of more points than a point keeps, in several lots: their links are found beside the nearest."""
+    monkeypatch.setattr(N, "LOT", 40)
+    monkeypatch.setattr(N, "ONE", one)
+    rng = random.Random(dims)
+    points = {g * 20 + i: (g % 5 * 0.5 + rng.random() * 0.1, g // 5 * 0.8 + rng.random() * 0.1, *(rng.random() * 0.05 for _ in range(dims - 2))) for g in range(15) for i in range(9)}
+    points |= {1000: points[0], 1001: (9.0,) * dims}
+    df, columns = frame(spark, points)
+    eps, sizes = [0.2, 0.42, 0.5, 0.75], [2, 4]
+    made = N.dbscan_settings(df, "k", columns, eps, sizes).collect()
+    assert len(made) == len(points) * len(eps) * len(sizes)
+    for e in eps:
+        for k in sizes:
+            assert {r.k: r.cluster for r in made if (r.eps, r.min_pts) == (e, k)} == brute(points, e, k), (e, k)
+
+
+@pytest.mark.parametrize("dims,two", [(2, True), (2, False), (12, True), (12, False)])
+def test_bridges_join_the_classes_that_links_join(monkeypatch, dims, two):
+    monkeypatch.setattr(N, "NARROW", 7)
+    monkeypatch.setattr(N, "TILE", 16)
+    rng, n, eps = np.random.default_rng(dims), 240, [0.15, 0.3, 3.0]
+    x = np.concatenate([rng.integers(0, 5, (n, 2)) * 0.5 + rng.random((n, 2)) * 0.25, rng.random((n, dims - 2)) * 0.02], axis=1)
+    is_open, since = rng.random(n) < 0.6, rng.integers(0, 4, n)
+    seeds = np.where(since[:, None] <= np.arange(3), np.where(is_open, np.arange(n) // 2 * 2 + 1000, 0)[:, None], -1)
+    lists = lambda v, t: pa.array(v.tolist(), pa.list_(t))
+    second = np.arange(n) >= (n // 2 if two else n)
+    rows = {"number": np.arange(n), "x": lists(x, pa.float64()), "open": is_open, "seeds": lists(seeds, pa.int64()), "i": np.zeros(n, int), "j": np.full(n, int(two)), "second": second}
+    made = N._bridges(pa.table(rows), eps)
+    a, b, reach = (made[c].to_numpy() for c in ("a", "b", "reach"))
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    for e, far in enumerate(eps):
+        link = (d <= far) & (seeds[:, e] >= 0)[:, None] & (seeds[:, e] >= 0) & (is_open[:, None] | is_open)
+        if two:
+            link = link & (second[:, None] != second)
+        want, found = np.arange(2000), np.arange(2000)
+        i, j = np.nonzero(link)
+        N._unite(want, seeds[i, e], seeds[j, e])
+        N._unite(found, a[reach == far], b[reach == far])
+        assert (want == found).all() and (reach == far).sum() < len(np.unique(seeds[:, e]))
+
+
+def test_points_go_to_lots_only_as_near_as_their_nearest(spark, monkeypatch):
+    """What a task compares does not grow with the square of the points of few columns."""
+    monkeypatch.setattr(N, "LOT", 500)
+    rng = np.random.default_rng(3)
+    x = rng.random((8000, 2))
+    units = spark.createDataFrame([(i, [float(v) for v in p], 1) for i, p in enumerate(x)], "number long, x array<double>, w long")
+    sent, plain = [], N._sent
+    monkeypatch.setattr(N, "_sent", lambda *a: sent.append(plain(*a).count()) or plain(*a))
+    points, near, lots = N._near(units, len(x), 4, 1.4)
+    assert lots >= 16 and sent[0] < 2 * len(x)  # of 8000 * (lots - 1) rows
+    for r in near.where("number % 400 = 0").collect():
+        d = np.sqrt(((x[r.number] - x) ** 2).sum(1))
+        assert [n.other for n in r.near] == np.argsort(d)[:4].tolist()
+    # Two lots of one class each at every eps are not compared, nor are points that only others ask.
+    cells = []
+    made = N._Squares.__call__
+    monkeypatch.setattr(N._Squares, "__call__", lambda self, r, c: cells.append((r.stop - r.start) * (c.stop - c.start)) or made(self, r, c))
+    n, lists = 4000, lambda v, t: pa.array(v.tolist(), pa.list_(t))
+    common = {"number": np.arange(n), "x": lists(x[:n], pa.float64()), "i": np.zeros(n, int), "j": np.ones(n, int), "second": np.arange(n) >= n // 2}
+    N._bridges(pa.table(common | {"open": np.ones(n, bool), "seeds": lists(np.zeros((n, 2), int), pa.int64())}), [0.1, 0.2])
+    assert not cells
+    N._nearest(pa.table(common | {"w": np.ones(n, int), "bound": np.where(np.arange(n) == 7, 0.1, -1.0)}), 4, 1.4)
+    assert sum(cells) <= 512 * n // 2
+
+
 @pytest.mark.parametrize("dims,lot,block", [(1, 1000, 8), (2, 1000, 8), (2, 10, 2), (4, 30, 5)])
 def test_neighbours_are_counted_as_from_all_pairs(spark, monkeypatch, dims, lot, block):
     monkeypatch.setattr(K, "NEAR_LOT", lot)
